@@ -6,8 +6,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Sequence
 
-from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ripplecart.config import checkpoint_dir
@@ -16,30 +15,36 @@ from ripplecart.functions.scalars import hash_uniform
 BROADCAST_ROWS = 1_000_000
 
 
-def cached(df: DataFrame) -> DataFrame:
-    """Keep a table that several jobs read; lost blocks are recomputed from the lineage."""
-    return df.persist(StorageLevel.MEMORY_AND_DISK)
+def _scratch(spark: SparkSession) -> str:
+    return f"{checkpoint_dir(spark).rstrip('/')}/ripplecart-{spark.sparkContext.applicationId}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as a table in the shared checkpoint folder and read it back.
+def settled(df: DataFrame, name: str = "table") -> DataFrame:
+    """Write a table that several jobs read to the shared checkpoint folder, and read it back.
 
-    Cuts the lineage like ``checkpoint()``, but computes the rows once instead of twice and gives
-    the planner real sizes. The folder name is unique; the cluster's retention cleans it up.
+    Like ``checkpoint()`` it cuts the lineage and survives lost executors, but it computes the rows
+    once instead of twice, keeps column pruning and filter pushdown, and tells the planner real
+    sizes. (Caches inside caches would also make every later plan carry all earlier ones.)
     """
     spark = df.sparkSession
-    path = f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{_scratch(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop_settled(spark: SparkSession) -> None:
+    """Delete the settled tables of this application; frames built on them become unreadable."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_scratch(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> tuple[DataFrame, bool]:
-    """Cache and count ``df``; hint a broadcast only when it has at most ``max_rows`` rows.
+    """Settle and count ``df``; hint a broadcast only when it has at most ``max_rows`` rows.
 
     Returns the (possibly hinted) table and whether it was small. Above the bound the caller's join
     stays an ordinary shuffled join.
     """
-    df = cached(df)
+    df = settled(df, "side")
     small = df.count() <= max_rows
     return (F.broadcast(df) if small else df), small
 

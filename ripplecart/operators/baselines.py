@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ripplecart.config import CELL, STORE, WEEK
-from ripplecart.functions.distributed import cached, sample_exact
+from ripplecart.functions.distributed import settled, sample_exact
 from ripplecart.operators.covariates import with_covariates, with_label_codes, with_row_folds
 from ripplecart.operators.dml import effects_table, fit_linear_cate
 from ripplecart.operators.linear import ols_hc1, z_value
@@ -56,7 +56,7 @@ def _residuals(
     )
     keep = {*CELL, "y", "t", "w", *[c for c in nuisance.cells if c in panel.columns]}
     frame = frame.select(*[c for c in frame.columns if c in keep])
-    return cached(residualise(cached(with_row_folds(frame, n_folds, CELL, seed)), ["y", "t"], n_folds, nuisance))
+    return settled(residualise(settled(with_row_folds(frame, n_folds, CELL, seed)), ["y", "t"], n_folds, nuisance))
 
 
 def dml_baseline(
@@ -125,7 +125,7 @@ def forest_baseline(
     res = _residuals(
         panel, outcome, treatment, n_folds, nuisance or Nuisance(), embeddings, False, include_discount_rate, seed
     )
-    scored = cached(forest_cate(res, trees, depth, seed=seed))
+    scored = settled(forest_cate(res, trees, depth, seed=seed))
     t2 = scored.agg(F.avg(F.col("t_res") * F.col("t_res"))).scalar()
     score = F.col("cate") + F.col("t_res") * (F.col("y_res") - F.col("cate") * F.col("t_res")) / t2
     m = scored.agg(F.avg("cate").alias("ate"), F.stddev_samp(score).alias("sd"), F.count(F.lit(1)).alias("n")).first()
@@ -155,8 +155,8 @@ def run_all_baselines(
     need to fit into one machine's memory here. The last baseline needs the spillover features in
     the panel.
     """
-    panel = cached(panel)
-    rest = panel if dml_max_rows is None else cached(sample_exact(panel, CELL, dml_max_rows, seed=seed))
+    panel = settled(panel)
+    rest = panel if dml_max_rows is None else settled(sample_exact(panel, CELL, dml_max_rows, seed=seed))
     common = {
         "outcome": outcome, "treatment": treatment, "confidence_level": confidence_level,
         "include_discount_rate": include_discount_rate,

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ripplecart.config import COMP, PRODUCT
-from ripplecart.functions.distributed import cached, hash_rank
+from ripplecart.functions.distributed import settled, hash_rank
 from ripplecart.operators.panel import in_universe
 
 BASKET = "BASKET_ID"
@@ -86,7 +86,7 @@ def cooccurrence(items: DataFrame, min_cooccurrence: int = 10, wide_basket: int
     frequent = product_baskets(items).filter(F.col("n_baskets") >= k).select(PRODUCT)
     items = items.join(frequent, PRODUCT, "left_semi")
     sizes = items.groupBy(BASKET).agg(F.count(F.lit(1)).alias("n_items"))
-    wide_sizes = cached(sizes.filter(F.col("n_items") > wide_basket))
+    wide_sizes = settled(sizes.filter(F.col("n_items") > wide_basket))
     if wide_sizes.isEmpty():
         return _pairs_of_narrow_baskets(items).filter(F.col("n_narrow") >= k).withColumnRenamed("n_narrow", "n_ab")
 
@@ -94,7 +94,7 @@ def cooccurrence(items: DataFrame, min_cooccurrence: int = 10, wide_basket: int
     narrow = items.join(wide_sizes.select(BASKET), BASKET, "left_anti")
     in_wide = wide.groupBy(PRODUCT).agg(F.count(F.lit(1)).alias("h"))
     reach = F.least("ha", "hb")
-    found = cached(
+    found = settled(
         _pairs_of_narrow_baskets(narrow)
         .join(in_wide.select(F.col(PRODUCT).alias("a"), F.col("h").alias("ha")), "a", "left")
         .join(in_wide.select(F.col(PRODUCT).alias("b"), F.col("h").alias("hb")), "b", "left")
@@ -146,7 +146,7 @@ def complement_edges(
     wide_basket: int = WIDE_BASKET,
 ) -> DataFrame:
     """The complement graph as an edge list (graph, src, dst, w), both directions, w in (0, 1]."""
-    items = cached(basket_items(tx, products))
+    items = settled(basket_items(tx, products))
     pairs = ppmi_pairs(items, cooccurrence(items, min_cooccurrence, wide_basket))
     return symmetric(pairs).select(F.lit(COMP).alias("graph"), "src", "dst", "w")
 

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ripplecart.config import CELL, EFFECTS, HIERARCHY, PRODUCT, STORE, SUB
-from ripplecart.functions.distributed import cached
+from ripplecart.functions.distributed import settled
 from ripplecart.operators.covariates import with_covariates, with_group_folds
 from ripplecart.operators.exposure import add_exposures, without_channel
 from ripplecart.operators.linear import LinearFit, clustered_ols, cross_products, solve_min_norm
@@ -137,7 +137,7 @@ def estimation_frame(
         F.col("sub_exposure_weighted").alias(TREATMENTS[1]),
         F.col("comp_exposure_weighted").alias(TREATMENTS[2]),
     )
-    frame = cached(frame)
+    frame = settled(frame)
     if covariates:
         frame, _ = with_covariates(frame, include_discount_rate=include_discount_rate, embeddings=embeddings)
     return with_group_folds(frame, n_folds)
@@ -160,8 +160,8 @@ def run_graph_dml(
     """
     nuisance = nuisance or Nuisance()
     frame_options.setdefault("covariates", True)
-    frame = cached(estimation_frame(panel, edges, n_folds=n_folds, weight_type=weight_type, **frame_options))
-    res = cached(residualise(frame, ["y", *TREATMENTS], n_folds, nuisance))
+    frame = settled(estimation_frame(panel, edges, n_folds=n_folds, weight_type=weight_type, **frame_options))
+    res = settled(residualise(frame, ["y", *TREATMENTS], n_folds, nuisance))
     fit = clustered_ols(res, "y_res", [f"{t}_res" for t in TREATMENTS], PRODUCT, STORE)
     model = f"graph_dml_{weight_type}"
     return GraphEstimate(model, effects_table(panel.sparkSession, model, list(EFFECTS), fit, confidence_level), res)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ripplecart.config import CELL, COMP, PRODUCT, STORE, SUB, WEEK
+from ripplecart.config import CELL, COMP, PRODUCT, SPILLOVER_FEATURES, STORE, SUB, WEEK
 from ripplecart.functions.distributed import broadcast_if_small
 from ripplecart.functions.scalars import edge_weight, safe_ratio
 
@@ -136,7 +136,8 @@ def add_exposures(
     for g, prefix in CHANNELS.items():
         total, den_c = F.coalesce(F.col(f"{g}_num"), zero), F.coalesce(F.col(f"{g}_den"), zero)
         cols += [safe_ratio(total, den_c).alias(f"{prefix}_weighted"), total.alias(f"{prefix}_sum")]
-    return out.select(*panel.columns, *cols)
+    new = {f"{prefix}_{kind}" for prefix in CHANNELS.values() for kind in ("weighted", "sum")}
+    return out.select(*[c for c in panel.columns if c not in new], *cols)
 
 
 def weighted_exposure(
@@ -156,7 +157,7 @@ def weighted_exposure(
     )
     total = F.coalesce(F.col("_num"), F.lit(0.0))
     return _attach(panel, sums).select(
-        *panel.columns,
+        *[c for c in panel.columns if c not in (f"{prefix}_weighted", f"{prefix}_sum")],
         safe_ratio(total, F.coalesce(F.col("_den"), F.lit(0.0))).alias(f"{prefix}_weighted"),
         total.alias(f"{prefix}_sum"),
     )
@@ -182,4 +183,4 @@ def add_spillover_features(panel: DataFrame, edges: DataFrame) -> DataFrame:
             safe_ratio(treated, present).alias(f"frac_treated_{name}"),
             safe_ratio(units, present).alias(f"avg_units_{name}"),
         ]
-    return out.select(*panel.columns, *cols)
+    return out.select(*[c for c in panel.columns if c not in SPILLOVER_FEATURES], *cols)

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ripplecart.functions.distributed import cached
+from ripplecart.functions.distributed import settled
 
 
 def z_value(confidence_level: float) -> float:
@@ -101,7 +101,7 @@ def clustered_ols(
     k = len(treatments)
     t = [F.col(c) for c in treatments]
     up = _upper(k)
-    pairs = cached(
+    pairs = settled(
         df.groupBy(cluster_1, cluster_2).agg(
             F.count(F.lit(1)).alias("n"),
             *[F.sum(t[i] * F.col(y)).alias(f"b{i}") for i in range(k)],
@@ -134,7 +134,6 @@ def clustered_ols(
         meat = _symmetric({(i, j): r[f"m{i}_{j}"] for i, j in up}, k)
         correction = (r["G"] / (r["G"] - 1)) * ((n - 1) / (n - k))
         v[r["by"]] = correction * inv @ meat @ inv
-    pairs.unpersist()
     cov = floor_eigenvalues(v["1"] + v["2"] - v["12"])
     return LinearFit(beta, np.sqrt(np.clip(np.diag(cov), 0, None)), cov, n)
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ripplecart.config import PRODUCT
-from ripplecart.functions.distributed import broadcast_if_small, global_rank, written
+from ripplecart.functions.distributed import broadcast_if_small, global_rank, settled
 from ripplecart.functions.scalars import hash_uniform
 
 STEPS_PER_CHECKPOINT = 5
@@ -84,7 +84,7 @@ def _run_chunks(state: DataFrame, walk_length: int, hop) -> DataFrame:
     for first in range(1, walk_length, STEPS_PER_CHECKPOINT):
         for step in range(first, min(first + STEPS_PER_CHECKPOINT, walk_length)):
             state = hop(state, step)
-        state = written(state, "walks")
+        state = settled(state, "walks")
         parts.append(state.select("walk_id", F.lit(first).alias("at"), F.col("path").alias("nodes")))
         state = state.filter(F.col("cur").isNotNull()).withColumn("path", F.array().cast("array<bigint>"))
     return _merge_chunks(parts)
