@@ -45,10 +45,15 @@ def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> tuple[D
     stays an ordinary shuffled join.
     """
     df = settled(df, "side")
-    small = df.count() <= max_rows
+    small = has_at_most(df, max_rows)
     return (F.broadcast(df) if small else df), small
 
 
+def has_at_most(table: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
+    """Whether a saved table is small enough to broadcast; stops counting beyond the bound."""
+    return table.limit(max_rows + 1).count() <= max_rows
+
+
 def global_rank(
     df: DataFrame, bucket: Column, order: Sequence[Column | str], name: str, *, bounded: bool = False
 ) -> DataFrame:
@@ -75,7 +80,7 @@ def global_rank(
 
 
 def hash_rank(
-    df: DataFrame, keys: Sequence[str], name: str, *, seed: int, tag: str, buckets: int = 4096
+    df: DataFrame, keys: Sequence[str], name: str, *, seed: int, tag: str, buckets: int = 65536
 ) -> DataFrame:
     """Rank of every row in a seeded random order; ``keys`` must identify a row."""
     u = f"_u_{name}"
@@ -111,7 +116,7 @@ def sample_exact(
 
 
 def permute_column(
-    df: DataFrame, keys: Sequence[str], column: str, *, seed: int, perm_id: int = 0, buckets: int = 4096
+    df: DataFrame, keys: Sequence[str], column: str, *, seed: int, perm_id: int = 0, buckets: int = 65536
 ) -> DataFrame:
     """Shuffle one column over the whole table: rank the rows twice and join rank to rank."""
     receivers = hash_rank(

@@ -8,9 +8,9 @@ from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ripplecart.config import CELL, STORE, WEEK
+from ripplecart.config import CELL, HIERARCHY, SPILLOVER_FEATURES, STORE, WEEK
 from ripplecart.functions.distributed import settled, sample_exact
-from ripplecart.operators.covariates import with_covariates, with_label_codes, with_row_folds
+from ripplecart.operators.covariates import covariates, with_label_codes, with_row_folds
 from ripplecart.operators.dml import effects_table, fit_linear_cate
 from ripplecart.operators.linear import ols_hc1, z_value
 from ripplecart.operators.nuisance import Nuisance, residualise
@@ -48,15 +48,15 @@ def _residuals(
     include_discount_rate: bool,
     seed: int,
 ) -> DataFrame:
-    frame, _ = with_covariates(
-        panel.withColumn("y", F.col(outcome).cast("double")).withColumn("t", F.col(treatment).cast("double")),
-        include_spillover=include_spillover,
-        include_discount_rate=include_discount_rate,
-        embeddings=embeddings,
+    rows = panel.withColumn("y", F.col(outcome).cast("double")).withColumn("t", F.col(treatment).cast("double"))
+    extra = [c for c in ("discount_rate", *SPILLOVER_FEATURES) if c in panel.columns]
+    rows = settled(rows.select(*CELL, *[c for c in HIERARCHY if c in panel.columns], *extra, "y", "t"), "frame")
+    rows = with_row_folds(rows, n_folds, CELL, seed)
+    cov = covariates(
+        rows, include_spillover=include_spillover, include_discount_rate=include_discount_rate, embeddings=embeddings
     )
-    keep = {*CELL, "y", "t", "w", *[c for c in nuisance.cells if c in panel.columns]}
-    frame = frame.select(*[c for c in frame.columns if c in keep])
-    return settled(residualise(settled(with_row_folds(frame, n_folds, CELL, seed)), ["y", "t"], n_folds, nuisance))
+    fitted = residualise(cov.attach(rows) if nuisance.needs_covariates else rows, ["y", "t"], n_folds, nuisance)
+    return cov.attach(settled(fitted.drop("w"), "residuals"))
 
 
 def dml_baseline(

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ripplecart.config import COMP, PRODUCT
-from ripplecart.functions.distributed import settled, hash_rank
+from ripplecart.functions.distributed import broadcast_if_small, has_at_most, hash_rank, settled
 from ripplecart.operators.panel import in_universe
 
 BASKET = "BASKET_ID"
@@ -83,15 +83,17 @@ def cooccurrence(items: DataFrame, min_cooccurrence: int = 10, wide_basket: int
     count is still within reach) and for pairs that could qualify on wide baskets alone.
     """
     k = max(int(min_cooccurrence), 1)
-    frequent = product_baskets(items).filter(F.col("n_baskets") >= k).select(PRODUCT)
+    frequent, _ = broadcast_if_small(product_baskets(items).filter(F.col("n_baskets") >= k).select(PRODUCT))
     items = items.join(frequent, PRODUCT, "left_semi")
     sizes = items.groupBy(BASKET).agg(F.count(F.lit(1)).alias("n_items"))
     wide_sizes = settled(sizes.filter(F.col("n_items") > wide_basket))
     if wide_sizes.isEmpty():
         return _pairs_of_narrow_baskets(items).filter(F.col("n_narrow") >= k).withColumnRenamed("n_narrow", "n_ab")
 
-    wide = items.join(wide_sizes.select(BASKET), BASKET, "left_semi")
-    narrow = items.join(wide_sizes.select(BASKET), BASKET, "left_anti")
+    ids = wide_sizes.select(BASKET)
+    ids = F.broadcast(ids) if has_at_most(wide_sizes) else ids
+    wide = items.join(ids, BASKET, "left_semi")
+    narrow = items.join(ids, BASKET, "left_anti")
     in_wide = wide.groupBy(PRODUCT).agg(F.count(F.lit(1)).alias("h"))
     reach = F.least("ha", "hb")
     found = settled(
@@ -127,7 +129,7 @@ def symmetric(pairs: DataFrame, weight: str = "w") -> DataFrame:
 
 def ppmi_pairs(items: DataFrame, pairs: DataFrame) -> DataFrame:
     """Positive PMI per pair, divided by the largest one: (a, b, n_ab, w); PMI <= 0 is dropped."""
-    marginal = product_baskets(items)
+    marginal, _ = broadcast_if_small(product_baskets(items))
     total = basket_total(items).scalar()
     pmi = F.log(F.col("n_ab") * total / (F.col("n_a") * F.col("n_b")))
     scored = (
@@ -146,8 +148,8 @@ def complement_edges(
     wide_basket: int = WIDE_BASKET,
 ) -> DataFrame:
     """The complement graph as an edge list (graph, src, dst, w), both directions, w in (0, 1]."""
-    items = settled(basket_items(tx, products))
-    pairs = ppmi_pairs(items, cooccurrence(items, min_cooccurrence, wide_basket))
+    items = settled(basket_items(tx, products), "items")
+    pairs = ppmi_pairs(items, settled(cooccurrence(items, min_cooccurrence, wide_basket), "pairs"))
     return symmetric(pairs).select(F.lit(COMP).alias("graph"), "src", "dst", "w")
 
 

@@ -2,56 +2,90 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from dataclasses import dataclass
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ripplecart.config import HIERARCHY, PRODUCT, SPILLOVER_FEATURES, STORE, WEEK
 from ripplecart.functions.distributed import broadcast_if_small, global_rank
 from ripplecart.functions.scalars import hash_uniform
-from ripplecart.operators.embeddings import embedding_or_zero
 
 
-def label_codes(df: DataFrame, column: str) -> DataFrame:
-    """0-based position of each value in the sorted distinct values of this frame: (value, code)."""
-    values = df.select(column).na.drop().distinct()
-    ranked = global_rank(values, F.substring(column, 1, 3), [column], "_rank")
-    return ranked.select(column, (F.col("_rank") - 1).cast("int").alias(f"{column}_code"))
+def label_codes(df: DataFrame, columns: list[str]) -> DataFrame:
+    """0-based position of each value in the sorted distinct values of its column: (column, value, code).
+
+    All columns share one aggregation; only distinct labels are ranked, each column in its own task.
+    """
+    pairs = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("value")) for c in columns])
+    values = df.select(F.inline(pairs)).filter(F.col("value").isNotNull()).distinct()
+    rank = F.row_number().over(Window.partitionBy("column").orderBy("value"))
+    return values.withColumn("code", (rank - 1).cast("int"))
+
+
+def _attach_codes(df: DataFrame, codes: DataFrame, small: bool, columns: list[str]) -> DataFrame:
+    for c in columns:
+        one = codes.filter(F.col("column") == c).select(F.col("value").alias(c), F.col("code").alias(f"{c}_code"))
+        df = df.join(F.broadcast(one) if small else one, c, "left").na.fill(-1, subset=[f"{c}_code"])
+    return df
 
 
 def with_label_codes(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """Add ``<column>_code`` per categorical column; a missing value gets -1."""
-    for c in columns or [c for c in HIERARCHY if c in df.columns]:
-        codes, _ = broadcast_if_small(label_codes(df, c))
-        df = df.join(codes, c, "left").na.fill(-1, subset=[f"{c}_code"])
-    return df
+    columns = columns or [c for c in HIERARCHY if c in df.columns]
+    codes, small = broadcast_if_small(label_codes(df, columns))
+    return _attach_codes(df, codes, small, columns)
+
+
+@dataclass(frozen=True)
+class Covariates:
+    """How to add the covariate vector ``w`` (array of doubles) to rows.
 
+    Only the code and embedding tables are saved. The vector itself is put together by broadcast
+    joins wherever a pass needs it: written out it would repeat a product's embedding on every row.
+    """
 
-def with_covariates(
+    names: list[str]
+    categories: list[str]
+    codes: DataFrame
+    small: bool
+    vectors: DataFrame | None
+    dim: int
+
+    def attach(self, df: DataFrame) -> DataFrame:
+        out = _attach_codes(df, self.codes, self.small, self.categories)
+        scalars = [n for n in self.names if not n.startswith("emb_")]
+        w = F.array(*[F.col(c).cast("double") for c in scalars])
+        if self.vectors is not None:
+            out = out.join(self.vectors, PRODUCT, "left")
+            zeros = F.array_repeat(F.lit(0.0), self.dim)
+            w = F.concat(w, F.coalesce(F.col("_vector"), zeros))
+        return out.withColumn("w", w).select(*df.columns, "w")
+
+
+def covariates(
     df: DataFrame,
     *,
     include_discount_rate: bool = False,
     include_spillover: bool = False,
     embeddings: DataFrame | None = None,
     embedding_dim: int = 64,
-) -> tuple[DataFrame, list[str]]:
-    """Add the covariate vector ``w`` (array of doubles) and return the names of its entries.
-
-    Store, week, label codes, then optionally the discount rate, the six spillover features and the
-    product's embedding (zeros when it has none).
-    """
+) -> Covariates:
+    """Store, week and label codes; optionally the discount rate, the six spillover features and the
+    product's embedding (zeros when it has none)."""
     cats = [c for c in HIERARCHY if c in df.columns]
-    out = with_label_codes(df, cats)
     names = [STORE, WEEK, *[f"{c}_code" for c in cats]]
     if include_discount_rate and "discount_rate" in df.columns:
         names.append("discount_rate")
     if include_spillover:
         names += [c for c in SPILLOVER_FEATURES if c in df.columns]
-    w = F.array(*[F.col(c).cast("double") for c in names])
+    vectors = None
     if embeddings is not None:
-        out = embedding_or_zero(out, embeddings, embedding_dim)
-        w = F.concat(w, F.col("embedding").cast("array<double>"))
+        wide = embeddings.select(PRODUCT, F.col("embedding").cast("array<double>").alias("_vector"))
+        vectors, _ = broadcast_if_small(wide, max_rows=200_000)
         names = names + [f"emb_{i}" for i in range(embedding_dim)]
-    return out.withColumn("w", w).select(*df.columns, "w"), names
+    codes, small = broadcast_if_small(label_codes(df, cats))
+    return Covariates(names, cats, codes, small, vectors, embedding_dim)
 
 
 def group_folds(df: DataFrame, n_folds: int, group: str = PRODUCT) -> DataFrame:
@@ -77,5 +111,5 @@ def with_group_folds(df: DataFrame, n_folds: int, group: str = PRODUCT) -> DataF
 
 def with_row_folds(df: DataFrame, n_folds: int, keys: list[str], seed: int = 42) -> DataFrame:
     """Ungrouped folds from a hash uniform per row."""
-    u: Column = hash_uniform(seed, "fold", *[F.col(k) for k in keys])
+    u = hash_uniform(seed, "fold", *[F.col(k) for k in keys])
     return df.withColumn("fold", F.floor(u * n_folds).cast("int"))

@@ -10,10 +10,10 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ripplecart.config import CELL, EFFECTS, HIERARCHY, PRODUCT, STORE, SUB
+from ripplecart.config import CELL, EFFECTS, HIERARCHY, PRODUCT, STORE
 from ripplecart.functions.distributed import settled
-from ripplecart.operators.covariates import with_covariates, with_group_folds
-from ripplecart.operators.exposure import add_exposures, without_channel
+from ripplecart.operators.covariates import Covariates, covariates, with_group_folds
+from ripplecart.operators.exposure import add_exposures
 from ripplecart.operators.linear import LinearFit, clustered_ols, cross_products, solve_min_norm
 from ripplecart.operators.nuisance import Nuisance, residualise
 from ripplecart.operators.panel import demand_filter
@@ -93,13 +93,16 @@ class GraphEstimate:
     model: str
     effects: DataFrame
     residuals: DataFrame
-    n_before_filter: int | None = None
+    covariates: Covariates | None = None
 
     def cate(self) -> DataFrame:
         """Keyed per-row effects (direct, substitute, complement), linear in the covariates."""
-        fit = fit_linear_cate(self.residuals, "y_res", [f"{t}_res" for t in TREATMENTS])
-        return self.residuals.select(
-            *CELL, *[c for c in HIERARCHY if c in self.residuals.columns],
+        if self.covariates is None:
+            raise ValueError("the model was fitted without covariates")
+        res = self.covariates.attach(self.residuals)
+        fit = fit_linear_cate(res, "y_res", [f"{t}_res" for t in TREATMENTS])
+        return res.select(
+            *CELL, *[c for c in HIERARCHY if c in res.columns],
             *[fit.column(j).alias(name) for j, name in enumerate(CATE_COLUMNS)],
         )
 
@@ -112,15 +115,13 @@ def estimation_frame(
     treatment: str = "promo_any",
     weight_type: str = "edge_weight",
     n_folds: int = 5,
-    embeddings: DataFrame | None = None,
     log_transform: bool = True,
     min_demand_filter: float | None = 1.0,
     include_discount_rate: bool = False,
     presence: DataFrame | None = None,
     denominator: str = "direct",
-    covariates: bool = True,
 ) -> DataFrame:
-    """Filtered rows with y, the three treatments, the covariate vector and the product's fold.
+    """Saved narrow rows: keys, hierarchy, y, the three treatments and the product's fold.
 
     The demand filter comes before the exposures, so by default filtered products count as absent
     neighbours; pass ``presence`` to count them.
@@ -137,10 +138,21 @@ def estimation_frame(
         F.col("sub_exposure_weighted").alias(TREATMENTS[1]),
         F.col("comp_exposure_weighted").alias(TREATMENTS[2]),
     )
-    frame = settled(frame)
-    if covariates:
-        frame, _ = with_covariates(frame, include_discount_rate=include_discount_rate, embeddings=embeddings)
-    return with_group_folds(frame, n_folds)
+    return with_group_folds(settled(frame, "frame"), n_folds)
+
+
+def _frame_covariates(
+    frame: DataFrame, nuisance: Nuisance, wanted: bool, include_discount_rate: bool, embeddings: DataFrame | None
+) -> Covariates | None:
+    if not wanted and not nuisance.needs_covariates:
+        return None
+    return covariates(frame, include_discount_rate=include_discount_rate, embeddings=embeddings)
+
+
+def _cross_fit(frame: DataFrame, cov: Covariates | None, targets: list[str], n_folds: int, nuisance: Nuisance) -> DataFrame:
+    """Saved narrow residuals; the covariate vector exists only while the models read it."""
+    rows = cov.attach(frame) if cov is not None and nuisance.needs_covariates else frame
+    return settled(residualise(rows, targets, n_folds, nuisance).drop("w"), "residuals")
 
 
 def run_graph_dml(
@@ -149,8 +161,11 @@ def run_graph_dml(
     *,
     n_folds: int = 5,
     nuisance: Nuisance | None = None,
+    embeddings: DataFrame | None = None,
     confidence_level: float = 0.95,
     weight_type: str = "edge_weight",
+    include_discount_rate: bool = False,
+    with_cate: bool = True,
     **frame_options,
 ) -> GraphEstimate:
     """Cross-fitted estimate of the three effects with product- and store-clustered errors.
@@ -159,12 +174,14 @@ def run_graph_dml(
     (``.cate()``) from a separate regression linear in the covariates.
     """
     nuisance = nuisance or Nuisance()
-    frame_options.setdefault("covariates", True)
-    frame = settled(estimation_frame(panel, edges, n_folds=n_folds, weight_type=weight_type, **frame_options))
-    res = settled(residualise(frame, ["y", *TREATMENTS], n_folds, nuisance))
+    frame = estimation_frame(
+        panel, edges, n_folds=n_folds, weight_type=weight_type, include_discount_rate=include_discount_rate, **frame_options
+    )
+    cov = _frame_covariates(frame, nuisance, with_cate, include_discount_rate, embeddings)
+    res = _cross_fit(frame, cov, ["y", *TREATMENTS], n_folds, nuisance)
     fit = clustered_ols(res, "y_res", [f"{t}_res" for t in TREATMENTS], PRODUCT, STORE)
     model = f"graph_dml_{weight_type}"
-    return GraphEstimate(model, effects_table(panel.sparkSession, model, list(EFFECTS), fit, confidence_level), res)
+    return GraphEstimate(model, effects_table(panel.sparkSession, model, list(EFFECTS), fit, confidence_level), res, cov)
 
 
 def run_discount_dml(panel: DataFrame, edges: DataFrame, **options) -> GraphEstimate:
@@ -172,21 +189,50 @@ def run_discount_dml(panel: DataFrame, edges: DataFrame, **options) -> GraphEsti
     return run_graph_dml(panel, edges, treatment="discount_rate", include_discount_rate=False, **options)
 
 
-def ablation_suite(panel: DataFrame, edges: DataFrame, embeddings: DataFrame | None = None, **options) -> DataFrame:
-    """Five variants of the graph model, stacked; a channel that was switched off is ``excluded``."""
-    full = {"edges": edges, "embeddings": embeddings, "weight_type": "edge_weight"}
+def ablation_suite(
+    panel: DataFrame,
+    edges: DataFrame,
+    embeddings: DataFrame | None = None,
+    *,
+    n_folds: int = 5,
+    nuisance: Nuisance | None = None,
+    confidence_level: float = 0.95,
+    include_discount_rate: bool = False,
+    **frame_options,
+) -> DataFrame:
+    """Five variants of the graph model, stacked; a channel that was switched off is ``excluded``.
+
+    They share their work: a channel without edges has exposure 0 and so a residual of 0, and the
+    outcome, the direct treatment, covariates and folds are those of the full model. So the weighted
+    and the binary exposures are cross-fitted together as six targets, and only the variant without
+    embeddings needs its own fits.
+    """
+    nuisance = nuisance or Nuisance()
+    options = {"n_folds": n_folds, "include_discount_rate": include_discount_rate, **frame_options}
+    frame = estimation_frame(panel, edges, weight_type="edge_weight", **options)
+    binary = estimation_frame(panel, edges, weight_type="binary", **options).select(
+        *CELL, F.col("t_sub").alias("b_sub"), F.col("t_comp").alias("b_comp")
+    )
+    frame = settled(frame.join(binary, CELL), "ablation")
+    full_cov = _frame_covariates(frame, nuisance, False, include_discount_rate, embeddings)
+    res = _cross_fit(frame, full_cov, ["y", *TREATMENTS, "b_sub", "b_comp"], n_folds, nuisance)
+    plain_cov = _frame_covariates(frame, nuisance, False, include_discount_rate, None)
+    res_plain = _cross_fit(frame, plain_cov, ["y", *TREATMENTS], n_folds, nuisance) if embeddings is not None else res
+
+    direct, sub, comp = (f"{t}_res" for t in TREATMENTS)
+    nothing = F.lit(0.0)
     variants = {
-        "full_model": full,
-        "sub_only": {**full, "edges": edges.filter(F.col("graph") == SUB)},
-        "comp_only": {**full, "edges": without_channel(edges, SUB)},
-        "binary_weights": {**full, "weight_type": "binary"},
-        "no_embeddings": {**full, "embeddings": None},
+        "full_model": (res, F.col(sub), F.col(comp), None),
+        "sub_only": (res, F.col(sub), nothing, "comp_spillover"),
+        "comp_only": (res, nothing, F.col(comp), "sub_spillover"),
+        "binary_weights": (res, F.col("b_sub_res"), F.col("b_comp_res"), None),
+        "no_embeddings": (res_plain, F.col(sub), F.col(comp), None),
     }
-    off = {"sub_only": "comp_spillover", "comp_only": "sub_spillover"}
     tables = {}
-    for name, v in variants.items():
-        effects = run_graph_dml(
-            panel, v["edges"], embeddings=v["embeddings"], weight_type=v["weight_type"], **options
-        ).effects
-        tables[name] = effects.withColumn("excluded", F.col("effect") == F.lit(off.get(name, "")))
+    for name, (rows, s, c, off) in variants.items():
+        narrow = rows.select(PRODUCT, STORE, "y_res", F.col(direct), s.alias("s_res"), c.alias("c_res"))
+        fit = clustered_ols(narrow, "y_res", [direct, "s_res", "c_res"], PRODUCT, STORE)
+        model = "graph_dml_binary" if name == "binary_weights" else "graph_dml_edge_weight"
+        effects = effects_table(panel.sparkSession, model, list(EFFECTS), fit, confidence_level)
+        tables[name] = effects.withColumn("excluded", F.col("effect") == F.lit(off or ""))
     return stack_results(tables, "ablation")

@@ -4,11 +4,10 @@ from __future__ import annotations
 
 from pyspark.ml.feature import PCA, Normalizer, Word2Vec
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ripplecart.config import PRODUCT
-from ripplecart.functions.distributed import broadcast_if_small
 from ripplecart.operators.walks import biased_walks, unbiased_walks
 
 
@@ -50,13 +49,6 @@ def train_node_embeddings(
     return nodes.select(PRODUCT).distinct().join(vectors, PRODUCT, "left")
 
 
-def embedding_or_zero(df: DataFrame, embeddings: DataFrame, dim: int) -> DataFrame:
-    """Attach ``embedding``; products without a vector get zeros."""
-    vectors, _ = broadcast_if_small(embeddings.select(PRODUCT, "embedding"), max_rows=200_000)
-    zeros = F.array_repeat(F.lit(0.0).cast("float"), dim)
-    return df.join(vectors, PRODUCT, "left").withColumn("embedding", F.coalesce("embedding", zeros))
-
-
 def pca_projection(embeddings: DataFrame, product: DataFrame, top_departments: int = 10) -> DataFrame:
     """Two principal components of the normalised vectors with the product's department.
 
@@ -78,11 +70,10 @@ def pca_projection(embeddings: DataFrame, product: DataFrame, top_departments: i
         .join(meta, PRODUCT, "left")
         .na.fill("UNKNOWN", subset=["DEPARTMENT"])
     )
-    by_size = Window.orderBy(F.col("n").desc(), "DEPARTMENT")
     top = (
         scored.groupBy("DEPARTMENT").agg(F.count(F.lit(1)).alias("n"))
-        .withColumn("r", F.row_number().over(by_size))
-        .filter(F.col("r") <= top_departments)
+        .orderBy(F.col("n").desc(), "DEPARTMENT")
+        .limit(top_departments)
         .select("DEPARTMENT", F.col("DEPARTMENT").alias("label"))
     )
     return scored.join(top, "DEPARTMENT", "left").select(

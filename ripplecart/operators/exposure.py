@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ripplecart.config import CELL, COMP, PRODUCT, SPILLOVER_FEATURES, STORE, SUB, WEEK
-from ripplecart.functions.distributed import broadcast_if_small
+from ripplecart.functions.distributed import has_at_most
 from ripplecart.functions.scalars import edge_weight, safe_ratio
 
 STORE_WEEK = [STORE, WEEK]
@@ -19,7 +19,7 @@ def without_channel(edges: DataFrame, graph: str) -> DataFrame:
     return edges.filter(F.col("graph") != graph)
 
 
-def _neighbour_sums(rows: DataFrame, edges: DataFrame, sums: dict[str, Column]) -> DataFrame:
+def _neighbour_sums(rows: DataFrame, edges: DataFrame, small: bool, sums: dict[str, Column]) -> DataFrame:
     """Push every present row along its edges and sum at the receiving product.
 
     With edges small enough to broadcast, the rows are exchanged once by (store, week); the edge
@@ -27,16 +27,16 @@ def _neighbour_sums(rows: DataFrame, edges: DataFrame, sums: dict[str, Column])
     intermediate is never written. Larger edge lists are joined by a shuffle on the product and the
     partial sums shrink the result before its exchange.
     """
-    edges, small = broadcast_if_small(edges)
     if small:
-        rows = rows.repartition(*STORE_WEEK)
-    pushed = rows.join(edges, rows[PRODUCT] == edges["dst"])
+        rows, edges = rows.repartition(*STORE_WEEK), F.broadcast(edges)
+    pushed = rows.join(edges, F.col(PRODUCT) == F.col("dst"))
     return pushed.groupBy(*SOURCE).agg(*[c.alias(name) for name, c in sums.items()])
 
 
-def _attach(panel: DataFrame, sums: DataFrame) -> DataFrame:
+def _attach(panel: DataFrame, sums: DataFrame, small: bool) -> DataFrame:
+    """Join the sums back; in the small case both sides already lie by (store, week)."""
     received = sums.withColumnRenamed("src", PRODUCT)
-    return panel.repartition(*STORE_WEEK).join(received, CELL, "left")
+    return (panel.repartition(*STORE_WEEK) if small else panel).join(received, CELL, "left")
 
 
 def presence_runs(presence: DataFrame) -> DataFrame:
@@ -108,7 +108,7 @@ def add_exposures(
 
     ``weighted`` is sum(w * T) / sum(w) over neighbours with a row in the same store-week, ``sum``
     the numerator. Rows outside a graph, or without a present neighbour, get 0. Duplicate rows add
-    up. ``presence`` says which rows count as present (default: the panel itself, so neighbours
+    up. ``edges`` should be a saved table: it is counted, and broadcast only when small. ``presence`` says which rows count as present (default: the panel itself, so neighbours
     that were filtered or sampled away are absent).
 
     ``denominator='interval'`` computes the weight totals from presence runs: then only treated rows
@@ -118,16 +118,17 @@ def add_exposures(
     present = panel if presence is None else presence
     t = F.col(treatment).cast("double")
     rows = present.select(*CELL, t.alias("_t"))
+    small = has_at_most(edges)
     edges = edges.select("graph", "src", "dst", w.alias("w"))
     of = lambda g, c: F.sum(F.when(F.col("graph") == g, c))
     num = {f"{g}_num": of(g, F.col("w") * F.col("_t")) for g in CHANNELS}
     if denominator == "direct":
         den = {f"{g}_den": of(g, F.col("w")) for g in CHANNELS}
-        out = _attach(panel, _neighbour_sums(rows, edges, {**num, **den}))
+        out = _attach(panel, _neighbour_sums(rows, edges, small, {**num, **den}), small)
     elif denominator == "interval":
         treated = rows.filter(F.col("_t") != 0)
-        out = _attach(panel, _neighbour_sums(treated, edges, num)).join(
-            _interval_denominators(panel, present, broadcast_if_small(edges)[0], F.col("w")), CELL, "left"
+        out = _attach(panel, _neighbour_sums(treated, edges, small, num), small).join(
+            _interval_denominators(panel, present, F.broadcast(edges) if small else edges, F.col("w")), CELL, "left"
         )
     else:
         raise ValueError(f"denominator must be 'direct' or 'interval', got {denominator!r}")
@@ -150,13 +151,15 @@ def weighted_exposure(
     """One graph's exposure: {prefix}_weighted and {prefix}_sum."""
     w = edge_weight(weight_type, F.col("w"))
     rows = panel.select(*CELL, F.col(treatment).cast("double").alias("_t"))
+    small = has_at_most(edges)
     sums = _neighbour_sums(
         rows,
         edges.select("src", "dst", w.alias("w")),
+        small,
         {"_num": F.sum(F.col("w") * F.col("_t")), "_den": F.sum("w")},
     )
     total = F.coalesce(F.col("_num"), F.lit(0.0))
-    return _attach(panel, sums).select(
+    return _attach(panel, sums, small).select(
         *[c for c in panel.columns if c not in (f"{prefix}_weighted", f"{prefix}_sum")],
         safe_ratio(total, F.coalesce(F.col("_den"), F.lit(0.0))).alias(f"{prefix}_weighted"),
         total.alias(f"{prefix}_sum"),
@@ -173,7 +176,8 @@ def add_spillover_features(panel: DataFrame, edges: DataFrame) -> DataFrame:
         sums[f"{g}_t"] = of(g, F.col("_t"))
         sums[f"{g}_u"] = of(g, F.col("_u"))
         sums[f"{g}_n"] = of(g, F.lit(1))
-    out = _attach(panel, _neighbour_sums(rows, edges.select("graph", "src", "dst", "w"), sums))
+    small = has_at_most(edges)
+    out = _attach(panel, _neighbour_sums(rows, edges.select("graph", "src", "dst", "w"), small, sums), small)
     cols = []
     for g, name in names.items():
         treated, present = F.coalesce(F.col(f"{g}_t"), F.lit(0)), F.coalesce(F.col(f"{g}_n"), F.lit(0))

@@ -34,6 +34,10 @@ class Nuisance:
     parallel: int = 4
     seed: int = 42
 
+    @property
+    def needs_covariates(self) -> bool:
+        return self.kind != "cell_mean"
+
 
 def residualise(df: DataFrame, targets: list[str], n_folds: int, nuisance: Nuisance) -> DataFrame:
     """Add ``<target>_res`` = target minus its out-of-fold prediction. ``df`` has ``fold`` and ``w``."""

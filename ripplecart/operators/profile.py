@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ripplecart.config import CELL, PRODUCT, STORE, WEEK
-from ripplecart.functions.distributed import broadcast_if_small, percentiles
+from ripplecart.functions.distributed import broadcast_if_small, global_rank, percentiles
 from ripplecart.functions.scalars import stripped
 from ripplecart.operators.panel import promo_flags
 
@@ -278,9 +278,9 @@ def commodity_zipf(products: DataFrame) -> DataFrame:
     counts = products.na.drop(subset=["COMMODITY_DESC"]).groupBy("COMMODITY_DESC").agg(
         F.count_distinct(PRODUCT).alias("n_products")
     )
-    rank = F.row_number().over(Window.orderBy(F.col("n_products").desc(), "COMMODITY_DESC"))
+    order = [F.col("n_products").desc(), F.col("COMMODITY_DESC")]
     return (
-        counts.withColumn("rank", rank.cast("bigint"))
+        global_rank(counts, -F.col("n_products"), order, "rank")
         .withColumn("log_rank", F.log("rank"))
         .withColumn("log_products", F.log("n_products"))
     )

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ripplecart.config import CELL, EFFECTS, HIERARCHY, PRODUCT, STORE, WEEK, StudyConfig
-from ripplecart.functions.distributed import _scratch, histogram, percentiles, permute_column, sample_exact
+from ripplecart.functions.distributed import _scratch, histogram, percentiles, permute_column, sample_exact, settled
 from ripplecart.operators import baselines, complements, covariates, dml, embeddings, evaluate, exposure, graphs
 from ripplecart.operators import interpret, panel as panels, profile, substitutes, walks
 from ripplecart.operators.linear import clustered_ols, ols_hc1
@@ -507,7 +507,7 @@ def feature_histogram(b):
 )
 def exposure_by_department(b):
     """Flagship: tables to panel to substitute graph to exposure, averaged by department and arm."""
-    edges = substitutes.substitute_edges(b.views.products())
+    edges = settled(substitutes.substitute_edges(b.views.products()), "edges")
     exposed = exposure.add_exposures(b.panel, edges)
     return exposed.groupBy("DEPARTMENT", "promo_any").agg(
         F.avg("sub_exposure_weighted").alias("mean_exposure"), F.count(F.lit(1)).alias("n_rows")
@@ -534,7 +534,8 @@ def label_codes(b):
          dense_rank() OVER (ORDER BY SUB_COMMODITY_DESC) - 1 AS s, dense_rank() OVER (ORDER BY BRAND) - 1 AS br FROM product) k USING (PRODUCT_ID)""",
 )
 def covariate_vectors(b):
-    out, _ = covariates.with_covariates(b.panel, include_discount_rate=True, embeddings=b.views.embeddings())
+    spec = covariates.covariates(b.panel, include_discount_rate=True, embeddings=b.views.embeddings())
+    out = spec.attach(b.panel)
     total = F.aggregate("w", F.lit(0.0), lambda s, x: s + x)
     return out.select(*CELL, F.size("w").alias("n_entries"), total.alias("total"))
 
@@ -553,7 +554,7 @@ def row_folds(b):
 
 
 def _promo_residuals(b: Workbench, treatment: str = "promo_any") -> DataFrame:
-    frame = dml.estimation_frame(b.panel, b.edges, treatment=treatment, min_demand_filter=None, covariates=False)
+    frame = dml.estimation_frame(b.panel, b.edges, treatment=treatment, min_demand_filter=None)
     return residualise(frame, ["y", *dml.TREATMENTS], 5, CELL_MEAN)
 
 
@@ -573,19 +574,19 @@ def dml_direct_k1(b):
 
 @query("dml_graph_k3", EFFECT_COLS, sql.dml_three("res_promo", "graph_dml_edge_weight"))
 def dml_graph_k3(b):
-    options = {"nuisance": CELL_MEAN, "min_demand_filter": None, "covariates": False}
+    options = {"nuisance": CELL_MEAN, "min_demand_filter": None, "with_cate": False}
     return dml.run_graph_dml(b.panel, b.edges, **options).effects
 
 
 @query("dml_discount_k3", EFFECT_COLS, sql.dml_three("res_disc", "graph_dml_edge_weight"))
 def dml_discount_k3(b):
-    options = {"nuisance": CELL_MEAN, "min_demand_filter": None, "covariates": False}
+    options = {"nuisance": CELL_MEAN, "min_demand_filter": None, "with_cate": False}
     return dml.run_discount_dml(b.panel, b.edges, **options).effects
 
 
 @query("dml_graph_linear", EFFECT_COLS)
 def dml_graph_linear(b):
-    return dml.run_graph_dml(b.panel, b.edges, nuisance=LINEAR, min_demand_filter=0.01, embeddings=b.views.embeddings()).effects
+    return dml.run_graph_dml(b.panel, b.edges, nuisance=LINEAR, min_demand_filter=0.01, embeddings=b.views.embeddings(), with_cate=False).effects
 
 
 @query("dml_graph_gbt", EFFECT_COLS)
