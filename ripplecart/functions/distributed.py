@@ -141,7 +141,7 @@ def percentiles(
 
     A bounded quantile sketch brackets every requested rank; a second pass counts the rows below the
     bracket and ranks only the distinct values inside it. The result is exact, while no task ever
-    holds more than a bracket (about 4 / ``accuracy`` of a group). ``approximate=True`` returns the
+    ranks more than a bracket (about 8 / ``accuracy`` of a group, or a group of ``accuracy`` rows). ``approximate=True`` returns the
     sketch's own answer from a single pass.
     """
     if not by:
@@ -158,10 +158,11 @@ def percentiles(
             .withColumn("p", F.element_at(F.array(*[F.lit(float(p)) for p in probs]), F.col("_i") + 1))
             .select(*by, "p", "q")
         )
-    margin = 2.0 / accuracy
+    margin = 3.0 / accuracy
     asked = [float(p) for p in probs]
     ends = [max(p - margin, 0.0) for p in asked] + [min(p + margin, 1.0) for p in asked]
     k = len(asked)
+    whole = F.col("_n") <= accuracy  # a margin of the sketch's error is under one rank: take all rows
     sketch = rows.groupBy(*by).agg(
         F.count(F.lit(1)).alias("_n"), F.percentile_approx("_v", ends, accuracy).alias("_e"),
         F.min("_v").alias("_min"), F.max("_v").alias("_max"),
@@ -170,8 +171,8 @@ def percentiles(
         *[
             F.struct(
                 F.lit(p).alias("p"),
-                (F.col("_min") if p - margin <= 0 else F.col("_e")[i]).alias("lo"),
-                (F.col("_max") if p + margin >= 1 else F.col("_e")[k + i]).alias("hi"),
+                F.when(whole | F.lit(p - margin <= 0), F.col("_min")).otherwise(F.col("_e")[i]).alias("lo"),
+                F.when(whole | F.lit(p + margin >= 1), F.col("_max")).otherwise(F.col("_e")[k + i]).alias("hi"),
             )
             for i, p in enumerate(asked)
         ]
@@ -194,9 +195,11 @@ def percentiles(
     at = F.col("p") * (F.col("_n") - 1)
     first, last = F.floor(at), F.ceil(at)
     covers = lambda r: (F.col("_end") - F.col("_c") <= r) & (r < F.col("_end"))
+    missed = F.raise_error(F.lit("a percentile lies outside its bracket; raise the accuracy")).cast("double")
+    at_rank = lambda r: F.coalesce(F.max(F.when(covers(r), F.col("_v"))), missed)
     return (
         ranked.groupBy(*by, "p", "_n")
-        .agg(F.max(F.when(covers(first), F.col("_v"))).alias("_a"), F.max(F.when(covers(last), F.col("_v"))).alias("_b"))
+        .agg(at_rank(first).alias("_a"), at_rank(last).alias("_b"))
         .select(*by, "p", (F.col("_a") + (F.col("_b") - F.col("_a")) * (at - first)).alias("q"))
     )
 
