@@ -19,6 +19,12 @@ def without_channel(edges: DataFrame, graph: str) -> DataFrame:
     return edges.filter(F.col("graph") != graph)
 
 
+def _weights_by_graph(edges: DataFrame, w: Column) -> DataFrame:
+    """One weight column per graph, 0 outside it: the hot loop multiplies instead of comparing labels."""
+    per_graph = [F.when(F.col("graph") == g, w).otherwise(F.lit(0.0)).alias(f"w_{g}") for g in CHANNELS]
+    return edges.select("src", "dst", *per_graph)
+
+
 def _neighbour_sums(rows: DataFrame, edges: DataFrame, small: bool, sums: dict[str, Column]) -> DataFrame:
     """Push every present row along its edges and sum at the receiving product.
 
@@ -56,29 +62,22 @@ def presence_runs(presence: DataFrame) -> DataFrame:
     )
 
 
-def _interval_denominators(panel: DataFrame, presence: DataFrame, edges: DataFrame, w: Column) -> DataFrame:
+def _interval_denominators(panel: DataFrame, presence: DataFrame, edges: DataFrame) -> DataFrame:
     """Sum of the weights of present neighbours per panel key, from runs instead of rows.
 
     A neighbour's run adds its weight at the start and takes it away after the end; a running sum
     over the weeks of one (store, product) gives the total. Neighbours are also counted as integers,
     so 'none present' is exact and not a matter of rounding.
     """
-    channel = {g: F.when(F.col("graph") == g, 1) for g in CHANNELS}
     pushed = presence_runs(presence).join(edges, F.col(PRODUCT) == F.col("dst"))
-    steps = pushed.select(
-        STORE,
-        F.col("src").alias(PRODUCT),
-        "graph",
-        F.inline(
-            F.array(
-                F.struct(F.col("start").alias(WEEK), F.col("copies").alias("dn"), (w * F.col("copies")).alias("dw")),
-                F.struct((F.col("end") + 1).alias(WEEK), (-F.col("copies")).alias("dn"), (-w * F.col("copies")).alias("dw")),
-            )
-        ),
+    turns = F.array(
+        F.struct(F.col("start").alias(WEEK), F.col("copies").alias("by")),
+        F.struct((F.col("end") + 1).alias(WEEK), (-F.col("copies")).alias("by")),
     )
+    steps = pushed.select(STORE, F.col("src").alias(PRODUCT), *[f"w_{g}" for g in CHANNELS], F.inline(turns))
     events = steps.groupBy(*CELL).agg(
-        *[F.coalesce(F.sum(channel[g] * F.col("dn")), F.lit(0)).alias(f"{g}_n") for g in CHANNELS],
-        *[F.coalesce(F.sum(channel[g] * F.col("dw")), F.lit(0.0)).alias(f"{g}_den") for g in CHANNELS],
+        *[F.sum(F.when(F.col(f"w_{g}") != 0, F.col("by")).otherwise(0)).alias(f"{g}_n") for g in CHANNELS],
+        *[F.sum(F.col(f"w_{g}") * F.col("by")).alias(f"{g}_den") for g in CHANNELS],
     )
     keys = panel.select(*CELL).distinct()
     names = [f"{g}_{x}" for x in ("n", "den") for g in CHANNELS]
@@ -119,16 +118,15 @@ def add_exposures(
     t = F.col(treatment).cast("double")
     rows = present.select(*CELL, t.alias("_t"))
     small = has_at_most(edges)
-    edges = edges.select("graph", "src", "dst", w.alias("w"))
-    of = lambda g, c: F.sum(F.when(F.col("graph") == g, c))
-    num = {f"{g}_num": of(g, F.col("w") * F.col("_t")) for g in CHANNELS}
+    by_graph = _weights_by_graph(edges, w)
+    num = {f"{g}_num": F.sum(F.col(f"w_{g}") * F.col("_t")) for g in CHANNELS}
     if denominator == "direct":
-        den = {f"{g}_den": of(g, F.col("w")) for g in CHANNELS}
-        out = _attach(panel, _neighbour_sums(rows, edges, small, {**num, **den}), small)
+        den = {f"{g}_den": F.sum(f"w_{g}") for g in CHANNELS}
+        out = _attach(panel, _neighbour_sums(rows, by_graph, small, {**num, **den}), small)
     elif denominator == "interval":
         treated = rows.filter(F.col("_t") != 0)
-        out = _attach(panel, _neighbour_sums(treated, edges, small, num), small).join(
-            _interval_denominators(panel, present, F.broadcast(edges) if small else edges, F.col("w")), CELL, "left"
+        out = _attach(panel, _neighbour_sums(treated, by_graph, small, num), small).join(
+            _interval_denominators(panel, present, F.broadcast(by_graph) if small else by_graph), CELL, "left"
         )
     else:
         raise ValueError(f"denominator must be 'direct' or 'interval', got {denominator!r}")
@@ -170,18 +168,16 @@ def add_spillover_features(panel: DataFrame, edges: DataFrame) -> DataFrame:
     """Treated neighbours (count, share) and mean units of present neighbours, per graph."""
     rows = panel.select(*CELL, F.col("promo_any").alias("_t"), F.col("units_sold").alias("_u"))
     names = {SUB: "substitutes", COMP: "complements"}
-    of = lambda g, c: F.sum(F.when((F.col("graph") == g) & (F.col("w") != 0), c))
     sums = {}
     for g in names:
-        sums[f"{g}_t"] = of(g, F.col("_t"))
-        sums[f"{g}_u"] = of(g, F.col("_u"))
-        sums[f"{g}_n"] = of(g, F.lit(1))
+        w = F.col(f"w_{g}")
+        sums[f"{g}_t"], sums[f"{g}_u"], sums[f"{g}_n"] = F.sum(w * F.col("_t")), F.sum(w * F.col("_u")), F.sum(w)
     small = has_at_most(edges)
-    out = _attach(panel, _neighbour_sums(rows, edges.select("graph", "src", "dst", "w"), small, sums), small)
+    by_graph = _weights_by_graph(edges, edge_weight("binary", F.col("w")))
+    out = _attach(panel, _neighbour_sums(rows, by_graph, small, sums), small)
     cols = []
     for g, name in names.items():
-        treated, present = F.coalesce(F.col(f"{g}_t"), F.lit(0)), F.coalesce(F.col(f"{g}_n"), F.lit(0))
-        units = F.coalesce(F.col(f"{g}_u"), F.lit(0.0))
+        treated, units, present = (F.coalesce(F.col(f"{g}_{x}"), F.lit(0.0)) for x in "tun")
         cols += [
             treated.cast("bigint").alias(f"n_treated_{name}"),
             safe_ratio(treated, present).alias(f"frac_treated_{name}"),

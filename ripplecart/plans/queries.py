@@ -414,7 +414,19 @@ def walks_biased_2(b):
     return out.select("walk_id", F.array_join("walk", ",").alias("walk"))
 
 
-@query("walks_full", "walk_id:b walk n_nodes:i")
+def _long_walk_sql(num_walks: int, length: int) -> str:
+    """Unbiased walks by recursion, one step per round."""
+    draw = sql.u("42", "'walk'", "w.walk_id", "w.step + 1")
+    starts = STARTS.replace("[0, 1]", f"range({num_walks})").replace("k * 2", f"k * {num_walks}")
+    return f"""SELECT walk_id, string_agg(CAST(node AS VARCHAR), ',' ORDER BY step) AS walk, count(*) AS n_nodes FROM (
+        WITH RECURSIVE w AS (
+          SELECT walk_id, n0 AS node, 0 AS step FROM ({starts}) UNION ALL
+          SELECT w.walk_id, coalesce(min(dst) FILTER (cum > {draw}), max(dst)), w.step + 1
+          FROM w JOIN transitions ON src = w.node WHERE w.step < {length - 1} GROUP BY w.walk_id, w.step)
+        SELECT * FROM w) GROUP BY 1"""
+
+
+@query("walks_full", "walk_id:b walk n_nodes:i", _long_walk_sql(10, 20))
 def walks_full(b):
     out = walks.unbiased_walks(b.complements, b.nodes, num_walks=10, walk_length=20)
     return out.select("walk_id", F.array_join("walk", ",").alias("walk"), F.size("walk").alias("n_nodes"))
