@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ripplecart.config import CELL, PRODUCT, STORE, WEEK
-from ripplecart.functions.distributed import broadcast_if_small, global_rank, percentiles
+from ripplecart.functions.distributed import broadcast_if_small, global_rank, percentiles, settled
 from ripplecart.functions.scalars import stripped
 from ripplecart.operators.panel import promo_flags
 
@@ -102,21 +102,22 @@ def discount_coverage(priced: DataFrame) -> DataFrame:
 def describe(
     df: DataFrame, columns: list[str], probs: tuple[float, ...] = (0.05, 0.25, 0.5, 0.75, 0.95), approximate: bool = False
 ) -> DataFrame:
-    """count, mean, std, min, percentiles and max per column: (column_name, stat, value)."""
-    parts = []
-    for c in columns:
-        moments = {
-            "count": F.count(c).cast("double"),
-            "mean": F.avg(c),
-            "std": F.stddev_samp(c),
-            "min": F.min(c).cast("double"),
-            "max": F.max(c).cast("double"),
-        }
-        q = percentiles(df, c, probs, approximate=approximate)
-        names = F.concat(F.lit("p"), F.round(F.col("p") * 100, 0).cast("int").cast("string"))
-        rows = _as_rows(df, moments, "stat").unionByName(q.select(names.alias("stat"), F.col("q").alias("value")))
-        parts.append(rows.select(F.lit(c).alias("column_name"), "stat", "value"))
-    return reduce(DataFrame.unionByName, parts)
+    """count, mean, std, min, percentiles and max per column: (column_name, stat, value).
+
+    The columns are stacked, so the number of passes does not grow with the number of columns.
+    """
+    cells = F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).cast("double").alias("v")) for c in columns])
+    stacked = df.select(F.inline(cells))
+    moments = stacked.groupBy("column_name").agg(
+        F.count("v").cast("double").alias("count"), F.avg("v").alias("mean"), F.stddev_samp("v").alias("std"),
+        F.min("v").alias("min"), F.max("v").alias("max"),
+    )
+    stats = F.array(*[F.struct(F.lit(n).alias("stat"), F.col(n).alias("value")) for n in ("count", "mean", "std", "min", "max")])
+    quantiles = percentiles(stacked, "v", probs, ["column_name"], approximate=approximate)
+    label = F.concat(F.lit("p"), F.round(F.col("p") * 100, 0).cast("int").cast("string"))
+    return moments.select("column_name", F.inline(stats)).unionByName(
+        quantiles.select("column_name", label.alias("stat"), F.col("q").alias("value"))
+    )
 
 
 def value_counts(df: DataFrame, column: str | Column, name: str = "value", top: int | None = None) -> DataFrame:
@@ -135,7 +136,7 @@ def trimmed_prices(
     priced: DataFrame, products: DataFrame, top_departments: int = 10, q: float = 0.99, approximate: bool = False
 ) -> DataFrame:
     """Unit prices in (0, 99th percentile of the department), for the departments with most lines."""
-    lines = with_department(priced, products)
+    lines = settled(with_department(priced, products).select("DEPARTMENT", PRODUCT, "unit_price"), "prices")
     top = value_counts(lines, "DEPARTMENT", "DEPARTMENT", top_departments).select("DEPARTMENT")
     lines = lines.join(F.broadcast(top), "DEPARTMENT", "left_semi")  # at most top_departments rows
     cut = percentiles(lines, "unit_price", [q], ["DEPARTMENT"], approximate=approximate)
@@ -228,36 +229,43 @@ def coupon_overlap(priced: DataFrame, redemptions: DataFrame) -> DataFrame:
 
 def lines_with_flags(priced: DataFrame, causal: DataFrame) -> DataFrame:
     """Lines with the decoded flags of their cell (0 when the cell is not listed) and ``any_treatment``."""
+    return _with_flags(priced, causal, (~_no_retail_discount()).cast("int"))
+
+
+def _no_retail_discount() -> Column:
+    return F.coalesce(F.col("RETAIL_DISC") == 0, F.lit(False))
+
+
+def _with_flags(rows: DataFrame, causal: DataFrame, discounted: Column) -> DataFrame:
     flags = promo_flags(causal).select(*CELL, F.col("display").alias("display_active"), F.col("mailer").alias("mailer_active"))
-    joined = priced.join(flags, CELL, "left").na.fill(0, subset=["display_active", "mailer_active"])
-    treated = (
-        F.coalesce(F.col("RETAIL_DISC") != 0, F.lit(True))
-        | (F.col("display_active") == 1)
-        | (F.col("mailer_active") == 1)
-    )
-    return joined.withColumn("any_treatment", treated.cast("int"))
+    joined = rows.join(flags, CELL, "left").na.fill(0, subset=["display_active", "mailer_active"])
+    flagged = (F.col("display_active") == 1) | (F.col("mailer_active") == 1)
+    return joined.withColumn("any_treatment", F.greatest(discounted, flagged.cast("int")))
 
 
 def treatment_of_top_products(priced: DataFrame, causal: DataFrame, top: int = 30, enough: float = 0.20) -> DataFrame:
     """Treatment shares of the products with most lines, and whether any treatment reaches ``enough``.
 
-    The flag table is joined after the lines were cut down to the top products.
+    Lines are counted per cell and kind (discounted or not) before they meet the flag table, so the
+    join runs on cells and one aggregation yields every product; the top is taken at the end.
     """
-    lines = lines_with_flags(priced, causal)
-    best = value_counts(lines, PRODUCT, PRODUCT, top).select(PRODUCT)
-    disc = F.coalesce(F.col("RETAIL_DISC") != 0, F.lit(True))
+    kinds = priced.groupBy(*CELL, (~_no_retail_discount()).cast("int").alias("discounted")).agg(
+        F.count(F.lit(1)).alias("n")
+    )
+    flagged = _with_flags(kinds, causal, F.col("discounted"))
+    weighted = lambda c: F.sum(F.col("n") * F.col(c)) / F.sum("n")
     return (
-        lines.join(F.broadcast(best), PRODUCT, "left_semi")  # at most ``top`` rows
-        .groupBy(PRODUCT)
+        flagged.groupBy(PRODUCT)
         .agg(
-            F.count(F.lit(1)).alias("n_lines"),
-            share(disc).alias("pct_retail_disc"),
-            F.avg("display_active").alias("pct_display"),
-            F.avg("mailer_active").alias("pct_mailer"),
-            F.avg("any_treatment").alias("pct_any"),
+            F.sum("n").alias("n_lines"),
+            weighted("discounted").alias("pct_retail_disc"),
+            weighted("display_active").alias("pct_display"),
+            weighted("mailer_active").alias("pct_mailer"),
+            weighted("any_treatment").alias("pct_any"),
         )
         .withColumn("enough", F.col("pct_any") >= enough)
         .orderBy(F.col("n_lines").desc(), PRODUCT)
+        .limit(top)
     )
 
 

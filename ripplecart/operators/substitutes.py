@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ripplecart.config import PRODUCT, SUB
+from ripplecart.functions.distributed import settled
 from ripplecart.functions.scalars import l2_normalised
 from ripplecart.operators.panel import in_universe
 
@@ -136,7 +137,7 @@ def substitute_edges(
         scored = _first_others(nodes, nodes, k)
     else:
         vectors = embeddings.select(PRODUCT, l2_normalised(F.col("embedding")).alias("unit"))
-        nodes = nodes.join(vectors, PRODUCT, "left")
+        nodes = settled(nodes.join(vectors, PRODUCT, "left"), "catalog")
         with_vec = nodes.filter(F.col("unit").isNotNull())
         without = nodes.filter(F.col("unit").isNull()).select(PRODUCT, GROUP)
         keys = nodes.select(PRODUCT, GROUP)

@@ -189,6 +189,9 @@ def residuals(source: str) -> str:
         CROSS JOIN (SELECT count(*) AS n_g, {sums("g")} FROM {source}) d"""
 
 
+CTES["exposed_binary"] = exposures(weight="1.0")
+CTES["frame_bin"] = frame("exposed_binary", "promo_any")
+CTES["res_bin"] = residuals("frame_bin")
 CTES["res_promo"] = residuals("frame_promo")
 CTES["res_disc"] = residuals("frame_disc")
 Z95 = "1.959963984540054"
@@ -236,6 +239,27 @@ def dml_three(res: str, model: str) -> str:
           {out})"""
 
 
+def dml_two(res: str, other: str, model: str) -> str:
+    """Direct effect and one channel; the switched-off channel is 0 but still counts as a regressor."""
+    by = lambda c: f"SELECT count(*) AS g, sum(u0*u0) AS v0, sum(u1*u1) AS v1 FROM (SELECT {c}, sum(u0) AS u0, sum(u1) AS u1 FROM infl GROUP BY {c})"
+    kept = {"t1": "sub_spillover", "t2": "comp_spillover"}
+    off = kept["t2" if other == "t1" else "t1"]
+    se = lambda j: (
+        f"sqrt((p.g/(p.g-1.0)*p.v{j} + s.g/(s.g-1.0)*s.v{j} - ps.g/(ps.g-1.0)*ps.v{j})*(n-1.0)/(n-3.0))"
+    )
+    tables = f"FROM fit, ({by('PRODUCT_ID')}) p, ({by('STORE_ID')}) s, ({by('PRODUCT_ID, STORE_ID')}) ps"
+    return f"""
+        SELECT model, effect, ATE, se, ATE - {Z95} * se AS CI_lower, ATE + {Z95} * se AS CI_upper, n_obs FROM (
+          WITH mom AS (SELECT count(*) AS n, sum(t0_res*t0_res) AS g00, sum(t0_res*{other}_res) AS g01,
+                       sum({other}_res*{other}_res) AS g11, sum(t0_res*y_res) AS b0, sum({other}_res*y_res) AS b1 FROM {res}),
+          inv AS (SELECT *, g11/(g00*g11-g01*g01) AS i00, -g01/(g00*g11-g01*g01) AS i01, g00/(g00*g11-g01*g01) AS i11 FROM mom),
+          fit AS (SELECT *, i00*b0+i01*b1 AS beta0, i01*b0+i11*b1 AS beta1 FROM inv),
+          infl AS (SELECT PRODUCT_ID, STORE_ID, (y_res-beta0*t0_res-beta1*{other}_res)*(i00*t0_res+i01*{other}_res) AS u0,
+                   (y_res-beta0*t0_res-beta1*{other}_res)*(i01*t0_res+i11*{other}_res) AS u1 FROM {res} CROSS JOIN fit)
+          SELECT '{model}' AS model, 'direct' AS effect, beta0 AS ATE, {se(0)} AS se, n AS n_obs {tables} UNION ALL
+          SELECT '{model}', '{kept[other]}', beta1, {se(1)}, n {tables} UNION ALL SELECT '{model}', '{off}', 0, 0, n FROM fit)"""
+
+
 def dml_one(res: str) -> str:
     """Single-treatment regression with two-way clustered errors."""
     by = lambda c: f"SELECT count(*) AS g, sum(s*s) AS v FROM (SELECT {c}, sum(s) AS s FROM sc GROUP BY {c})"

@@ -72,7 +72,7 @@ class Query:
             elif kind:
                 out.append(f"round(CAST({name} AS DOUBLE), {kind}) + 0.0 AS {name}")
             else:
-                out.append(name)
+                out.append(f'"{name}"')
         return sql.with_ctes(f"SELECT {', '.join(out)} FROM ({self.oracle}) q")
 
 
@@ -617,6 +617,25 @@ def ablation_suite(b):
     return dml.ablation_suite(b.panel, b.edges, b.views.embeddings(), nuisance=LINEAR, n_folds=2, min_demand_filter=None)
 
 
+EDGE, BINARY = "graph_dml_edge_weight", "graph_dml_binary"
+ABLATION_SQL = " UNION ALL ".join(
+    f"SELECT '{name}' AS ablation, *, effect = '{off}' AS excluded FROM ({text})"
+    for name, text, off in (
+        ("full_model", sql.dml_three("res_promo", EDGE), ""),
+        ("sub_only", sql.dml_two("res_promo", "t1", EDGE), "comp_spillover"),
+        ("comp_only", sql.dml_two("res_promo", "t2", EDGE), "sub_spillover"),
+        ("binary_weights", sql.dml_three("res_bin", BINARY), ""),
+        ("no_embeddings", sql.dml_three("res_promo", EDGE), ""),
+    )
+)
+
+
+@query("ablation_cell_mean", f"ablation {EFFECT_COLS} excluded", ABLATION_SQL)
+def ablation_cell_mean(b):
+    """The suite with department-week means as nuisance, which ignore embeddings."""
+    return dml.ablation_suite(b.panel, b.edges, nuisance=CELL_MEAN, min_demand_filter=None)
+
+
 @query(
     "ols_hc1", "n_obs:b intercept:6 slope:6 se_intercept:6 se_slope:6",
     """SELECT n AS n_obs, my - b * mt AS intercept, b AS slope,
@@ -654,6 +673,15 @@ def dml_no_graph_constant(b):
     return baselines.dml_baseline(b.panel, nuisance=CELL_MEAN, heterogeneous=False)
 
 
+@query(
+    "model_comparison", "model ATE:6 CI_lower:6 CI_upper:6 source",
+    f"""SELECT model, ATE, CI_lower, CI_upper, 'baseline' AS source FROM ({QUERIES["dml_no_graph_constant"].oracle})
+        UNION ALL SELECT model, ATE, CI_lower, CI_upper, 'graph' FROM ({sql.dml_three("res_promo", EDGE)}) WHERE effect = 'direct'""",
+)
+def model_comparison(b):
+    return interpret.compare_models(dml_no_graph_constant(b), dml_graph_k3(b))
+
+
 @query("causal_forest", EFFECT_COLS)
 def causal_forest(b):
     return baselines.forest_baseline(b.panel, nuisance=CELL_MEAN, n_folds=2, trees=8, depth=4)[0]
@@ -732,6 +760,21 @@ def directional_check(b):
     return evaluate.directional_check(_direct_effects(b)).withColumnRenamed("group", "DEPARTMENT")
 
 
+@query(
+    "result_store", "group effect ATE:6 CI_lower:6 CI_upper:6",
+    f"SELECT * FROM ({EFFECT_ROWS})",
+)
+def result_store(b):
+    """Effects by department, stacked, written as one CSV and read back with a schema."""
+    path = scratch(b, "result-store")
+    effects = _direct_effects(b)
+    parts = {g: effects.filter(F.col("group") == g).drop("group") for g in ("ECONOMY", "LARGE", "MEDIUM")}
+    rest = effects.filter(~F.col("group").isin(*parts))
+    stores.write_result(stores.stack_results(parts, "group").unionByName(rest), path)
+    schema = "effect STRING, ATE DOUBLE, CI_lower DOUBLE, CI_upper DOUBLE, `group` STRING"
+    return stores.read_result(b.spark, path, schema)
+
+
 @query(
     "compare_effects", "effect ATE:6 CI_lower:6 CI_upper:6 interpretation",
     f"""SELECT CASE effect WHEN 'direct' THEN 'Direct (own promo)' WHEN 'sub_spillover' THEN 'Substitute spillover'
