@@ -23,7 +23,7 @@ class Nuisance:
 
     kind: 'cell_mean' (department-week means), 'linear', 'gbt' or 'rf'. Trees, depth and step follow
     the study's boosted-tree setting; ``parallel`` fits run at once from driver threads and share
-    the cached frame.
+    the saved frame.
     """
 
     kind: str = "gbt"
@@ -56,7 +56,7 @@ def _cell_mean_residuals(df: DataFrame, targets: list[str], cells: list[str]) ->
     The rows are aggregated once, to (cell, fold); cell totals, global totals and fold totals come
     from that small table. A cell with no row outside the fold falls back to the global mean.
     """
-    per_fold, _ = broadcast_if_small(
+    per_fold, small = broadcast_if_small(
         df.groupBy(*cells, "fold").agg(
             F.count(F.lit(1)).alias("n_cf"), *[F.sum(F.col(t).cast("double")).alias(f"{t}_cf") for t in targets]
         )
@@ -85,11 +85,10 @@ def _cell_mean_residuals(df: DataFrame, targets: list[str], cells: list[str]) ->
             ],
         )
     )
-    means, _ = broadcast_if_small(means)
     keys = [*cells, "fold"]
     marked = means.select(*[F.col(c).alias(f"_k_{c}") for c in keys], *[f"{t}_hat" for t in targets])
     same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_k_{c}")) for c in keys])
-    joined = df.join(marked, same, "left")
+    joined = df.join(F.broadcast(marked) if small else marked, same, "left")
     return joined.select(
         *df.columns, *[(F.col(t).cast("double") - F.col(f"{t}_hat")).alias(f"{t}_res") for t in targets]
     )
@@ -132,7 +131,7 @@ def _vector_width(df: DataFrame) -> int:
 def _tree_residuals(df: DataFrame, targets: list[str], n_folds: int, nuisance: Nuisance) -> DataFrame:
     """One MLlib tree ensemble per fold and target, fitted on the other folds.
 
-    ``df`` should be cached. Every fold's rows are scored by that fold's models and the folds are
+    ``df`` should rest on a saved table. Every fold's rows are scored by that fold's models and the folds are
     put together again by a union.
     """
     rows = df.withColumn("_features", array_to_vector("w"))

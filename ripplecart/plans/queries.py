@@ -6,6 +6,7 @@ double rounded to that many decimals, nothing for strings and booleans.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 from functools import partial
@@ -90,7 +91,8 @@ def query(name: str, columns: str, oracle: str | None = None):
 
 
 def scratch(b: Workbench, name: str) -> str:
-    return f"{_scratch(b.spark)}/{name}-{abs(hash(b.folder))}"
+    """A fresh folder next to the settled tables."""
+    return f"{_scratch(b.spark)}/{name}-{uuid.uuid4().hex}"
 
 
 # ── sources and sinks ─────────────────────────────────────────────────────────
@@ -1105,6 +1107,17 @@ def treatment_top30(b):
     return profile.treatment_of_top_products(profile.priced_lines(b.views.transactions()), b.views.causal())
 
 
+@query(
+    "line_treatments", "display_active:i mailer_active:i any_treatment:i n:b",
+    f"""SELECT coalesce(display, 0) AS display_active, coalesce(mailer, 0) AS mailer_active,
+        CASE WHEN RETAIL_DISC <> 0 OR coalesce(display, 0) = 1 OR coalesce(mailer, 0) = 1 THEN 1 ELSE 0 END AS any_treatment,
+        count(*) AS n FROM priced LEFT JOIN flags USING ({sql.KEYS}) GROUP BY 1, 2, 3""",
+)
+def line_treatments(b):
+    lines = profile.lines_with_flags(profile.priced_lines(b.views.transactions()), b.views.causal())
+    return lines.groupBy("display_active", "mailer_active", "any_treatment").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query(
     "treatment_variation", "PRODUCT_ID:b mean_disc_rate:6 weeks_observed:b has_variation",
     f"""SELECT PRODUCT_ID, avg(r) AS mean_disc_rate, count(*) AS weeks_observed, avg(r) BETWEEN 0.05 AND 0.95 AND count(*) >= 10 AS has_variation
