@@ -189,6 +189,25 @@ def residuals(source: str) -> str:
         CROSS JOIN (SELECT count(*) AS n_g, {sums("g")} FROM {source}) d"""
 
 
+def noise(part: str) -> str:
+    return u("42", "'noise'", *CELL_PARTS, f"'{part}'")
+
+
+CTES["moments"] = """
+    SELECT avg(code) AS cm, stddev_pop(code) AS cs, avg(WEEK_NO) AS wm, stddev_pop(WEEK_NO) AS wp, stddev_samp(WEEK_NO) AS ws
+    FROM panel JOIN store_codes USING (STORE_ID)"""
+CTES["assigned"] = f"""
+    SELECT p.* EXCLUDE (promo_any), code, CASE WHEN {u("42", "'assign'", *CELL_PARTS)} <
+      1 / (1 + exp(-0.5 * ((code - cm) / (cs + 1e-8) + (WEEK_NO - wm) / (ws + 1e-8)))) THEN 1 ELSE 0 END AS promo_any
+    FROM panel p JOIN store_codes USING (STORE_ID) CROSS JOIN moments"""
+CTES["exposed_assigned"] = exposures(panel="assigned")
+CTES["frame_made"] = f"""
+    SELECT {KEYS}, DEPARTMENT, fold, CAST(promo_any AS DOUBLE) AS t0, sub_exposure_weighted AS t1, comp_exposure_weighted AS t2,
+      greatest(0, 1.5 + 0.1 * promo_any - 0.05 * sub_exposure_weighted + 0.03 * comp_exposure_weighted
+        + 0.5 * (code - cm) / (cs + 1e-8) + 0.3 * (WEEK_NO - wm) / (wp + 1e-8)
+        + 0.5 * sqrt(-2 * ln(1 - {noise("a")})) * cos(6.283185307179586 * {noise("b")})) AS y
+    FROM exposed_assigned JOIN folds USING (PRODUCT_ID) CROSS JOIN moments"""
+CTES["res_made"] = residuals("frame_made")
 CTES["exposed_binary"] = exposures(weight="1.0")
 CTES["frame_bin"] = frame("exposed_binary", "promo_any")
 CTES["res_bin"] = residuals("frame_bin")

@@ -906,12 +906,12 @@ def confounded_treatment(b):
     return evaluate.assign_confounded(b.panel)
 
 
-@query("known_effect_recovery", EFFECT_COLS)
+@query("known_effect_recovery", EFFECT_COLS, sql.dml_three("res_made", EDGE))
 def known_effect_recovery(b):
-    """The calibration check: inject known effects with noise and estimate them back."""
-    made = evaluate.generate_outcome(b.panel, b.edges, reassign_treatment=True)
-    options = {"outcome": "y_synthetic", "log_transform": False, "min_demand_filter": None, "nuisance": LINEAR}
-    return dml.run_graph_dml(made.drop("units_sold"), b.edges, **options).effects
+    """The calibration check: inject known effects with noise and confounding, and estimate them back."""
+    made = settled(evaluate.generate_outcome(b.panel, b.edges, reassign_treatment=True), "made")
+    options = {"outcome": "y_synthetic", "log_transform": False, "min_demand_filter": None, "nuisance": CELL_MEAN}
+    return dml.run_graph_dml(made, b.edges, with_cate=False, **options).effects
 
 
 # ── profiles ──────────────────────────────────────────────────────────────────
