@@ -291,6 +291,48 @@ def dml_one(res: str) -> str:
           FROM fit, ({by("PRODUCT_ID")}) p, ({by("STORE_ID")}) s, ({by("PRODUCT_ID, STORE_ID")}) ps)"""
 
 
+CODES = ", ".join(
+    f"dense_rank() OVER (ORDER BY {c}) - 1 AS {c}_code" for c in ("DEPARTMENT", "COMMODITY_DESC", "SUB_COMMODITY_DESC", "BRAND")
+)
+CTES["product_codes"] = f"SELECT PRODUCT_ID, {CODES} FROM product"
+REGRESSORS = ("1", "STORE_ID", "WEEK_NO", "DEPARTMENT_code", "COMMODITY_DESC_code", "SUB_COMMODITY_DESC_code", "BRAND_code")
+
+
+def partialled_out(source: str, targets: tuple[str, ...], keep: str, train: str = "true") -> str:
+    """Targets minus their least-squares fit on REGRESSORS: columns y0, y1, ... next to ``keep``.
+
+    The regressors are removed one after the other, each made orthogonal to the earlier ones over
+    the rows where ``train`` holds and subtracted everywhere.
+    """
+    xs = [f"x{i}" for i in range(len(REGRESSORS))]
+    ys = [f"y{i}" for i in range(len(targets))]
+    first = ", ".join(f"CAST({e} AS DOUBLE) AS {n}" for e, n in zip((*REGRESSORS, *targets), xs + ys, strict=True))
+    text = f"SELECT {keep}, {first} FROM {source} JOIN product_codes USING (PRODUCT_ID)"
+    for i, q in enumerate(xs):
+        fit = lambda c, q=q: f"sum({c}*{q}) FILTER ({train}) OVER () / sum({q}*{q}) FILTER ({train}) OVER () * {q}"
+        text = f"SELECT {keep}, {', '.join(f'{c} - {fit(c)} AS {c}' for c in xs[i + 1:] + ys)} FROM ({text})"
+    return text
+
+
+def ols_with_controls() -> str:
+    """Coefficient of the treatment, HC1 error and R2 of OLS on treatment and REGRESSORS."""
+    k = len(REGRESSORS) + 1
+    return f"""
+        SELECT 'ols_no_graph' AS model, 'direct' AS effect, b AS ATE, se, b - {Z95} * se AS CI_lower, b + {Z95} * se AS CI_upper,
+               n AS n_obs, 1 - sse / (SELECT count(*) * var_pop(units_sold) FROM panel) AS r_squared FROM (
+          WITH po AS ({partialled_out("panel", ("units_sold", "promo_any"), "PRODUCT_ID")}),
+          fit AS (SELECT sum(y0*y1)/sum(y1*y1) AS b FROM po)
+          SELECT b, count(*) AS n, sum(pow(y0-b*y1, 2)) AS sse,
+                 sqrt(sum(pow((y0-b*y1)*y1, 2)) * count(*) / (count(*) - {k})) / sum(y1*y1) AS se FROM po CROSS JOIN fit GROUP BY b)"""
+
+
+CTES["res_linear"] = " UNION ALL ".join(
+    f"""SELECT PRODUCT_ID, STORE_ID, y0 AS y_res, y1 AS t0_res, y2 AS t1_res, y3 AS t2_res
+        FROM ({partialled_out("frame_promo", ("y", "t0", "t1", "t2"), "PRODUCT_ID, STORE_ID, fold", f"fold <> {f}")}) WHERE fold = {f}"""
+    for f in range(5)
+)
+
+
 def with_ctes(body: str) -> str:
     """Prefix ``body`` with every CTE it needs, dependencies first."""
     order: list[str] = []

@@ -39,6 +39,7 @@ SPLITS = {"train_weeks": (1, 60), "val_weeks": (61, 75), "test_weeks": (76, 88)}
 CELL_MEAN = Nuisance("cell_mean")
 LINEAR = Nuisance("linear")
 SMALL_GBT = Nuisance("gbt", trees=5, depth=3)
+EDGE, BINARY = "graph_dml_edge_weight", "graph_dml_binary"
 
 
 @dataclass(frozen=True)
@@ -598,9 +599,9 @@ def dml_discount_k3(b):
     return dml.run_discount_dml(b.panel, b.edges, **options).effects
 
 
-@query("dml_graph_linear", EFFECT_COLS)
+@query("dml_graph_linear", EFFECT_COLS, sql.dml_three("res_linear", EDGE))
 def dml_graph_linear(b):
-    return dml.run_graph_dml(b.panel, b.edges, nuisance=LINEAR, min_demand_filter=0.01, embeddings=b.views.embeddings(), with_cate=False).effects
+    return dml.run_graph_dml(b.panel, b.edges, nuisance=LINEAR, min_demand_filter=None, with_cate=False).effects
 
 
 @query("dml_graph_gbt", EFFECT_COLS)
@@ -619,7 +620,6 @@ def ablation_suite(b):
     return dml.ablation_suite(b.panel, b.edges, b.views.embeddings(), nuisance=LINEAR, n_folds=2, min_demand_filter=None)
 
 
-EDGE, BINARY = "graph_dml_edge_weight", "graph_dml_binary"
 ABLATION_SQL = " UNION ALL ".join(
     f"SELECT '{name}' AS ablation, *, effect = '{off}' AS excluded FROM ({text})"
     for name, text, off in (
@@ -655,7 +655,7 @@ def ols_with_hc1(b):
     return b.spark.createDataFrame(row, "n_obs bigint, intercept double, slope double, se_intercept double, se_slope double")
 
 
-@query("ols_baseline", f"{EFFECT_COLS} r_squared:6")
+@query("ols_baseline", f"{EFFECT_COLS} r_squared:6", sql.ols_with_controls())
 def ols_baseline(b):
     return baselines.ols_baseline(b.panel)
 
