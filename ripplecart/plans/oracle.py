@@ -298,15 +298,17 @@ CTES["product_codes"] = f"SELECT PRODUCT_ID, {CODES} FROM product"
 REGRESSORS = ("1", "STORE_ID", "WEEK_NO", "DEPARTMENT_code", "COMMODITY_DESC_code", "SUB_COMMODITY_DESC_code", "BRAND_code")
 
 
-def partialled_out(source: str, targets: tuple[str, ...], keep: str, train: str = "true") -> str:
-    """Targets minus their least-squares fit on REGRESSORS: columns y0, y1, ... next to ``keep``.
+def partialled_out(
+    source: str, targets: tuple[str, ...], keep: str, train: str = "true", regressors: tuple[str, ...] = REGRESSORS
+) -> str:
+    """Targets minus their least-squares fit on the regressors: columns y0, y1, ... next to ``keep``.
 
     The regressors are removed one after the other, each made orthogonal to the earlier ones over
     the rows where ``train`` holds and subtracted everywhere.
     """
-    xs = [f"x{i}" for i in range(len(REGRESSORS))]
+    xs = [f"x{i}" for i in range(len(regressors))]
     ys = [f"y{i}" for i in range(len(targets))]
-    first = ", ".join(f"CAST({e} AS DOUBLE) AS {n}" for e, n in zip((*REGRESSORS, *targets), xs + ys, strict=True))
+    first = ", ".join(f"CAST({e} AS DOUBLE) AS {n}" for e, n in zip((*regressors, *targets), xs + ys, strict=True))
     text = f"SELECT {keep}, {first} FROM {source} JOIN product_codes USING (PRODUCT_ID)"
     for i, q in enumerate(xs):
         fit = lambda c, q=q: f"sum({c}*{q}) FILTER ({train}) OVER () / sum({q}*{q}) FILTER ({train}) OVER () * {q}"
@@ -326,6 +328,28 @@ def ols_with_controls() -> str:
                  sqrt(sum(pow((y0-b*y1)*y1, 2)) * count(*) / (count(*) - {k})) / sum(y1*y1) AS se FROM po CROSS JOIN fit GROUP BY b)"""
 
 
+CTES["row_frame"] = f"""
+    SELECT * EXCLUDE (display, mailer), CAST(floor({u("42", "'fold'", *CELL_PARTS)} * 5) AS INTEGER) AS fold, units_sold AS y,
+           CAST(promo_any AS DOUBLE) AS t0, 0.0 AS t1, 0.0 AS t2 FROM featured"""
+CTES["row_res"] = residuals("row_frame")
+FEATURES = tuple(f"{a}_{b}" for b in ("substitutes", "complements") for a in ("n_treated", "frac_treated", "avg_units"))
+
+
+def dml_with_slopes(model: str, controls: tuple[str, ...]) -> str:
+    """Mean effect of a single treatment whose effect is linear in centred controls, HC1 error.
+
+    The slopes' regressors are partialled out of the outcome and of the treatment; what is left of
+    the treatment gives the coefficient at the mean of the controls.
+    """
+    slopes = tuple(f"t0_res * ({c} - avg({c}) OVER ())" for c in controls)
+    return f"""
+        SELECT '{model}' AS model, 'direct' AS effect, b AS ATE, se, b - {Z95} * se AS CI_lower, b + {Z95} * se AS CI_upper, n AS n_obs FROM (
+          WITH po AS ({partialled_out("row_res", ("y_res", "t0_res"), "PRODUCT_ID", regressors=slopes)}),
+          fit AS (SELECT sum(y0*y1)/sum(y1*y1) AS b FROM po)
+          SELECT b, count(*) AS n, sqrt(sum(pow((y0-b*y1)*y1, 2)) * count(*) / (count(*) - {len(controls) + 1})) / sum(y1*y1) AS se
+          FROM po CROSS JOIN fit GROUP BY b)"""
+
+
 CTES["res_linear"] = " UNION ALL ".join(
     f"""SELECT PRODUCT_ID, STORE_ID, y0 AS y_res, y1 AS t0_res, y2 AS t1_res, y3 AS t2_res
         FROM ({partialled_out("frame_promo", ("y", "t0", "t1", "t2"), "PRODUCT_ID, STORE_ID, fold", f"fold <> {f}")}) WHERE fold = {f}"""

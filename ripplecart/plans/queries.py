@@ -675,6 +675,19 @@ def dml_no_graph_constant(b):
     return baselines.dml_baseline(b.panel, nuisance=CELL_MEAN, heterogeneous=False)
 
 
+@query("dml_no_graph", EFFECT_COLS, sql.dml_with_slopes("dml_no_graph", sql.REGRESSORS[1:]))
+def dml_no_graph(b):
+    return baselines.dml_baseline(b.panel, nuisance=CELL_MEAN)
+
+
+@query(
+    "dml_unweighted_spillover", EFFECT_COLS,
+    sql.dml_with_slopes("dml_unweighted_spillover", (*sql.REGRESSORS[1:], *sql.FEATURES)),
+)
+def dml_unweighted_spillover(b):
+    return baselines.dml_baseline(b.featured, nuisance=CELL_MEAN, include_spillover=True)
+
+
 @query(
     "model_comparison", "model ATE:6 CI_lower:6 CI_upper:6 source",
     f"""SELECT model, ATE, CI_lower, CI_upper, 'baseline' AS source FROM ({QUERIES["dml_no_graph_constant"].oracle})
