@@ -128,6 +128,35 @@ def permute_column(
     return receivers.join(givers, "_rank").drop("_rank").select(*df.columns)
 
 
+def block_pairs(rows: DataFrame, group: str, key: str, vector: str, block: int) -> DataFrame:
+    """All pairs of blocks within each group: (a_ids, a_vecs, b_ids, b_vecs).
+
+    A group is cut by hash into blocks of about ``block`` rows. A block is one row with its sorted
+    keys and its vectors end to end; each unordered pair of blocks, a block with itself included,
+    is one row shuffled on (group, block, block). For comparing everything with everything in a
+    group as matrix products, without a row per pair and without one task per group.
+    """
+    sized = rows.join(rows.groupBy(group).agg(F.count(F.lit(1)).alias("_n")), group)
+    m = F.ceil(F.col("_n") / block).cast("int")
+    blocked = sized.select(group, key, vector, m.alias("m"), F.pmod(F.xxhash64(key), m).cast("int").alias("blk"))
+    item = F.struct(F.col(key).alias("id"), F.col(vector).alias("v"))
+    blocks = (
+        blocked.groupBy(group, "m", "blk")
+        .agg(F.array_sort(F.collect_list(item)).alias("items"))
+        .select(group, "m", "blk", F.col("items.id").alias("ids"), F.flatten("items.v").alias("vecs"))
+    )
+    everyone = F.sequence(F.lit(0), F.col("m") - 1)
+    left = blocks.select(
+        group, F.col("blk").alias("i"), F.explode(F.filter(everyone, lambda j: j >= F.col("blk"))).alias("j"),
+        F.col("ids").alias("a_ids"), F.col("vecs").alias("a_vecs"),
+    )
+    right = blocks.select(
+        group, F.explode(F.filter(everyone, lambda i: i <= F.col("blk"))).alias("i"), F.col("blk").alias("j"),
+        F.col("ids").alias("b_ids"), F.col("vecs").alias("b_vecs"),
+    )
+    return left.join(right, [group, "i", "j"]).select("a_ids", "a_vecs", "b_ids", "b_vecs")
+
+
 def percentiles(
     df: DataFrame,
     value: str,

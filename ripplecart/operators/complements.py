@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ripplecart.config import COMP, PRODUCT
-from ripplecart.functions.distributed import broadcast_if_small, has_at_most, hash_rank, settled
+from ripplecart.functions.distributed import block_pairs, broadcast_if_small, has_at_most, hash_rank, settled
 from ripplecart.operators.panel import in_universe
 
 BASKET = "BASKET_ID"
 WIDE_BASKET = 1000
-WORD = 63
-SPREAD = 16
+WORD = 63  # baskets per bigint of membership bits
+TILE = 16  # words compared at once
+BLOCK = 1024
 
 
 def basket_items(tx: DataFrame, products: DataFrame | None = None) -> DataFrame:
@@ -44,28 +49,6 @@ def _pairs_of_narrow_baskets(items: DataFrame) -> DataFrame:
     )
 
 
-def _pairs_of_wide_baskets(wide: DataFrame, sizes: DataFrame, k: int) -> DataFrame:
-    """Candidate pairs that can reach ``k`` common baskets inside the wide baskets alone.
-
-    Two products that share at least k wide baskets share one that is not among the k-1 widest of
-    either; so each product is looked up only under the other baskets. Both sides are spread over
-    SPREAD x SPREAD sub-keys per basket, so no basket is worked on by a single task.
-    """
-    widest_first = Window.partitionBy(PRODUCT).orderBy(F.col("n_items").desc(), F.col(BASKET).desc())
-    widest = (
-        wide.join(sizes, BASKET)
-        .withColumn("_r", F.row_number().over(widest_first))
-        .filter(F.col("_r") <= k - 1)
-        .select(BASKET, PRODUCT)
-    )
-    kept = wide.join(widest, [BASKET, PRODUCT], "left_anti")
-    part = F.pmod(F.xxhash64(PRODUCT), F.lit(SPREAD))
-    every = F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1)))
-    left = kept.select(BASKET, F.col(PRODUCT).alias("a"), part.cast("int").alias("pa"), every.alias("pb"))
-    right = kept.select(BASKET, F.col(PRODUCT).alias("b"), part.cast("int").alias("pb"), every.alias("pa"))
-    return left.join(right, [BASKET, "pa", "pb"]).filter(F.col("a") < F.col("b")).select("a", "b").distinct()
-
-
 def _basket_words(wide: DataFrame, sizes: DataFrame) -> DataFrame:
     """Membership of products in wide baskets as bit words: (product, word, bits)."""
     numbered = hash_rank(sizes.select(BASKET), [BASKET], "_no", seed=0, tag="basket")
@@ -74,6 +57,46 @@ def _basket_words(wide: DataFrame, sizes: DataFrame) -> DataFrame:
     return wide.join(at, BASKET).groupBy(PRODUCT, "word").agg(F.bit_or("bit").alias("bits"))
 
 
+def _common_bits(at_least: int, tile: int):
+    """Pairs of products of two blocks with at least this many common bits."""
+
+    def matrix(ids: np.ndarray, words) -> np.ndarray:
+        packed = np.ascontiguousarray(np.asarray(words, dtype=np.int64).reshape(len(ids), tile))
+        return np.unpackbits(packed.view(np.uint8), axis=1).astype(np.float32)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for a_ids, a_words, b_ids, b_words in zip(pdf.a_ids, pdf.a_vecs, pdf.b_ids, pdf.b_vecs, strict=True):
+                a, b = np.asarray(a_ids), np.asarray(b_ids)
+                i, j = np.nonzero(matrix(a, a_words) @ matrix(b, b_words).T >= at_least)
+                lo, hi = np.minimum(a[i], b[j]), np.maximum(a[i], b[j])
+                yield pd.DataFrame({"a": lo[lo < hi], "b": hi[lo < hi]})
+
+    return run
+
+
+def _pairs_of_wide_baskets(
+    words: DataFrame, n_wide: int, k: int, block: int = BLOCK, tile: int = TILE
+) -> DataFrame:
+    """Pairs that may share ``k`` wide baskets, found by multiplying membership matrices.
+
+    The wide baskets are cut into tiles of ``tile`` words. A pair with k common baskets has at least
+    k / tiles of them in some tile, so every tile hands out only the pairs that reach this share:
+    with a single tile exactly the pairs that qualify. Nothing is emitted per basket.
+    """
+    tiles = n_wide // (tile * WORD) + 1
+    at_least = max(-(-k // tiles), 1)
+    place = F.pmod(F.col("word"), F.lit(tile))
+    row = F.array(*[F.coalesce(F.bit_or(F.when(place == i, F.col("bits"))), F.lit(0)) for i in range(tile)])
+    members = (
+        words.groupBy(PRODUCT, F.floor(F.col("word") / tile).alias("tile"))
+        .agg(row.alias("bits"), F.sum(F.bit_count("bits")).alias("n"))
+        .filter(F.col("n") >= at_least)
+    )
+    pairs = block_pairs(members, "tile", PRODUCT, "bits", block)
+    return pairs.mapInPandas(_common_bits(at_least, tile), "a bigint, b bigint").distinct()
+
+
 def cooccurrence(items: DataFrame, min_cooccurrence: int = 10, wide_basket: int = WIDE_BASKET) -> DataFrame:
     """Exact number of common baskets per product pair a < b: (a, b, n_ab) with n_ab >= minimum.
 
@@ -94,7 +117,7 @@ def cooccurrence(items: DataFrame, min_cooccurrence: int = 10, wide_basket: int
     ids = F.broadcast(ids) if has_at_most(wide_sizes) else ids
     wide = items.join(ids, BASKET, "left_semi")
     narrow = items.join(ids, BASKET, "left_anti")
-    in_wide = wide.groupBy(PRODUCT).agg(F.count(F.lit(1)).alias("h"))
+    in_wide, _ = broadcast_if_small(wide.groupBy(PRODUCT).agg(F.count(F.lit(1)).alias("h")))
     reach = F.least("ha", "hb")
     found = settled(
         _pairs_of_narrow_baskets(narrow)
@@ -104,10 +127,9 @@ def cooccurrence(items: DataFrame, min_cooccurrence: int = 10, wide_basket: int
         .filter(F.col("n_narrow") + reach >= k)
         .select("a", "b", F.col("n_narrow").alias("n"), (reach > 0).alias("both_wide"))
     )
-    words = _basket_words(wide, wide_sizes)
-    candidates = (
-        found.filter("both_wide").select("a", "b").unionByName(_pairs_of_wide_baskets(wide, wide_sizes, k)).distinct()
-    )
+    words = settled(_basket_words(wide, wide_sizes), "words")
+    alone = _pairs_of_wide_baskets(words, wide_sizes.count(), k)
+    candidates = found.filter("both_wide").select("a", "b").unionByName(alone).distinct()
     in_common = (
         candidates.join(words.select(F.col(PRODUCT).alias("a"), "word", F.col("bits").alias("bits_a")), "a")
         .join(words.select(F.col(PRODUCT).alias("b"), "word", F.col("bits").alias("bits_b")), ["b", "word"])

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ripplecart.config import PRODUCT, SUB
-from ripplecart.functions.distributed import settled
+from ripplecart.functions.distributed import block_pairs, settled
 from ripplecart.functions.scalars import l2_normalised
 from ripplecart.operators.panel import in_universe
 
@@ -75,31 +75,10 @@ def _best_of_block_pairs(k: int):
 def _nearest_by_cosine(nodes: DataFrame, k: int, block: int) -> DataFrame:
     """Per source the k best positive cosines within its group, exact, as block products.
 
-    A group is cut into blocks of about ``block`` products. Each unordered pair of blocks is one
-    row, shuffled on (group, block, block), multiplied as two matrices and reduced to k rows per
-    product at once; product pairs are never materialised and a hot group spreads over many tasks.
+    Each pair of blocks is multiplied as two matrices and reduced to k rows per product at once, so
+    product pairs are never materialised and a hot group spreads over many tasks.
     """
-    sized = nodes.join(nodes.groupBy(GROUP).agg(F.count(F.lit(1)).alias("_n")), GROUP)
-    n_blocks = F.ceil(F.col("_n") / block).cast("int")
-    blocked = sized.select(
-        GROUP, PRODUCT, "unit", n_blocks.alias("m"), F.pmod(F.xxhash64(PRODUCT), n_blocks).cast("int").alias("blk")
-    )
-    item = F.struct(F.col(PRODUCT).alias("id"), F.col("unit").alias("u"))
-    blocks = (
-        blocked.groupBy(GROUP, "m", "blk")
-        .agg(F.array_sort(F.collect_list(item)).alias("items"))
-        .select(GROUP, "m", "blk", F.col("items.id").alias("ids"), F.flatten("items.u").alias("vecs"))
-    )
-    everyone = F.sequence(F.lit(0), F.col("m") - 1)
-    left = blocks.select(
-        GROUP, F.col("blk").alias("i"), F.explode(F.filter(everyone, lambda j: j >= F.col("blk"))).alias("j"),
-        F.col("ids").alias("a_ids"), F.col("vecs").alias("a_vecs"),
-    )
-    right = blocks.select(
-        GROUP, F.explode(F.filter(everyone, lambda i: i <= F.col("blk"))).alias("i"), F.col("blk").alias("j"),
-        F.col("ids").alias("b_ids"), F.col("vecs").alias("b_vecs"),
-    )
-    return left.join(right, [GROUP, "i", "j"]).select("a_ids", "a_vecs", "b_ids", "b_vecs").mapInPandas(
+    return block_pairs(nodes, GROUP, PRODUCT, "unit", block).mapInPandas(
         _best_of_block_pairs(k), "src bigint, dst bigint, w double"
     )
 

@@ -42,6 +42,19 @@ def test_cooccurrence_is_exact_whatever_counts_as_wide(spark, lines, k, wide):
     assert got == want
 
 
+@pytest.mark.parametrize("tile, block", [(1, 5), (2, 100), (16, 4)])
+def test_wide_pairs_are_complete_over_several_tiles(spark, tile, block):
+    rng = random.Random(1)
+    lines = [(b, p) for b in range(200) for p in rng.sample(range(1, 25), 8)]
+    want, _ = brute_pairs(lines, 24)
+    wide = spark.createDataFrame(lines, "BASKET_ID bigint, PRODUCT_ID bigint")
+    words = C._basket_words(wide, wide.select("BASKET_ID").distinct())
+    got = {(r.a, r.b) for r in C._pairs_of_wide_baskets(words, 200, 24, block, tile).collect()}
+    assert set(want) <= got and all(a < b for a, b in got)
+    if tile == 16:
+        assert got == set(want)  # one tile: nothing but the pairs that qualify
+
+
 def test_complement_weights_use_the_filtered_universe(spark, lines):
     keep = set(range(1, 11))
     tx = spark.createDataFrame(lines, "BASKET_ID bigint, PRODUCT_ID bigint")
