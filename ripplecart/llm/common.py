@@ -7,7 +7,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes of text that one numpy pass works on; bounds a Python worker's memory whatever the Arrow batch holds.
 PASS_BYTES = 4 << 20
@@ -119,3 +120,13 @@ def counted(sizes: np.ndarray) -> np.ndarray:
     """0, 1, ..., size - 1 for each size, end to end."""
     ends = np.cumsum(sizes)
     return np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - sizes, sizes)
+
+
+def remainder(doc_id: str, mod: int) -> Column:
+    """crc32 of the id as text, modulo; a null id counts as the empty text."""
+    return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % mod
+
+
+def hash_share(doc_id: str) -> Column:
+    """A value in [0, 1) fixed by the id, for samples."""
+    return F.pmod(F.xxhash64(F.col(doc_id).cast("string"), F.lit("sample")), F.lit(1 << 30)) / F.lit(float(1 << 30))

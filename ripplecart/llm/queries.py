@@ -9,17 +9,33 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from ripplecart.llm.common import table
+from ripplecart.llm.decontaminate import benchmark_matches
 from ripplecart.llm.exact_dedup import exact_groups
+from ripplecart.llm.html_text import main_texts
+from ripplecart.llm.language_id import identified
+from ripplecart.llm.ngram_join import jaccard_components
 from ripplecart.llm.packing import pack_documents
+from ripplecart.llm.quality import quality_scores
+from ripplecart.llm.substring_dedup import repeated_spans
+from ripplecart.llm.toxicity import toxicity_scores
 from ripplecart.llm.url_filter import rules_of, url_verdicts
 
 RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
 
 
+def op1_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return repeated_spans(table(spark, folder, "documents")).drop("spans")
+
+
 def op2_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_groups(table(spark, folder, "documents"))
 
 
+def op3_html_text(spark: SparkSession, folder: str) -> DataFrame:
+    texts = main_texts(table(spark, folder, "pages"), carry=["page_id", "url"])
+    return texts.select("page.page_id", "page.url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op4_packing(spark: SparkSession, folder: str) -> DataFrame:
     return pack_documents(table(spark, folder, "documents"))
 
@@ -30,14 +46,72 @@ def op5_url_filter(spark: SparkSession, folder: str) -> DataFrame:
     return judged.select("page_id", F.col("_host").alias("host"), F.col("_path").alias("path"), F.col("_rule").alias("rule"), F.col("_verdict").alias("verdict"))
 
 
+def op6_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    return identified(table(spark, folder, "documents"))
+
+
+def op7_quality(spark: SparkSession, folder: str) -> DataFrame:
+    return quality_scores(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+def op8_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity_scores(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+def op9_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard_components(table(spark, folder, "documents"), n=3, num=90, den=100)
+
+
+def op10_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    found = benchmark_matches(table(spark, folder, "documents"), table(spark, folder, "benchmark"), window=10, carry=["doc_id"])
+    n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s[1] - s[0])
+    return found.select(
+        "doc.doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join(F.array_sort("items"), ",").cast("binary"), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_substring_dedup": op1_substring_dedup,
     "op2_exact_dedup": op2_exact_dedup,
+    "op3_html_text": op3_html_text,
     "op4_packing": op4_packing,
     "op5_url_filter": op5_url_filter,
+    "op6_language_id": op6_language_id,
+    "op7_quality": op7_quality,
+    "op8_toxicity": op8_toxicity,
+    "op9_ngram_join": op9_ngram_join,
+    "op10_decontamination": op10_decontamination,
     "pipeline": corpus_pipeline.run,
 }
 
+LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
 SQL = {
+    "op1_substring_dedup": r"""
+        WITH t AS (
+            SELECT doc_id, row_number() OVER () AS r, hex(encode(coalesce(text, ''))) AS x, octet_length(encode(coalesce(text, ''))) AS n FROM documents
+        ), w AS (
+            SELECT r, unnest(range(0, n - 199)) AS i, x FROM t WHERE n >= 200
+        ), k AS (
+            SELECT r, i, md5_number(substring(x, 2 * i + 1, 400)) AS h FROM w
+        ), again AS (
+            SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY h) AS c FROM k) WHERE c > 1
+        ), marked AS (
+            SELECT r, i, CASE WHEN i <= max(i) OVER (PARTITION BY r ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 200 THEN 0 ELSE 1 END AS new FROM again
+        ), spans AS (
+            SELECT r, s, min(i) AS a, max(i) + 200 AS b FROM (SELECT r, i, sum(new) OVER (PARTITION BY r ORDER BY i) AS s FROM marked) GROUP BY r, s
+        ), lists AS (
+            SELECT r, sum(b - a) AS gone, count(*) AS spans, list(a ORDER BY a) AS starts, list(b ORDER BY a) AS ends FROM spans GROUP BY r
+        ), kept AS (
+            SELECT t.r, string_agg(substring(x, 2 * p + 1, 2 * (q - p)), '' ORDER BY p) AS x FROM (
+                SELECT t.r, t.x, unnest([0] || l.ends) AS p, unnest(l.starts || [t.n]) AS q FROM t JOIN lists l USING (r)
+            ) t GROUP BY t.r
+        )
+        SELECT t.doc_id, CAST(t.n AS BIGINT) AS n_bytes, CAST(coalesce(l.gone, 0) AS BIGINT) AS n_removed, CAST(coalesce(l.spans, 0) AS BIGINT) AS n_spans,
+               sha256(unhex(coalesce(kept.x, t.x))) AS kept_sha256
+        FROM t LEFT JOIN lists l USING (r) LEFT JOIN kept USING (r)
+    """,
     "op2_exact_dedup": r"""
         WITH t AS (
             SELECT doc_id, length(coalesce(text, '')) AS n_code_points,
@@ -66,4 +140,46 @@ SQL = {
         )
         SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM m WHERE k = 1
     """,
+    "op9_ngram_join": rf"""
+        WITH RECURSIVE w AS (
+            SELECT doc_id, regexp_extract_all({LOWER}, '[^\x20\x09-\x0D]+') AS w FROM documents
+        ), s AS (
+            SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+                   ELSE list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' ')) END) AS g FROM w
+        ), n AS (
+            SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+        ), o AS (
+            SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS o FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL
+        ), l AS (
+            SELECT x, y FROM o JOIN n p ON p.doc_id = x JOIN n q ON q.doc_id = y WHERE 100 * o >= 90 * (p.n + q.n - o)
+        ), e AS (
+            SELECT x, y FROM l UNION ALL SELECT y, x FROM l
+        ), r(doc_id, c) AS (
+            SELECT doc_id, doc_id FROM documents UNION SELECT e.y, r.c FROM r JOIN e ON e.x = r.doc_id
+        )
+        SELECT r.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(r.c) AS component_id FROM r LEFT JOIN n USING (doc_id) GROUP BY r.doc_id
+    """,
+    "op10_decontamination": rf"""
+        WITH d AS (
+            SELECT doc_id, regexp_extract_all({LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+        ), i AS (
+            SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all({LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark
+        ), t AS (
+            SELECT DISTINCT item, least(len(w), 10) AS n, array_to_string(w[p:p + least(len(w), 10) - 1], ' ') AS g
+            FROM (SELECT item, w, unnest(range(1, len(w) - least(len(w), 10) + 2)) AS p FROM i WHERE len(w) > 0)
+        ), sizes AS (
+            SELECT DISTINCT n FROM t
+        ), q AS (
+            SELECT doc_id, p, n, array_to_string(w[p:p + n - 1], ' ') AS g FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS p FROM d, sizes WHERE len(w) >= n)
+        ), h AS (
+            SELECT q.doc_id, q.p, q.n, t.item FROM q JOIN t ON q.g = t.g AND q.n = t.n
+        ), words AS (
+            SELECT doc_id, count(DISTINCT k) AS n_hit FROM (SELECT doc_id, unnest(range(p, p + n)) AS k FROM h) GROUP BY doc_id
+        ), items AS (
+            SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS ids FROM (SELECT DISTINCT doc_id, item FROM h) GROUP BY doc_id
+        )
+        SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+               sha256(coalesce(ids, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+        FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
+    """,
 }
