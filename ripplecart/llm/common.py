@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that one numpy pass works on; bounds a Python worker's memory whatever the Arrow batch holds.
-PASS_BYTES = 4 << 20
+PASS_BYTES = 1 << 20
 
 U64 = np.uint64
 

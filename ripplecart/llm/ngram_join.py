@@ -125,10 +125,26 @@ def set_hash(text: np.ndarray, gram: np.ndarray, n: int) -> tuple[np.ndarray, np
 _SCANNED = "part int, doc_id long, n long, h long, packed binary"
 
 
+#: (signature, set) pairs that a task gathers before it packs them by part.
+GATHERED = 1 << 19
+
+
 def _scan(n: int, signer: Signer, parts: int):
-    """Per document a row with size and hash of its set; per part and pass the packed (signature, set) pairs."""
+    """Per document a row with size and hash of its set; per part the packed (signature, set) pairs of many passes."""
+    names = ["part", "doc_id", "n", "h", "packed"]
+
+    def packed(waiting: list[np.ndarray]) -> pa.RecordBatch:
+        pairs = np.concatenate(waiting) if waiting else np.zeros((0, 2), U64)
+        waiting.clear()
+        part = (pairs[:, 0] % U64(parts)).astype(np.int64)
+        order = np.argsort(part.astype(np.uint16) if parts < 65536 else part, kind="stable")
+        pairs, cut = pairs[order], np.searchsorted(part[order], np.arange(parts + 1))
+        held = np.flatnonzero(np.diff(cut))
+        blank = [pa.nulls(len(held), pa.int64())] * 3
+        return pa.RecordBatch.from_arrays([pa.array(held.astype(np.int32)), *blank, pa.array([pairs[cut[p] : cut[p + 1]].tobytes() for p in held], pa.binary())], names=names)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting: list[np.ndarray] = []
         for batch in passes(batches):
             rows = batch.num_rows
             text, gram = ngrams(*utf8(batch.column("text")), n)
@@ -138,21 +154,13 @@ def _scan(n: int, signer: Signer, parts: int):
             once[first] = True
             who, sig = signer.sign(text, gram, sizes)
             who, sig = who[once[who]], sig[once[who]]
-            part = (sig % U64(parts)).astype(np.int64)
-            order = np.argsort(part.astype(np.uint16) if parts < 65536 else part, kind="stable")
-            pairs = np.stack([sig[order], h[who[order]]], 1)
-            cut = np.searchsorted(part[order], np.arange(parts + 1))
-            held = [p for p in range(parts) if cut[p] < cut[p + 1]]
-            none = [None] * len(held)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(np.concatenate([(h % U64(parts)).astype(np.int32), np.array(held, np.int32)])),
-                    pa.array(batch.column("doc_id").to_pylist() + none, pa.int64()),
-                    pa.array(sizes.tolist() + none, pa.int64()), pa.array(signed(h).tolist() + none, pa.int64()),
-                    pa.array([None] * rows + [pairs[cut[p] : cut[p + 1]].tobytes() for p in held], pa.binary()),
-                ],
-                names=["part", "doc_id", "n", "h", "packed"],
-            )
+            waiting.append(np.stack([sig, h[who]], 1))
+            docs = [pa.array((h % U64(parts)).astype(np.int32)), batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(signed(h)), pa.nulls(rows, pa.binary())]
+            yield pa.RecordBatch.from_arrays(docs, names=names)
+            if sum(map(len, waiting)) >= GATHERED:
+                yield packed(waiting)
+        if waiting:
+            yield packed(waiting)
 
     return scan
 
