@@ -155,7 +155,7 @@ def _scan(n: int, signer: Signer, parts: int):
             who, sig = signer.sign(text, gram, sizes)
             who, sig = who[once[who]], sig[once[who]]
             waiting.append(np.stack([sig, h[who]], 1))
-            docs = [pa.array((h % U64(parts)).astype(np.int32)), batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(signed(h)), pa.nulls(rows, pa.binary())]
+            docs = [pa.array((np.arange(rows) % parts).astype(np.int32)), batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(signed(h)), pa.nulls(rows, pa.binary())]
             yield pa.RecordBatch.from_arrays(docs, names=names)
             if sum(map(len, waiting)) >= GATHERED:
                 yield packed(waiting)

@@ -116,7 +116,7 @@ def _scan(length: int, k: int, parts: int):
             none = pa.nulls(len(raw), pa.binary())
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array((keys % U64(parts)).astype(np.int32)), batch.column("doc_id").cast(pa.int64()), pa.array(signed(keys)),
+                    pa.array((np.arange(len(raw)) % parts).astype(np.int32)), batch.column("doc_id").cast(pa.int64()), pa.array(signed(keys)),
                     pa.array([len(x) for x in raw], pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in raw], pa.string()), none,
                 ],
                 names=["part", "doc_id", "h", "n_bytes", "sha", "packed"],
