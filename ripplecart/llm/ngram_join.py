@@ -2,10 +2,12 @@
 
 **Dealing out.** Two sets whose similarity reaches num/den differ in at most D = (a + b)(den - num)/(den + num) n-grams.
 Sets of a size class are cut by a hash of their n-grams into more groups than they may differ in, so linked
-sets agree on a whole group: its hash is a *signature* that both have. Sets near a class border sign for the next class as
-well. Nothing is capped: empty groups sign too where a set has more of them than the spare groups allow for. Signatures
-travel as packed arrays, not as rows. Sets that share one get a candidate link to the smallest of their holders,
-and the components of candidate links are *families*, mostly true near copies.
+sets agree on whole groups: a group's hash is a *signature* that both have. Sets near a class border sign for the next class
+as well. There are spare groups, so linked sets share at least a known number of signatures of non-empty groups; empty
+groups sign too where a set has more of them than there are spare ones. Signatures travel as packed arrays, not as rows.
+Two sets that share enough get a candidate link. Signatures of more than FEW sets are not paired: sets that have so many of
+them that these alone could be enough are linked to the smallest such set of each. The components of candidate links are
+*families*, nearly always true near copies: a passage that many texts share gives a few signatures, not enough.
 
 **Joining.** A task gets the sets of a family. It puts them, in one global order of n-grams (commonest in the
 task first), into a prefix tree and sends all queries down together: sets with a common beginning share the overlap counted
@@ -31,6 +33,8 @@ from ripplecart.llm.components import components
 
 #: Sets of a block.
 BLOCK = 512
+#: Sets of a signature up to which their pairs are listed.
+FEW = 16
 #: Sizes of a size class differ by this factor at most.
 CLASS = 0.75
 
@@ -79,17 +83,23 @@ class Signer:
         return np.array(out)
 
     def groups(self, top: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Groups of a class with largest size `top`, and how many of them may be passed over."""
+        """Groups of a class with largest size `top`, and how many more they are than linked sets need."""
         differ = 2 * top * (self.den - self.num) // (self.den + self.num)
-        spare = np.where(differ > 0, 1 + differ // 10, 0)
+        spare = np.where(differ > 0, 1 + 3 * differ // 10, 0)
         return differ + 1 + spare, spare
 
-    def sign(self, text: np.ndarray, gram: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Signatures of the sets: text number and signature."""
+    def sign(self, text: np.ndarray, gram: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Signatures of the sets: text number and signature, whose last byte is the size class.
+
+        And for each set its class, and the least number of signatures that it shares with a linked set in that
+        class and in the next (0 where it does not sign); of two sets, the larger number holds.
+        """
+        needs = np.zeros((len(sizes), 3), np.int64)
         if not len(text):
-            return np.zeros(0, np.int64), np.zeros(0, U64)
+            return np.zeros(0, np.int64), np.zeros(0, U64), needs
         tops = self.classes(int(sizes.max()))
         own = np.searchsorted(tops, sizes, "left")
+        needs[:, 0] = own % 256
         start = np.concatenate(([0], np.cumsum(sizes)))
         out = []
         for step in (0, 1):
@@ -109,9 +119,11 @@ class Signer:
             owner = np.repeat(np.arange(len(who)), n)
             empty = np.bincount(owner, full == 0, len(who))
             used = (full > 0) | (empty > spare)[owner]
+            needs[who, 1 + step] = np.maximum(1 + spare - empty, 1)
             place = (kind[owner].astype(U64) << U64(32)) + counted(n).astype(U64)
-            out.append((who[owner][used], mixed(total + mixed(place))[used]))
-        return np.concatenate([o[0] for o in out]), np.concatenate([o[1] for o in out])
+            sig = mixed(total + mixed(place)) & ~U64(255) | (kind[owner] % 256).astype(U64)
+            out.append((who[owner][used], sig[used]))
+        return np.concatenate([o[0] for o in out]), np.concatenate([o[1] for o in out]), needs
 
 
 def set_hash(text: np.ndarray, gram: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -122,7 +134,7 @@ def set_hash(text: np.ndarray, gram: np.ndarray, n: int) -> tuple[np.ndarray, np
     return sizes, mixed(total + sizes.astype(U64))
 
 
-_SCANNED = "part int, doc_id long, n long, h long, packed binary"
+_SCANNED = "part int, doc_id long, n long, h long, class int, need int, need_next int, packed binary"
 
 
 #: (signature, set) pairs that a task gathers before it packs them by part.
@@ -131,16 +143,16 @@ GATHERED = 1 << 19
 
 def _scan(n: int, signer: Signer, parts: int):
     """Per document a row with size and hash of its set; per part the packed (signature, set) pairs of many passes."""
-    names = ["part", "doc_id", "n", "h", "packed"]
+    names = ["part", "doc_id", "n", "h", "class", "need", "need_next", "packed"]
 
     def packed(waiting: list[np.ndarray]) -> pa.RecordBatch:
         pairs = np.concatenate(waiting) if waiting else np.zeros((0, 2), U64)
         waiting.clear()
-        part = (pairs[:, 0] % U64(parts)).astype(np.int64)
+        part = ((pairs[:, 0] >> U64(8)) % U64(parts)).astype(np.int64)
         order = np.argsort(part.astype(np.uint16) if parts < 65536 else part, kind="stable")
         pairs, cut = pairs[order], np.searchsorted(part[order], np.arange(parts + 1))
         held = np.flatnonzero(np.diff(cut))
-        blank = [pa.nulls(len(held), pa.int64())] * 3
+        blank = [pa.nulls(len(held), t) for t in (pa.int64(),) * 3 + (pa.int32(),) * 3]
         return pa.RecordBatch.from_arrays([pa.array(held.astype(np.int32)), *blank, pa.array([pairs[cut[p] : cut[p + 1]].tobytes() for p in held], pa.binary())], names=names)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -152,10 +164,11 @@ def _scan(n: int, signer: Signer, parts: int):
             _, first = np.unique(h, return_index=True)  # equal sets of a pass sign once
             once = np.zeros(rows, bool)
             once[first] = True
-            who, sig = signer.sign(text, gram, sizes)
+            who, sig, needs = signer.sign(text, gram, sizes)
             who, sig = who[once[who]], sig[once[who]]
             waiting.append(np.stack([sig, h[who]], 1))
-            docs = [pa.array((np.arange(rows) % parts).astype(np.int32)), batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(signed(h)), pa.nulls(rows, pa.binary())]
+            docs = [pa.array((np.arange(rows) % parts).astype(np.int32)), batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(signed(h))]
+            docs += [pa.array(c.astype(np.int32)) for c in needs.T] + [pa.nulls(rows, pa.binary())]
             yield pa.RecordBatch.from_arrays(docs, names=names)
             if sum(map(len, waiting)) >= GATHERED:
                 yield packed(waiting)
@@ -165,68 +178,101 @@ def _scan(n: int, signer: Signer, parts: int):
     return scan
 
 
-_MET = "doc_id long, n long, h long, leader long, shared long"
+_MET = "kind int, doc_id long, n long, h long, class int, need int, need_next int, other long, shared int"
+_DOC, _PAIR, _MANY = 0, 1, 2
 
 
-def _meet(most: int = 4 << 20):
-    """Of a part's signatures: candidate links (h, leader) of sets that share them. Document rows pass through.
+def _meet(few: int = FEW, most: int = 1 << 21):
+    """Of a part: pairs of sets that share signatures of at most `few` sets, with their number and size class; the rows
+    (set, signature) of other signatures; document rows as they are.
 
-    The pairs are sorted `most` at a time; between runs only one holder of each signature is kept.
+    Signatures found to have more sets leave memory, so a part never holds more than `few` sets of each.
     """
+    types = {"kind": pa.int32(), "doc_id": pa.int64(), "n": pa.int64(), "h": pa.int64(), "class": pa.int32(), "need": pa.int32(), "need_next": pa.int32(), "other": pa.int64(), "shared": pa.int32()}
+
+    def rows(size: int, **columns: pa.Array) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([columns.get(c, pa.nulls(size, t)).cast(t) for c, t in types.items()], names=list(types))
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, holder = np.zeros(0, U64), np.zeros(0, U64)
+        kept, many = np.zeros((0, 2), U64), np.zeros(0, U64)
         waiting, held = [], 0
 
-        def close() -> pa.RecordBatch | None:
-            nonlocal known, holder, waiting, held
-            if not waiting:
-                return None
-            pairs = np.concatenate(waiting)
+        def compact() -> pa.RecordBatch | None:
+            """Sort what waits into what is kept; the rows of signatures with more than `few` sets."""
+            nonlocal kept, many, waiting, held
+            pairs = np.concatenate([kept, *waiting])
             waiting, held = [], 0
-            sig, h = pairs[:, 0], pairs[:, 1]
-            order = np.lexsort((h, sig))
-            sig, h = sig[order], h[order]
-            cut = runs(sig)
-            distinct = sig[cut[:-1]]
-            leader = h[cut[:-1]].copy()
-            at = np.minimum(np.searchsorted(known, distinct), max(len(known) - 1, 0))
-            old = known[at] == distinct if len(known) else np.zeros(len(distinct), bool)
-            leader[old] = holder[at[old]]
-            lead = np.repeat(leader, np.diff(cut))
-            other = h != lead
-            links = np.stack([h[other], lead[other]], 1)
-            merged = np.concatenate((known, distinct[~old]))
-            order = np.argsort(merged, kind="stable")
-            known, holder = merged[order], np.concatenate((holder, leader[~old]))[order]
-            if not len(links):
+            order = np.lexsort((pairs[:, 1], pairs[:, 0]))
+            pairs = pairs[order]
+            if len(pairs):
+                pairs = pairs[np.concatenate(([True], (pairs[1:] != pairs[:-1]).any(1)))]
+            size = np.diff(runs(pairs[:, 0]))
+            out = np.repeat(size, size) > few
+            if len(many):
+                out |= many[np.minimum(np.searchsorted(many, pairs[:, 0]), len(many) - 1)] == pairs[:, 0]
+            gone, kept = pairs[out], pairs[~out]
+            many = np.union1d(many, gone[:, 0])
+            if not len(gone):
                 return None
-            order = np.lexsort((links[:, 1], links[:, 0]))
-            links = links[order]
-            new = np.flatnonzero(np.concatenate(([True], (links[1:] != links[:-1]).any(1))))
-            n = np.diff(np.append(new, len(links)))
-            return pa.RecordBatch.from_arrays(
-                [pa.nulls(len(new), pa.int64()), pa.nulls(len(new), pa.int64()), pa.array(signed(np.ascontiguousarray(links[new, 0]))), pa.array(signed(np.ascontiguousarray(links[new, 1]))), pa.array(n)],
-                names=["doc_id", "n", "h", "leader", "shared"],
-            )
+            sig, h = (np.ascontiguousarray(gone[:, c]) for c in (0, 1))
+            n = len(gone)
+            return rows(n, kind=pa.array(np.full(n, _MANY)), h=pa.array(signed(h)), other=pa.array(signed(sig)), **{"class": pa.array((sig & U64(255)).astype(np.int32))})
 
         for batch in batches:
-            is_doc = batch.column("h").is_valid()
-            docs = batch.filter(is_doc)
+            docs = batch.filter(batch.column("h").is_valid())
             if docs.num_rows:
-                none = pa.nulls(docs.num_rows, pa.int64())
-                yield pa.RecordBatch.from_arrays([docs.column("doc_id"), docs.column("n"), docs.column("h"), none, none], names=["doc_id", "n", "h", "leader", "shared"])
+                yield rows(docs.num_rows, kind=pa.array(np.full(docs.num_rows, _DOC)), **{c: docs.column(c) for c in ("doc_id", "n", "h", "class", "need", "need_next")})
             for packed in batch.column("packed").drop_null().to_pylist():
                 waiting.append(np.frombuffer(packed, U64).reshape(-1, 2))
                 held += len(waiting[-1])
-                if held >= most and (made := close()) is not None:
+                if held >= max(most, 2 * len(kept)) and (made := compact()) is not None:
                     yield made
-        if (made := close()) is not None:
+        if (made := compact()) is not None:
             yield made
+        cut = runs(kept[:, 0])
+        found = []
+        for m in range(2, few + 1):  # all pairs of the signatures with m sets
+            start = cut[:-1][np.diff(cut) == m]
+            i, j = np.triu_indices(m, 1)
+            if len(start):
+                one, two = (start[:, None] + i).ravel(), (start[:, None] + j).ravel()
+                found.append(np.stack([kept[two, 1], kept[one, 1], kept[one, 0] & U64(255)], 1))
+        kept = np.zeros((0, 2), U64)
+        if not found:
+            return
+        found = np.concatenate(found)
+        found = found[np.lexsort((found[:, 2], found[:, 1], found[:, 0]))]
+        new = np.flatnonzero(np.concatenate(([True], (found[1:] != found[:-1]).any(1))))
+        shared = np.diff(np.append(new, len(found)))
+        for a in range(0, len(new), 100_000):
+            some, k = new[a : a + 100_000], shared[a : a + 100_000]
+            h, other, kind = (np.ascontiguousarray(found[some, c]) for c in range(3))
+            yield rows(len(some), kind=pa.array(np.full(len(some), _PAIR)), h=pa.array(signed(h)), other=pa.array(signed(other)), shared=pa.array(k), **{"class": pa.array(kind.astype(np.int32))})
 
     return meet
 
 
+def _hints(met: DataFrame) -> DataFrame:
+    """Candidate links h, leader with the number of signatures they share: all linked pairs are joined by them, directly or by way
+    of the sets that share a signature of many."""
+    sets = met.where(F.col("kind") == _DOC).groupBy("h").agg(F.first("class").alias("own"), F.first("need").alias("need"), F.first("need_next").alias("need_next"))
+    need = F.when(F.col("class") == F.col("own"), F.col("need")).otherwise(F.col("need_next"))
+    pairs = met.where(F.col("kind") == _PAIR).groupBy("h", F.col("other").alias("leader"), "class").agg(F.sum("shared").alias("shared"))
+    many = saved(met.where(F.col("kind") == _MANY).select("h", "class", F.col("other").alias("sig")).distinct(), "many")
+    load = saved(many.groupBy("h", "class").agg(F.count(F.lit(1)).alias("load")).join(sets, "h").select("h", "class", "load", need.alias("need")), "load")
+    for who, at in (("h", "a"), ("leader", "b")):
+        side = sets.select(F.col("h").alias(who), *(F.col(c).alias(f"{at}_{c}") for c in ("own", "need", "need_next")))
+        pairs = pairs.join(side, who).join(load.select(F.col("h").alias(who), "class", F.col("load").alias(f"{at}_load")), [who, "class"], "left")
+    needs = [F.when(F.col("class") == F.col(f"{at}_own"), F.col(f"{at}_need")).otherwise(F.col(f"{at}_need_next")) for at in ("a", "b")]
+    spared = F.least(F.coalesce("a_load", F.lit(0)), F.coalesce("b_load", F.lit(0)))
+    enough = pairs.where(F.col("shared") >= F.greatest(*needs) - spared)
+    hot = load.where("load >= need").select("h", "class")
+    rows = many.join(hot, ["h", "class"], "left_semi")
+    leaders = rows.groupBy("sig").agg(F.min("h").alias("leader"))
+    stars = rows.join(leaders, "sig").where("h <> leader").groupBy("h", "leader").agg(F.count(F.lit(1)).alias("shared"))
+    return enough.select("h", "leader", "shared").unionByName(stars).groupBy("h", "leader").agg(F.sum("shared").alias("shared"))
+
+
 # ---------------------------------------------------------------------------------------------------------------- prefix tree
 
 
@@ -396,13 +442,13 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
     return texts.mapInArrow(sets, "h long, n long, grams binary")
 
 
-def links(docs: DataFrame, n: int, num: int, den: int, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
+def links(docs: DataFrame, n: int, num: int, den: int, block: int = BLOCK, few: int = FEW) -> tuple[DataFrame, DataFrame]:
     """All documents as (doc_id, n, h), and links (a, b) between set hashes whose components are those of all links."""
     parts = tasks(docs, 2)
     scanned = docs.select("doc_id", "text").mapInArrow(_scan(n, Signer(num, den), parts), _SCANNED)
-    met = saved(scanned.repartitionById(parts, F.col("part")).mapInArrow(_meet(), _MET), "met")
-    known = met.where("leader is null").select("doc_id", "n", "h")
-    hints = saved(met.where("leader is not null").groupBy("h", "leader").agg(F.sum("shared").alias("shared")), "hints")
+    met = saved(scanned.repartitionById(parts, F.col("part")).mapInArrow(_meet(few), _MET), "met")
+    known = met.where(F.col("kind") == _DOC).select("doc_id", "n", "h")
+    hints = saved(_hints(met), "hints")
     family = saved(components(hints, "h", "leader").select(F.col("v").alias("h"), F.col("label").alias("family")), "family")
     holders = known.groupBy("h").agg(F.min("doc_id").alias("doc_id"))
     sets = saved(_sets_of(docs, family.join(holders, "h").select("h", "doc_id"), n), "sets")
@@ -451,7 +497,7 @@ def _large_links(large: DataFrame, hints: DataFrame, num: int, den: int, block:
     return stars.unionByName(saved(_tree_join(asking.unionByName(asked), num, den), "rest"))
 
 
-def jaccard_components(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100, block: int = BLOCK) -> DataFrame:
+def jaccard_components(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100, block: int = BLOCK, few: int = FEW) -> DataFrame:
     """One row per row of `docs`: doc_id, n_shingles, component_id.
 
     A document's set is its distinct n-word shingles, its whole word sequence where it has fewer words; documents link
@@ -461,7 +507,7 @@ def jaccard_components(docs: DataFrame, n: int = 3, num: int = 90, den: int = 10
     of such rows alone has a null id. Other columns are not read. An empty table gives an empty result.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
-    known, found = links(rows, n, num, den, block)
+    known, found = links(rows, n, num, den, block, few)
     label = components(found, "a", "b")
     sets = known.where("n > 0").groupBy("h").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies"))
     sets = saved(sets.join(label.withColumnRenamed("v", "h"), "h", "left").select("h", "least", "copies", F.coalesce("label", "h").alias("label"), F.col("label").isNotNull().alias("linked")), "classes")

@@ -164,10 +164,10 @@ def brute_components(rows, n, num, den):
     return Counter((doc_id, len(sets[i]), name[root(i)]) for i, (doc_id, _) in enumerate(rows))
 
 
-@pytest.mark.parametrize(("n", "num", "block"), [(3, 90, 512), (3, 90, 2), (5, 80, 512), (5, 80, 3), (2, 50, 2)])
-def test_components_match_brute_force(spark, n, num, block):
+@pytest.mark.parametrize(("n", "num", "block", "few"), [(3, 90, 512, 16), (3, 90, 2, 1), (5, 80, 512, 2), (5, 80, 3, 3), (2, 50, 2, 16)])
+def test_components_match_brute_force(spark, n, num, block, few):
     rows = odd_texts(random.Random(6))
-    got = jaccard_components(table(spark, rows), n, num, 100, block=block).collect()
+    got = jaccard_components(table(spark, rows), n, num, 100, block=block, few=few).collect()
     assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == brute_components(rows, n, num, 100)
 
 
@@ -185,13 +185,17 @@ def test_linked_sets_share_a_signature_and_meet_in_the_tree():
     for n, num, den in ((3, 90, 100), (5, 80, 100), (2, 1, 3)):
         text, gram = ngram_join.ngrams(*utf8(pa.array(texts)), n)
         sizes, _ = ngram_join.set_hash(text, gram, len(texts))
-        who, sig = Signer(num, den).sign(text, gram, sizes)
+        who, sig, needs = Signer(num, den).sign(text, gram, sizes)
         sets = [gram[text == i] for i in range(len(texts))]
         assert [len(s) for s in sets] == [len(shingles(t, n)) for t in texts]
         signed = [set(sig[who == i].tolist()) for i in range(len(texts))]
         some = [i for i in range(len(texts)) if len(sets[i])]
         want = {(a, b) for a, i in enumerate(some) for b, j in enumerate(some) if den * len(np.intersect1d(sets[i], sets[j])) >= num * len(np.union1d(sets[i], sets[j]))}
-        assert all(signed[some[a]] & signed[some[b]] for a, b in want)
+        for a, b in want:
+            i, j = some[a], some[b]
+            shared = Counter(x & 255 for x in signed[i] & signed[j])
+            both = [(k, max(needs[i, 1 + (k != needs[i, 0])], needs[j, 1 + (k != needs[j, 0])])) for k in shared]
+            assert both and any(shared[k] >= least for k, least in both)
         got = {(s, q) for s, linked in PrefixTree([sets[i] for i in some]).join([sets[i] for i in some], num, den, width=3000) for q in linked.tolist()}
         assert got == want
 
