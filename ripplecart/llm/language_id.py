@@ -25,7 +25,7 @@ from ripplecart.llm.common import hash_share, passes, remainder, utf8
 
 BITS = 14
 SIZES = (2, 3, 4)
-PER_LANGUAGE, MOST_LANGUAGES = 1000, 200
+PER_LANGUAGE, MOST_LANGUAGES = 400, 200
 UNKNOWN = "und"
 
 _BREAK = np.arange(256, dtype=np.uint8)
