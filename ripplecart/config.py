@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
-from pathlib import Path
-from tempfile import gettempdir
 
 from pyspark.sql import SparkSession
 
@@ -67,13 +65,11 @@ def prepare_session(spark: SparkSession) -> SparkSession:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder of the cluster; a local one only where none is configured."""
+    """The cluster's shared checkpoint folder; where none is configured, a folder in the warehouse, which is shared as well."""
     sc = spark.sparkContext
     configured = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if configured is None:
-        if not sc.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        configured = str(Path(gettempdir()) / "ripplecart-checkpoints")
+        configured = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_scratch"
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(configured)
     return configured

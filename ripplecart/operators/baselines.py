@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ripplecart.config import CELL, HIERARCHY, SPILLOVER_FEATURES, STORE, WEEK
-from ripplecart.functions.distributed import settled, sample_exact
+from ripplecart.functions.distributed import settled
 from ripplecart.operators.covariates import covariates, with_label_codes, with_row_folds
 from ripplecart.operators.dml import effects_table, fit_linear_cate
 from ripplecart.operators.linear import ols_hc1, z_value
@@ -121,14 +121,14 @@ def forest_baseline(
     seed: int = 42,
     include_discount_rate: bool = False,
 ) -> tuple[DataFrame, DataFrame]:
-    """(effects, keyed CATE) of the residual forest; the interval comes from the debiased score."""
+    """(effects, keyed CATE) of the residual forest; estimate and interval are those of the debiased score's mean."""
     res = _residuals(
         panel, outcome, treatment, n_folds, nuisance or Nuisance(), embeddings, False, include_discount_rate, seed
     )
     scored = settled(forest_cate(res, trees, depth, seed=seed))
     t2 = scored.agg(F.avg(F.col("t_res") * F.col("t_res"))).scalar()
     score = F.col("cate") + F.col("t_res") * (F.col("y_res") - F.col("cate") * F.col("t_res")) / t2
-    m = scored.agg(F.avg("cate").alias("ate"), F.stddev_samp(score).alias("sd"), F.count(F.lit(1)).alias("n")).first()
+    m = scored.agg(F.avg(score).alias("ate"), F.stddev_samp(score).alias("sd"), F.count(F.lit(1)).alias("n")).first()
     se = m["sd"] / np.sqrt(m["n"])
     z = z_value(confidence_level)
     row = ("rlearner_forest", "direct", m["ate"], float(se), float(m["ate"] - z * se), float(m["ate"] + z * se), m["n"])
@@ -145,18 +145,14 @@ def run_all_baselines(
     confidence_level: float = 0.95,
     seed: int = 42,
     include_discount_rate: bool = False,
-    dml_max_rows: int | None = None,
     forest_trees: int = 200,
     forest_depth: int = 8,
 ) -> DataFrame:
-    """All four baselines as one table. OLS always sees every row.
+    """All four baselines as one table, each over every row.
 
-    ``dml_max_rows`` draws an exact sample for the other three; off by default, since they do not
-    need to fit into one machine's memory here. The last baseline needs the spillover features in
-    the panel.
+    The last baseline needs the spillover features in the panel.
     """
     panel = settled(panel)
-    rest = panel if dml_max_rows is None else settled(sample_exact(panel, CELL, dml_max_rows, seed=seed))
     common = {
         "outcome": outcome, "treatment": treatment, "confidence_level": confidence_level,
         "include_discount_rate": include_discount_rate,
@@ -164,8 +160,8 @@ def run_all_baselines(
     ml = {**common, "n_folds": n_folds, "nuisance": nuisance, "embeddings": embeddings, "seed": seed}
     tables = {
         "B1": ols_baseline(panel, **common),
-        "B2": forest_baseline(rest, **ml, trees=forest_trees, depth=forest_depth)[0],
-        "B3": dml_baseline(rest, **ml),
-        "B4": dml_baseline(rest, **ml, include_spillover=True),
+        "B2": forest_baseline(panel, **ml, trees=forest_trees, depth=forest_depth)[0],
+        "B3": dml_baseline(panel, **ml),
+        "B4": dml_baseline(panel, **ml, include_spillover=True),
     }
     return stack_results(tables, "baseline")

@@ -10,18 +10,24 @@ from pyspark.sql import functions as F
 from ripplecart.config import PRODUCT
 from ripplecart.operators.walks import biased_walks, unbiased_walks
 
+#: Walk steps of a training shard.
+SHARD_STEPS = 1_000_000
+
 
 def skip_gram(
-    walks: DataFrame, dim: int = 64, window: int = 5, epochs: int = 5, partitions: int = 8, seed: int = 42
+    walks: DataFrame, dim: int = 64, window: int = 5, epochs: int = 5, partitions: int | None = None, seed: int = 42
 ) -> DataFrame:
     """Skip-gram vectors of the walk corpus: (PRODUCT_ID, embedding).
 
-    MLlib trains on ``partitions`` shards of the corpus and merges them every epoch; what it keeps on
-    the driver is the vocabulary times ``dim``, i.e. grows with the catalog and not with the walks.
+    MLlib trains on ``partitions`` shards of the corpus, by default one per SHARD_STEPS steps, and merges them every
+    epoch; walks are never split. What it keeps on the driver is the vocabulary times ``dim``, i.e. grows with the
+    catalog and not with the walks.
     """
+    size = walks.agg(F.max(F.size("walk")).alias("longest"), F.sum(F.size("walk")).alias("steps")).first()
+    partitions = partitions or max(1, -(-(size.steps or 0) // SHARD_STEPS))
     model = Word2Vec(
         vectorSize=dim, windowSize=window, minCount=0, maxIter=epochs, numPartitions=partitions, seed=seed,
-        inputCol="walk", outputCol="v", maxSentenceLength=1000,
+        inputCol="walk", outputCol="v", maxSentenceLength=max(size.longest or 1, 1),
     ).fit(walks)
     return model.getVectors().select(
         F.col("word").cast("bigint").alias(PRODUCT),
@@ -37,7 +43,7 @@ def train_node_embeddings(
     walk_length: int = 80,
     p: float = 1.0,
     q: float = 1.0,
-    partitions: int = 8,
+    partitions: int | None = None,
     seed: int = 42,
 ) -> DataFrame:
     """One row per node, isolated ones included: their walk is the node itself."""

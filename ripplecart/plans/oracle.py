@@ -70,7 +70,7 @@ CTES = {
         FROM idx LEFT JOIN cells USING ({KEYS}) LEFT JOIN flags USING ({KEYS}) LEFT JOIN product USING (PRODUCT_ID)""",
     "emb": """
         SELECT vec_id AS PRODUCT_ID, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
-        WHERE vec_id IN (SELECT PRODUCT_ID FROM product) AND vec_id % 17 <> 0""",
+        WHERE vec_id IN (SELECT PRODUCT_ID FROM product)""",
     "items": "SELECT DISTINCT BASKET_ID, PRODUCT_ID FROM tx",
     "marginal": "SELECT PRODUCT_ID, count(*) AS n_baskets FROM items GROUP BY 1",
     "pairs": """
@@ -118,9 +118,6 @@ CTES = {
                CAST(CASE WHEN (r // 5) % 2 = 0 THEN r % 5 ELSE 4 - r % 5 END AS INTEGER) AS fold
         FROM (SELECT PRODUCT_ID, count(*) AS n_rows, row_number() OVER (ORDER BY count(*) DESC, PRODUCT_ID) - 1 AS r
               FROM panel GROUP BY 1)""",
-    "cate": f"""
-        SELECT *, {u("'c0'", CELL_KEY)} - 0.3 AS direct_cate, {u("'c1'", CELL_KEY)} - 0.5 AS sub_spillover_cate,
-               {u("'c2'", CELL_KEY)} - 0.4 AS comp_spillover_cate FROM panel""",
     "cate_groups": """
         SELECT DEPARTMENT, avg(direct_cate) AS direct_mean, stddev_samp(direct_cate) AS direct_std,
                avg(sub_spillover_cate) AS sub_spill_mean, stddev_samp(sub_spillover_cate) AS sub_spill_std,
@@ -137,6 +134,11 @@ CTES = {
         SELECT o_custkey AS household_key,
                CAST(date_diff('day', TIMESTAMP '1995-01-01', o_orderdate) + 1 AS INTEGER) AS DAY,
                o_orderkey % 500 AS COUPON_UPC FROM orders WHERE o_orderpriority = '1-URGENT'""",
+    "campaigns": """
+        SELECT CAST(o_orderkey % 30 AS INTEGER) AS CAMPAIGN,
+               CAST(min(date_diff('day', TIMESTAMP '1995-01-01', o_orderdate)) + 1 AS INTEGER) AS START_DAY,
+               CAST(max(date_diff('day', TIMESTAMP '1995-01-01', o_orderdate)) + 1 AS INTEGER) AS END_DAY FROM orders GROUP BY 1""",
+    "coupons": "SELECT DISTINCT COUPON_UPC FROM redemptions",
     "demographics": "SELECT c_custkey AS household_key, c_mktsegment AS INCOME_DESC FROM customer",
     "transitions": """
         SELECT src, dst, w / sum(w) OVER (PARTITION BY src) AS prob,
@@ -357,6 +359,44 @@ CTES["res_linear"] = " UNION ALL ".join(
 )
 
 
+def _cate_tables() -> dict[str, str]:
+    """Per-row effects of the three-treatment model that are linear in the covariates.
+
+    The fit is taken by successive orthogonalisation. Its value at 21 added points (each treatment alone, at the origin and
+    at a unit of each covariate), which take no part in the fit, gives the coefficients.
+    """
+    w = REGRESSORS[1:]
+    names = [c.lower() for c in w]
+    points = [
+        f"SELECT false AS train, 0.0 AS y_res, {', '.join(f'{float(i == j)} AS t{i}_res' for i in range(3))}, "
+        f"{', '.join(f'{float(k == n)} AS {n}' for n in names)}, {j} AS j, '{k}' AS k"
+        for j in range(3) for k in ("origin", *names)
+    ]
+    rows = f"SELECT true AS train, y_res, t0_res, t1_res, t2_res, {', '.join(f'CAST({c} AS DOUBLE) AS {n}' for c, n in zip(w, names, strict=True))}, -1 AS j, '' AS k"
+    source = f"{rows} FROM res_promo JOIN product_codes USING (PRODUCT_ID) UNION ALL {' UNION ALL '.join(points)}"
+    terms = [f"t{i}_res" if n is None else f"t{i}_res * {n}" for i in range(3) for n in (None, *names)]
+    xs = [f"x{i}" for i in range(len(terms))]
+    text = f"SELECT train, j, k, y_res AS y, {', '.join(f'{t} AS {x}' for t, x in zip(terms, xs, strict=True))} FROM ({source})"
+    for i, q in enumerate(xs):
+        fit = lambda c, q=q: f"sum({c}*{q}) FILTER (train) OVER () / sum({q}*{q}) FILTER (train) OVER () * {q}"
+        text = f"SELECT train, j, k, {', '.join(f'{c} - {fit(c)} AS {c}' for c in [*xs[i + 1:], 'y'])} FROM ({text})"
+    value = lambda j, k: f"max(-y) FILTER (j = {j} AND k = '{k}')"
+    coefficients = ", ".join(
+        [f"{value(j, 'origin')} AS c{j}" for j in range(3)] + [f"{value(j, n)} - {value(j, 'origin')} AS c{j}_{n}" for j in range(3) for n in names]
+    )
+    effects = ", ".join(
+        f"c{j} + {' + '.join(f'c{j}_{n} * {c}' for c, n in zip(w, names, strict=True))} AS {e}_cate"
+        for j, e in enumerate(("direct", "sub_spillover", "comp_spillover"))
+    )
+    return {
+        "cate_fit": f"SELECT {coefficients} FROM ({text}) WHERE NOT train",
+        "cate": f"SELECT p.*, {effects} FROM panel p JOIN product_codes USING (PRODUCT_ID) CROSS JOIN cate_fit",
+    }
+
+
+CTES |= _cate_tables()
+
+
 def with_ctes(body: str) -> str:
     """Prefix ``body`` with every CTE it needs, dependencies first."""
     order: list[str] = []

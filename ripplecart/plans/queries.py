@@ -103,10 +103,6 @@ def _csv_folder(b: Workbench) -> str:
     """The retail views as the eight raw CSV files, headers padded to exercise the stripping."""
     folder = scratch(b, "raw")
     tables = b.views.tables()
-    tables["campaigns"] = tables["campaign_hh"].select("CAMPAIGN").distinct().withColumns(
-        {"START_DAY": F.lit(1), "END_DAY": F.lit(700)}
-    )
-    tables["coupons"] = tables["redemptions"].select("COUPON_UPC").distinct()
     for name, file in csv_tables.RAW_FILES.items():
         df = tables[name]
         df.select(*[F.col(c).alias(f" {c} ") for c in df.columns]).write.mode("overwrite").csv(
@@ -446,7 +442,7 @@ def node_embeddings(b):
 
 @query("embedding_pca", "PRODUCT_ID:b label pc1:6 pc2:6 explained_1:6 explained_2:6")
 def embedding_pca(b):
-    return embeddings.pca_projection(b.views.embeddings(), b.views.products(), 4)
+    return embeddings.pca_projection(b.views.embeddings(), b.views.products(), 10)
 
 
 # ── exposure ──────────────────────────────────────────────────────────────────
@@ -509,10 +505,16 @@ def treated_neighbor_rows(b):
     return profile.treated_neighbour_rows(b.featured)
 
 
-@query("feature_histogram", "bin:i bin_start:6 n:b", _hist_sql("frac_treated_complements", "featured WHERE frac_treated_complements > 0", 40))
+SHARES = ("frac_treated_substitutes", "frac_treated_complements")
+
+
+@query(
+    "feature_histogram", "feature bin:i bin_start:6 n:b",
+    " UNION ALL ".join(f"SELECT '{c}' AS feature, * FROM ({_hist_sql(c, f'featured WHERE {c} > 0', 40)})" for c in SHARES),
+)
 def feature_histogram(b):
-    shown = b.featured.filter(F.col("frac_treated_complements") > 0)
-    return histogram(shown, F.col("frac_treated_complements"), 40)
+    parts = [histogram(b.featured.filter(F.col(c) > 0), F.col(c), 40).withColumn("feature", F.lit(c)) for c in SHARES]
+    return parts[0].unionByName(parts[1])
 
 
 @query(
@@ -609,12 +611,18 @@ def dml_graph_gbt(b):
     return dml.run_graph_dml(b.panel, b.edges, nuisance=SMALL_GBT, n_folds=2, min_demand_filter=0.01).effects
 
 
-@query("dml_cate_by_department", "DEPARTMENT direct_mean:6 sub_spill_mean:6 comp_spill_mean:6 n_obs:b")
+@query("dml_cate_by_department", "DEPARTMENT direct_mean:6 sub_spill_mean:6 comp_spill_mean:6 n_obs:b", "SELECT * FROM cate_groups")
 def dml_cate_by_department(b):
-    est = dml.run_graph_dml(b.panel, b.edges, nuisance=CELL_MEAN, n_folds=2, min_demand_filter=None)
+    est = dml.run_graph_dml(b.panel, b.edges, nuisance=CELL_MEAN, min_demand_filter=None)
     return interpret.cate_by_group(est.cate())
 
 
+@query("dml_cate_rows", f"{CELL_COLS} direct_cate:6 sub_spillover_cate:6 comp_spillover_cate:6", "SELECT * FROM cate")
+def dml_cate_rows(b):
+    """The fitted effects of every row."""
+    return b.cate
+
+
 @query("ablation_suite", f"ablation {EFFECT_COLS} excluded")
 def ablation_suite(b):
     return dml.ablation_suite(b.panel, b.edges, b.views.embeddings(), nuisance=LINEAR, n_folds=2, min_demand_filter=None)
@@ -750,7 +758,7 @@ def cate_histogram(b):
 
 
 def _direct_effects(b: Workbench) -> DataFrame:
-    """Mean deterministic effects by department, as an effects table."""
+    """Mean fitted effects by department with their range, as an effects table."""
     rows = F.array(*[F.struct(F.lit(e).alias("effect"), F.col(f"{e}_cate").alias("v")) for e in EFFECTS])
     return (
         b.cate.select(F.col("DEPARTMENT").alias("group"), F.inline(rows))
@@ -797,10 +805,10 @@ def result_store(b):
         CASE effect WHEN 'direct' THEN 'Units gained from own promotion'
           WHEN 'sub_spillover' THEN 'Cannibalization: demand loss when substitutes promoted'
           ELSE 'Attachment lift: demand gain when complements promoted' END AS interpretation
-        FROM ({EFFECT_ROWS}) WHERE "group" = 'ECONOMY'""",
+        FROM ({sql.dml_three("res_promo", EDGE)})""",
 )
 def compare_effects(b):
-    return interpret.compare_effects(_direct_effects(b).filter(F.col("group") == "ECONOMY"))
+    return interpret.compare_effects(dml_graph_k3(b))
 
 
 # ── evaluation ────────────────────────────────────────────────────────────────
@@ -889,10 +897,10 @@ def _mean_difference(df: DataFrame) -> DataFrame:
         SELECT perm_id, avg(units_sold) FILTER (promo_any = 1) - avg(units_sold) FILTER (promo_any = 0) AS d,
         sqrt(var_samp(units_sold) FILTER (promo_any = 1) / count(*) FILTER (promo_any = 1)
            + var_samp(units_sold) FILTER (promo_any = 0) / count(*) FILTER (promo_any = 0)) AS se
-        FROM ({" UNION ALL ".join(_permuted_sql(i) for i in range(3))}) GROUP BY 1)""",
+        FROM ({" UNION ALL ".join(_permuted_sql(i) for i in range(20))}) GROUP BY 1)""",
 )
 def placebo_test(b):
-    return evaluate.placebo_test(b.panel, _mean_difference, n_permutations=3)
+    return evaluate.placebo_test(b.panel, _mean_difference, n_permutations=20)
 
 
 @query(
@@ -939,6 +947,8 @@ PROFILED = {
     "campaign_hh": ("campaign_table", {"household_key": "bigint", "CAMPAIGN": "int"}),
     "redemptions": ("redemptions", {"household_key": "bigint", "DAY": "int", "COUPON_UPC": "bigint"}),
     "demographics": ("demographics", {"household_key": "bigint", "INCOME_DESC": "string"}),
+    "campaigns": ("campaigns", {"CAMPAIGN": "int", "START_DAY": "int", "END_DAY": "int"}),
+    "coupons": ("coupons", {"COUPON_UPC": "bigint"}),
 }
 
 
@@ -1016,12 +1026,15 @@ def discount_describe(b):
     return profile.describe(priced.filter(F.col("RETAIL_DISC") != 0), ["RETAIL_DISC"])
 
 
+EXPOSURE_NAMES = tuple(c.partition(":")[0] for c in EXPOSURES.split())
+
+
 @query(
     "exposure_describe", "column_name stat value:6",
-    " UNION ALL ".join(_describe_sql(c, "exposed") for c in ("sub_exposure_weighted", "comp_exposure_weighted")),
+    " UNION ALL ".join(_describe_sql(c, "exposed") for c in EXPOSURE_NAMES),
 )
 def exposure_describe(b):
-    return profile.describe(b.exposed, ["sub_exposure_weighted", "comp_exposure_weighted"])
+    return profile.describe(b.exposed, list(EXPOSURE_NAMES))
 
 
 PRICED_DEPT = "SELECT p.*, DEPARTMENT FROM priced p LEFT JOIN product USING (PRODUCT_ID)"
@@ -1030,11 +1043,11 @@ PRICED_DEPT = "SELECT p.*, DEPARTMENT FROM priced p LEFT JOIN product USING (PRO
 @query(
     "price_trim", "DEPARTMENT n:b mean_log_price:6 max_price:4",
     f"""SELECT DEPARTMENT, count(*) AS n, avg(ln(1 + unit_price)) AS mean_log_price, max(unit_price) AS max_price FROM ({PRICED_DEPT}) d
-        JOIN (SELECT DEPARTMENT, quantile_cont(unit_price, 0.99) AS q, count(*) AS k FROM ({PRICED_DEPT}) GROUP BY 1 ORDER BY k DESC, DEPARTMENT LIMIT 4) c
+        JOIN (SELECT DEPARTMENT, quantile_cont(unit_price, 0.99) AS q, count(*) AS k FROM ({PRICED_DEPT}) GROUP BY 1 ORDER BY k DESC, DEPARTMENT LIMIT 10) c
         USING (DEPARTMENT) WHERE unit_price > 0 AND unit_price < q GROUP BY 1""",
 )
 def price_trim(b):
-    kept = profile.trimmed_prices(profile.priced_lines(b.views.transactions()), b.views.products(), 4)
+    kept = profile.trimmed_prices(profile.priced_lines(b.views.transactions()), b.views.products(), 10)
     return kept.groupBy("DEPARTMENT").agg(
         F.count(F.lit(1)).alias("n"), F.avg("log_price").alias("mean_log_price"), F.max("unit_price").alias("max_price")
     )

@@ -7,7 +7,9 @@ from pyspark.sql import DataFrame, SparkSession
 from ripplecart.config import prepare_session
 from ripplecart.functions.distributed import settled
 from ripplecart.operators.complements import complement_edges, complement_nodes
+from ripplecart.operators.dml import run_graph_dml
 from ripplecart.operators.exposure import add_exposures, add_spillover_features
+from ripplecart.operators.nuisance import Nuisance
 from ripplecart.operators.substitutes import substitute_edges
 from ripplecart.sources.retail_views import RetailViews
 
@@ -59,7 +61,8 @@ class Workbench:
 
     @property
     def cate(self) -> DataFrame:
-        return self.views.cate(self.panel)
+        """Per-row effects of the graph model, fitted once."""
+        return self._saved("cate", lambda: run_graph_dml(self.panel, self.edges, nuisance=Nuisance("cell_mean"), min_demand_filter=None).cate())
 
 
 def forget_saved() -> None:

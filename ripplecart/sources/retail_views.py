@@ -110,9 +110,9 @@ class RetailViews:
         return build_panel(self.transactions(), self.causal(), self.products())
 
     def embeddings(self) -> DataFrame:
-        """Vectors by product; every 17th id is left out to exercise the missing-vector rule."""
+        """Vectors by product, all that the catalog has."""
         vec = self.table("embeddings").select(F.col("vec_id").alias(PRODUCT), "embedding")
-        return vec.join(self.products().select(PRODUCT), PRODUCT, "left_semi").filter(F.col(PRODUCT) % 17 != 0)
+        return vec.join(self.products().select(PRODUCT), PRODUCT, "left_semi")
 
     def campaign_table(self) -> DataFrame:
         return self.table("orders").select(
@@ -135,6 +135,11 @@ class RetailViews:
             F.col("c_custkey").alias("household_key"), F.col("c_mktsegment").alias("INCOME_DESC")
         )
 
+    def campaigns(self) -> DataFrame:
+        days = {"START_DAY": F.min("day").cast("int"), "END_DAY": F.max("day").cast("int")}
+        orders = self.table("orders").select((F.col("o_orderkey") % 30).cast("int").alias("CAMPAIGN"), day_number(F.col("o_orderdate")).alias("day"))
+        return orders.groupBy("CAMPAIGN").agg(*[c.alias(n) for n, c in days.items()])
+
     def tables(self) -> dict[str, DataFrame]:
         return {
             "transactions": self.transactions(),
@@ -143,6 +148,8 @@ class RetailViews:
             "campaign_hh": self.campaign_table(),
             "redemptions": self.coupon_redempt(),
             "demographics": self.hh_demographic(),
+            "campaigns": self.campaigns(),
+            "coupons": self.coupon_redempt().select("COUPON_UPC").distinct(),
         }
 
     def simulation_results(self) -> DataFrame:
@@ -156,13 +163,3 @@ class RetailViews:
             (F.col("l_discount") - F.col("l_tax")).alias("ci_lower"),
             (F.col("l_discount") + F.col("l_tax")).alias("ci_upper"),
         )
-
-    def cate(self, panel: DataFrame) -> DataFrame:
-        """Deterministic per-row effects next to the panel columns."""
-        key = cell_key()
-        return panel.select(
-            "*",
-            (hash_uniform("c0", key) - 0.3).alias("direct_cate"),
-            (hash_uniform("c1", key) - 0.5).alias("sub_spillover_cate"),
-            (hash_uniform("c2", key) - 0.4).alias("comp_spillover_cate"),
-        )
