@@ -120,7 +120,7 @@ def byte_bpe(vocabulary: str):
     """Encoder of the byte-level vocabulary in ranks form, the special token's string included as that token.
 
     `vocabulary` is the path of the .tiktoken file beside the .json of the same vocabulary; both give the same ids
-    (tested), the ranks form five times as fast.
+    (tested), the ranks form four times as fast.
     """
     import public_tokenizers
     import tiktoken
