@@ -8,11 +8,13 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, StringType, StructField
 
 from ripplecart.config import checkpoint_dir
 from ripplecart.functions.scalars import hash_uniform
 
 BROADCAST_ROWS = 1_000_000
+BROADCAST_BYTES = 128 << 20
 
 
 def _scratch(spark: SparkSession) -> str:
@@ -39,16 +41,31 @@ def drop_settled(spark: SparkSession) -> None:
 
 
 def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> tuple[DataFrame, bool]:
-    """Settle and count ``df``; hint a broadcast only when it has at most ``max_rows`` rows.
+    """Settle and measure ``df``; hint a broadcast only up to ``max_rows`` rows and BROADCAST_BYTES.
 
-    Returns the (possibly hinted) table and whether it was small. Above the bound the caller's join
-    stays an ordinary shuffled join.
+    Returns the (possibly hinted) table and whether it was small. Above either bound the caller's
+    join stays an ordinary shuffled join.
     """
     df = settled(df, "side")
-    small = has_at_most(df, max_rows)
+    small = has_at_most(df, max_rows) and row_bytes(df) <= BROADCAST_BYTES
     return (F.broadcast(df) if small else df), small
 
 
+def row_bytes(table: DataFrame) -> int:
+    """About the bytes of a table's rows in memory: 8 per number, texts and lists at their length."""
+
+    def size(field: StructField) -> Column:
+        c = F.col(f"`{field.name}`")
+        if isinstance(field.dataType, ArrayType):
+            return F.greatest(F.size(c), F.lit(0)) * 8 + 24
+        if isinstance(field.dataType, (StringType, BinaryType)):
+            return F.coalesce(F.octet_length(c), F.lit(0)) + 24
+        return F.lit(8)
+
+    per_row = sum((size(f) for f in table.schema.fields), F.lit(16))
+    return table.agg(F.coalesce(F.sum(per_row.cast("bigint")), F.lit(0))).first()[0]
+
+
 def has_at_most(table: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
     """Whether a saved table is small enough to broadcast; stops counting beyond the bound."""
     return table.limit(max_rows + 1).count() <= max_rows

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ripplecart.config import CELL, COMP, PRODUCT, SPILLOVER_FEATURES, STORE, SUB, WEEK
-from ripplecart.functions.distributed import has_at_most
+from ripplecart.functions.distributed import BROADCAST_ROWS, has_at_most, settled
 from ripplecart.functions.scalars import edge_weight, safe_ratio
 
 STORE_WEEK = [STORE, WEEK]
@@ -25,24 +27,54 @@ def _weights_by_graph(edges: DataFrame, w: Column) -> DataFrame:
     return edges.select("src", "dst", *per_graph)
 
 
-def _neighbour_sums(rows: DataFrame, edges: DataFrame, small: bool, sums: dict[str, Column]) -> DataFrame:
+def edge_blocks(edges: DataFrame, block_rows: int = BROADCAST_ROWS) -> list[DataFrame]:
+    """The edge list as tables of at most ``block_rows`` rows, counted, so that each may be broadcast.
+
+    The edges of a receiving product stay together, in pieces of 1/64 of a block: only a hub with
+    more edges than that lies in several blocks. An edge row is four numbers, so the default bound
+    is some 32 MB.
+    """
+    if has_at_most(edges, block_rows):
+        return [edges]
+    piece = max(block_rows // 64, 1)
+    nth = F.row_number().over(Window.partitionBy("src").orderBy("dst"))
+    group = F.xxhash64("src", F.floor((nth - 1) / piece))
+    grouped = settled(edges.withColumn("_group", group), "edge_groups")
+    m = -(-2 * edges.count() // block_rows)
+    while True:
+        block = F.pmod("_group", F.lit(m))
+        if grouped.groupBy(block).count().agg(F.max("count")).first()[0] <= block_rows:
+            break
+        m *= 2
+    # rows of a block lie together, so reading one block skips the row groups of the others
+    cut = grouped.withColumn("_block", block).drop("_group").repartition("_block").sortWithinPartitions("_block")
+    saved = settled(cut, "edge_blocks")
+    return [saved.filter(F.col("_block") == i).drop("_block") for i in range(m)]
+
+
+def _pushed(rows: DataFrame, blocks: list[DataFrame]) -> list[DataFrame]:
+    """Present rows next to each edge that leads to them, one frame per block of edges."""
+    return [rows.join(F.broadcast(block), F.col(PRODUCT) == F.col("dst")) for block in blocks]
+
+
+def _neighbour_sums(rows: DataFrame, blocks: list[DataFrame], sums: dict[str, Column]) -> DataFrame:
     """Push every present row along its edges and sum at the receiving product.
 
-    With edges small enough to broadcast, the rows are exchanged once by (store, week); the edge
-    join and the whole aggregation then run inside that one stage, so the rows-times-degree
-    intermediate is never written. Larger edge lists are joined by a shuffle on the product and the
-    partial sums shrink the result before its exchange.
+    The rows are exchanged once by (store, week). Each block of edges is broadcast to them, and its
+    join and aggregation run inside that one stage, so the rows-times-degree intermediate is never
+    written or exchanged, however long the edge list and whatever the degree of a product. Several
+    blocks read the same exchange again; their sums meet once more, since a hub lies in several.
     """
-    if small:
-        rows, edges = rows.repartition(*STORE_WEEK), F.broadcast(edges)
-    pushed = rows.join(edges, F.col(PRODUCT) == F.col("dst"))
-    return pushed.groupBy(*SOURCE).agg(*[c.alias(name) for name, c in sums.items()])
+    rows = rows.repartition(*STORE_WEEK)
+    parts = [p.groupBy(*SOURCE).agg(*[c.alias(name) for name, c in sums.items()]) for p in _pushed(rows, blocks)]
+    if len(parts) == 1:
+        return parts[0]
+    return reduce(DataFrame.unionByName, parts).groupBy(*SOURCE).agg(*[F.sum(name).alias(name) for name in sums])
 
 
-def _attach(panel: DataFrame, sums: DataFrame, small: bool) -> DataFrame:
-    """Join the sums back; in the small case both sides already lie by (store, week)."""
-    received = sums.withColumnRenamed("src", PRODUCT)
-    return (panel.repartition(*STORE_WEEK) if small else panel).join(received, CELL, "left")
+def _attach(panel: DataFrame, sums: DataFrame) -> DataFrame:
+    """Join the sums back; both sides lie by (store, week)."""
+    return panel.repartition(*STORE_WEEK).join(sums.withColumnRenamed("src", PRODUCT), CELL, "left")
 
 
 def presence_runs(presence: DataFrame) -> DataFrame:
@@ -62,14 +94,14 @@ def presence_runs(presence: DataFrame) -> DataFrame:
     )
 
 
-def _interval_denominators(panel: DataFrame, presence: DataFrame, edges: DataFrame) -> DataFrame:
+def _interval_denominators(panel: DataFrame, presence: DataFrame, blocks: list[DataFrame]) -> DataFrame:
     """Sum of the weights of present neighbours per panel key, from runs instead of rows.
 
     A neighbour's run adds its weight at the start and takes it away after the end; a running sum
     over the weeks of one (store, product) gives the total. Neighbours are also counted as integers,
     so 'none present' is exact and not a matter of rounding.
     """
-    pushed = presence_runs(presence).join(edges, F.col(PRODUCT) == F.col("dst"))
+    pushed = reduce(DataFrame.unionByName, _pushed(presence_runs(presence), blocks))
     turns = F.array(
         F.struct(F.col("start").alias(WEEK), F.col("copies").alias("by")),
         F.struct((F.col("end") + 1).alias(WEEK), (-F.col("copies")).alias("by")),
@@ -102,13 +134,15 @@ def add_exposures(
     weight_type: str = "edge_weight",
     presence: DataFrame | None = None,
     denominator: str = "direct",
+    block_rows: int = BROADCAST_ROWS,
 ) -> DataFrame:
     """Both channels in one pass: {sub,comp}_exposure_{weighted,sum} next to the panel columns.
 
     ``weighted`` is sum(w * T) / sum(w) over neighbours with a row in the same store-week, ``sum``
     the numerator. Rows outside a graph, or without a present neighbour, get 0. Duplicate rows add
-    up. ``edges`` should be a saved table: it is counted, and broadcast only when small. ``presence`` says which rows count as present (default: the panel itself, so neighbours
-    that were filtered or sampled away are absent).
+    up. ``edges`` should be a saved table: it is counted, and broadcast in blocks of at most
+    ``block_rows`` edges. ``presence`` says which rows count as present (default: the panel itself, so
+    neighbours that were filtered or sampled away are absent).
 
     ``denominator='interval'`` computes the weight totals from presence runs: then only treated rows
     meet the edges, and the untreated majority of a dense panel is never multiplied by the degree.
@@ -117,16 +151,15 @@ def add_exposures(
     present = panel if presence is None else presence
     t = F.col(treatment).cast("double")
     rows = present.select(*CELL, t.alias("_t"))
-    small = has_at_most(edges)
-    by_graph = _weights_by_graph(edges, w)
+    by_graph = [_weights_by_graph(block, w) for block in edge_blocks(edges, block_rows)]
     num = {f"{g}_num": F.sum(F.col(f"w_{g}") * F.col("_t")) for g in CHANNELS}
     if denominator == "direct":
         den = {f"{g}_den": F.sum(f"w_{g}") for g in CHANNELS}
-        out = _attach(panel, _neighbour_sums(rows, by_graph, small, {**num, **den}), small)
+        out = _attach(panel, _neighbour_sums(rows, by_graph, {**num, **den}))
     elif denominator == "interval":
         treated = rows.filter(F.col("_t") != 0)
-        out = _attach(panel, _neighbour_sums(treated, by_graph, small, num), small).join(
-            _interval_denominators(panel, present, F.broadcast(by_graph) if small else by_graph), CELL, "left"
+        out = _attach(panel, _neighbour_sums(treated, by_graph, num)).join(
+            _interval_denominators(panel, present, by_graph), CELL, "left"
         )
     else:
         raise ValueError(f"denominator must be 'direct' or 'interval', got {denominator!r}")
@@ -145,26 +178,25 @@ def weighted_exposure(
     treatment: str = "promo_any",
     weight_type: str = "edge_weight",
     prefix: str = "exposure",
+    block_rows: int = BROADCAST_ROWS,
 ) -> DataFrame:
     """One graph's exposure: {prefix}_weighted and {prefix}_sum."""
     w = edge_weight(weight_type, F.col("w"))
     rows = panel.select(*CELL, F.col(treatment).cast("double").alias("_t"))
-    small = has_at_most(edges)
     sums = _neighbour_sums(
         rows,
-        edges.select("src", "dst", w.alias("w")),
-        small,
+        [block.select("src", "dst", w.alias("w")) for block in edge_blocks(edges, block_rows)],
         {"_num": F.sum(F.col("w") * F.col("_t")), "_den": F.sum("w")},
     )
     total = F.coalesce(F.col("_num"), F.lit(0.0))
-    return _attach(panel, sums, small).select(
+    return _attach(panel, sums).select(
         *[c for c in panel.columns if c not in (f"{prefix}_weighted", f"{prefix}_sum")],
         safe_ratio(total, F.coalesce(F.col("_den"), F.lit(0.0))).alias(f"{prefix}_weighted"),
         total.alias(f"{prefix}_sum"),
     )
 
 
-def add_spillover_features(panel: DataFrame, edges: DataFrame) -> DataFrame:
+def add_spillover_features(panel: DataFrame, edges: DataFrame, block_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Treated neighbours (count, share) and mean units of present neighbours, per graph."""
     rows = panel.select(*CELL, F.col("promo_any").alias("_t"), F.col("units_sold").alias("_u"))
     names = {SUB: "substitutes", COMP: "complements"}
@@ -172,9 +204,9 @@ def add_spillover_features(panel: DataFrame, edges: DataFrame) -> DataFrame:
     for g in names:
         w = F.col(f"w_{g}")
         sums[f"{g}_t"], sums[f"{g}_u"], sums[f"{g}_n"] = F.sum(w * F.col("_t")), F.sum(w * F.col("_u")), F.sum(w)
-    small = has_at_most(edges)
-    by_graph = _weights_by_graph(edges, edge_weight("binary", F.col("w")))
-    out = _attach(panel, _neighbour_sums(rows, by_graph, small, sums), small)
+    one = edge_weight("binary", F.col("w"))
+    by_graph = [_weights_by_graph(block, one) for block in edge_blocks(edges, block_rows)]
+    out = _attach(panel, _neighbour_sums(rows, by_graph, sums))
     cols = []
     for g, name in names.items():
         treated, units, present = (F.coalesce(F.col(f"{g}_{x}"), F.lit(0.0)) for x in "tun")

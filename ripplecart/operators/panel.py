@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ripplecart.config import CELL, HIERARCHY, PRODUCT, STORE, WEEK
-from ripplecart.functions.distributed import broadcast_if_small
+from ripplecart.functions.distributed import broadcast_if_small, settled
 from ripplecart.functions.scalars import discount_rate, flag_active
 from ripplecart.sources.csv_tables import read_csv_table
 
@@ -64,11 +64,12 @@ def promo_flags(causal: DataFrame) -> DataFrame:
 def build_panel(tx: DataFrame, causal: DataFrame, product: DataFrame) -> DataFrame:
     """Dense panel with measures, flags and product hierarchy.
 
-    Cells and flags are brought to the (store, product) layout of the dense index, so both 3-key
-    joins run in place. Cells that sold nothing get measures 0, cells absent from the flag table
-    flags 0. Duplicate flag or product keys multiply rows, as any left join does.
+    The lines are read and aggregated once: the saved cells give the index and the measures. Cells
+    and flags are brought to the (store, product) layout of the dense index, so both 3-key joins run
+    in place. Cells that sold nothing get measures 0, cells absent from the flag table flags 0.
+    Duplicate flag or product keys multiply rows, as any left join does.
     """
-    cells = aggregate_cells(tx)
+    cells = settled(aggregate_cells(tx), "cells")
     catalog, _ = broadcast_if_small(product.select(PRODUCT, *HIERARCHY))
     measures = ["units_sold", "sales_value", "retail_disc_total", "discount_rate"]
     flags = ["display", "mailer", "promo_any"]

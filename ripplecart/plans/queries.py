@@ -425,9 +425,9 @@ def _long_walk_sql(num_walks: int, length: int) -> str:
         SELECT * FROM w) GROUP BY 1"""
 
 
-@query("walks_full", "walk_id:b walk n_nodes:i", _long_walk_sql(10, 20))
+@query("walks_full", "walk_id:b walk n_nodes:i", _long_walk_sql(10, 80))
 def walks_full(b):
-    out = walks.unbiased_walks(b.complements, b.nodes, num_walks=10, walk_length=20)
+    out = walks.unbiased_walks(b.complements, b.nodes, num_walks=10, walk_length=80)
     return out.select("walk_id", F.array_join("walk", ",").alias("walk"), F.size("walk").alias("n_nodes"))
 
 
@@ -453,6 +453,12 @@ def exposure_weighted(b):
     return exposure.add_exposures(b.panel, b.edges)
 
 
+@query("exposure_blocks", f"{CELL_COLS} {EXPOSURES}", "SELECT * FROM exposed")
+def exposure_blocks(b):
+    """The way of edge lists beyond one broadcast: blocks of at most 2,000 edges, each broadcast in turn."""
+    return exposure.add_exposures(b.panel, b.edges, block_rows=2000)
+
+
 @query("exposure_interval", f"{CELL_COLS} {EXPOSURES}", "SELECT * FROM exposed")
 def exposure_interval(b):
     return exposure.add_exposures(b.panel, b.edges, denominator="interval")

@@ -39,16 +39,20 @@ RAW_TYPES = {
 }
 
 
-def read_csv_table(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:
+def read_csv_table(
+    spark: SparkSession, path: str, columns: list[str] | None = None, mode: str = "FAILFAST"
+) -> DataFrame:
     """Read one raw CSV: header names stripped, known columns typed, everything else STRING.
 
-    Only the header line is looked at to learn the column order; Spark prunes unread columns while
-    parsing, so ``columns`` costs no more than those columns.
+    A malformed number in a column that is read ends the job with an error that shows the line;
+    ``mode="PERMISSIVE"`` makes the value null, ``mode="DROPMALFORMED"`` leaves the line out. Only the
+    header line is looked at to learn the column order; Spark prunes unread columns while parsing, so
+    ``columns`` costs no more than those columns.
     """
     header = spark.read.option("header", True).csv(path).columns
     names = [h.strip() for h in header]
     schema = ", ".join(f"`{n}` {RAW_TYPES.get(n, 'STRING')}" for n in names)
-    df = spark.read.schema(schema).option("header", True).option("enforceSchema", True).csv(path)
+    df = spark.read.schema(schema).option("header", True).option("enforceSchema", True).option("mode", mode).csv(path)
     return df.select(*columns) if columns else df
 
 

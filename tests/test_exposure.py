@@ -58,12 +58,11 @@ def frames(spark, rows, edge_rows):
 
 
 @pytest.mark.parametrize("denominator", ["direct", "interval"])
-@pytest.mark.parametrize("small", [True, False])
+@pytest.mark.parametrize("block_rows", [1_000_000, 6])
 @pytest.mark.parametrize("treatment, at", [("promo_any", 3), ("discount_rate", 5)])
-def test_exposures_match_brute_force(frames, rows, edge_rows, monkeypatch, denominator, small, treatment, at):
-    monkeypatch.setattr(X, "has_at_most", lambda *_: small)
+def test_exposures_match_brute_force(frames, rows, edge_rows, denominator, block_rows, treatment, at):
     panel, edges = frames
-    got = X.add_exposures(panel, edges, treatment, denominator=denominator).collect()
+    got = X.add_exposures(panel, edges, treatment, denominator=denominator, block_rows=block_rows).collect()
     assert len(got) == len(rows)
     for graph, prefix in X.CHANNELS.items():
         want = brute(rows, edge_rows, graph, lambda r: r[at])
@@ -123,3 +122,16 @@ def test_small_edges_cost_one_exchange_of_the_rows(frames):
     plan = X.add_exposures(panel, edges).select("sub_exposure_weighted")._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in plan
     assert plan.count("Exchange hashpartitioning") == 2  # pushed rows and receiving rows, nothing after the edge join
+
+
+def test_blocks_of_edges_are_bounded_and_exchange_no_pushed_rows(frames):
+    panel, edges = frames
+    blocks = X.edge_blocks(edges, 6)
+    assert len(blocks) > 1 and max(b.count() for b in blocks) <= 6
+    assert sum(b.count() for b in blocks) == edges.count()
+    rows = panel.select("STORE_ID", "PRODUCT_ID", "WEEK_NO", F.col("promo_any").alias("t"))
+    plan = X._neighbour_sums(rows, blocks, {"s": F.sum(F.col("w") * F.col("t"))})
+    text = plan._jdf.queryExecution().executedPlan().toString()
+    assert text.count("BroadcastHashJoin") == len(blocks) and "SortMergeJoin" not in text
+    pushed = [x for x in text.split("\n") if "Exchange hashpartitioning" in x and "REPARTITION" not in x]
+    assert not pushed, pushed

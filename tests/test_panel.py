@@ -115,3 +115,22 @@ def test_panel_store_prunes_weeks(spark, tx, product, tmp_path):
     assert back.count() == panel.count() and set(back.columns) == set(panel.columns) and set(HIERARCHY) <= set(back.columns)
     plan = back.filter("WEEK_NO between 2 and 3")._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(WEEK_NO" in plan
+
+
+def test_malformed_numbers_end_the_read(spark, tmp_path):
+    path = tmp_path / "t.csv"
+    path.write_text("STORE_ID,QUANTITY\n1,2\n1,two\n2,\n")
+    with pytest.raises(Exception, match="(?i)malformed"):
+        csv_tables.read_csv_table(spark, str(path)).collect()
+    lenient = csv_tables.read_csv_table(spark, str(path), mode="PERMISSIVE").collect()
+    assert [r.QUANTITY for r in lenient] == [2.0, None, None]
+
+
+def test_panel_reads_its_lines_once(spark):
+    tx = spark.createDataFrame([(1, 1, 1, 1.0, 1.0, 0.0), (1, 1, 3, 2.0, 2.0, 0.0)], TX)
+    flag_cols = "STORE_ID bigint, PRODUCT_ID bigint, WEEK_NO int, display string, mailer string"
+    labels = ", ".join(f"{c} string" for c in HIERARCHY)
+    product = spark.createDataFrame([(1, "a", "b", "c", "d")], f"PRODUCT_ID bigint, {labels}")
+    out = P.build_panel(tx, spark.createDataFrame([], flag_cols), product)
+    text = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "QUANTITY" not in text and out.count() == 3
