@@ -433,7 +433,7 @@ def walks_full(b):
 
 @query("node_embeddings", "PRODUCT_ID:b dim:i norm:6")
 def node_embeddings(b):
-    out = embeddings.train_node_embeddings(b.complements, b.nodes, num_walks=5, walk_length=11)
+    out = b.trained
     e = F.col("embedding")
     return out.select(
         PRODUCT, F.size(e).alias("dim"), F.sqrt(F.aggregate(e, F.lit(0.0), lambda s, x: s + x.cast("double") * x)).alias("norm")
@@ -631,7 +631,16 @@ def dml_cate_rows(b):
 
 @query("ablation_suite", f"ablation {EFFECT_COLS} excluded")
 def ablation_suite(b):
-    return dml.ablation_suite(b.panel, b.edges, b.views.embeddings(), nuisance=LINEAR, n_folds=2, min_demand_filter=None)
+    return dml.ablation_suite(b.panel, b.edges, b.views.embeddings(), nuisance=LINEAR, min_demand_filter=None)
+
+
+@query("dml_main_run", EFFECT_COLS)
+def dml_main_run(b):
+    """The study's main run: trained vectors, substitutes by them, train weeks, demand filter, vectors among the covariates."""
+    edges = settled(b.complements.unionByName(substitutes.substitute_edges(b.views.products(), b.trained)), "edges")
+    train = panels.temporal_split(b.panel, **SPLITS)["train"]
+    options = {"nuisance": LINEAR, "min_demand_filter": 0.01, "with_cate": False}
+    return dml.run_graph_dml(train, edges, embeddings=b.trained, **options).effects
 
 
 ABLATION_SQL = " UNION ALL ".join(
@@ -713,14 +722,12 @@ def model_comparison(b):
 
 @query("causal_forest", EFFECT_COLS)
 def causal_forest(b):
-    return baselines.forest_baseline(b.panel, nuisance=CELL_MEAN, n_folds=2, trees=8, depth=4)[0]
+    return baselines.forest_baseline(b.panel, nuisance=CELL_MEAN)[0]
 
 
 @query("baseline_table", f"baseline {EFFECT_COLS} r_squared:6")
 def baseline_table(b):
-    return baselines.run_all_baselines(
-        b.featured, nuisance=CELL_MEAN, n_folds=2, embeddings=b.views.embeddings(), forest_trees=8, forest_depth=4
-    )
+    return baselines.run_all_baselines(b.featured, nuisance=CELL_MEAN, embeddings=b.views.embeddings())
 
 
 # ── interpretation ────────────────────────────────────────────────────────────

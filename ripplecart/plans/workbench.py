@@ -8,6 +8,7 @@ from ripplecart.config import prepare_session
 from ripplecart.functions.distributed import settled
 from ripplecart.operators.complements import complement_edges, complement_nodes
 from ripplecart.operators.dml import run_graph_dml
+from ripplecart.operators.embeddings import train_node_embeddings
 from ripplecart.operators.exposure import add_exposures, add_spillover_features
 from ripplecart.operators.nuisance import Nuisance
 from ripplecart.operators.substitutes import substitute_edges
@@ -51,6 +52,11 @@ class Workbench:
     def nodes(self) -> DataFrame:
         return self._saved("nodes", lambda: complement_nodes(self.views.transactions()))
 
+    @property
+    def trained(self) -> DataFrame:
+        """Vectors of the complement graph's nodes, trained on ten walks of 80 steps each."""
+        return self._saved("trained", lambda: train_node_embeddings(self.complements, self.nodes))
+
     @property
     def featured(self) -> DataFrame:
         return self._saved("featured", lambda: add_spillover_features(self.panel, self.edges))
