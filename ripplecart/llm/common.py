@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -60,10 +61,18 @@ def utf8(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[at[0] : at[-1]], at - at[0]
 
 
+def column(batch: pa.RecordBatch, name: str) -> pa.Array:
+    """A column by name, or a field of a struct column by `struct.field` (null where the struct is)."""
+    if name in batch.schema.names:
+        return batch.column(name)
+    outer, inner = name.split(".", 1)
+    return pc.struct_field(batch.column(outer), inner)
+
+
 def passes(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = PASS_BYTES) -> Iterator[pa.RecordBatch]:
     """The batches cut into runs of whole rows with about `most` text bytes each; a longer text is a run by itself."""
     for batch in batches:
-        at = utf8(batch.column(text))[1]
+        at = utf8(column(batch, text))[1]
         start = 0
         while start < batch.num_rows:
             end = max(start + 1, int(np.searchsorted(at, at[start] + most, "right")) - 1)

@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ripplecart.llm.common import hash_share, passes, remainder, utf8
+from ripplecart.llm.common import column, hash_share, passes, remainder, utf8
 
 BITS = 14
 SIZES = (2, 3, 4)
@@ -162,13 +162,14 @@ def predictions(docs: DataFrame, model: Model, carry: list[str]) -> DataFrame:
     those whose calibrated score is below the model's limit are rejected. A model that learned nothing gives
     `und` throughout.
     """
-    out = docs.select(F.struct(*carry).alias("doc"), F.col("text"))
+    inside = "text" in carry  # then the text crosses to Python once, within doc
+    out = docs.select(F.struct(*carry).alias("doc"), *([] if inside else ["text"]))
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = held.value
-        for batch in passes(batches):
-            lang, score = model.predict(batch.column("text"))
+        for batch in passes(batches, "doc.text" if inside else "text"):
+            lang, score = model.predict(column(batch, "doc.text" if inside else "text"))
             rejected = [x == UNKNOWN or s < model.least for x, s in zip(lang, score, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("doc"), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(rejected, pa.bool_())], names=["doc", "lang_pred", "score", "rejected"])
 
