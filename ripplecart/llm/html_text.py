@@ -7,8 +7,9 @@ and the paths above the threshold (a share of the standard deviation) are conten
 
 Content paths point at the content's container: the deepest element that holds most of the text that they select.
 Every block of the container that is no boilerplate belongs to the article, short headings and list items too.
-Elements that are boilerplate by their meaning (menus, headers, footers, asides, forms, scripts ...), by the words of
-their class, id or role, or because they are hidden take no part in either step.
+Elements that are boilerplate by their meaning (menus, headers, footers, asides, scripts ...) or because they are hidden
+take no part in either step. Forms and elements marked by a name in their class, id or role take part only where they hold
+the page's text: see `_settle`.
 
 Pages are independent: one Arrow task works page by page, nothing is shuffled.
 """
@@ -32,21 +33,35 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript".split())
 #: Elements that are never main text.
 DROPPED = frozenset(
-    "nav header footer aside form button select option optgroup datalist label fieldset legend menu dialog template head script style "
+    "nav header footer aside button select option optgroup datalist label fieldset legend menu dialog template head script style "
     "textarea title iframe noembed noframes noscript xmp svg math canvas object embed audio video map".split()
 )
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark meter nobr output q rp rt ruby s samp small span strike strong "
     "sub sup time tt u var wbr img".split()
 )
-#: Words of class, id and role that mark boilerplate: the word itself, alone or between - and _.
-MARKS = frozenset(
-    "ad ads adv advert adverts advertisement advertisements advertising adbox adsense sponsor sponsored sponsors promo promos promoted promotion banner "
-    "nav navbar navigation menu menus breadcrumb breadcrumbs pagination pager sidebar sidebars side rail widget widgets header masthead footer "
-    "foot comment comments commentlist discussion disqus respond reply replies reviews cookie cookies consent gdpr notice notices "
-    "alert popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended recommendations "
-    "toolbar tooltip skip hidden contentinfo complementary search copyright legal disclaimer".split()
+#: Names in class, id and role that mark boilerplate: a whole name, or one made up of these words (`_marks`).
+#: NOUNS mark a name that ends in them whatever stands before (post-comments), the others only beside FORMS (share-buttons).
+NOUNS = frozenset(
+    "ads advert adverts advertisement advertisements advertising adbox adsense sponsor sponsors promo promos banner nav navbar navigation menu menus "
+    "breadcrumb breadcrumbs pagination pager sidebar sidebars widget widgets header masthead footer comments commentlist disqus "
+    "cookie cookies gdpr popup modal overlay newsletter toolbar tooltip contentinfo".split()
 )
+MARKS = NOUNS | frozenset(
+    "ad adv sponsored promoted promotion side rail foot comment discussion respond reply replies reviews consent notice notices "
+    "alert subscribe subscription signup login share sharing social related recommended recommendations "
+    "skip hidden complementary search copyright legal disclaimer".split()
+)
+#: Words that leave a name's meaning as it is beside a mark.
+FORMS = frozenset(
+    "area article articles bar block body bottom box btn button buttons card cards center col column container content desktop entry form group "
+    "head heading home icon icons inner item items js left line link links list lists logo main meta mobile more outer page panel policy post posts "
+    "primary region right row secondary section site slot stories sub tertiary text title to top unit visually wrap wrapper".split()
+)
+#: Words of names that tell of a layout or state, not of what an element is.
+STATES = frozenset("by disable disabled enable enabled has have hide hides is no non not off on open overflow show shows un with without".split())
+#: Least characters outside links of a marked element that can be the page's text.
+LEAST = 100
 #: Parents that a new block of the same kind closes; a paragraph ends where any block begins.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "thead": {"tr", "td", "th"}, "tbody": {"thead", "tr", "td", "th"}}
 FLOW = frozenset("p li td th tr tbody thead table ul ol dl dd dt blockquote pre figure figcaption h1 h2 h3 h4 h5 h6".split())
@@ -58,8 +73,8 @@ _TOKEN = re.compile(
     r"</?+([a-zA-Z][^\s/>]*+)((?:[^>=]++|=\s*+(?:\"[^\"]*+(?:\"|\Z)|'[^']*+(?:'|\Z))?+)*+)(?:>|\Z)",
     re.S,
 )
-_ATTR = re.compile(r"(class|id|role|style|aria-hidden|hidden)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)|(?=[\s/]|$))", re.I)
-_WORDS = re.compile(r"[a-z]+")
+#: Each attribute from its start, values and all, so that no name is found inside another name or a value.
+_ATTR = re.compile(r"([^\s\"'>/=]++)(?:\s*+=\s*+(\"[^\"]*+\"?|'[^']*+'?|[^\s>]++))?+")
 _MARK = re.compile(r"[.,;:!?…。，]")
 
 
@@ -70,8 +85,10 @@ class Node:
     path: int  # number of the tag path
     depth: int
     dropped: bool = False
+    marked: bool = False  # boilerplate unless it holds the page's text
     chars: int = 0  # of content paths, its own and those below
     inside: bool = False  # in the container
+    off: bool = False  # in a marked element that is boilerplate
 
 
 @dataclass
@@ -80,19 +97,32 @@ class Block:
     texts: list[tuple[Node, str]] = field(default_factory=list)
 
 
-def _boilerplate(tag: str, attrs: str) -> bool:
-    if tag in DROPPED:
+def _marks(name: str) -> bool:
+    """Whether a name of a class, id or role marks boilerplate."""
+    if name in MARKS:
         return True
-    if tag in ("body", "html", "main", "article"):
+    words = [w for w in re.split(r"[-_]+", name) if w]
+    if STATES.intersection(words) or not MARKS.intersection(words):
         return False
+    return words[-1] in NOUNS or all(w in MARKS or w in FORMS or w.isdigit() for w in words)
+
+
+def _boilerplate(tag: str, attrs: str) -> tuple[bool, bool]:
+    """Whether an element is never main text, and whether it is marked as boilerplate."""
+    if tag in DROPPED:
+        return True, False
+    if tag in ("body", "html", "main", "article"):
+        return False, False
+    marked = tag == "form"
     for name, value in _ATTR.findall(attrs) if attrs else ():
-        name, value = name.lower(), html.unescape(value.strip("\"'")).lower()
+        name = name.lower()
         if name in ("class", "id", "role"):
-            if any(w in MARKS for token in re.split(r"[\s_]+|-|--", value) for w in (token, *_WORDS.findall(token))):
-                return True
-        elif name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value)):
-            return True
-    return False
+            marked = marked or any(map(_marks, html.unescape(value.strip("\"'")).lower().split()))
+        elif name in ("hidden", "aria-hidden", "style"):
+            value = html.unescape(value.strip("\"'")).lower()
+            if name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value)):
+                return True, False
+    return False, marked
 
 
 def blocks_of(page: str) -> tuple[list[Block], list[Node]]:
@@ -157,7 +187,8 @@ def blocks_of(page: str) -> tuple[list[Block], list[Node]]:
             if outer is not None:
                 close_to(outer)
         path = paths.setdefault((node.path, tag), len(paths) + 1)
-        nodes.append(node := Node(tag, node, path, node.depth + 1, node.dropped or _boilerplate(tag, m[2])))
+        dropped, marked = _boilerplate(tag, m[2])
+        nodes.append(node := Node(tag, node, path, node.depth + 1, node.dropped or dropped, marked))
         open_[tag] += 1
         if block:
             cut()
@@ -201,9 +232,53 @@ def path_scores(blocks: list[Block], spread: int = 1) -> dict[int, float]:
     return dict(zip(paths, fused, strict=True))
 
 
+def _settle(blocks: list[Block], nodes: list[Node]) -> None:
+    """Say which nodes are off: those in a marked element, unless that element holds the page's text.
+
+    It does when its running text (LEAST characters outside links) has at least half of the page's text-ratio mass, characters
+    times fused ratio, and nothing outside of marked elements can be the text: there is no article or main element, and the element
+    has one or the mass there is below a fiftieth of its own. Marked elements inside it are judged in turn.
+    """
+    if not any(n.marked for n in nodes):
+        return
+    scores = path_scores(blocks)
+    linked, holder, mass, chars, clean, named, free = set(), {}, Counter(), Counter(), Counter(), set(), set()
+    for n in nodes[1:]:
+        if n.tag == "a" or id(n.parent) in linked:
+            linked.add(id(n))
+        holder[id(n)] = n if n.marked else holder.get(id(n.parent))
+    for b in blocks:
+        for n, value in b.texts:
+            if id(n) not in linked:
+                size = len("".join(value.split()))
+                mass[id(n)] += size * scores[n.path]
+                chars[id(n)] += size
+                clean[id(holder.get(id(n)))] += size * scores[n.path]
+    for n in reversed(nodes[1:]):
+        mass[id(n.parent)] += mass[id(n)]
+        chars[id(n.parent)] += chars[id(n)]
+        if chars[id(n)] and (n.tag in ("article", "main") or id(n) in named):
+            named.add(id(n.parent))
+    for n in nodes[1:]:
+        if n.tag in ("article", "main") and chars[id(n)]:
+            free.add(id(holder[id(n)]))
+    page, outside, found = mass[id(nodes[0])], clean[id(None)], id(None) in free
+    for n in nodes[1:]:
+        n.off = n.parent.off
+        if n.marked and not n.off:
+            whole = mass[id(n)]
+            n.off = found or chars[id(n)] < LEAST or whole < page / 2 or (id(n) not in named and outside * 50 >= whole)
+            if not n.off:
+                outside += clean[id(n)]
+                found = id(n) in free
+
+
 def main_text(page: str | None, share: float = 0.8, threshold: float = 0.5) -> str:
     """The article's text: blocks joined by one space, white space inside them made one space; empty if there is none."""
     blocks, nodes = blocks_of(page or "")
+    _settle(blocks, nodes)
+    for b in blocks:
+        b.texts = [(n, v) for n, v in b.texts if not n.off]
     blocks = [b for b in blocks if any(v.strip() for _, v in b.texts)]
     if not blocks:
         return ""
@@ -240,7 +315,7 @@ def _climb(node: Node) -> Node:
 def main_texts(pages: DataFrame, html_column: str = "html", carry: list[str] | None = None) -> DataFrame:
     """The `carry` columns of `pages` in struct page, and the main text.
 
-    A null or empty page, and one without text outside boilerplate, has an empty text. Markup need not be well formed.
+    A null or empty page, and one whose text is all boilerplate, has an empty text. Markup need not be well formed.
     """
     carry = pages.columns if carry is None else carry
     out = pages.select(F.struct(*carry).alias("page"), F.col(html_column).alias("html"))

@@ -165,6 +165,34 @@ def test_main_text(page, want):
     assert main_text(page) == want
 
 
+ARTICLE = f"<h1>T</h1><p>{LONG}</p><p>{LONG}</p>"
+
+
+@pytest.mark.parametrize("attrs", ["class='overflow-hidden'", "class='layout has-sidebar'", "class='post no-comments'", "id='page' class='page with-footer'", "data-hidden='false'", "data-id='ad'", "title='x class=ad'", "class='md:hidden'", "class='sidebar'", "class='page comments'", "id=menu"])
+def test_wrapper_of_the_text_is_read_whatever_its_class(attrs):
+    assert main_text(f"<body><div class='nav'><a>Home</a></div><div {attrs}>{ARTICLE}</div><div class=footer>Legal, 2024.</div></body>") == f"T {LONG} {LONG}"
+    assert main_text(f"<body><div {attrs}><div class='nav'><a>Home</a></div>{ARTICLE}<div class='post-comments'><p>{LONG}</p></div></div></body>") == f"T {LONG} {LONG}"
+
+
+def test_marked_parts_of_an_article():
+    inner = "<table class='side-by-side'><tr><td>a<td>b</table><p>at <span class='share-price'>12</span> now</p><div class='share-buttons'>Tell</div><div class='site-sidebar'>Links</div>"
+    assert main_text(f"<article>{ARTICLE}{inner}</article>") == f"T {LONG} {LONG} a b at 12 now"
+    assert main_text(f"<form id=aspnetForm><div class=menu>Menu</div>{ARTICLE}</form>") == f"T {LONG} {LONG}"
+
+
+def test_marked_elements_are_dropped_beside_the_text():
+    assert main_text(f"<div><h1>T</h1><p>{LONG}</p></div><div class='comments'>{f'<p>{LONG}</p>' * 9}</div>") == f"T {LONG}"
+    assert main_text("<div class='menu'>Home, news.</div>") == ""
+    assert main_text(f"<div class='comments'><article>{LONG * 9}</article></div><main><p>{LONG}</p></main>") == LONG
+
+
+def test_main_text_takes_time_in_proportion_to_marks():
+    start = time.time()
+    for page in ("<div class=ad>" * 30_000 + LONG, f"<div class=ad><p>{LONG}" * 10_000, "<p class=a-" + "ad-" * 50_000 + ">x", "<p " + "a=" * 50_000 + ">x", "<p " + "class " * 50_000 + ">x"):
+        main_text(page)
+    assert time.time() - start < 30
+
+
 def test_main_text_takes_time_in_proportion():
     start = time.time()
     for page in ("<b>" * 40_000 + "x" + "<p>y" * 40_000 + "</i>" * 40_000, "<" * 100_000, "<a " * 50_000, "<div><p>" * 30_000, "<!--" * 50_000, "</p>" * 50_000, "<a b='" * 30_000):
