@@ -3,10 +3,11 @@
 The categories are predicted one after the other by linear models over the words of a text: *insult* and *contempt*,
 whose labels are the toxic rows with a word of the category's seeds, then *toxic*, the given label. The probabilities
 of the earlier categories are inputs of the later models; in training they are out-of-fold predictions, so that a later
-model learns from what it will see. The vocabulary is chosen from the training rows by how far a word's share
-of toxic texts departs from that of the rest.
+model learns from what it will see. The inputs are all words of the sampled rows and the beginnings of the longer ones,
+hashed into a fixed space. None is left out: a word's weight is shrunk the less, the clearer its share of the category's
+rows departs from that of the rest.
 
-Training reads a bounded sample of labelled rows; its words reach the driver as 64-bit ids.
+Training reads a bounded sample of labelled rows; its words reach the driver as bucket numbers.
 """
 
 from __future__ import annotations
@@ -19,12 +20,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ripplecart.llm.common import U64, passes, remainder, runs, signed, utf8
-from ripplecart.llm.decontaminate import words
+from ripplecart.llm.common import U64, mixed, passes, remainder, spans_hash, utf8
+from ripplecart.llm.decontaminate import _LOWER, _WORD, words
 from ripplecart.llm.quality import labelled
 
-#: Labelled rows that training reads at most (about), words of the vocabulary, folds of the chain's inputs.
-SAMPLE, VOCABULARY, FOLDS = 8_000, 256, 5
+#: Labelled rows that training reads at most (about), folds of the chain's inputs, bits of a bucket number, bytes of a word's beginning.
+SAMPLE, FOLDS, BITS, BEGINNING = 8_000, 5, 20, 6
+RIDGE = 3.0
 SEEDS = {
     "insult": "idiot moron stupid loser clown fool dumb jerk liar creep",
     "contempt": "worthless pathetic disgusting trash scum garbage vile filthy useless vermin",
@@ -37,34 +39,76 @@ def _ids(text: str) -> np.ndarray:
     return words(raw, np.array([0, len(raw)]))[0]
 
 
-def distinct_words(col: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct words of each text: text number, id, count."""
-    w, text = words(*utf8(col))
-    order = np.lexsort((w, text))
-    w, text = w[order], text[order]
-    start = np.concatenate(([True], (w[1:] != w[:-1]) | (text[1:] != text[:-1]))) if len(w) else np.zeros(0, bool)
+def _counted(text: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct keys of each text: text number, key, count."""
+    order = np.lexsort((key, text))
+    key, text = key[order], text[order]
+    start = np.concatenate(([True], (key[1:] != key[:-1]) | (text[1:] != text[:-1]))) if len(key) else np.zeros(0, bool)
     at = np.flatnonzero(start)
-    return text[at], w[at], np.diff(np.append(at, len(w)))
+    return text[at], key[at], np.diff(np.append(at, len(key)))
+
+
+def beginnings(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of the first BEGINNING bytes of the longer words of all texts, and the text that each stands in."""
+    data, at = utf8(col)
+    if not len(data):
+        return np.zeros(0, U64), np.zeros(0, np.int64)
+    data = np.insert(_LOWER[data], at[1:], 0)  # as in `words`
+    at = at + np.arange(len(at))
+    inside = np.concatenate(([False], _WORD[data], [False]))
+    edge = np.flatnonzero(inside[1:] != inside[:-1])
+    starts, ends = edge[::2], edge[1::2]
+    starts = starts[ends - starts > BEGINNING]
+    return spans_hash(data, starts, starts + BEGINNING) & ~U64(1), np.searchsorted(at, starts, "right") - 1
+
+
+def distinct_buckets(col: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct buckets of each text's words and beginnings: text number, bucket, count."""
+    (word, text), (begin, text_of) = words(*utf8(col)), beginnings(col)
+    bucket = mixed(np.concatenate((word, begin))) >> U64(64 - BITS)
+    return _counted(np.concatenate((text, text_of)), bucket.astype(np.uint32))
+
+
+@dataclass
+class Rows:
+    """Sparse rows: the row, column and value of each cell."""
+
+    row: np.ndarray
+    column: np.ndarray
+    value: np.ndarray
+    n: int
+    width: int
+
+    @classmethod
+    def of(cls, x: Rows | np.ndarray) -> Rows:
+        if isinstance(x, Rows):
+            return x
+        row, column = np.nonzero(x)
+        return cls(row, column, x[row, column], *x.shape)
+
+    def times(self, w: np.ndarray) -> np.ndarray:
+        return np.bincount(self.row, self.value * w[self.column], self.n)
+
+    def back(self, r: np.ndarray) -> np.ndarray:
+        return np.bincount(self.column, self.value * r[self.row], self.width)
 
 
 @dataclass
 class Chain:
-    vocabulary: np.ndarray  # sorted word ids
-    weights: list[np.ndarray]  # of each category: words, earlier categories, intercept
+    buckets: np.ndarray  # that training has seen, sorted
+    weights: list[np.ndarray]  # of each category: buckets, earlier categories, intercept
     threshold: float
 
-    def inputs(self, text: np.ndarray, word: np.ndarray, count: np.ndarray, n: int) -> np.ndarray:
-        x = np.zeros((n, len(self.vocabulary)), np.float32)
-        if len(self.vocabulary) and len(word):
-            at = np.minimum(np.searchsorted(self.vocabulary, word), len(self.vocabulary) - 1)
-            hit = self.vocabulary[at] == word
-            x[text[hit], at[hit]] = 1 + np.log(count[hit])
-        return x
+    def inputs(self, text: np.ndarray, bucket: np.ndarray, count: np.ndarray, n: int) -> Rows:
+        at = np.minimum(np.searchsorted(self.buckets, bucket), max(len(self.buckets) - 1, 0))
+        hit = self.buckets[at] == bucket if len(self.buckets) else np.zeros(len(bucket), bool)
+        return Rows(text[hit], at[hit], 1 + np.log(count[hit]), n, len(self.buckets))
 
-    def predict(self, x: np.ndarray) -> np.ndarray:
-        p = np.zeros((len(x), 0))
+    def predict(self, x: Rows | np.ndarray) -> np.ndarray:
+        x = Rows.of(x)
+        p = np.zeros((x.n, 0))
         for w in self.weights:
-            p = np.hstack([p, sigmoid(np.hstack([x, p, np.ones((len(x), 1))]) @ w)[:, None]])
+            p = np.hstack([p, sigmoid(x.times(w[: x.width]) + np.hstack([p, np.ones((x.n, 1))]) @ w[x.width :])[:, None]])
         return p
 
 
@@ -72,66 +116,112 @@ def sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
-def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 12) -> np.ndarray:
-    """Ridge logistic regression by Newton steps; the last input is the intercept, which is not shrunk."""
-    w, keep = np.zeros(x.shape[1]), np.full(x.shape[1], ridge)
+def reach(x: Rows, y: np.ndarray, on: np.ndarray) -> np.ndarray:
+    """How far each column's weight may go: the log ratio of its shares of both kinds of rows times that ratio over its error.
+
+    Scaled to a mean square of 1; 0 for a column that no row has.
+    """
+    with_, without = (np.bincount(x.column, (on * (y == v))[x.row], x.width) for v in (1, 0))
+    ratio = np.log((with_ + 0.5) / ((on * y).sum() + 1)) - np.log((without + 0.5) / ((on * (1 - y)).sum() + 1))
+    out = np.where(with_ + without > 0, ratio * np.abs(ratio) / np.sqrt(1 / (with_ + 0.5) + 1 / (without + 0.5)), 0)
+    return out / max(np.sqrt((out**2).sum() / max((out != 0).sum(), 1)), 1e-12)
+
+
+def logistic(x: Rows, more: np.ndarray, y: np.ndarray, on: np.ndarray, ridge: float = RIDGE, steps: int = 8, turns: int = 12) -> np.ndarray:
+    """Ridge logistic regression on the rows that are `on`, by Newton steps solved by conjugate gradients.
+
+    The weights of x are shrunk against their `reach`; the last column of `more` is the intercept, which is not shrunk.
+    """
+    scale, m = reach(x, y, on), x.width
+    keep = np.concatenate([np.full(m, ridge), np.ones(more.shape[1])])
     keep[-1] = 1e-3
+    forth = lambda w: x.times(scale * w[:m]) + more @ w[m:]
+    back = lambda r: np.concatenate([scale * x.back(r), more.T @ r])
+    w = np.zeros(m + more.shape[1])
+    w[-1] = np.log(((on * y).sum() + 0.5) / ((on * (1 - y)).sum() + 0.5))
+    z = forth(w)
+    loss = lambda z, w: (on * (np.logaddexp(0, z) - y * z)).sum() + (keep * w * w).sum() / 2
+    first, now = None, loss(z, w)
     for _ in range(steps):
-        p = sigmoid(x @ w)
-        hessian = (x * (p * (1 - p))[:, None]).T @ x + np.diag(keep)
-        w -= np.linalg.solve(hessian, x.T @ (p - y) + keep * w)
+        p = sigmoid(z)
+        d = on * p * (1 - p)
+        g = back(on * (p - y)) + keep * w
+        size = np.sqrt(g @ g)
+        first = first or size
+        if size <= 1e-3 * first:
+            break
+        near = keep + np.concatenate([scale**2 * np.bincount(x.column, x.value**2 * d[x.row], m), (more**2).T @ d])
+        step, rest = np.zeros_like(w), -g
+        q = rest / near
+        way, left = q.copy(), rest @ q
+        enough = 1e-4 * left
+        for _ in range(turns):
+            h = back(d * forth(way)) + keep * way
+            step += left / (way @ h) * way
+            rest = rest - left / (way @ h) * h
+            q = rest / near
+            left, before = rest @ q, left
+            if left <= enough:
+                break
+            way = q + left / before * way
+        dz = forth(step)
+        for _ in range(8):
+            if (then := loss(z + dz, w + step)) <= now:
+                z, w, now = z + dz, w + step, then
+                break
+            step, dz = step / 2, dz / 2
+        else:
+            break
+    w[:m] *= scale
     return w
 
 
-def fit(vocabulary: np.ndarray, x: np.ndarray, targets: np.ndarray, folds: int = FOLDS) -> Chain:
-    """Chain over inputs x (rows x words) and targets (rows x categories)."""
-    n, p, weights = len(x), np.zeros((len(x), 0)), []
-    fold = np.arange(n) % folds
+def fit(buckets: np.ndarray, x: Rows | np.ndarray, targets: np.ndarray, folds: int = FOLDS) -> Chain:
+    """Chain over inputs x (rows x buckets) and targets (rows x categories)."""
+    x = Rows.of(x)
+    p, weights = np.zeros((x.n, 0)), []
+    fold = np.arange(x.n) % folds
     for k in range(targets.shape[1]):
-        z, y = np.hstack([x, p, np.ones((n, 1))]), targets[:, k]
-        out = np.zeros(n)
+        more, y = np.hstack([p, np.ones((x.n, 1))]), targets[:, k]
+        out = np.zeros(x.n)
         for f in range(folds):
             if (fold == f).any() and (fold != f).any():
-                out[fold == f] = sigmoid(z[fold == f] @ logistic(z[fold != f], y[fold != f]))
-        weights.append(logistic(z, y))
+                w = logistic(x, more, y, (fold != f).astype(float))
+                out[fold == f] = sigmoid(x.times(w[: x.width]) + more @ w[x.width :])[fold == f]
+        weights.append(logistic(x, more, y, np.ones(x.n)).astype(np.float32))
         p = np.hstack([p, out[:, None]])
     last, y = p[:, -1], targets[:, -1]
-    tries = np.linspace(0.05, 0.95, 91)
+    tries = np.linspace(0.01, 0.99, 99)
     f1 = [2 * (y * (last >= t)).sum() / max(1, y.sum() + (last >= t).sum()) for t in tries]
-    return Chain(vocabulary, weights, float(tries[int(np.argmax(f1))]))
+    return Chain(buckets, weights, float(tries[int(np.argmax(f1))]))
+
 
+def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Chain:
+    seeds = [_ids(x) for x in SEEDS.values()]
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, vocabulary: int = VOCABULARY) -> Chain:
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in passes(batches):
-            text, word, count = distinct_words(batch.column("text"))
+            word, text_of = words(*utf8(batch.column("text")))
+            said = [np.bincount(text_of[np.isin(word, ids)], minlength=batch.num_rows) > 0 for ids in seeds]
+            text, bucket, count = distinct_buckets(batch.column("text"))
             cut = np.searchsorted(text, np.arange(batch.num_rows + 1))
-            cells = [(word[a:b].tobytes(), count[a:b].astype(np.int32).tobytes()) for a, b in zip(cut[:-1], cut[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("y"), pa.array([c[0] for c in cells], pa.binary()), pa.array([c[1] for c in cells], pa.binary())], names=["doc_id", "y", "word", "count"])
+            cells = [(bucket[a:b].tobytes(), count[a:b].astype(np.int32).tobytes()) for a, b in zip(cut[:-1], cut[1:], strict=True)]
+            said = pa.array(sum(s.astype(np.int32) << k for k, s in enumerate(said)), pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("y"), said, pa.array([c[0] for c in cells], pa.binary()), pa.array([c[1] for c in cells], pa.binary())], names=["doc_id", "y", "said", "bucket", "count"])
 
     got = labelled(docs.withColumn("doc_id", F.col("doc_id").cast("long")), labels, "toxic", sample)
-    got = got.mapInArrow(rows, "doc_id long, y int, word binary, count binary").toArrow().to_pydict()
-    order = sorted(range(len(got["y"])), key=lambda i: (got["doc_id"][i], got["word"][i]))  # whatever order the rows came in
-    y = np.array([got["y"][i] for i in order], float)
-    word = [np.frombuffer(got["word"][i], U64) for i in order]
-    count = np.concatenate([np.frombuffer(got["count"][i], np.int32) for i in order]) if order else np.zeros(0)
-    text = np.repeat(np.arange(len(order)), [len(w) for w in word])
-    word = np.concatenate(word) if word else np.zeros(0, U64)
-    if not len(word) or len(np.unique(y)) < 2:
+    got = got.mapInArrow(rows, "doc_id long, y int, said int, bucket binary, count binary").toArrow().to_pydict()
+    order = sorted(range(len(got["y"])), key=lambda i: (got["doc_id"][i], got["bucket"][i]))  # whatever order the rows came in
+    y, said = (np.array([got[c][i] for i in order], kind) for c, kind in (("y", float), ("said", int)))
+    bucket, count = (np.frombuffer(b"".join(got[c][i] for i in order), kind) for c, kind in (("bucket", np.uint32), ("count", np.int32)))
+    text = np.repeat(np.arange(len(order), dtype=np.int32), [len(got["bucket"][i]) // 4 for i in order])
+    del got
+    if not len(bucket) or len(np.unique(y)) < 2:
         rate = float(np.clip(y.mean() if len(y) else 0.0, 1e-6, 1 - 1e-6))
-        return Chain(np.zeros(0, U64), [np.r_[np.zeros(k), np.log(rate / (1 - rate))] for k in range(len(CATEGORIES))], 0.5)
-    kinds, at = np.unique(word, return_inverse=True)
-    toxic, rest = (np.bincount(at, y[text] == v, len(kinds)) for v in (1, 0))
-    a, b = (toxic + 0.5) / (y.sum() + 1), (rest + 0.5) / ((1 - y).sum() + 1)
-    pull = np.where(toxic + rest >= 3, (toxic + rest) * (np.log(a / b)) ** 2, 0)
-    chosen = np.sort(kinds[np.argsort(-pull, kind="stable")[:vocabulary]])
-    x = Chain(chosen, [], 0.5).inputs(text, word, count, len(y))
-    targets = np.zeros((len(y), len(CATEGORIES)))
-    for k, seeds in enumerate(SEEDS.values()):
-        said = np.unique(text[np.isin(word, _ids(seeds))])
-        targets[said, k] = y[said]
-    targets[:, -1] = y
-    return fit(chosen, x.astype(float), targets)
+        return Chain(np.zeros(0, np.uint32), [np.r_[np.zeros(k), np.log(rate / (1 - rate))] for k in range(len(CATEGORIES))], 0.5)
+    seen = np.unique(bucket)
+    x = Chain(seen, [], 0.5).inputs(text, bucket, count, len(y))
+    return fit(seen, x, np.stack([*(y * (said >> k & 1) for k in range(len(SEEDS))), y], 1))
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
@@ -146,7 +236,7 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) ->
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in passes(batches):
-            p = chain.value.predict(chain.value.inputs(*distinct_words(batch.column("text")), batch.num_rows))
+            p = chain.value.predict(chain.value.inputs(*distinct_buckets(batch.column("text")), batch.num_rows))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c) for c in p.T), pa.array(p[:, -1] >= chain.value.threshold)], names=["doc_id", "p_insult", "p_contempt", "score", "toxic"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")

@@ -289,6 +289,20 @@ def test_toxicity_of_held_out_rows(spark):
     assert all(r.toxic == bool(r.predicted) for r in got)
 
 
+def test_rare_toxic_words_count_beside_frequent_clean_ones(spark):
+    rng = np.random.default_rng(4)
+    clean = [" ".join(f"clean{j}x" for j in np.flatnonzero(rng.random(400) < 0.5)) for _ in range(1200)]
+    toxic = [" ".join([f"clean{j}x" for j in np.flatnonzero(rng.random(400) < 0.25)] + [f"bad{(4 * i + j) % 200}" for j in range(4)]) for i in range(200)]
+    asked = ["neutral"] + [f"neutral bad{j}" for j in range(200)] + ["neutral clean399xyz"]
+    held = [i for i in range(10_000, 20_000) if zlib.crc32(str(i).encode()) % 5 == 0][: len(asked)]
+    docs = spark.createDataFrame([*enumerate(clean + toxic), *zip(held, asked, strict=True)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i >= len(clean))) for i in range(len(clean) + len(toxic))], "doc_id long, toxic int")
+    got = {r.doc_id: r.score for r in toxicity.toxicity_scores(docs, labels).where(F.col("doc_id") >= 10_000).collect()}
+    score = [got[i] for i in held]
+    assert np.mean([s > score[0] for s in score[1:-1]]) > 0.95
+    assert score[-1] < score[0]  # an unseen form of a clean word leans as its beginning does
+
+
 @pytest.mark.parametrize("scores", [quality.quality_scores, toxicity.toxicity_scores])
 def test_scores_of_odd_rows(spark, scores):
     docs = docs_with(spark, ODD)
