@@ -431,6 +431,27 @@ def walks_full(b):
     return out.select("walk_id", F.array_join("walk", ",").alias("walk"), F.size("walk").alias("n_nodes"))
 
 
+def _long_biased_walk_sql(num_walks: int, length: int, p: float, q: float) -> str:
+    """Biased walks by recursion, one step per round."""
+    draw = sql.u("42", "'bwalk'", "w.walk_id", "w.step + 1", "e.dst")
+    scale = f"CASE WHEN w.prev IS NULL THEN 1.0 WHEN e.dst = w.prev THEN {1 / p} WHEN k.dst IS NOT NULL THEN 1.0 ELSE {1 / q} END"
+    starts = STARTS.replace("[0, 1]", f"range({num_walks})").replace("k * 2", f"k * {num_walks}")
+    return f"""SELECT walk_id, string_agg(CAST(node AS VARCHAR), ',' ORDER BY step) AS walk, count(*) AS n_nodes FROM (
+        WITH RECURSIVE w AS (
+          SELECT walk_id, CAST(NULL AS BIGINT) AS prev, n0 AS node, 0 AS step FROM ({starts}) UNION ALL
+          SELECT w.walk_id, w.node, arg_min(e.dst, -ln(1 - {draw}) / (e.w * {scale})), w.step + 1
+          FROM w JOIN comp_edges e ON e.src = w.node LEFT JOIN comp_edges k ON k.src = w.prev AND k.dst = e.dst
+          WHERE w.step < {length - 1} GROUP BY w.walk_id, w.node, w.step)
+        SELECT * FROM w) GROUP BY 1"""
+
+
+@query("walks_biased_full", "walk_id:b walk n_nodes:i", _long_biased_walk_sql(10, 80, 0.5, 2.0))
+def walks_biased_full(b):
+    """The reference's size: 10 walks of 80 nodes from every product."""
+    out = walks.biased_walks(b.complements, b.nodes, num_walks=10, walk_length=80, p=0.5, q=2.0)
+    return out.select("walk_id", F.array_join("walk", ",").alias("walk"), F.size("walk").alias("n_nodes"))
+
+
 @query("node_embeddings", "PRODUCT_ID:b dim:i norm:6")
 def node_embeddings(b):
     out = b.trained

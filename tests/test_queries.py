@@ -35,6 +35,13 @@ def test_query_matches_its_oracle(spark, name):
     assert got == sorted(tuple(canon(r[at[c]]) for c in cols) for r in cur.fetchall())
 
 
+def test_biased_walks_of_full_size(spark):
+    rows = queries()["walks_biased_full"](spark, FOLDER).collect()
+    want = dict(tables(FOLDER).execute(f"SELECT walk_id, walk FROM ({oracle_sql()['walks_biased_full']})").fetchall())
+    assert {r.walk_id: r.walk for r in rows} == want and len(rows) == len(want)
+    assert len(rows) % 10 == 0 and max(r.n_nodes for r in rows) == 80
+
+
 def test_entry_runs(spark):
     df = entry(spark)
     assert df.columns == ["DEPARTMENT", "promo_any", "mean_exposure", "n_rows"] and df.count() > 0
