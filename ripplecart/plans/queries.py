@@ -38,7 +38,7 @@ EFFECT_COLS = "model effect ATE:6 se:6 CI_lower:6 CI_upper:6 n_obs:b"
 SPLITS = {"train_weeks": (1, 60), "val_weeks": (61, 75), "test_weeks": (76, 88)}
 CELL_MEAN = Nuisance("cell_mean")
 LINEAR = Nuisance("linear")
-SMALL_GBT = Nuisance("gbt", trees=5, depth=3)
+GBT = Nuisance("gbt")
 EDGE, BINARY = "graph_dml_edge_weight", "graph_dml_binary"
 
 
@@ -635,7 +635,7 @@ def dml_graph_linear(b):
 
 @query("dml_graph_gbt", EFFECT_COLS)
 def dml_graph_gbt(b):
-    return dml.run_graph_dml(b.panel, b.edges, nuisance=SMALL_GBT, n_folds=2, min_demand_filter=0.01).effects
+    return dml.run_graph_dml(b.panel, b.edges, nuisance=GBT, n_folds=5, min_demand_filter=0.01).effects
 
 
 @query("dml_cate_by_department", "DEPARTMENT direct_mean:6 sub_spill_mean:6 comp_spill_mean:6 n_obs:b", "SELECT * FROM cate_groups")

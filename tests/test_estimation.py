@@ -260,3 +260,15 @@ def test_top_products_by_magnitude_with_ties_by_id(spark):
     assert [r.PRODUCT_ID for r in interpret.top_spillover_products(df, "sub_spillover", 2).collect()] == [1, 3]
     with pytest.raises(ValueError):
         interpret.top_spillover_products(df, "other")
+
+
+def test_boosted_query_fits_the_study_size(monkeypatch):
+    from types import SimpleNamespace
+
+    from ripplecart.plans import queries
+
+    asked = {}
+    monkeypatch.setattr(queries.dml, "run_graph_dml", lambda *_, **options: asked.update(options) or SimpleNamespace(effects=None))
+    queries.dml_graph_gbt(SimpleNamespace(panel=None, edges=None))
+    model = asked["nuisance"]
+    assert (model.kind, model.trees, model.depth, model.step, asked["n_folds"]) == ("gbt", 200, 6, 0.1, 5)
