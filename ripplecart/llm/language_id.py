@@ -2,8 +2,8 @@
 
 A text's vector is the mean embedding of its hashed byte n-grams, lower-cased, with everything in ASCII that is no
 letter as a word break. Embeddings and softmax are trained together by stochastic gradient descent in numpy on the driver,
-from n-gram counts that the executors make of a bounded sample: about `per_language` documents of each of the
-`most_languages` most frequent languages, chosen by a hash of their id, and two short cuts of each from anywhere in
+from n-gram counts that the executors make of a sample: about `per_language` documents of each language, less where the
+languages are so many that `budget` documents do not give as many, chosen by a hash of their id, and two short cuts of each from anywhere in
 the text, so that short texts are learned too. A fifth of the sample calibrates the temperature of the scores and the
 confidence below which a text is rejected.
 
@@ -12,6 +12,7 @@ For prediction embedding and softmax fold into one table of logits per n-gram, s
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -21,11 +22,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ripplecart.llm.common import column, hash_share, passes, remainder, utf8
+from ripplecart.llm.common import column, hash_share, offsets, passes, remainder, utf8
 
 BITS = 14
 SIZES = (2, 3, 4)
-PER_LANGUAGE, MOST_LANGUAGES = 400, 200
+#: Sampled documents of a language, of all together (about), and of a language at least.
+PER_LANGUAGE, BUDGET, LEAST = 1_000, 80_000, 20
 UNKNOWN = "und"
 
 _BREAK = np.arange(256, dtype=np.uint8)
@@ -93,11 +95,20 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for part, cut in enumerate(cuts):
                 bucket, n = np.unique(np.concatenate(grams(cut)), return_counts=True)
                 if len(bucket):
-                    out.append((i, lang, part, bucket.astype(np.int32).tobytes(), (n / n.sum()).astype(np.float32).tobytes()))
+                    out.append((i, lang, part, bucket.astype(np.uint16).tobytes(), (n / n.sum()).astype(np.float32).tobytes()))
         cols = list(zip(*out, strict=True)) if out else [()] * 5
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols[1:], (pa.string(), pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["lang", "part", "bucket", "share"])
 
 
+def _views(cells: pa.ChunkedArray, kind: type) -> list[np.ndarray]:
+    """The numbers of each binary cell, read in place."""
+    out = []
+    for chunk in filter(len, cells.chunks):
+        at, data = offsets(chunk), np.frombuffer(chunk.buffers()[2] or b"", np.uint8)
+        out += [data[a:b].view(kind) for a, b in zip(at[:-1], at[1:], strict=True)]
+    return out
+
+
 def _descend(rows, target, n_languages: int, dim: int, epochs: int, rate: float, seed: int):
     draw = np.random.default_rng(seed)
     vectors = (draw.standard_normal((1 << BITS, dim)) * 0.1).astype(np.float32)
@@ -121,22 +132,23 @@ def _descend(rows, target, n_languages: int, dim: int, epochs: int, rate: float,
     return vectors, weights, bias
 
 
-def train(docs: DataFrame, per_language: int = PER_LANGUAGE, most_languages: int = MOST_LANGUAGES, dim: int = 12, epochs: int = 8, rate: float = 1.0, seed: int = 7) -> Model:
+def train(docs: DataFrame, per_language: int = PER_LANGUAGE, budget: int = BUDGET, dim: int = 12, epochs: int = 8, rate: float = 1.0, seed: int = 7) -> Model:
     """A model from the rows of `docs` (doc_id, text, lang); rows with a null text or lang are not used.
 
-    At most about `per_language` rows of each of `most_languages` languages are learned from.
+    Every language is learned: from about `per_language` of its rows, or an even part of `budget` if that is less, or LEAST.
     """
     rows = docs.where("text is not null and lang is not null").select("doc_id", "text", "lang")
-    sizes = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(most_languages).collect()}
+    sizes = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not sizes:
         return Model([], np.zeros((0, 1 << BITS)), np.zeros(0), 0.0)
     languages = sorted(sizes)
-    share = F.create_map(*(F.lit(x) for lang in languages for x in (lang, per_language / sizes[lang])))
-    sample = rows.where(hash_share("doc_id") < F.coalesce(F.element_at(share, F.col("lang")), F.lit(0.0))).mapInArrow(_counts, "lang string, part int, bucket binary, share binary").toArrow()
-    parts = [(np.frombuffer(b, np.int32), np.frombuffer(s, np.float32)) for b, s in zip(sample["bucket"].to_pylist(), sample["share"].to_pylist(), strict=True)]
-    order = sorted(range(len(parts)), key=lambda i: (sample["bucket"][i].as_py(), sample["lang"][i].as_py()))  # whatever order they came in
-    parts, part = [parts[i] for i in order], np.array(sample["part"])[order]
-    target = np.searchsorted(languages, [sample["lang"][i].as_py() for i in order])
+    each = max(min(per_language, budget / len(languages)), LEAST)
+    share = docs.sparkSession.createDataFrame([(x, each / sizes[x]) for x in languages], "lang string, share double")
+    sample = rows.join(F.broadcast(share), "lang").where(hash_share("doc_id") < F.col("share")).mapInArrow(_counts, "lang string, part int, bucket binary, share binary").toArrow()
+    parts = list(zip(_views(sample["bucket"], np.uint16), _views(sample["share"], np.float32), strict=True))
+    lang = np.searchsorted(languages, sample["lang"].to_pylist())
+    order = sorted(range(len(parts)), key=lambda i: (lang[i], hashlib.blake2b(parts[i][0].tobytes(), digest_size=16).digest()))  # whatever order they came in
+    parts, part, target = [parts[i] for i in order], np.array(sample["part"])[order], lang[order]
     if not len(parts):
         return Model([], np.zeros((0, 1 << BITS)), np.zeros(0), 0.0)
     held = np.random.default_rng(seed).random(len(parts)) < 0.2

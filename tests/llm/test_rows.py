@@ -248,6 +248,13 @@ def test_language_of_odd_rows(spark):
     assert {(r.lang_pred, r.score) for r in unlabelled} == {("und", 0.0)}
 
 
+def test_every_language_is_learned(spark):
+    rows = [(10 * i + j, f"{chr(97 + i % 26) * 2}{chr(97 + i // 26) * 3}q " * 9, f"l{i:03d}") for i in range(230) for j in range(3 if i < 200 else 2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_id.train(docs, epochs=1)
+    assert model.languages == sorted({r[2] for r in rows}) and model.table.shape[0] == 230
+
+
 def auc(score, y):
     order = np.argsort(score, kind="stable")
     rank = np.empty(len(score))
