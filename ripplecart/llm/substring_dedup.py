@@ -250,7 +250,7 @@ class Collection:
         self.group, self.start, self.length = group, start, length
         self.first, self.end = int(start.min()), int((start + np.array([len(t) for t in texts])).max())
         wide = self.end - self.first
-        self.symbol = np.full((wide, len(texts)), 256, np.uint16)  # a file per column, one symbol per context
+        self.symbol = np.full((wide, len(texts)), 256, np.uint16)  # in memory, a row per column of the contexts, one symbol per context
         for i, t in enumerate(texts):
             at = start[i] - self.first
             self.symbol[at : at + len(t), i] = np.frombuffer(t, np.uint8)
