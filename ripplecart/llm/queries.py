@@ -1,4 +1,4 @@
-"""The ten operators and the pipeline as named queries over the given tables, with DuckDB SQL where it can say the same."""
+"""The thirteen operators and the pipeline as named queries over the given tables, with DuckDB SQL where it can say the same."""
 
 from __future__ import annotations
 
@@ -13,10 +13,13 @@ from ripplecart.llm.decontaminate import benchmark_matches
 from ripplecart.llm.exact_dedup import exact_groups
 from ripplecart.llm.html_text import main_texts
 from ripplecart.llm.language_id import identified
+from ripplecart.llm.merkle import leaf_digest, manifest, proof_digest, with_folded
 from ripplecart.llm.ngram_join import jaccard_components
 from ripplecart.llm.packing import pack_documents
 from ripplecart.llm.quality import quality_scores
+from ripplecart.llm.secret_scan import RULES as SECRETS, joined, scan_versions
 from ripplecart.llm.substring_dedup import repeated_spans
+from ripplecart.llm.token_alignment import aligned
 from ripplecart.llm.toxicity import toxicity_scores
 from ripplecart.llm.url_filter import rules_of, url_verdicts
 
@@ -71,6 +74,28 @@ def op10_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op11_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
+    found = scan_versions(table(spark, folder, "documents"), SECRETS)
+    of_kind = {k: F.size(F.filter("spans", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in ("assign", "access", "hex")}
+    spans = joined(F.col("spans"))
+    return found.select("version.doc_id", *of_kind.values(), F.sha2(spans.cast("binary"), 256).alias("base_sha256"), spans.alias("spans"))
+
+
+def op12_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    docs, columns = table(spark, folder, "documents"), ["doc_id", "source", "lang", "n_chars", "text"]
+    lowered = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    tampered = leaf_digest(*[lowered if c == "text" else F.col(c) for c in columns])
+    third = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0
+    proofs = manifest(docs, columns, carry={"tampered": F.when(third, tampered)}).proofs()
+    return with_folded(proofs, F.col("tampered")).select(
+        F.col("key").alias("doc_id"), "leaf", "subroot", "root", proof_digest(F.col("path")).alias("proof_sha256"), "folded_root", "verified"
+    )
+
+
+def op13_token_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    return aligned(table(spark, folder, "documents")).docs
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_exact_dedup": op2_exact_dedup,
@@ -82,11 +107,23 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": op8_toxicity,
     "op9_ngram_join": op9_ngram_join,
     "op10_decontamination": op10_decontamination,
+    "op11_secret_scan": op11_secret_scan,
+    "op12_merkle_manifest": op12_merkle_manifest,
+    "op13_token_alignment": op13_token_alignment,
     "pipeline": corpus_pipeline.run,
 }
 
 LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+#: A value as the leaf holds it.
+_VALUE = "CASE WHEN {} IS NULL THEN '-' ELSE octet_length(encode(CAST({} AS VARCHAR))) || ':' || CAST({} AS VARCHAR) END".replace("{}", "{0}")
+
+#: crc32 of the decimal doc_id before its last inversion: eight shifts for each of its characters.
+_CRC = (
+    "list_reduce([4294967295] || list_transform(range(1, length(CAST(doc_id AS VARCHAR)) + 1), lambda i: CAST(ascii(substring(CAST(doc_id AS VARCHAR), i, 1)) AS BIGINT)), "
+    "lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384) ELSE x // 2 END))"
+)
+
 SQL = {
     "op1_substring_dedup": r"""
         WITH t AS (
@@ -182,4 +219,68 @@ SQL = {
                sha256(coalesce(ids, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
         FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
     """,
+    "op11_secret_scan": r"""
+        WITH d AS (
+            SELECT doc_id, row_number() OVER () AS r, coalesce(text, '') AS t FROM documents
+        ), rules(k, kind, pattern, grp, least) AS (
+            VALUES (0, 'assign', '([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 2, 8),
+                   (1, 'access', 'AKIA[A-Z0-9]+', 0, 16), (2, 'hex', '[0-9a-f]+', 0, 32)
+        ), m AS (
+            SELECT r, 0 AS k, 'assign' AS kind, 8 AS least, string_split_regex(t, p) AS gaps, regexp_extract_all(t, p) AS hits, regexp_extract_all(t, p, 2) AS held
+            FROM d, (SELECT pattern AS p FROM rules WHERE k = 0)
+            UNION ALL SELECT r, k, kind, least, string_split_regex(t, pattern), regexp_extract_all(t, pattern), regexp_extract_all(t, pattern) FROM d, rules WHERE k > 0
+        ), e AS (
+            SELECT r, k, kind, least, unnest(range(1, len(hits) + 1)) AS i, unnest(gaps[1:len(hits)]) AS gap, unnest(hits) AS hit, unnest(held) AS held FROM m WHERE len(hits) > 0
+        ), x AS (
+            SELECT r, k, kind, length(held) >= least AS ok, length(hit) AS n, sum(length(gap) + length(hit)) OVER (PARTITION BY r, k ORDER BY i) AS stop FROM e
+        ), s AS (
+            SELECT r, count(*) FILTER (k = 0) AS a, count(*) FILTER (k = 1) AS b, count(*) FILTER (k = 2) AS c,
+                   string_agg(kind || ':' || CAST(stop - n AS VARCHAR) || ':' || CAST(stop AS VARCHAR), ',' ORDER BY stop - n, k) AS spans
+            FROM x WHERE ok GROUP BY r
+        )
+        SELECT doc_id, coalesce(a, 0) AS n_assign, coalesce(b, 0) AS n_access, coalesce(c, 0) AS n_hex,
+               sha256(coalesce(spans, '')) AS base_sha256, coalesce(spans, '') AS spans
+        FROM d LEFT JOIN s USING (r)
+    """,
+    "op12_merkle_manifest": rf"""
+        WITH RECURSIVE v AS (
+            SELECT *, {LOWER.replace("coalesce(text, '')", "text")} AS low FROM documents
+        ), d AS (
+            SELECT doc_id, coalesce('1' || lang, '0') AS tree,
+                   sha256({" || ".join(_VALUE.format(c) for c in ("doc_id", "source", "lang", "n_chars", "text"))}) AS leaf,
+                   sha256({" || ".join(_VALUE.format(c) for c in ("doc_id", "source", "lang", "n_chars", "low"))}) AS altered
+            FROM v
+        ), thirds AS (
+            SELECT DISTINCT doc_id, coalesce(xor({_CRC}, 4294967295) % 3 = 0, false) AS crc32_third FROM documents
+        ), l AS (
+            SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY tree) AS n FROM d
+        ), lower_nodes(tree, lvl, pos, n, h) AS (
+            SELECT tree, 0, pos, n, leaf FROM l
+            UNION ALL SELECT tree, lvl + 1, pos // 8, (any_value(n) + 7) // 8, sha256(string_agg(h, '' ORDER BY pos)) FROM lower_nodes WHERE n > 1 GROUP BY tree, lvl, pos // 8
+        ), subroots AS (
+            SELECT tree, h, row_number() OVER (ORDER BY tree) - 1 AS pos, count(*) OVER () AS n FROM lower_nodes WHERE n = 1
+        ), upper_nodes(lvl, pos, n, h) AS (
+            SELECT 0, pos, n, h FROM subroots
+            UNION ALL SELECT lvl + 1, pos // 8, (any_value(n) + 7) // 8, sha256(string_agg(h, '' ORDER BY pos)) FROM upper_nodes WHERE n > 1 GROUP BY lvl, pos // 8
+        ), lower_runs AS (
+            SELECT tree, lvl, pos // 8 AS run, list(h ORDER BY pos) AS hs FROM lower_nodes WHERE n > 1 GROUP BY ALL
+        ), upper_runs AS (
+            SELECT lvl, pos // 8 AS run, list(h ORDER BY pos) AS hs FROM upper_nodes WHERE n > 1 GROUP BY ALL
+        ), climb(doc_id, tree, leaf, lvl, pos, n, cur, proof) AS (
+            SELECT doc_id, tree, leaf, 0, pos, n, CASE WHEN crc32_third THEN altered ELSE leaf END, '' FROM l JOIN thirds USING (doc_id)
+            UNION ALL
+            SELECT doc_id, tree, leaf, lvl + 1, pos // 8, (n + 7) // 8, sha256(array_to_string(hs[1:pos % 8] || [cur] || hs[pos % 8 + 2:], '')),
+                   proof || array_to_string(hs[1:pos % 8] || hs[pos % 8 + 2:], '')
+            FROM climb JOIN lower_runs USING (tree, lvl) WHERE n > 1 AND run = pos // 8
+        ), above(doc_id, tree, leaf, subroot, lvl, pos, n, cur, proof) AS (
+            SELECT c.doc_id, c.tree, c.leaf, s.h, 0, s.pos, s.n, c.cur, c.proof FROM climb c JOIN subroots s USING (tree) WHERE c.n = 1
+            UNION ALL
+            SELECT doc_id, tree, leaf, subroot, lvl + 1, pos // 8, (n + 7) // 8, sha256(array_to_string(hs[1:pos % 8] || [cur] || hs[pos % 8 + 2:], '')),
+                   proof || array_to_string(hs[1:pos % 8] || hs[pos % 8 + 2:], '')
+            FROM above JOIN upper_runs USING (lvl) WHERE n > 1 AND run = pos // 8
+        )
+        SELECT doc_id, leaf, subroot, (SELECT h FROM upper_nodes WHERE n = 1) AS root, sha256(proof) AS proof_sha256, cur AS folded_root,
+               cur = (SELECT h FROM upper_nodes WHERE n = 1) AS verified
+        FROM above WHERE n = 1
+    """,
 }
