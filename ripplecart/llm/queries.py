@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import partial
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -74,11 +75,15 @@ def op10_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def _is_kind(kind: str, span: Column) -> Column:
+    return span["kind"] == kind
+
+
 def op11_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
     found = scan_versions(table(spark, folder, "documents"), SECRETS)
-    of_kind = {k: F.size(F.filter("spans", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in ("assign", "access", "hex")}
+    of_kind = [F.size(F.filter("spans", partial(_is_kind, kind))).cast("long").alias(f"n_{kind}") for kind in ("assign", "access", "hex")]
     spans = joined(F.col("spans"))
-    return found.select("version.doc_id", *of_kind.values(), F.sha2(spans.cast("binary"), 256).alias("base_sha256"), spans.alias("spans"))
+    return found.select("version.doc_id", *of_kind, F.sha2(spans.cast("binary"), 256).alias("base_sha256"), spans.alias("spans"))
 
 
 def op12_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
