@@ -3,12 +3,17 @@ exact percentiles, histograms. None of them sorts or collects a whole table in o
 
 from __future__ import annotations
 
+import hashlib
+import math
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, BinaryType, StringType, StructField
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import ArrayType, BinaryType, DoubleType, FloatType, LongType, StringType, StructField, StructType
 
 from ripplecart.config import checkpoint_dir
 from ripplecart.functions.scalars import hash_uniform
@@ -21,7 +26,7 @@ def _scratch(spark: SparkSession) -> str:
     return f"{checkpoint_dir(spark).rstrip('/')}/ripplecart-{spark.sparkContext.applicationId}"
 
 
-def settled(df: DataFrame, name: str = "table") -> DataFrame:
+def settled(df: DataFrame, name: str = "table", partition_by: Sequence[str] = ()) -> DataFrame:
     """Write a table that several jobs read to the shared checkpoint folder, and read it back.
 
     Like ``checkpoint()`` it cuts the lineage and survives lost executors, but it computes the rows
@@ -30,7 +35,7 @@ def settled(df: DataFrame, name: str = "table") -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{_scratch(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.partitionBy(*partition_by).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -132,17 +137,138 @@ def sample_exact(
     return whole.unionByName(edge).drop("_u", "_b")
 
 
-def permute_column(
-    df: DataFrame, keys: Sequence[str], column: str, *, seed: int, perm_id: int = 0, buckets: int = 65536
-) -> DataFrame:
-    """Shuffle one column over the whole table: rank the rows twice and join rank to rank."""
-    receivers = hash_rank(
-        df.drop(column), keys, "_rank", seed=seed, tag=f"perm_to|{perm_id}", buckets=buckets
+ROUNDS = 8
+#: Distinct values up to which a permuted column is looked up in its sorted runs instead of joined by rank.
+RUNS = 4096
+
+
+def permutation_keys(seed: int, perm_id: int) -> list[int]:
+    """One 28-bit key per round."""
+    return [int(hashlib.md5(f"{seed}|perm|{perm_id}|{r}".encode()).hexdigest()[:7], 16) for r in range(ROUNDS)]
+
+
+def factors(n: int) -> tuple[int, int]:
+    """a and b with a * b >= n as tightly as possible, the cube root of n <= a <= its square root; the largest such a."""
+    low, high = 1, math.isqrt(n)
+    while (low + 1) ** 3 <= n:
+        low += 1
+    a = np.arange(low, max(high, low) + 1, dtype=np.int64)
+    excess = -n % a
+    best = int(a[::-1][excess[::-1].argmin()])
+    return best, -(-n // best)
+
+
+def permuted(k: np.ndarray, n: int, keys: Sequence[int]) -> np.ndarray:
+    """A keyed permutation of 0..n-1, evaluated at k: a Feistel network on Z_a x Z_b.
+
+    A value beyond n goes through the network again until it falls below n, which keeps the map one-to-one; at most
+    a * b - n places lie beyond.
+    """
+    a, b = factors(max(n, 1))
+
+    def mix(x: np.ndarray, key: int) -> np.ndarray:
+        x = (x * 1_103_515_245 + key) % 2_147_483_647
+        x = ((x ^ (x >> 15)) * 1_664_525) % 2_147_483_647
+        return x ^ (x >> 13)
+
+    def network(x: np.ndarray) -> np.ndarray:
+        left, right = np.divmod(x, b)
+        for i, key in enumerate(keys):
+            if i % 2 == 0:
+                left = (left + mix(right, key)) % a
+            else:
+                right = (right + mix(left, key)) % b
+        return left * b + right
+
+    out = network(np.asarray(k, np.int64))
+    while (beyond := out >= n).any():
+        out[beyond] = network(out[beyond])
+    return out
+
+
+def _permuted_ranks(n: int, keys: list[list[int]], starts: np.ndarray | None, values: pa.Array | None, names: list[str]):
+    """The rank, or with sorted runs the value, that each permutation sends to a row."""
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            k = np.asarray(batch.column("_k"))
+            out = [permuted(k, n, one) for one in keys]
+            made = [pa.array(j) if starts is None else values.take(pa.array(np.searchsorted(starts, j, "right") - 1)) for j in out]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *made], names=[*batch.schema.names, *names])
+
+    return send
+
+
+def permuted_columns(df: DataFrame, keys: Sequence[str], column: str, perm_ids: Sequence[int], *, seed: int, buckets: int = 65536) -> tuple[DataFrame, list[str]]:
+    """``df`` with one more column per permutation of ``column`` over all rows, and the names of these columns.
+
+    The rows are ranked once, by the column's value and then by hash. Every permutation is arithmetic on that rank: a
+    row receives the value at the rank that the permutation sends its own to. A column with up to RUNS distinct values is
+    a step function of the rank, so all permutations come from one pass; otherwise each is a join by rank.
+    ``keys`` must identify a row.
+    """
+    u = hash_uniform(seed, "rank", *[F.col(k) for k in keys])
+    rows = df.withColumn("_u", u)
+    bucket = F.struct(F.col(column).alias("value"), F.floor(F.col("_u") * buckets).alias("part"))
+    ranked = global_rank(rows, bucket, [F.col(column).asc_nulls_first(), "_u", *keys], "_rank").drop("_u")
+    ranked = settled(ranked.withColumn("_k", F.col("_rank") - 1).drop("_rank"), "ranked")
+    runs = ranked.groupBy(column).agg(F.min("_k").alias("start"))
+    few = runs.limit(RUNS + 1).collect()
+    n, names = ranked.count(), [f"_perm{i}" for i in perm_ids]
+    key_lists = [permutation_keys(seed, i) for i in perm_ids]
+    kind = df.schema[column].dataType
+    if len(few) <= RUNS:
+        few.sort(key=lambda r: r["start"])
+        values = pa.array([r[column] for r in few], to_arrow_type(kind))
+        send = _permuted_ranks(n, key_lists, np.array([r["start"] for r in few], np.int64), values, names)
+        schema = StructType([*ranked.schema.fields, *[StructField(c, kind) for c in names]])
+        return settled(ranked.mapInArrow(send, schema).drop("_k"), "permuted"), names
+    schema = StructType([*ranked.schema.fields, *[StructField(c, LongType()) for c in names]])
+    out = ranked.mapInArrow(_permuted_ranks(n, key_lists, None, None, names), schema)
+    for c in names:
+        out = out.withColumnRenamed(c, "_j").join(ranked.select(F.col("_k").alias("_j"), F.col(column).alias(c)), "_j").drop("_j")
+    return settled(out.drop("_k"), "permuted"), names
+
+
+def permute_column(df: DataFrame, keys: Sequence[str], column: str, *, seed: int, perm_id: int = 0) -> DataFrame:
+    """Shuffle one column over the whole table."""
+    table, (name,) = permuted_columns(df, keys, column, [perm_id], seed=seed)
+    return table.drop(column).withColumnRenamed(name, column).select(*df.columns)
+
+
+def ordered_positions(df: DataFrame, group: str, order: Sequence[str], name: str) -> DataFrame:
+    """0-based position of each row in its group by ``order``, which must decide between all rows of a group.
+
+    The rows are dealt out by ranges of (group, order) and sorted inside a range; a position is the place in the range
+    plus the group's rows in earlier ranges. A group of any size spreads over as many tasks as it has ranges.
+    """
+    ranges = settled(
+        df.repartitionByRange(group, *order).sortWithinPartitions(group, *order).withColumn("_at", F.monotonically_increasing_id()), "ranges"
     )
-    givers = hash_rank(
-        df.select(*keys, column), keys, "_rank", seed=seed, tag=f"perm_from|{perm_id}", buckets=buckets
-    ).select("_rank", column)
-    return receivers.join(givers, "_rank").drop("_rank").select(*df.columns)
+    part = F.shiftright("_at", 33).alias("_part")
+    before = Window.partitionBy(group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    counts = ranges.groupBy(group, part).agg(F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_first"))
+    shifts = counts.select(group, "_part", (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first")).alias("_shift"))
+    return (
+        ranges.withColumn("_part", part)
+        .join(shifts, [group, "_part"])
+        .withColumn(name, F.col("_at") + F.col("_shift"))
+        .select(*df.columns, name)
+    )
+
+
+def distinct_pairs(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(column, value, n): the distinct values of each column as text, null included, with their rows.
+
+    One exchange for all columns: rows are turned into (column, value) pairs that are counted before they are sent.
+    """
+    def text(c: str) -> Column:
+        kind = df.schema[c].dataType
+        value = F.col(c) + F.lit(0.0) if isinstance(kind, (DoubleType, FloatType)) else F.col(c)  # one zero
+        return value.cast("string")
+
+    pairs = F.array(*[F.struct(F.lit(c).alias("column"), text(c).alias("value")) for c in columns])
+    return df.select(F.inline(pairs)).groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
 
 
 def block_pairs(rows: DataFrame, group: str, key: str, vector: str, block: int) -> DataFrame:

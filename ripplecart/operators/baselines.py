@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.ml.functions import array_to_vector
-from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -12,6 +10,7 @@ from ripplecart.config import CELL, HIERARCHY, SPILLOVER_FEATURES, STORE, WEEK
 from ripplecart.functions.distributed import settled
 from ripplecart.operators.covariates import covariates, with_label_codes, with_row_folds
 from ripplecart.operators.dml import effects_table, fit_linear_cate
+from ripplecart.operators.forest import ForestSettings, causal_forest
 from ripplecart.operators.linear import ols_hc1, z_value
 from ripplecart.operators.nuisance import Nuisance, residualise
 from ripplecart.sources.stores import RESULT_SCHEMA, stack_results
@@ -89,25 +88,6 @@ def dml_baseline(
     return effects_table(panel.sparkSession, model, ["direct"], fit, confidence_level)
 
 
-def forest_cate(
-    res: DataFrame, trees: int = 200, depth: int = 8, sample: float = 0.1, seed: int = 42
-) -> DataFrame:
-    """Per-row effects from a forest that minimises the residual-on-residual loss.
-
-    The loss sum((y_res - tau(w) t_res)^2) is a weighted regression of y_res / t_res with weight
-    t_res^2, which MLlib's random forest fits directly. It is not an honest forest.
-    """
-    rows = res.withColumn("_features", array_to_vector("w"))
-    train = rows.filter(F.abs("t_res") > 1e-9).select(
-        "_features", (F.col("y_res") / F.col("t_res")).alias("label"), (F.col("t_res") * F.col("t_res")).alias("wt")
-    )
-    model = RandomForestRegressor(
-        featuresCol="_features", labelCol="label", weightCol="wt", predictionCol="cate", numTrees=trees,
-        maxDepth=depth, subsamplingRate=sample, seed=seed, maxMemoryInMB=1024,
-    ).fit(train)
-    return model.transform(rows).select(*res.columns, "cate")
-
-
 def forest_baseline(
     panel: DataFrame,
     outcome: str = "units_sold",
@@ -120,19 +100,24 @@ def forest_baseline(
     confidence_level: float = 0.95,
     seed: int = 42,
     include_discount_rate: bool = False,
+    settings: ForestSettings | None = None,
 ) -> tuple[DataFrame, DataFrame]:
-    """(effects, keyed CATE) of the residual forest; estimate and interval are those of the debiased score's mean."""
+    """(effects, keyed CATE with errors) of the honest causal forest.
+
+    The estimate is the mean effect; its error is the root mean square of the rows' errors, which bounds the error of
+    the mean whatever the correlation between rows.
+    """
     res = _residuals(
         panel, outcome, treatment, n_folds, nuisance or Nuisance(), embeddings, False, include_discount_rate, seed
     )
-    scored = settled(forest_cate(res, trees, depth, seed=seed))
-    t2 = scored.agg(F.avg(F.col("t_res") * F.col("t_res"))).scalar()
-    score = F.col("cate") + F.col("t_res") * (F.col("y_res") - F.col("cate") * F.col("t_res")) / t2
-    m = scored.agg(F.avg(score).alias("ate"), F.stddev_samp(score).alias("sd"), F.count(F.lit(1)).alias("n")).first()
-    se = m["sd"] / np.sqrt(m["n"])
+    settings = settings or ForestSettings(trees=trees, depth=depth, seed=seed)
+    scored = settled(causal_forest(res, CELL, settings), "forest")
+    m = scored.agg(
+        F.avg("cate").alias("ate"), F.sqrt(F.avg(F.col("cate_se") * F.col("cate_se"))).alias("se"), F.count(F.lit(1)).alias("n")
+    ).first()
     z = z_value(confidence_level)
-    row = ("rlearner_forest", "direct", m["ate"], float(se), float(m["ate"] - z * se), float(m["ate"] + z * se), m["n"])
-    return panel.sparkSession.createDataFrame([row], RESULT_SCHEMA), scored.select(*CELL, "cate")
+    row = ("causal_forest_no_graph", "direct", m["ate"], m["se"], float(m["ate"] - z * m["se"]), float(m["ate"] + z * m["se"]), m["n"])
+    return panel.sparkSession.createDataFrame([row], RESULT_SCHEMA), scored.select(*CELL, "cate", "cate_se")
 
 
 def run_all_baselines(

@@ -4,23 +4,21 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ripplecart.config import HIERARCHY, PRODUCT, SPILLOVER_FEATURES, STORE, WEEK
-from ripplecart.functions.distributed import broadcast_if_small, global_rank
+from ripplecart.functions.distributed import broadcast_if_small, distinct_pairs, global_rank, ordered_positions, settled
 from ripplecart.functions.scalars import hash_uniform
 
 
 def label_codes(df: DataFrame, columns: list[str]) -> DataFrame:
     """0-based position of each value in the sorted distinct values of its column: (column, value, code).
 
-    All columns share one aggregation; only distinct labels are ranked, each column in its own task.
+    All columns share one aggregation; the dictionary is sorted by ranges, a column's labels in many tasks.
     """
-    pairs = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("value")) for c in columns])
-    values = df.select(F.inline(pairs)).filter(F.col("value").isNotNull()).distinct()
-    rank = F.row_number().over(Window.partitionBy("column").orderBy("value"))
-    return values.withColumn("code", (rank - 1).cast("int"))
+    values = distinct_pairs(df, columns).where(F.col("value").isNotNull()).select("column", "value")
+    return ordered_positions(values, "column", ["value"], "_code").select("column", "value", F.col("_code").cast("int").alias("code"))
 
 
 def _attach_codes(df: DataFrame, codes: DataFrame, small: bool, columns: list[str]) -> DataFrame:
@@ -88,20 +86,46 @@ def covariates(
     return Covariates(names, cats, codes, small, vectors, embedding_dim)
 
 
+def fold_runs(runs: list[tuple[int, int]], n_folds: int) -> list[tuple[int, list[int], list[int]]]:
+    """Folds of equal-sized groups, dealt one by one to the lightest fold: (size, first folds, then this cycle for ever).
+
+    ``runs`` are (size, groups) by descending size. Within a run the folds level out until none is ahead by a whole
+    group; from there on the order repeats, so a run of any length costs no more than the levelling.
+    """
+    load, out = [0] * n_folds, []
+    for size, groups in runs:
+        first = []
+        while len(first) < groups and max(load) - min(load) >= size:
+            lightest = load.index(min(load))
+            first.append(lightest)
+            load[lightest] += size
+        cycle = sorted(range(n_folds), key=lambda k: (load[k], k))
+        laps, rest = divmod(groups - len(first), n_folds)
+        for i, k in enumerate(cycle):
+            load[k] += size * (laps + (i < rest))
+        out.append((size, first, cycle))
+    return out
+
+
 def group_folds(df: DataFrame, n_folds: int, group: str = PRODUCT) -> DataFrame:
-    """(group, n_rows, fold): whole groups per fold, sizes balanced by dealing them out in a snake.
+    """(group, n_rows, fold): whole groups per fold; the largest group first, ties by id, each to the lightest fold so far.
 
-    Groups are ranked by size, largest first, ties by id; the ranking works on (size, id range)
-    buckets, so even a catalog in which every product has the same size is sorted in many tasks.
+    The driver sees the distinct sizes with their number of groups, never the groups: groups of one size are dealt out by
+    their rank among them, which comes from (size, id range) buckets, so even a catalog in which every product has the
+    same size is ranked in many tasks.
     """
-    sizes = df.groupBy(group).agg(F.count(F.lit(1)).alias("n_rows"))
+    sizes = settled(df.groupBy(group).agg(F.count(F.lit(1)).alias("n_rows")), "sizes")
+    runs = [(r["n_rows"], r["n"]) for r in sizes.groupBy("n_rows").agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n_rows").desc()).collect()]
+    dealt, before = [], 0
+    for (size, first, cycle), (_, n) in zip(fold_runs(runs, n_folds), runs, strict=True):
+        dealt.append((size, before, first, cycle))
+        before += n
+    table = df.sparkSession.createDataFrame(dealt, "n_rows long, _before long, _first array<int>, _cycle array<int>")
     bucket = F.struct((-F.col("n_rows")).alias("size"), F.floor(F.col(group) / 65536).alias("block"))
-    ranked = global_rank(sizes, bucket, [F.col("n_rows").desc(), group], "_rank")
-    r = F.col("_rank") - 1
-    forward = F.pmod(r, F.lit(n_folds))
-    lap_even = F.pmod(F.floor(r / n_folds), F.lit(2)) == 0
-    fold = F.when(lap_even, forward).otherwise(F.lit(n_folds - 1) - forward)
-    return ranked.select(group, "n_rows", fold.cast("int").alias("fold"))
+    ranked = global_rank(sizes, bucket, [F.col("n_rows").desc(), group], "_rank").join(table, "n_rows")
+    place, head = F.col("_rank") - 1 - F.col("_before"), F.size("_first")
+    fold = F.when(place < head, F.get("_first", place.cast("int"))).otherwise(F.get("_cycle", ((place - head) % n_folds).cast("int")))
+    return ranked.select(group, "n_rows", fold.alias("fold"))
 
 
 def with_group_folds(df: DataFrame, n_folds: int, group: str = PRODUCT) -> DataFrame:

@@ -2,39 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.ml.feature import PCA, Normalizer, Word2Vec
+from pyspark.ml.feature import PCA, Normalizer
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ripplecart.config import PRODUCT
+from ripplecart.functions.distributed import settled
+from ripplecart.operators.skipgram import BLOCK_NODES, BUCKET_PAIRS, SkipGramSettings, train_skip_gram
 from ripplecart.operators.walks import biased_walks, unbiased_walks
 
-#: Walk steps of a training shard.
-SHARD_STEPS = 1_000_000
-
-
-def skip_gram(
-    walks: DataFrame, dim: int = 64, window: int = 5, epochs: int = 5, partitions: int | None = None, seed: int = 42
-) -> DataFrame:
-    """Skip-gram vectors of the walk corpus: (PRODUCT_ID, embedding).
-
-    MLlib trains on ``partitions`` shards of the corpus, by default one per SHARD_STEPS steps, and merges them every
-    epoch; walks are never split. What it keeps on the driver is the vocabulary times ``dim``, i.e. grows with the
-    catalog and not with the walks.
-    """
-    size = walks.agg(F.max(F.size("walk")).alias("longest"), F.sum(F.size("walk")).alias("steps")).first()
-    partitions = partitions or max(1, -(-(size.steps or 0) // SHARD_STEPS))
-    model = Word2Vec(
-        vectorSize=dim, windowSize=window, minCount=0, maxIter=epochs, numPartitions=partitions, seed=seed,
-        inputCol="walk", outputCol="v", maxSentenceLength=max(size.longest or 1, 1),
-    ).fit(walks)
-    return model.getVectors().select(
-        F.col("word").cast("bigint").alias(PRODUCT),
-        vector_to_array("vector").cast("array<float>").alias("embedding"),
-    )
-
-
 def train_node_embeddings(
     edges: DataFrame,
     nodes: DataFrame,
@@ -43,16 +20,18 @@ def train_node_embeddings(
     walk_length: int = 80,
     p: float = 1.0,
     q: float = 1.0,
-    partitions: int | None = None,
     seed: int = 42,
+    block_nodes: int = BLOCK_NODES,
+    bucket_pairs: int = BUCKET_PAIRS,
 ) -> DataFrame:
     """One row per node, isolated ones included: their walk is the node itself."""
     if p == 1.0 and q == 1.0:
         walks = unbiased_walks(edges, nodes, num_walks, walk_length, seed)
     else:
         walks = biased_walks(edges, nodes, num_walks, walk_length, p, q, seed)
-    vectors = skip_gram(walks.select("walk"), dim, partitions=partitions, seed=seed)
-    return nodes.select(PRODUCT).distinct().join(vectors, PRODUCT, "left")
+    walks = settled(walks.select("walk"), "walks")
+    trained = train_skip_gram(walks, SkipGramSettings(dim=dim, seed=seed), block_nodes=block_nodes, bucket_pairs=bucket_pairs)
+    return nodes.select(PRODUCT).distinct().join(trained.vectors, PRODUCT, "left")
 
 
 def pca_projection(embeddings: DataFrame, product: DataFrame, top_departments: int = 10) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ripplecart.config import CELL, STORE, WEEK, StudyConfig
-from ripplecart.functions.distributed import broadcast_if_small, global_rank, permute_column
+from ripplecart.functions.distributed import broadcast_if_small, global_rank, permuted_columns
 from ripplecart.functions.scalars import hash_uniform, normal_draw, standardised
 from ripplecart.operators.exposure import add_exposures
 
@@ -105,12 +105,16 @@ def placebo_test(
     treatment: str = "promo_any",
     seed: int = 42,
 ) -> DataFrame:
-    """Shuffle the treatment over all rows, re-estimate, repeat: (perm_id, effect, estimate, ci)."""
+    """Shuffle the treatment over all rows, re-estimate, repeat: (perm_id, effect, estimate, ci).
+
+    All shuffled treatments come from one ranking of the rows and are saved side by side; an estimate reads its own.
+    """
+    table, names = permuted_columns(panel, CELL, treatment, range(n_permutations), seed=seed)
     parts = [
-        estimator(permute_column(panel, CELL, treatment, seed=seed, perm_id=i)).select(
+        estimator(table.drop(treatment).withColumnRenamed(name, treatment).select(*panel.columns)).select(
             F.lit(i).alias("perm_id"), "effect", "estimate", "ci_lower", "ci_upper"
         )
-        for i in range(n_permutations)
+        for i, name in enumerate(names)
     ]
     return reduce(DataFrame.unionByName, parts)
 

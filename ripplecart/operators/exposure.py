@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from functools import reduce
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ripplecart.config import CELL, COMP, PRODUCT, SPILLOVER_FEATURES, STORE, SUB, WEEK
-from ripplecart.functions.distributed import BROADCAST_ROWS, has_at_most, settled
+from ripplecart.functions.distributed import BROADCAST_ROWS
 from ripplecart.functions.scalars import edge_weight, safe_ratio
 
 STORE_WEEK = [STORE, WEEK]
@@ -21,60 +21,91 @@ def without_channel(edges: DataFrame, graph: str) -> DataFrame:
     return edges.filter(F.col("graph") != graph)
 
 
-def _weights_by_graph(edges: DataFrame, w: Column) -> DataFrame:
+@dataclass(frozen=True)
+class EdgeLayout:
+    """How the edges meet the rows: a broadcast list, or a grid of blocks in a shuffle.
+
+    ``by_dst`` blocks of about ``block_rows`` edges each, by the giving product; ``by_src`` parts of a block, more than
+    one only where a product has more edges than a block; ``groups`` of store-weeks, each of which meets every block.
+    ``by_dst`` = 0 stands for a list small enough to be broadcast.
+    """
+
+    edges: DataFrame
+    by_dst: int = 0
+    by_src: int = 1
+    groups: int = 1
+
+    def select(self, *cols: Column | str) -> EdgeLayout:
+        return replace(self, edges=self.edges.select(*cols))
+
+    @property
+    def broadcast(self) -> bool:
+        return self.by_dst == 0
+
+
+def edge_layout(edges: DataFrame, block_rows: int = BROADCAST_ROWS) -> EdgeLayout:
+    """The layout of an edge list, from one count per giving product.
+
+    An edge row is four numbers, so a list within the default bound is some 32 MB and is broadcast.
+    """
+    per_product = edges.groupBy("dst").agg(F.count(F.lit(1)).alias("n"))
+    size = per_product.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.max("n"), F.lit(0)).alias("most")).first()
+    if size["n"] <= block_rows:
+        return EdgeLayout(edges)
+    by_dst, by_src = -(-size["n"] // block_rows), -(-size["most"] // block_rows)
+    tasks = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return EdgeLayout(edges, by_dst, by_src, max(1, -(-4 * tasks // (by_dst * by_src))))
+
+
+def _weights_by_graph(layout: EdgeLayout, w: Column) -> EdgeLayout:
     """One weight column per graph, 0 outside it: the hot loop multiplies instead of comparing labels."""
     per_graph = [F.when(F.col("graph") == g, w).otherwise(F.lit(0.0)).alias(f"w_{g}") for g in CHANNELS]
-    return edges.select("src", "dst", *per_graph)
+    return layout.select("src", "dst", *per_graph)
 
 
-def edge_blocks(edges: DataFrame, block_rows: int = BROADCAST_ROWS) -> list[DataFrame]:
-    """The edge list as tables of at most ``block_rows`` rows, counted, so that each may be broadcast.
+def _block(c: Column, n: int) -> Column:
+    return F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
 
-    The edges of a receiving product stay together, in pieces of 1/64 of a block: only a hub with
-    more edges than that lies in several blocks. An edge row is four numbers, so the default bound
-    is some 32 MB.
+
+def _pushed(rows: DataFrame, layout: EdgeLayout, cell: list[str]) -> DataFrame:
+    """Present rows next to each edge that leads to them.
+
+    In a grid, a row goes to the block of its product within the group of its ``cell`` (once per part of the block),
+    and a copy of each block of edges goes to every group. The two meet by (group, block, part), so what one store-week
+    sends to one receiver out of a block is summed in the task that makes it.
     """
-    if has_at_most(edges, block_rows):
-        return [edges]
-    piece = max(block_rows // 64, 1)
-    nth = F.row_number().over(Window.partitionBy("src").orderBy("dst"))
-    group = F.xxhash64("src", F.floor((nth - 1) / piece))
-    grouped = settled(edges.withColumn("_group", group), "edge_groups")
-    m = -(-2 * edges.count() // block_rows)
-    while True:
-        block = F.pmod("_group", F.lit(m))
-        if grouped.groupBy(block).count().agg(F.max("count")).first()[0] <= block_rows:
-            break
-        m *= 2
-    # rows of a block lie together, so reading one block skips the row groups of the others
-    cut = grouped.withColumn("_block", block).drop("_group").repartition("_block").sortWithinPartitions("_block")
-    saved = settled(cut, "edge_blocks")
-    return [saved.filter(F.col("_block") == i).drop("_block") for i in range(m)]
-
-
-def _pushed(rows: DataFrame, blocks: list[DataFrame]) -> list[DataFrame]:
-    """Present rows next to each edge that leads to them, one frame per block of edges."""
-    return [rows.join(F.broadcast(block), F.col(PRODUCT) == F.col("dst")) for block in blocks]
-
-
-def _neighbour_sums(rows: DataFrame, blocks: list[DataFrame], sums: dict[str, Column]) -> DataFrame:
+    if layout.broadcast:
+        return rows.join(F.broadcast(layout.edges), F.col(PRODUCT) == F.col("dst"))
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    dealt = rows.withColumn("_dst", _block(F.col(PRODUCT), layout.by_dst))
+    edges = layout.edges.withColumn("_dst", _block(F.col("dst"), layout.by_dst)).withColumnRenamed("dst", PRODUCT)
+    at = ["_dst"]
+    if layout.groups > 1:
+        dealt, edges = dealt.withColumn("_group", _block(F.struct(*cell), layout.groups)), edges.withColumn("_group", every(layout.groups))
+        at.append("_group")
+    if layout.by_src > 1:
+        dealt, edges = dealt.withColumn("_src", every(layout.by_src)), edges.withColumn("_src", _block(F.col("src"), layout.by_src))
+        at.append("_src")
+    return dealt.repartition(tasks, *at).join(edges.repartition(tasks, *at).hint("merge"), [*at, PRODUCT]).withColumn("dst", F.col(PRODUCT))
+
+
+def _neighbour_sums(rows: DataFrame, layout: EdgeLayout, sums: dict[str, Column]) -> DataFrame:
     """Push every present row along its edges and sum at the receiving product.
 
-    The rows are exchanged once by (store, week). Each block of edges is broadcast to them, and its
-    join and aggregation run inside that one stage, so the rows-times-degree intermediate is never
-    written or exchanged, however long the edge list and whatever the degree of a product. Several
-    blocks read the same exchange again; their sums meet once more, since a hub lies in several.
+    A broadcast list: the rows are exchanged once by (store, week), and join and aggregation run inside that stage, so
+    the rows-times-degree intermediate is never written or exchanged. A grid of blocks: one join of fixed shape whatever
+    the number of edges; each task sums its block's contributions before they are exchanged by receiver, so a
+    receiving row gets at most one partial sum per block.
     """
-    rows = rows.repartition(*STORE_WEEK)
-    parts = [p.groupBy(*SOURCE).agg(*[c.alias(name) for name, c in sums.items()]) for p in _pushed(rows, blocks)]
-    if len(parts) == 1:
-        return parts[0]
-    return reduce(DataFrame.unionByName, parts).groupBy(*SOURCE).agg(*[F.sum(name).alias(name) for name in sums])
+    rows = rows.repartition(*STORE_WEEK) if layout.broadcast else rows
+    return _pushed(rows, layout, STORE_WEEK).groupBy(*SOURCE).agg(*[c.alias(name) for name, c in sums.items()])
 
 
-def _attach(panel: DataFrame, sums: DataFrame) -> DataFrame:
-    """Join the sums back; both sides lie by (store, week)."""
-    return panel.repartition(*STORE_WEEK).join(sums.withColumnRenamed("src", PRODUCT), CELL, "left")
+def _attach(panel: DataFrame, sums: DataFrame, layout: EdgeLayout) -> DataFrame:
+    """Join the sums back; with a broadcast list both sides lie by (store, week)."""
+    panel = panel.repartition(*STORE_WEEK) if layout.broadcast else panel
+    return panel.join(sums.withColumnRenamed("src", PRODUCT), CELL, "left")
 
 
 def presence_runs(presence: DataFrame) -> DataFrame:
@@ -94,14 +125,14 @@ def presence_runs(presence: DataFrame) -> DataFrame:
     )
 
 
-def _interval_denominators(panel: DataFrame, presence: DataFrame, blocks: list[DataFrame]) -> DataFrame:
+def _interval_denominators(panel: DataFrame, presence: DataFrame, layout: EdgeLayout) -> DataFrame:
     """Sum of the weights of present neighbours per panel key, from runs instead of rows.
 
     A neighbour's run adds its weight at the start and takes it away after the end; a running sum
     over the weeks of one (store, product) gives the total. Neighbours are also counted as integers,
     so 'none present' is exact and not a matter of rounding.
     """
-    pushed = reduce(DataFrame.unionByName, _pushed(presence_runs(presence), blocks))
+    pushed = _pushed(presence_runs(presence), layout, [STORE])
     turns = F.array(
         F.struct(F.col("start").alias(WEEK), F.col("copies").alias("by")),
         F.struct((F.col("end") + 1).alias(WEEK), (-F.col("copies")).alias("by")),
@@ -140,8 +171,8 @@ def add_exposures(
 
     ``weighted`` is sum(w * T) / sum(w) over neighbours with a row in the same store-week, ``sum``
     the numerator. Rows outside a graph, or without a present neighbour, get 0. Duplicate rows add
-    up. ``edges`` should be a saved table: it is counted, and broadcast in blocks of at most
-    ``block_rows`` edges. ``presence`` says which rows count as present (default: the panel itself, so
+    up. ``edges`` should be a saved table: it is counted, and broadcast up to ``block_rows`` edges;
+    a longer list meets the rows in a shuffled grid of blocks. ``presence`` says which rows count as present (default: the panel itself, so
     neighbours that were filtered or sampled away are absent).
 
     ``denominator='interval'`` computes the weight totals from presence runs: then only treated rows
@@ -151,14 +182,14 @@ def add_exposures(
     present = panel if presence is None else presence
     t = F.col(treatment).cast("double")
     rows = present.select(*CELL, t.alias("_t"))
-    by_graph = [_weights_by_graph(block, w) for block in edge_blocks(edges, block_rows)]
+    by_graph = _weights_by_graph(edge_layout(edges, block_rows), w)
     num = {f"{g}_num": F.sum(F.col(f"w_{g}") * F.col("_t")) for g in CHANNELS}
     if denominator == "direct":
         den = {f"{g}_den": F.sum(f"w_{g}") for g in CHANNELS}
-        out = _attach(panel, _neighbour_sums(rows, by_graph, {**num, **den}))
+        out = _attach(panel, _neighbour_sums(rows, by_graph, {**num, **den}), by_graph)
     elif denominator == "interval":
         treated = rows.filter(F.col("_t") != 0)
-        out = _attach(panel, _neighbour_sums(treated, by_graph, num)).join(
+        out = _attach(panel, _neighbour_sums(treated, by_graph, num), by_graph).join(
             _interval_denominators(panel, present, by_graph), CELL, "left"
         )
     else:
@@ -183,13 +214,10 @@ def weighted_exposure(
     """One graph's exposure: {prefix}_weighted and {prefix}_sum."""
     w = edge_weight(weight_type, F.col("w"))
     rows = panel.select(*CELL, F.col(treatment).cast("double").alias("_t"))
-    sums = _neighbour_sums(
-        rows,
-        [block.select("src", "dst", w.alias("w")) for block in edge_blocks(edges, block_rows)],
-        {"_num": F.sum(F.col("w") * F.col("_t")), "_den": F.sum("w")},
-    )
+    layout = edge_layout(edges, block_rows).select("src", "dst", w.alias("w"))
+    sums = _neighbour_sums(rows, layout, {"_num": F.sum(F.col("w") * F.col("_t")), "_den": F.sum("w")})
     total = F.coalesce(F.col("_num"), F.lit(0.0))
-    return _attach(panel, sums).select(
+    return _attach(panel, sums, layout).select(
         *[c for c in panel.columns if c not in (f"{prefix}_weighted", f"{prefix}_sum")],
         safe_ratio(total, F.coalesce(F.col("_den"), F.lit(0.0))).alias(f"{prefix}_weighted"),
         total.alias(f"{prefix}_sum"),
@@ -205,8 +233,8 @@ def add_spillover_features(panel: DataFrame, edges: DataFrame, block_rows: int =
         w = F.col(f"w_{g}")
         sums[f"{g}_t"], sums[f"{g}_u"], sums[f"{g}_n"] = F.sum(w * F.col("_t")), F.sum(w * F.col("_u")), F.sum(w)
     one = edge_weight("binary", F.col("w"))
-    by_graph = [_weights_by_graph(block, one) for block in edge_blocks(edges, block_rows)]
-    out = _attach(panel, _neighbour_sums(rows, by_graph, sums))
+    by_graph = _weights_by_graph(edge_layout(edges, block_rows), one)
+    out = _attach(panel, _neighbour_sums(rows, by_graph, sums), by_graph)
     cols = []
     for g, name in names.items():
         treated, units, present = (F.coalesce(F.col(f"{g}_{x}"), F.lit(0.0)) for x in "tun")

@@ -8,12 +8,13 @@ from functools import reduce
 
 import numpy as np
 from pyspark.ml.functions import array_to_vector
-from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
+from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ripplecart.config import WEEK
 from ripplecart.functions.distributed import broadcast_if_small
+from ripplecart.operators.boosting import BoostSettings, boosted_predictions, residual_columns
 from ripplecart.operators.linear import cross_products, solve_min_norm
 
 
@@ -21,15 +22,17 @@ from ripplecart.operators.linear import cross_products, solve_min_norm
 class Nuisance:
     """Which model predicts outcome and treatments out of fold.
 
-    kind: 'cell_mean' (department-week means), 'linear', 'gbt' or 'rf'. Trees, depth and step follow
-    the study's boosted-tree setting; ``parallel`` fits run at once from driver threads and share
-    the saved frame.
+    kind: 'cell_mean' (department-week means), 'linear', 'gbt' or 'rf'. Trees, depth, step, leaves and
+    the least rows of a leaf follow the study's boosted-tree setting. Boosted fits grow together
+    (``operators.boosting``); ``parallel`` forest fits run at once from driver threads.
     """
 
     kind: str = "gbt"
     trees: int = 200
     depth: int = 6
     step: float = 0.1
+    leaves: int = 31
+    least_rows: int = 20
     cells: tuple[str, ...] = ("DEPARTMENT", WEEK)
     parallel: int = 4
     seed: int = 42
@@ -45,7 +48,10 @@ def residualise(df: DataFrame, targets: list[str], n_folds: int, nuisance: Nuisa
         return _cell_mean_residuals(df, targets, list(nuisance.cells))
     if nuisance.kind == "linear":
         return _linear_residuals(df, targets, n_folds)
-    if nuisance.kind in ("gbt", "rf"):
+    if nuisance.kind == "gbt":
+        settings = BoostSettings(nuisance.trees, nuisance.depth, nuisance.leaves, nuisance.step, nuisance.least_rows)
+        return boosted_predictions(df, targets, n_folds, settings).select(*[c for c in df.columns if c != "w"], *residual_columns(targets))
+    if nuisance.kind == "rf":
         return _tree_residuals(df, targets, n_folds, nuisance)
     raise ValueError(f"unknown nuisance model {nuisance.kind!r}")
 
@@ -129,7 +135,7 @@ def _vector_width(df: DataFrame) -> int:
 
 
 def _tree_residuals(df: DataFrame, targets: list[str], n_folds: int, nuisance: Nuisance) -> DataFrame:
-    """One MLlib tree ensemble per fold and target, fitted on the other folds.
+    """One MLlib forest per fold and target, fitted on the other folds.
 
     ``df`` should rest on a saved table. Every fold's rows are scored by that fold's models and the folds are
     put together again by a union.
@@ -143,11 +149,7 @@ def _tree_residuals(df: DataFrame, targets: list[str], n_folds: int, nuisance: N
             "featuresCol": "_features", "labelCol": "label", "predictionCol": f"{target}_hat",
             "maxDepth": nuisance.depth, "seed": nuisance.seed, "maxMemoryInMB": 1024,
         }
-        if nuisance.kind == "gbt":
-            learner = GBTRegressor(maxIter=nuisance.trees, stepSize=nuisance.step, **common)
-        else:
-            learner = RandomForestRegressor(numTrees=nuisance.trees, **common)
-        return learner.fit(train)
+        return RandomForestRegressor(numTrees=nuisance.trees, **common).fit(train)
 
     jobs = [(f, t) for f in range(n_folds) for t in targets]
     with ThreadPoolExecutor(nuisance.parallel) as pool:

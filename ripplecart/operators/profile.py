@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ripplecart.config import CELL, PRODUCT, STORE, WEEK
-from ripplecart.functions.distributed import broadcast_if_small, global_rank, percentiles, settled
+from ripplecart.functions.distributed import broadcast_if_small, distinct_pairs, global_rank, percentiles, settled
 from ripplecart.functions.scalars import stripped
 from ripplecart.operators.panel import promo_flags
 
@@ -25,46 +25,47 @@ def share(cond: Column) -> Column:
 def schema_profile(df: DataFrame, name: str, approximate: bool = False) -> DataFrame:
     """One row per column: type, missing share in %, distinct values, a sample value (the smallest).
 
-    ``approximate`` counts distinct values by sketch, in one pass without expanding the rows.
+    Distinct values are the distinct (column, value) pairs of the table, counted; ``approximate`` takes a sketch instead.
     """
-    distinct = F.approx_count_distinct if approximate else F.count_distinct
     parts = [
         F.struct(
             F.lit(f.name).alias("column_name"),
             F.lit(f.dataType.simpleString()).alias("dtype"),
             F.round(F.avg(F.col(f.name).isNull().cast("double")) * 100, 2).alias("null_pct"),
-            distinct(f.name).alias("n_unique"),
+            (F.approx_count_distinct(f.name) if approximate else F.lit(None).cast("bigint")).alias("n_unique"),
             F.min(f.name).cast("string").alias("sample"),
         )
         for f in df.schema.fields
     ]
-    return df.agg(F.array(*parts).alias("cols")).select(F.lit(name).alias("table_name"), F.inline("cols"))
+    rows = df.agg(F.array(*parts).alias("cols")).select(F.lit(name).alias("table_name"), F.inline("cols"))
+    if not approximate:
+        counts = distinct_counts(df, df.columns).withColumnRenamed("column", "column_name")
+        rows = rows.drop("n_unique").join(counts, "column_name", "left").na.fill(0, subset=["n_unique"])
+    return rows.select("table_name", "column_name", "dtype", "null_pct", "n_unique", "sample")
+
+
+def distinct_counts(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(column, n_unique) without null."""
+    return distinct_pairs(df, columns).groupBy("column").agg(F.count("value").alias("n_unique"))
 
 
 def schema_profiles(tables: dict[str, DataFrame], approximate: bool = False) -> DataFrame:
     return reduce(DataFrame.unionByName, [schema_profile(df, n, approximate) for n, df in tables.items()])
 
 
-def entity_counts(tx: DataFrame, products: DataFrame, others: dict[str, Column] | None = None) -> DataFrame:
+def entity_counts(tx: DataFrame, products: DataFrame) -> DataFrame:
     """Inventory (entity, value): distinct households, products, stores, weeks, baskets, labels, day range."""
-    n = F.count_distinct
-    lines = {
-        "households": n("household_key"),
-        "products_in_tx": n(PRODUCT),
-        "stores": n(STORE),
-        "weeks": n(WEEK),
-        "day_min": F.min("DAY").cast("bigint"),
-        "day_max": F.max("DAY").cast("bigint"),
-        "baskets": n("BASKET_ID"),
-        "transaction_lines": F.count(F.lit(1)),
-    }
-    catalog = {
-        "products_in_catalog": n(PRODUCT),
-        "departments": n("DEPARTMENT"),
-        "commodities": n("COMMODITY_DESC"),
-        "sub_commodities": n("SUB_COMMODITY_DESC"),
-    }
-    return _as_rows(tx, lines, "entity").unionByName(_as_rows(products, catalog, "entity"))
+    lines = {"household_key": "households", PRODUCT: "products_in_tx", STORE: "stores", WEEK: "weeks", "BASKET_ID": "baskets"}
+    catalog = {PRODUCT: "products_in_catalog", "DEPARTMENT": "departments", "COMMODITY_DESC": "commodities", "SUB_COMMODITY_DESC": "sub_commodities"}
+    totals = {"day_min": F.min("DAY").cast("bigint"), "day_max": F.max("DAY").cast("bigint"), "transaction_lines": F.count(F.lit(1))}
+    return _inventory(tx, lines).unionByName(_as_rows(tx, totals, "entity")).unionByName(_inventory(products, catalog))
+
+
+def _inventory(df: DataFrame, entities: dict[str, str]) -> DataFrame:
+    """Distinct values of the columns under the names of their entities; a column without values counts 0."""
+    names = df.sparkSession.createDataFrame(list(entities.items()), "column string, entity string")
+    found = names.join(distinct_counts(df, list(entities)), "column", "left")
+    return found.select("entity", F.coalesce("n_unique", F.lit(0)).alias("value"))
 
 
 def _as_rows(df: DataFrame, values: dict[str, Column], label: str) -> DataFrame:

@@ -131,37 +131,66 @@ def biased_walks(
     p: float = 1.0,
     q: float = 1.0,
     seed: int = 42,
+    trials: int = 4,
 ) -> DataFrame:
     """Second-order walks with return parameter p and in-out parameter q: (walk_id, walk).
 
     From the second step on a neighbour weighs w / p when it is the previous node, w when it is a
-    neighbour of the previous node, else w / q. Every neighbour draws an exponential time with its
-    weight as rate and the smallest wins: the same distribution as inverting a running total, but as
-    a ``min_by`` that is combined before the exchange, with no list or sort per walker.
+    neighbour of the previous node, else w / q. Steps are drawn by rejection: a neighbour is proposed by its weight
+    alone, through the slots of the unbiased walk, and taken with its factor over the largest factor, after one probe
+    whether it neighbours the previous node. A round makes ``trials`` proposals for every walker and the first that is
+    taken moves it; a walker without luck stays where it is and goes on proposing in the next round, so walkers need not
+    be in step. A round has walkers x trials rows whatever the degrees, and never meets a node's neighbour list.
     """
-    out, _ = broadcast_if_small(edges.select("src", "dst", "w"))
-    known = out.select(F.col("src").alias("prev"), F.col("dst"), F.lit(True).alias("near"))
-    starts = (
+    slots, _ = broadcast_if_small(_slots(edges))
+    known, _ = broadcast_if_small(edges.select(F.col("src").alias("_prev"), F.col("dst").alias("_near")))
+    top = max(1.0, 1.0 / p, 1.0 / q)
+    state = (
         walk_starts(nodes, num_walks)
         .withColumnRenamed("start", "cur")
-        .withColumn("prev", F.lit(None).cast("bigint"))
+        .join(_degree(edges).withColumnRenamed("src", "cur"), "cur", "left")
+        .select("walk_id", "cur", "deg", F.lit(None).cast("bigint").alias("prev"), F.lit(0).alias("step"), F.lit(0).alias("trial"))
     )
+    parts = [state.select("walk_id", F.lit(0).alias("at"), F.array("cur").alias("nodes"))]
+    walking = (F.col("step") < walk_length - 1) & F.col("deg").isNotNull()
 
-    def hop(state: DataFrame, step: int) -> DataFrame:
-        options = state.join(out, F.col("cur") == F.col("src"), "left").drop("src")
-        if step > 1:
-            options = options.join(known, ["prev", "dst"], "left")
-            scale = F.when(F.col("dst") == F.col("prev"), 1.0 / p).when(F.col("near"), 1.0).otherwise(1.0 / q)
-        else:
-            scale = F.lit(1.0)
-        u = hash_uniform(seed, "bwalk", F.col("walk_id"), step, F.col("dst"))
-        time = -F.log(F.lit(1.0) - u) / (F.col("w") * scale)
-        # the node itself breaks the (practically impossible) tie of two equal times
-        rank = F.when(F.col("dst").isNotNull(), F.struct(time.alias("t"), F.col("dst").alias("d")))
-        best = options.withColumn("rank", rank).groupBy("walk_id").agg(
-            F.first("cur").alias("prev"), F.min("rank").alias("best"), F.first("path").alias("path")
+    def hop(state: DataFrame) -> DataFrame:
+        tries = F.when(walking, F.sequence(F.col("trial"), F.col("trial") + trials - 1)).otherwise(F.array("trial"))
+        drawn = state.withColumn("k", F.explode(tries)).withColumn("u", hash_uniform(seed, "bwalk", F.col("walk_id"), F.col("step") + 1, F.col("k")))
+        found = (
+            walking
+            & (F.col("cur") == F.col("src"))
+            & (F.floor(F.col("u") * F.col("deg")) == F.col("slot"))
+            & (F.col("u") >= F.col("lo"))
+            & (F.col("u") < F.col("hi"))
+        )
+        probed = drawn.join(slots, found, "left").join(known, (F.col("prev") == F.col("_prev")) & (F.col("dst") == F.col("_near")), "left")
+        factor = (
+            F.when(F.col("prev").isNull(), top)
+            .when(F.col("dst") == F.col("prev"), 1.0 / p)
+            .when(F.col("_near").isNotNull(), 1.0)
+            .otherwise(1.0 / q)
+        )
+        taken = F.col("dst").isNotNull() & (hash_uniform(seed, "baccept", F.col("walk_id"), F.col("step") + 1, F.col("k")) * top < factor)
+        same = ("step", "trial", "prev", "cur", "deg", "path")
+        best = probed.groupBy("walk_id").agg(*[F.first(c).alias(c) for c in same], F.min(F.when(taken, F.struct("k", "dst", "dst_deg"))).alias("best"))
+        moved, node = F.col("best").isNotNull(), F.col("best.dst")
+        return best.select(
+            "walk_id",
+            F.when(moved, node).otherwise(F.col("cur")).alias("cur"),
+            F.when(moved, F.col("best.dst_deg")).otherwise(F.col("deg")).alias("deg"),
+            F.when(moved, F.col("cur")).otherwise(F.col("prev")).alias("prev"),
+            F.when(moved, F.col("step") + 1).otherwise(F.col("step")).alias("step"),
+            F.when(moved, 0).otherwise(F.col("trial") + trials).alias("trial"),
+            _appended(F.col("path"), node).alias("path"),
         )
-        nxt = F.col("best.d")
-        return best.select("walk_id", "prev", nxt.alias("cur"), _appended(F.col("path"), nxt).alias("path"))
 
-    return _run_chunks(starts, walk_length, hop)
+    state = settled(state.filter(walking), "walks")
+    while not state.isEmpty():
+        state = state.withColumn("path", F.array().cast("array<bigint>"))
+        for _ in range(STEPS_PER_CHECKPOINT):
+            state = hop(state)
+        state = settled(state, "walks")
+        parts.append(state.select("walk_id", (F.col("step") - F.size("path") + 1).alias("at"), F.col("path").alias("nodes")))
+        state = state.drop("path").filter(walking)
+    return _merge_chunks(parts)

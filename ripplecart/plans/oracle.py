@@ -114,10 +114,19 @@ CTES = {
                  sum(units_sold) FILTER (graph = 'comp') AS cu, nullif(count(*) FILTER (graph = 'comp'), 0) AS cn
           FROM panel JOIN edges ON dst = PRODUCT_ID GROUP BY 1, 2, 3) s USING (STORE_ID, PRODUCT_ID, WEEK_NO)""",
     "folds": """
-        SELECT PRODUCT_ID, n_rows,
-               CAST(CASE WHEN (r // 5) % 2 = 0 THEN r % 5 ELSE 4 - r % 5 END AS INTEGER) AS fold
-        FROM (SELECT PRODUCT_ID, count(*) AS n_rows, row_number() OVER (ORDER BY count(*) DESC, PRODUCT_ID) - 1 AS r
-              FROM panel GROUP BY 1)""",
+        SELECT PRODUCT_ID, n_rows, fold FROM (
+          WITH RECURSIVE sized AS (
+            SELECT PRODUCT_ID, n_rows, row_number() OVER (ORDER BY n_rows DESC, PRODUCT_ID) AS r
+            FROM (SELECT PRODUCT_ID, count(*) AS n_rows FROM panel GROUP BY 1)
+          ), dealt(r, PRODUCT_ID, n_rows, fold, loads) AS (
+            SELECT CAST(0 AS BIGINT), CAST(NULL AS BIGINT), CAST(0 AS BIGINT), 0, [0, 0, 0, 0, 0]::BIGINT[] UNION ALL
+            SELECT s.r, s.PRODUCT_ID, s.n_rows, CAST(list_position(loads, list_min(loads)) - 1 AS INTEGER),
+                   list_transform(range(1, 6), lambda i: loads[i] + CASE WHEN i = list_position(loads, list_min(loads)) THEN s.n_rows ELSE 0 END)
+            FROM dealt JOIN sized s ON s.r = dealt.r + 1)
+          SELECT * FROM dealt WHERE r > 0)""",
+    "permutable": f"""
+        SELECT STORE_ID, PRODUCT_ID, WEEK_NO, units_sold, promo_any, count(*) OVER () AS n,
+               row_number() OVER (ORDER BY promo_any NULLS FIRST, {u("42", "'rank'", *CELL_PARTS)}, STORE_ID, PRODUCT_ID, WEEK_NO) - 1 AS k FROM panel""",
     "cate_groups": """
         SELECT DEPARTMENT, avg(direct_cate) AS direct_mean, stddev_samp(direct_cate) AS direct_std,
                avg(sub_spillover_cate) AS sub_spill_mean, stddev_samp(sub_spillover_cate) AS sub_spill_std,

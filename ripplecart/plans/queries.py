@@ -396,18 +396,24 @@ def walks_unbiased_3(b):
     return out.select("walk_id", F.array_join("walk", ",").alias("walk"))
 
 
-def _race(at: int, weight: str) -> str:
-    return f"arg_min(dst, -ln(1 - {sql.u('42', chr(39) + 'bwalk' + chr(39), 'walk_id', str(at), 'dst')}) / ({weight}))"
+def _biased_walk_sql(num_walks: int, length: int, p: float, q: float) -> str:
+    """Biased walks by recursion, one proposal of every walker per round."""
+    draw, accept = (sql.u("42", f"'{name}'", "walk_id", "step + 1", "trial") for name in ("bwalk", "baccept"))
+    factor = f"CASE WHEN prev IS NULL THEN {max(1, 1 / p, 1 / q)} WHEN cand = prev THEN {1 / p} WHEN k.dst IS NOT NULL THEN 1.0 ELSE {1 / q} END"
+    starts = STARTS.replace("[0, 1]", f"range({num_walks})").replace("k * 2", f"k * {num_walks}")
+    return f"""SELECT walk_id, string_agg(CAST(node AS VARCHAR), ',' ORDER BY step) AS walk, count(*) AS n_nodes FROM (
+        WITH RECURSIVE w AS (
+          SELECT walk_id, CAST(NULL AS BIGINT) AS prev, n0 AS node, 0 AS step, 0 AS trial FROM ({starts}) UNION ALL
+          SELECT walk_id, CASE WHEN taken THEN node ELSE prev END, CASE WHEN taken THEN cand ELSE node END,
+                 CASE WHEN taken THEN step + 1 ELSE step END, CASE WHEN taken THEN 0 ELSE trial + 1 END
+          FROM (SELECT c.*, {accept} * {max(1, 1 / p, 1 / q)} < {factor} AS taken FROM (
+              SELECT walk_id, prev, node, step, trial, coalesce(min(dst) FILTER (cum > {draw}), max(dst)) AS cand
+              FROM w JOIN transitions ON src = node WHERE step < {length - 1} GROUP BY walk_id, prev, node, step, trial) c
+            LEFT JOIN comp_edges k ON k.src = prev AND k.dst = cand))
+        SELECT * FROM w WHERE trial = 0) GROUP BY 1"""
 
 
-@query(
-    "walks_biased_2", "walk_id:b walk",
-    f"""SELECT walk_id, {_as_walk('n0', 'n1', 'n2')} FROM (
-        WITH s1 AS (SELECT walk_id, n0, {_race(1, 'w')} AS n1 FROM ({STARTS}) LEFT JOIN comp_edges ON src = n0 GROUP BY 1, 2)
-        SELECT walk_id, n0, n1,
-          {_race(2, "e.w * CASE WHEN e.dst = n0 THEN 2.0 WHEN k.dst IS NOT NULL THEN 1.0 ELSE 0.5 END").replace("'|' || CAST(dst", "'|' || CAST(e.dst").replace("arg_min(dst", "arg_min(e.dst")} AS n2
-        FROM s1 LEFT JOIN comp_edges e ON e.src = n1 LEFT JOIN comp_edges k ON k.src = n0 AND k.dst = e.dst GROUP BY 1, 2, 3)""",
-)
+@query("walks_biased_2", "walk_id:b walk", _biased_walk_sql(2, 3, 0.5, 2.0))
 def walks_biased_2(b):
     out = walks.biased_walks(b.complements, b.nodes, num_walks=2, walk_length=3, p=0.5, q=2.0)
     return out.select("walk_id", F.array_join("walk", ",").alias("walk"))
@@ -431,21 +437,7 @@ def walks_full(b):
     return out.select("walk_id", F.array_join("walk", ",").alias("walk"), F.size("walk").alias("n_nodes"))
 
 
-def _long_biased_walk_sql(num_walks: int, length: int, p: float, q: float) -> str:
-    """Biased walks by recursion, one step per round."""
-    draw = sql.u("42", "'bwalk'", "w.walk_id", "w.step + 1", "e.dst")
-    scale = f"CASE WHEN w.prev IS NULL THEN 1.0 WHEN e.dst = w.prev THEN {1 / p} WHEN k.dst IS NOT NULL THEN 1.0 ELSE {1 / q} END"
-    starts = STARTS.replace("[0, 1]", f"range({num_walks})").replace("k * 2", f"k * {num_walks}")
-    return f"""SELECT walk_id, string_agg(CAST(node AS VARCHAR), ',' ORDER BY step) AS walk, count(*) AS n_nodes FROM (
-        WITH RECURSIVE w AS (
-          SELECT walk_id, CAST(NULL AS BIGINT) AS prev, n0 AS node, 0 AS step FROM ({starts}) UNION ALL
-          SELECT w.walk_id, w.node, arg_min(e.dst, -ln(1 - {draw}) / (e.w * {scale})), w.step + 1
-          FROM w JOIN comp_edges e ON e.src = w.node LEFT JOIN comp_edges k ON k.src = w.prev AND k.dst = e.dst
-          WHERE w.step < {length - 1} GROUP BY w.walk_id, w.node, w.step)
-        SELECT * FROM w) GROUP BY 1"""
-
-
-@query("walks_biased_full", "walk_id:b walk n_nodes:i", _long_biased_walk_sql(10, 80, 0.5, 2.0))
+@query("walks_biased_full", "walk_id:b walk n_nodes:i", _biased_walk_sql(10, 80, 0.5, 2.0))
 def walks_biased_full(b):
     """The reference's size: 10 walks of 80 nodes from every product."""
     out = walks.biased_walks(b.complements, b.nodes, num_walks=10, walk_length=80, p=0.5, q=2.0)
@@ -476,7 +468,7 @@ def exposure_weighted(b):
 
 @query("exposure_blocks", f"{CELL_COLS} {EXPOSURES}", "SELECT * FROM exposed")
 def exposure_blocks(b):
-    """The way of edge lists beyond one broadcast: blocks of at most 2,000 edges, each broadcast in turn."""
+    """The way of edge lists beyond one broadcast: blocks of about 2,000 edges meet the rows in a shuffled grid."""
     return exposure.add_exposures(b.panel, b.edges, block_rows=2000)
 
 
@@ -495,7 +487,10 @@ def exposure_discount(b):
     return exposure.add_exposures(b.panel, b.edges, treatment="discount_rate")
 
 
-@query("exposure_sub_only", f"{CELL_COLS} {EXPOSURES}", sql.exposures(edges="(SELECT * FROM edges WHERE graph = 'sub') e"))
+@query(
+    "exposure_sub_only", f"{CELL_COLS} {EXPOSURES}",
+    f"SELECT {sql.KEYS}, sub_exposure_weighted, sub_exposure_sum, 0.0 AS comp_exposure_weighted, 0.0 AS comp_exposure_sum FROM exposed",
+)
 def exposure_sub_only(b):
     return exposure.add_exposures(b.panel, exposure.without_channel(b.edges, "comp"))
 
@@ -898,14 +893,39 @@ def covariate_balance(b):
     return evaluate.covariate_balance(b.panel, covariates=[*BALANCE, "DEPARTMENT", "absent"])
 
 
-def _permuted_sql(perm: int) -> str:
-    to, frm = (sql.u("42", f"'perm_{w}|{perm}'", *sql.CELL_PARTS) for w in ("to", "from"))
-    return f"""SELECT r.STORE_ID, r.PRODUCT_ID, r.WEEK_NO, r.units_sold, g.promo_any, {perm} AS perm_id
-        FROM (SELECT *, row_number() OVER (ORDER BY {to}, STORE_ID, PRODUCT_ID, WEEK_NO) AS k FROM panel) r
-        JOIN (SELECT promo_any, row_number() OVER (ORDER BY {frm}, STORE_ID, PRODUCT_ID, WEEK_NO) AS k FROM panel) g USING (k)"""
-
-
-@query("placebo_permutation", f"{CELL_COLS} promo_any:i", _permuted_sql(0))
+def _network_sql(x: str, tag: str) -> list[str]:
+    """Columns of one pass through the permutation network; the last one is its value."""
+    mix = lambda v, r, at: [
+        f"({v} * 1103515245 + keys[{r + 1}]) % 2147483647 AS m{at}", f"(xor(m{at}, m{at} >> 15) * 1664525) % 2147483647 AS q{at}", f"xor(q{at}, q{at} >> 13) AS f{at}",
+    ]
+    out, left, right = [f"{x} // b AS l{tag}", f"{x} % b AS r{tag}"], f"l{tag}", f"r{tag}"
+    for r in range(8):
+        at = f"{tag}{r}"
+        if r % 2 == 0:
+            out += [*mix(right, r, at), f"({left} + f{at}) % a AS l{at}"]
+            left = f"l{at}"
+        else:
+            out += [*mix(left, r, at), f"({right} + f{at}) % b AS r{at}"]
+            right = f"r{at}"
+    return [*out, f"{left} * b + {right} AS v{tag}"]
+
+
+def _permuted_sql(perms: int) -> str:
+    """Panel rows with the treatment that each permutation sends to them; at most four places lie beyond the rows."""
+    key = "list_transform(range(0, 8), lambda r: CAST('0x' || substr(md5('42|perm|' || perm_id || '|' || r), 1, 7) AS BIGINT))"
+    passes, x = [], "k"
+    for tag in "abcde":
+        passes += [*_network_sql(x, tag), f"CASE WHEN {x} IS NOT NULL AND ({'true' if tag == 'a' else f'{x} >= n'}) THEN v{tag} ELSE {x} END AS w{tag}"]
+        x = f"w{tag}"
+    return f"""SELECT p.STORE_ID, p.PRODUCT_ID, p.WEEK_NO, p.units_sold, g.promo_any, p.perm_id FROM (
+          SELECT STORE_ID, PRODUCT_ID, WEEK_NO, units_sold, perm_id, n, {", ".join(passes)}
+          FROM permutable CROSS JOIN (SELECT perm_id, {key} AS keys FROM range({perms}) t(perm_id)) CROSS JOIN (
+            SELECT a, (n + a - 1) // a AS b FROM (SELECT count(*) AS n FROM panel), range(1, 20000) f(a)
+            WHERE a * a <= n AND (a + 1) * (a + 1) * (a + 1) > n ORDER BY (n + a - 1) // a * a - n, a DESC LIMIT 1)
+        ) p JOIN permutable g ON g.k = p.{x}"""
+
+
+@query("placebo_permutation", f"{CELL_COLS} promo_any:i", _permuted_sql(1))
 def placebo_permutation(b):
     return permute_column(b.panel, CELL, "promo_any", seed=42)
 
@@ -931,7 +951,7 @@ def _mean_difference(df: DataFrame) -> DataFrame:
         SELECT perm_id, avg(units_sold) FILTER (promo_any = 1) - avg(units_sold) FILTER (promo_any = 0) AS d,
         sqrt(var_samp(units_sold) FILTER (promo_any = 1) / count(*) FILTER (promo_any = 1)
            + var_samp(units_sold) FILTER (promo_any = 0) / count(*) FILTER (promo_any = 0)) AS se
-        FROM ({" UNION ALL ".join(_permuted_sql(i) for i in range(20))}) GROUP BY 1)""",
+        FROM ({_permuted_sql(20)}) GROUP BY 1)""",
 )
 def placebo_test(b):
     return evaluate.placebo_test(b.panel, _mean_difference, n_permutations=20)

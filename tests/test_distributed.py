@@ -50,13 +50,54 @@ def test_sample_has_exactly_n_rows(spark, n):
     assert sorted(got) == sorted(again)
 
 
-def test_permutation_keeps_the_values_and_moves_them(spark):
-    df = spark.range(400).withColumn("t", (F.col("id") < 100).cast("int"))
-    out = D.permute_column(df, ["id"], "t", seed=1).collect()
-    assert len({r.id for r in out}) == 400 and sum(r.t for r in out) == 100
-    assert 10 < sum(r.t for r in out if r.id < 100) < 45
-    other = {r.id: r.t for r in D.permute_column(df, ["id"], "t", seed=1, perm_id=1).collect()}
-    assert other != {r.id: r.t for r in out}
+@pytest.mark.parametrize("n", [1, 2, 3, 7, 10, 97, 400, 1009])
+def test_permutation_network_is_one_to_one(n):
+    a, b = D.factors(n)
+    assert n <= a * b and a <= max(np.sqrt(n), 1)
+    seen = [D.permuted(np.arange(n), n, D.permutation_keys(1, i)) for i in range(3)]
+    assert all(sorted(p.tolist()) == list(range(n)) for p in seen)
+    if n > 90:
+        assert not (seen[0] == seen[1]).all() and abs(np.corrcoef(seen[0], np.arange(n))[0, 1]) < 0.35
+
+
+def test_permutation_network_has_no_preferred_places():
+    hits = np.zeros((10, 10))
+    for i in range(3000):
+        p = D.permuted(np.arange(10), 10, D.permutation_keys(7, i))
+        hits[np.arange(10), p] += 1
+    assert abs(hits / 3000 - 0.1).max() < 0.04
+
+
+@pytest.mark.parametrize("distinct", [2, 5000])
+def test_permutations_come_from_one_ranking(spark, distinct):
+    n = 6000 if distinct > 2 else 400
+    df = spark.range(n).withColumn("t", (F.col("id") * 7 % distinct).cast("double") if distinct > 2 else (F.col("id") < 100).cast("int"))
+    table, names = D.permuted_columns(df.repartition(6), ["id"], "t", range(3), seed=1)
+    rows = table.collect()
+    assert len({r.id for r in rows}) == n
+    for name in names:
+        assert sorted(r[name] for r in rows) == sorted(r.t for r in rows)
+    assert len({tuple(r[name] for r in sorted(rows, key=lambda r: r.id)) for name in names}) == 3
+    if distinct == 2:
+        for name in names:
+            assert 10 < sum(r[name] for r in rows if r.id < 100) < 45
+        once = {r.id: r.t for r in D.permute_column(df, ["id"], "t", seed=1, perm_id=2).collect()}
+        assert once == {r.id: r[names[2]] for r in rows}
+
+
+def test_positions_span_the_ranges_of_a_group(spark):
+    df = spark.range(2000).select((F.col("id") % 3 == 0).cast("string").alias("g"), F.md5(F.col("id").cast("string")).alias("v"))
+    got = D.ordered_positions(df.repartition(5), "g", ["v"], "pos").collect()
+    for g in ("true", "false"):
+        assert [r.v for r in sorted((r for r in got if r.g == g), key=lambda r: r.pos)] == sorted(r.v for r in got if r.g == g)
+
+
+def test_distinct_pairs_take_one_exchange(spark):
+    df = spark.createDataFrame([(1, 0.0, "a"), (1, -0.0, None), (2, 1.5, "a")], "k int, x double, s string")
+    pairs = D.distinct_pairs(df, ["k", "x", "s"])
+    assert {(r.column, r.value): r.n for r in pairs.collect()} == {("k", "1"): 2, ("k", "2"): 1, ("x", "0.0"): 2, ("x", "1.5"): 1, ("s", "a"): 2, ("s", None): 1}
+    plan = D.distinct_pairs(df, ["k", "x", "s"])._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Expand" not in plan
 
 
 def test_histogram_closes_the_last_bin(spark):

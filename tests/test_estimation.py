@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from ripplecart.config import CELL, EFFECTS, StudyConfig
 from ripplecart.functions.distributed import settled
-from ripplecart.operators import baselines, covariates, dml, evaluate, interpret, linear
+from ripplecart.operators import baselines, boosting, covariates, dml, evaluate, forest, interpret, linear
 from ripplecart.operators.nuisance import Nuisance, residualise
 
 
@@ -111,6 +111,63 @@ def test_tree_nuisance_scores_every_row_once(keyed, kind):
     assert out.count() == len(rows) and out.filter("y_res is null").count() == 0
 
 
+def _plain_boosting(x, y, rounds, depth, leaves, step, least):
+    """One model, row by row: best-first trees on the distinct values of each column."""
+    score, trees = np.full(len(y), y.mean()), []
+
+    def best(rows, g):
+        found = (1e-9, None)
+        for j in range(x.shape[1]):
+            for c in np.unique(x[rows, j])[:-1]:
+                left = x[rows, j] <= c
+                if min(left.sum(), (~left).sum()) >= least:
+                    gain = g[rows][left].sum() ** 2 / left.sum() + g[rows][~left].sum() ** 2 / (~left).sum() - g[rows].sum() ** 2 / len(rows)
+                    if gain > found[0] * (1 + 1e-9):
+                        found = (gain, (j, c))
+        return found
+
+    for _ in range(rounds):
+        g = y - score
+        tree = {(): np.arange(len(y))}
+        cuts = {(): best(tree[()], g)}
+        while len(tree) < leaves:
+            at = max((k for k in tree if len(k) < depth), key=lambda k: cuts[k][0], default=None)
+            if at is None or cuts[at][1] is None:
+                break
+            rows, (j, c) = tree.pop(at), cuts[at][1]
+            for side in (True, False):
+                tree[at + (side,)] = rows[(x[rows, j] <= c) == side]
+                cuts[at + (side,)] = best(tree[at + (side,)], g)
+        for rows in tree.values():
+            score[rows] += step * g[rows].mean()
+    return score
+
+
+def test_boosting_equals_a_plain_single_machine_run(spark):
+    rng = np.random.default_rng(3)
+    x = np.column_stack([rng.integers(0, 9, 600), rng.integers(0, 30, 600), rng.integers(0, 4, 600)]).astype(float)
+    y = np.sin(x[:, 1]) + x[:, 0] * (x[:, 2] > 1) + rng.normal(size=600) * 0.1
+    settings = boosting.BoostSettings(rounds=6, depth=4, leaves=9, step=0.3, least_rows=15)
+    want = _plain_boosting(x, y, 6, 4, 9, 0.3, 15)
+    edges = [np.unique(c)[:-1] for c in x.T]
+    bins = np.column_stack([np.searchsorted(e, c, "left") for e, c in zip(edges, x.T)]).astype(np.uint8)
+    start, trees = boosting.boost(bins, np.ones(600), y, settings)
+    score = start + sum(t.value[t.leaf_of(bins, 4)] for t in trees)
+    assert score == pytest.approx(want)
+    assert max(t.split.sum() + 1 for t in trees) == 9
+    # through Spark, out of fold, by model and by level
+    f = rng.integers(0, 3, 600)
+    df = spark.createDataFrame([(int(i), int(k), r.tolist(), float(v), float(-v)) for i, (k, r, v) in enumerate(zip(f, x, y))], "id int, fold int, w array<double>, y double, t double").repartition(3)
+    for entries in (10**9, 0):
+        got = boosting.boosted_predictions(df, ["y", "t"], 3, settings, task_entries=entries, keep=4).orderBy("id").toPandas()
+        for k in range(3):
+            s, model = boosting.boost(bins[f != k], np.ones((f != k).sum()), y[f != k], settings)
+            hat = s + sum(t.value[t.leaf_of(bins[f == k], 4)] for t in model)
+            assert got._hat0[f == k].to_numpy() == pytest.approx(hat, abs=1e-9)
+            assert got._hat1[f == k].to_numpy() == pytest.approx(-hat, abs=1e-9)
+        assert np.mean((got._hat0 - y) ** 2) < 0.5 * y.var()
+
+
 def test_unknown_nuisance(keyed):
     with pytest.raises(ValueError):
         residualise(keyed[1], ["y"], 3, Nuisance("other"))
@@ -122,15 +179,43 @@ def test_label_codes_are_sorted_and_missing_is_minus_one(spark):
     assert got == {"Z": 0, "a": 1, "b": 2, None: -1}
 
 
-def test_group_folds_are_whole_and_balanced(spark):
+def _greedy(sizes, n_folds):
+    load, out = [0] * n_folds, {}
+    for p in sorted(sizes, key=lambda p: (-sizes[p], p)):
+        out[p] = load.index(min(load))
+        load[out[p]] += sizes[p]
+    return out
+
+
+@pytest.mark.parametrize("spread", [1, 3, 60])
+def test_group_folds_go_to_the_lightest_fold(spark, spread):
     rng = np.random.default_rng(5)
-    sizes = {p: int(rng.integers(1, 60)) for p in range(1, 90)}
+    sizes = {p: int(rng.integers(1, spread + 1)) for p in range(1, 90)} | {200: 700}
     df = spark.createDataFrame([(p,) for p, n in sizes.items() for _ in range(n)], "PRODUCT_ID bigint")
-    folds = {r.PRODUCT_ID: r.fold for r in covariates.group_folds(df, 4).collect()}
-    ranked = sorted(sizes, key=lambda p: (-sizes[p], p))
-    assert [folds[p] for p in ranked[:8]] == [0, 1, 2, 3, 3, 2, 1, 0]
-    load = [sum(n for p, n in sizes.items() if folds[p] == k) for k in range(4)]
-    assert max(load) - min(load) <= 60
+    got = covariates.group_folds(df, 4).collect()
+    assert {r.PRODUCT_ID: r.fold for r in got} == _greedy(sizes, 4)
+    assert {r.PRODUCT_ID: r.n_rows for r in got} == sizes
+
+
+def test_runs_of_equal_groups_are_dealt_without_a_step_per_group():
+    rng = np.random.default_rng(6)
+    for _ in range(50):
+        runs = sorted({int(s): int(rng.integers(1, 40)) for s in rng.integers(1, 30, 6)}.items(), reverse=True)
+        sizes = {i: s for i, s in enumerate(s for s, n in runs for _ in range(n))}
+        want, at = _greedy(sizes, 5), 0
+        for (size, n), (same, first, cycle) in zip(runs, covariates.fold_runs(runs, 5)):
+            dealt = [(first[r] if r < len(first) else cycle[(r - len(first)) % 5]) for r in range(n)]
+            assert same == size and dealt == [want[at + r] for r in range(n)]
+            at += n
+    assert len(covariates.fold_runs([(3, 10**12), (1, 10**12)], 5)[1][1]) < 20
+
+
+def test_label_codes_of_many_labels_come_from_many_ranges(spark):
+    df = spark.range(3000).select(F.concat(F.lit("L"), F.md5(F.col("id").cast("string"))).alias("DEPARTMENT"), F.lit("one").alias("BRAND"))
+    codes = covariates.label_codes(df.repartition(5), ["DEPARTMENT", "BRAND"]).collect()
+    labels = sorted(r.value for r in codes if r.column == "DEPARTMENT")
+    assert {r.value: r.code for r in codes if r.column == "DEPARTMENT"} == {v: i for i, v in enumerate(labels)}
+    assert [(r.value, r.code) for r in codes if r.column == "BRAND"] == [("one", 0)]
 
 
 @pytest.fixture(scope="module")
@@ -211,9 +296,9 @@ def test_baselines_stack_into_one_table(study):
     from ripplecart.operators.exposure import add_spillover_features
 
     rows = baselines.run_all_baselines(
-        add_spillover_features(panel, edges), nuisance=Nuisance("cell_mean"), n_folds=2, forest_trees=3, forest_depth=3,
+        add_spillover_features(panel, edges), nuisance=Nuisance("cell_mean"), n_folds=2, forest_trees=8, forest_depth=3,
     ).collect()
-    assert [r.model for r in rows] == ["ols_no_graph", "rlearner_forest", "dml_no_graph", "dml_unweighted_spillover"]
+    assert [r.model for r in rows] == ["ols_no_graph", "causal_forest_no_graph", "dml_no_graph", "dml_unweighted_spillover"]
     assert [r.n_obs for r in rows] == [4 * 24 * 12] * 4
     assert all(r.CI_lower < r.ATE < r.CI_upper for r in rows)
     tidy = interpret.compare_models(baselines.ols_baseline(panel), dml.effects_table(panel.sparkSession, "g", ["direct"], linear.LinearFit(np.ones(1), np.ones(1), np.eye(1), 3), 0.95))
@@ -238,6 +323,46 @@ def test_mean_effect_of_a_linear_cate_matches_numpy(spark):
     assert np.mean(got) == pytest.approx(theta[0])
 
 
+def test_forest_recovers_a_known_effect_and_its_bands_cover(spark):
+    rng = np.random.default_rng(12)
+    n = 6000
+    w = np.column_stack([rng.integers(0, 20, n), rng.integers(0, 5, n), rng.normal(size=n)]).astype(float)
+    tau = np.where(w[:, 0] < 10, 1.0, 3.0)
+    t = rng.normal(size=n)
+    y = tau * t + rng.normal(size=n)
+    df = settled(spark.createDataFrame([(i, a.tolist(), float(b), float(c)) for i, (a, b, c) in enumerate(zip(w, t, y))], "id bigint, w array<double>, t_res double, y_res double").repartition(4))
+    settings = forest.ForestSettings(trees=100, depth=5, sample=0.3)
+    got = forest.causal_forest(df.select(F.col("id").alias("row"), "w", "t_res", "y_res"), ["row"], settings).orderBy("row").toPandas()
+    assert len(got) == n and got.cate.notna().all() and (got.cate_se > 0).all()
+    assert abs(got.cate.mean() - tau.mean()) < 0.1 and np.corrcoef(got.cate, tau)[0, 1] > 0.95
+    covered = np.abs(got.cate.to_numpy() - tau) <= 1.96 * got.cate_se
+    assert covered[(w[:, 0] < 8) | (w[:, 0] > 11)].mean() > 0.85  # away from the jump the trees can tell the sides apart
+    flat = np.where(w[:, 0] < 10, 0, 1)
+    assert got.cate[flat == 1].mean() - got.cate[flat == 0].mean() == pytest.approx(2.0, abs=0.25)
+
+
+def test_forest_grows_the_same_trees_by_levels_and_in_tasks(spark):
+    rng = np.random.default_rng(13)
+    n = 2000
+    w = np.column_stack([rng.integers(0, 9, n), rng.integers(0, 30, n)]).astype(np.uint8)
+    t = rng.normal(size=n)
+    y = (1 + (w[:, 0] > 4)) * t + 0.3 * rng.normal(size=n)
+    df = settled(spark.createDataFrame([(int(i) * 7919, bytes(a), float(b), float(c)) for i, (a, b, c) in enumerate(zip(w, t, y))], "id bigint, bins binary, t double, y double").repartition(3))
+    grown = [forest.grow_forest(df, 2, forest.ForestSettings(trees=8, depth=4, sample=0.4, node_rows=rows)) for rows in (10**9, 100)]
+    assert (grown[0].split == grown[1].split).all() and grown[0].split.sum() > 20
+    for name in ("feature", "cut"):
+        assert (getattr(grown[0], name)[grown[0].split] == getattr(grown[1], name)[grown[0].split]).all()
+    assert (grown[0].feature[:, 0] == 0).mean() > 0.8  # the column that the effect depends on
+    leaves = forest._node_moments(df, grown[0], 2, True)
+    rows = [forest.members(np.array([7919 * i for i in range(n)], np.uint64), tree, grown[0].settings) for tree in range(8)]
+    for tree, (member, held) in enumerate(rows):
+        node = grown[0].node_of(tree, w[member[held]])
+        assert leaves[0, tree].sum() == held.sum() and (leaves[0, tree][np.unique(node)] >= 5).all()
+        assert leaves[4, tree, node[0]] == pytest.approx((t * y)[member[held]][node == node[0]].sum())
+    a, b = forest.members(np.arange(10_000, dtype=np.uint64), 0, forest.ForestSettings())[0], forest.members(np.arange(10_000, dtype=np.uint64), 1, forest.ForestSettings())[0]
+    assert 850 < len(a) < 1150 and 120 < len(np.intersect1d(a, b)) < 290  # a bag shares its half: a fifth of a tree's rows
+
+
 def test_balance_is_zero_for_a_constant_and_skips_text(spark):
     df = spark.createDataFrame([(1, 2.0, 5.0, "x"), (1, 4.0, 5.0, "x"), (0, 1.0, 5.0, "y"), (0, 3.0, 5.0, "y")], "promo_any int, a double, k double, s string")
     got = {r.covariate: r for r in evaluate.covariate_balance(df, covariates=["a", "k", "s", "absent"]).collect()}

@@ -124,14 +124,31 @@ def test_small_edges_cost_one_exchange_of_the_rows(frames):
     assert plan.count("Exchange hashpartitioning") == 2  # pushed rows and receiving rows, nothing after the edge join
 
 
-def test_blocks_of_edges_are_bounded_and_exchange_no_pushed_rows(frames):
+def _plan(frames, block_rows):
     panel, edges = frames
-    blocks = X.edge_blocks(edges, 6)
-    assert len(blocks) > 1 and max(b.count() for b in blocks) <= 6
-    assert sum(b.count() for b in blocks) == edges.count()
+    layout = X.edge_layout(edges, block_rows)
     rows = panel.select("STORE_ID", "PRODUCT_ID", "WEEK_NO", F.col("promo_any").alias("t"))
-    plan = X._neighbour_sums(rows, blocks, {"s": F.sum(F.col("w") * F.col("t"))})
-    text = plan._jdf.queryExecution().executedPlan().toString()
-    assert text.count("BroadcastHashJoin") == len(blocks) and "SortMergeJoin" not in text
-    pushed = [x for x in text.split("\n") if "Exchange hashpartitioning" in x and "REPARTITION" not in x]
-    assert not pushed, pushed
+    return layout, X._neighbour_sums(rows, layout, {"s": F.sum(F.col("w") * F.col("t"))})
+
+
+def test_grid_of_blocks_has_a_plan_of_fixed_size(frames):
+    sizes = set()
+    for block_rows in (2, 6, 20):
+        layout, sums = _plan(frames, block_rows)
+        assert not layout.broadcast and layout.by_dst == -(-frames[1].count() // block_rows)
+        text = sums._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" not in text and text.count("SortMergeJoin") == 1 and "Union" not in text
+        exchanges = [x for x in text.split("\n") if "Exchange hashpartitioning" in x]
+        assert len(exchanges) == 3  # rows, edges, and the partial sums by receiver
+        assert text.index("HashAggregate") < text.index("SortMergeJoin")
+        sizes.add(len(text.split("\n")))
+    assert max(sizes) - min(sizes) <= 2  # a projection more where a product has more edges than a block
+
+
+def test_a_product_with_more_edges_than_a_block_is_cut_by_receiver(spark):
+    hub = spark.createDataFrame([("sub", s, 1, 1.0) for s in range(2, 40)] + [("sub", 1, 2, 1.0)], "graph string, src bigint, dst bigint, w double")
+    layout = X.edge_layout(hub, 10)
+    assert layout.by_src == 4 and layout.by_dst == 4
+    panel = spark.createDataFrame([(1, p, 1, int(p == 1), 1.0, 0.0) for p in range(1, 40)], PANEL)
+    got = {r.PRODUCT_ID: r.sub_exposure_weighted for r in X.add_exposures(panel, hub, block_rows=10).collect()}
+    assert got[1] == 0 and all(got[p] == 1 for p in range(2, 40))

@@ -6,10 +6,12 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from ripplecart.functions.distributed import settled
 from ripplecart.operators import complements as C
 from ripplecart.operators import graphs as G
 from ripplecart.operators import substitutes as S
 from ripplecart.operators import walks as W
+from ripplecart.operators.skipgram import SkipGramSettings, train_bucket, train_skip_gram, window_pairs
 
 
 def brute_pairs(lines, k):
@@ -183,3 +185,67 @@ def test_biased_steps_prefer_the_way_back(spark):
     out = W.biased_walks(edges, nodes, 3000, 3, p=0.25, q=1.0)
     back = out.filter(F.col("walk")[2] == "1").count() / 3000
     assert back == pytest.approx(4 / 6, abs=0.04)
+
+
+def test_biased_steps_weigh_near_and_far_neighbours(spark):
+    # from 1 to 2; there 1 is the way back, 3 a common neighbour, 4 and 5 are far; weights differ
+    pairs = [(1, 2, 1.0), (1, 3, 1e-9), (2, 3, 2.0), (2, 4, 1.0), (2, 5, 3.0)]
+    edges = spark.createDataFrame(pairs + [(b, a, w) for a, b, w in pairs], "src bigint, dst bigint, w double")
+    nodes = spark.createDataFrame([(1,)], "PRODUCT_ID bigint")
+    p, q = 0.5, 4.0
+    weight = {1: 1 / p, 3: 2.0, 4: 1 / q, 5: 3 / q}
+    for trials in (1, 4):
+        out = W.biased_walks(edges, nodes, 4000, 3, p=p, q=q, trials=trials)
+        third = [int(r.walk[2]) for r in out.collect() if r.walk[1] == "2"]
+        assert len(third) > 3990
+        for node, w in weight.items():
+            assert third.count(node) / len(third) == pytest.approx(w / sum(weight.values()), abs=0.03)
+
+
+def test_a_round_of_biased_steps_never_meets_neighbour_lists(spark):
+    hub = [(0, d, 1.0) for d in range(1, 400)]
+    edges = spark.createDataFrame(hub + [(b, a, w) for a, b, w in hub], "src bigint, dst bigint, w double")
+    slots = W._slots(edges)
+    assert slots.filter("src = 0").groupBy("slot").count().agg(F.max("count")).first()[0] <= 3
+    out = W.biased_walks(edges, spark.createDataFrame([(0,), (1,)], "PRODUCT_ID bigint"), 3, 5, p=1.0, q=0.5)
+    assert all(len(r.walk) == 5 for r in out.collect()) and out.count() == 6
+
+
+def _two_cliques(size=12):
+    groups = [list(range(size)), list(range(100, 100 + size))]
+    return groups, [(a, b) for g in groups for a in g for b in g if a != b] + [(0, 100), (100, 0)]
+
+
+@pytest.mark.parametrize("block_nodes", [1000, 7])
+def test_skip_gram_loss_falls_and_neighbours_are_near(spark, block_nodes):
+    groups, pairs = _two_cliques()
+    edges = spark.createDataFrame([(a, b, 1.0) for a, b in pairs], "src bigint, dst bigint, w double")
+    nodes = spark.createDataFrame([(n,) for g in groups for n in g], "PRODUCT_ID bigint")
+    walks = settled(W.unbiased_walks(edges, nodes, 20, 12), "walks")
+    trained = train_skip_gram(walks, SkipGramSettings(dim=16, epochs=4, step=0.05), block_nodes=block_nodes)
+    assert trained.blocks == (1 if block_nodes == 1000 else 4)
+    assert trained.losses[-1] < 0.95 * trained.losses[0]
+    vectors = {r.PRODUCT_ID: np.array(r.embedding) for r in trained.vectors.collect()}
+    assert sorted(vectors) == sorted(n for g in groups for n in g)
+    unit = {k: v / np.linalg.norm(v) for k, v in vectors.items()}
+    side = {n: i for i, g in enumerate(groups) for n in g}
+    nearest = {a: max((b for b in unit if b != a), key=lambda b: unit[a] @ unit[b]) for a in unit}
+    assert sum(side[a] == side[b] for a, b in nearest.items()) >= len(unit) - 1
+
+
+def test_window_pairs_stay_in_their_walk_and_reach():
+    node, walk = np.array([5, 6, 7, 8, 1, 2]), np.array([0, 0, 0, 0, 1, 1])
+    centre, context = window_pairs(node, walk, 3, 0)
+    found = set(zip(centre.tolist(), context.tolist()))
+    place = {n: i for i, n in enumerate(node.tolist())}
+    assert all((a in (1, 2)) == (b in (1, 2)) and 0 < abs(place[a] - place[b]) <= 3 for a, b in found)
+    assert {(a, b) for a, b in found if abs(place[a] - place[b]) == 1} >= {(5, 6), (6, 5), (6, 7), (7, 6), (7, 8), (8, 7), (1, 2), (2, 1)}
+    assert len(window_pairs(np.zeros(0, np.int64), np.zeros(0, np.int64), 3, 0)[0]) == 0
+
+
+def test_bucket_training_lowers_its_loss():
+    rng = np.random.default_rng(1)
+    inputs, outputs = ((rng.random((6, 8)) - 0.5).astype(np.float32) / 8 for _ in range(2))
+    centre, context = np.array([0, 1, 2] * 200), np.array([1, 0, 2] * 200)
+    losses = [train_bucket(inputs, outputs, np.ones(6), centre, context, 0.1, 3, rng) for _ in range(8)]
+    assert losses[-1] < 0.7 * losses[0]
