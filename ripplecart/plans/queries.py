@@ -893,36 +893,27 @@ def covariate_balance(b):
     return evaluate.covariate_balance(b.panel, covariates=[*BALANCE, "DEPARTMENT", "absent"])
 
 
-def _network_sql(x: str, tag: str) -> list[str]:
-    """Columns of one pass through the permutation network; the last one is its value."""
-    mix = lambda v, r, at: [
-        f"({v} * 1103515245 + keys[{r + 1}]) % 2147483647 AS m{at}", f"(xor(m{at}, m{at} >> 15) * 1664525) % 2147483647 AS q{at}", f"xor(q{at}, q{at} >> 13) AS f{at}",
-    ]
-    out, left, right = [f"{x} // b AS l{tag}", f"{x} % b AS r{tag}"], f"l{tag}", f"r{tag}"
-    for r in range(8):
-        at = f"{tag}{r}"
-        if r % 2 == 0:
-            out += [*mix(right, r, at), f"({left} + f{at}) % a AS l{at}"]
-            left = f"l{at}"
-        else:
-            out += [*mix(left, r, at), f"({right} + f{at}) % b AS r{at}"]
-            right = f"r{at}"
-    return [*out, f"{left} * b + {right} AS v{tag}"]
+def _network_sql(x: str) -> str:
+    """One pass through the permutation network on places of an a x b grid."""
+
+    def mix(v: str) -> str:
+        m = f"(({v} * 1103515245 + e[1]) % 2147483647)"
+        q = f"((xor({m}, {m} >> 15) * 1664525) % 2147483647)"
+        return f"xor({q}, {q} >> 13)"
+
+    step = f"CASE WHEN e[2] = 0 THEN [(s[1] + {mix('s[2]')}) % a, s[2]] ELSE [s[1], (s[2] + {mix('s[1]')}) % b] END"
+    return f"list_dot_product(list_reduce([[{x} // b, {x} % b]] || keys, lambda s, e: {step}), [b, 1])"
 
 
 def _permuted_sql(perms: int) -> str:
     """Panel rows with the treatment that each permutation sends to them; at most four places lie beyond the rows."""
-    key = "list_transform(range(0, 8), lambda r: CAST('0x' || substr(md5('42|perm|' || perm_id || '|' || r), 1, 7) AS BIGINT))"
-    passes, x = [], "k"
-    for tag in "abcde":
-        passes += [*_network_sql(x, tag), f"CASE WHEN {x} IS NOT NULL AND ({'true' if tag == 'a' else f'{x} >= n'}) THEN v{tag} ELSE {x} END AS w{tag}"]
-        x = f"w{tag}"
-    return f"""SELECT p.STORE_ID, p.PRODUCT_ID, p.WEEK_NO, p.units_sold, g.promo_any, p.perm_id FROM (
-          SELECT STORE_ID, PRODUCT_ID, WEEK_NO, units_sold, perm_id, n, {", ".join(passes)}
-          FROM permutable CROSS JOIN (SELECT perm_id, {key} AS keys FROM range({perms}) t(perm_id)) CROSS JOIN (
-            SELECT a, (n + a - 1) // a AS b FROM (SELECT count(*) AS n FROM panel), range(1, 20000) f(a)
-            WHERE a * a <= n AND (a + 1) * (a + 1) * (a + 1) > n ORDER BY (n + a - 1) // a * a - n, a DESC LIMIT 1)
-        ) p JOIN permutable g ON g.k = p.{x}"""
+    keys = "list_transform(range(0, 8), lambda r: [CAST('0x' || substr(md5('42|perm|' || perm_id || '|' || r), 1, 7) AS BIGINT), r % 2])"
+    rows = f"""SELECT *, CAST({_network_sql("k")} AS BIGINT) AS j0 FROM permutable CROSS JOIN (SELECT perm_id, {keys} AS keys FROM range({perms}) t(perm_id)) CROSS JOIN (
+        SELECT a, (n + a - 1) // a AS b FROM (SELECT count(*) AS n FROM panel), range(1, 20000) f(a)
+        WHERE a * a <= n AND (a + 1) * (a + 1) * (a + 1) > n ORDER BY (n + a - 1) // a * a - n, a DESC LIMIT 1)"""
+    for i in range(4):
+        rows = f"SELECT *, CASE WHEN j{i} >= n THEN CAST({_network_sql(f'j{i}')} AS BIGINT) ELSE j{i} END AS j{i + 1} FROM ({rows})"
+    return f"SELECT p.STORE_ID, p.PRODUCT_ID, p.WEEK_NO, p.units_sold, g.promo_any, p.perm_id FROM ({rows}) p JOIN permutable g ON g.k = p.j4"
 
 
 @query("placebo_permutation", f"{CELL_COLS} promo_any:i", _permuted_sql(1))
