@@ -117,13 +117,58 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def spans_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hash of each byte span [start, end); equal bytes have equal hashes wherever they stand."""
+    """64-bit hash of each byte span [start, end); equal bytes have equal hashes wherever they stand. Features only: see `prime_hash`."""
     up, down = powers(len(data) + 1)
     total = np.zeros(len(data) + 1, U64)
     np.cumsum((data.astype(U64) + U64(1)) * up[: len(data)], out=total[1:])
     return mixed((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(U64) * U64(0xD6E8FEB86659FD93))
 
 
+#: Two primes below 2**31, so that a byte times a power and 2**24 of these sums fit 63 bits.
+PRIMES = (2**31 - 1, 2**31 - 19)
+_SUMS = 1 << 23
+_prime_powers: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+
+
+def prime_powers(n: int, seed: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each prime the first n powers of a base that the seed fixes, and of its inverse."""
+    made = _prime_powers.get(seed)
+    if made is None or len(made[0][0]) < n:
+        made, most = [], max(n, 1 << 16)
+        for i, p in enumerate(PRIMES):
+            base = 2 + int(mixed(np.array([0x243F6A8885A308D3 + 2 * seed + i], U64))[0]) % (p - 3)
+            both = []
+            for b in (base, pow(base, -1, p)):
+                out = np.ones(most, np.int64)
+                have = 1
+                while have < most:
+                    step = min(have, most - have)
+                    out[have : have + step] = out[:step] * pow(b, have, p) % p
+                    have += step
+                both.append(out)
+            made.append((both[0], both[1]))
+        _prime_powers[seed] = made
+    return [(up[:n], down[:n]) for up, down in made]
+
+
+def prime_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
+    """62-bit hash of each byte span [start, end), spread over 64 bits; equal bytes have equal hashes wherever they stand.
+
+    A polynomial modulo two primes: texts that collide whatever the base, as they exist modulo a power of two, do not
+    exist here.
+    """
+    key = np.zeros(len(starts), U64)
+    for p, (up, down) in zip(PRIMES, prime_powers(len(data) + 1, seed), strict=True):
+        total, carry = np.zeros(len(data) + 1, np.int64), 0
+        for at in range(0, len(data), _SUMS):
+            part = np.cumsum((data[at : at + _SUMS].astype(np.int64) + 1) * up[at : min(at + _SUMS, len(data))])
+            part = (part + carry) % p
+            total[at + 1 : at + 1 + len(part)], carry = part, int(part[-1])
+        value = (total[ends] - total[starts]) % p * down[starts] % p
+        key = (key << U64(31)) + value.astype(U64)
+    return mixed(key + (ends - starts).astype(U64) * U64(0xD6E8FEB86659FD93))
+
+
 def signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 

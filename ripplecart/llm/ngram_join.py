@@ -15,7 +15,7 @@ so far, and a query leaves a subtree once the n-grams still to come can't reach
 hands out links that connect what was not connected, never all pairs. A family above a block first joins each set with
 its most frequent leader; then only sets outside the family's largest component meet the family, block by block.
 
-N-grams and sets are known by 64-bit hashes.
+N-grams and sets are known by 62-bit hashes modulo primes.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ripplecart.llm.common import U64, counted, mixed, passes, runs, saved, signed, spans_hash, tasks, utf8
+from ripplecart.llm.common import U64, counted, mixed, passes, prime_hash, runs, saved, signed, tasks, utf8
 from ripplecart.llm.components import components
 
 #: Sets of a block.
@@ -50,7 +50,7 @@ def ngrams(data: np.ndarray, at: np.ndarray, n: int) -> tuple[np.ndarray, np.nda
     at = at + np.arange(len(at))
     edge = np.flatnonzero(np.diff(np.concatenate(([True], _SPACE[data], [True]))))
     starts, ends = edge[::2], edge[1::2]
-    word = spans_hash(data, starts, ends)
+    word = prime_hash(data, starts, ends)
     text = np.searchsorted(at, starts, "right") - 1
     many = np.bincount(text, minlength=len(at) - 1)
     place = counted(many)
@@ -134,7 +134,7 @@ def set_hash(text: np.ndarray, gram: np.ndarray, n: int) -> tuple[np.ndarray, np
     return sizes, mixed(total + sizes.astype(U64))
 
 
-_SCANNED = "part int, doc_id long, n long, h long, class int, need int, need_next int, packed binary"
+_SCANNED = "part int, doc_id long, th long, n long, h long, class int, need int, need_next int, packed binary"
 
 
 #: (signature, set) pairs that a task gathers before it packs them by part.
@@ -143,7 +143,7 @@ GATHERED = 1 << 19
 
 def _scan(n: int, signer: Signer, parts: int):
     """Per document a row with size and hash of its set; per part the packed (signature, set) pairs of many passes."""
-    names = ["part", "doc_id", "n", "h", "class", "need", "need_next", "packed"]
+    names = ["part", "doc_id", "th", "n", "h", "class", "need", "need_next", "packed"]
 
     def packed(waiting: list[np.ndarray]) -> pa.RecordBatch:
         pairs = np.concatenate(waiting) if waiting else np.zeros((0, 2), U64)
@@ -152,7 +152,7 @@ def _scan(n: int, signer: Signer, parts: int):
         order = np.argsort(part.astype(np.uint16) if parts < 65536 else part, kind="stable")
         pairs, cut = pairs[order], np.searchsorted(part[order], np.arange(parts + 1))
         held = np.flatnonzero(np.diff(cut))
-        blank = [pa.nulls(len(held), t) for t in (pa.int64(),) * 3 + (pa.int32(),) * 3]
+        blank = [pa.nulls(len(held), t) for t in (pa.int64(),) * 4 + (pa.int32(),) * 3]
         return pa.RecordBatch.from_arrays([pa.array(held.astype(np.int32)), *blank, pa.array([pairs[cut[p] : cut[p + 1]].tobytes() for p in held], pa.binary())], names=names)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -167,7 +167,7 @@ def _scan(n: int, signer: Signer, parts: int):
             who, sig, needs = signer.sign(text, gram, sizes)
             who, sig = who[once[who]], sig[once[who]]
             waiting.append(np.stack([sig, h[who]], 1))
-            docs = [pa.array((np.arange(rows) % parts).astype(np.int32)), batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(signed(h))]
+            docs = [pa.array((np.arange(rows) % parts).astype(np.int32)), batch.column("doc_id"), batch.column("th"), pa.array(sizes, pa.int64()), pa.array(signed(h))]
             docs += [pa.array(c.astype(np.int32)) for c in needs.T] + [pa.nulls(rows, pa.binary())]
             yield pa.RecordBatch.from_arrays(docs, names=names)
             if sum(map(len, waiting)) >= GATHERED:
@@ -178,7 +178,7 @@ def _scan(n: int, signer: Signer, parts: int):
     return scan
 
 
-_MET = "kind int, doc_id long, n long, h long, class int, need int, need_next int, other long, shared int"
+_MET = "kind int, doc_id long, th long, n long, h long, class int, need int, need_next int, other long, shared int"
 _DOC, _PAIR, _MANY = 0, 1, 2
 
 
@@ -188,7 +188,7 @@ def _meet(few: int = FEW, most: int = 1 << 21):
 
     Signatures found to have more sets leave memory, so a part never holds more than `few` sets of each.
     """
-    types = {"kind": pa.int32(), "doc_id": pa.int64(), "n": pa.int64(), "h": pa.int64(), "class": pa.int32(), "need": pa.int32(), "need_next": pa.int32(), "other": pa.int64(), "shared": pa.int32()}
+    types = {"kind": pa.int32(), "doc_id": pa.int64(), "th": pa.int64(), "n": pa.int64(), "h": pa.int64(), "class": pa.int32(), "need": pa.int32(), "need_next": pa.int32(), "other": pa.int64(), "shared": pa.int32()}
 
     def rows(size: int, **columns: pa.Array) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([columns.get(c, pa.nulls(size, t)).cast(t) for c, t in types.items()], names=list(types))
@@ -221,7 +221,7 @@ def _meet(few: int = FEW, most: int = 1 << 21):
         for batch in batches:
             docs = batch.filter(batch.column("h").is_valid())
             if docs.num_rows:
-                yield rows(docs.num_rows, kind=pa.array(np.full(docs.num_rows, _DOC)), **{c: docs.column(c) for c in ("doc_id", "n", "h", "class", "need", "need_next")})
+                yield rows(docs.num_rows, kind=pa.array(np.full(docs.num_rows, _DOC)), **{c: docs.column(c) for c in ("doc_id", "th", "n", "h", "class", "need", "need_next")})
             for packed in batch.column("packed").drop_null().to_pylist():
                 waiting.append(np.frombuffer(packed, U64).reshape(-1, 2))
                 held += len(waiting[-1])
@@ -425,33 +425,47 @@ def _tree_join(rows: DataFrame, num: int, den: int) -> DataFrame:
     return dealt.mapInArrow(_joined(num, den), "a long, b long")
 
 
+def _with_text_hash(docs: DataFrame) -> DataFrame:
+    """`th` tells texts apart that share a doc_id, or have none; two texts of one id that share it are one row."""
+    return docs.withColumn("th", F.xxhash64(F.coalesce("text", F.lit(""))))
+
+
 def _sets_of(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
-    """h, n, grams of the wanted (h, doc_id): the texts are read again, only those asked for leave the join."""
+    """h, n, grams of the wanted (h, doc_id, th): the texts are read again, only those asked for leave the join."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done: set[int] = set()  # rows may repeat: each set once a task
         for batch in passes(batches):
             rows = batch.num_rows
             text, gram = ngrams(*utf8(batch.column("text")), n)
             sizes, h = set_hash(text, gram, rows)
             cut = np.concatenate(([0], np.cumsum(sizes)))
-            grams = [gram[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)]
+            keep = signed(h) == np.array(batch.column("h"))
+            for i, key in enumerate(h.tolist()):
+                if keep[i] and key in done:
+                    keep[i] = False
+                elif keep[i]:
+                    done.add(key)
+            grams = [gram[a:b].tobytes() if k else b"" for a, b, k in zip(cut[:-1], cut[1:], keep, strict=True)]
             made = pa.RecordBatch.from_arrays([pa.array(signed(h)), pa.array(sizes, pa.int64()), pa.array(grams, pa.binary())], names=["h", "n", "grams"])
-            yield made.filter(pa.array(signed(h) == np.array(batch.column("h"))))  # ids may repeat with other texts
+            yield made.filter(pa.array(keep))
 
-    texts = docs.select(F.col("doc_id").alias("d"), "text").join(wanted, F.col("d").eqNullSafe(F.col("doc_id"))).select("h", "text")
+    asked = wanted.select("h", F.col("least.doc_id").alias("d"), F.col("least.th").alias("t"))
+    texts = docs.join(asked, (F.col("th") == F.col("t")) & F.col("doc_id").eqNullSafe(F.col("d"))).select("h", "text")
     return texts.mapInArrow(sets, "h long, n long, grams binary")
 
 
 def links(docs: DataFrame, n: int, num: int, den: int, block: int = BLOCK, few: int = FEW) -> tuple[DataFrame, DataFrame]:
-    """All documents as (doc_id, n, h), and links (a, b) between set hashes whose components are those of all links."""
+    """All documents as (doc_id, th, n, h), and links (a, b) between set hashes whose components are those of all links."""
     parts = tasks(docs, 2)
-    scanned = docs.select("doc_id", "text").mapInArrow(_scan(n, Signer(num, den), parts), _SCANNED)
+    docs = _with_text_hash(docs.select("doc_id", "text"))
+    scanned = docs.mapInArrow(_scan(n, Signer(num, den), parts), _SCANNED)
     met = saved(scanned.repartitionById(parts, F.col("part")).mapInArrow(_meet(few), _MET), "met")
-    known = met.where(F.col("kind") == _DOC).select("doc_id", "n", "h")
+    known = met.where(F.col("kind") == _DOC).select("doc_id", "th", "n", "h")
     hints = saved(_hints(met), "hints")
     family = saved(components(hints, "h", "leader").select(F.col("v").alias("h"), F.col("label").alias("family")), "family")
-    holders = known.groupBy("h").agg(F.min("doc_id").alias("doc_id"))
-    sets = saved(_sets_of(docs, family.join(holders, "h").select("h", "doc_id"), n), "sets")
+    holders = known.groupBy("h").agg(F.min(F.struct("doc_id", "th")).alias("least"))
+    sets = saved(_sets_of(docs, family.join(holders, "h").select("h", "least"), n), "sets")
     members = sets.join(family, "h")
     counts = saved(family.groupBy("family").agg(F.count(F.lit(1)).alias("members")), "counts")
     small = members.join(counts.where(F.col("members") <= block), "family")
@@ -497,30 +511,53 @@ def _large_links(large: DataFrame, hints: DataFrame, num: int, den: int, block:
     return stars.unionByName(saved(_tree_join(asking.unionByName(asked), num, den), "rest"))
 
 
+def _classed(rows: DataFrame, n: int, num: int, den: int, block: int, few: int) -> tuple[DataFrame, DataFrame]:
+    """All rows as (doc_id, th, n, h), and the sets that are linked or repeated: h, label of their component."""
+    known, found = links(rows, n, num, den, block, few)
+    label = components(found, "a", "b")
+    sets = known.where("n > 0").groupBy("h").agg(F.count(F.lit(1)).alias("copies"))
+    classed = sets.join(label.withColumnRenamed("v", "h"), "h", "left").where("label is not null or copies > 1")
+    return known, saved(classed.select("h", F.coalesce("label", "h").alias("label")), "classes")
+
+
 def jaccard_components(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100, block: int = BLOCK, few: int = FEW) -> DataFrame:
     """One row per row of `docs`: doc_id, n_shingles, component_id.
 
     A document's set is its distinct n-word shingles, its whole word sequence where it has fewer words; documents link
     when den * overlap >= num * union. component_id is the smallest doc_id reachable by links, the document's own included.
-    Null and empty texts, and those of white space alone, have an empty set and are linked with nothing. Rows that repeat
-    a doc_id count as documents of their own with the same id; a null doc_id is larger than all others, and a component
-    of such rows alone has a null id. Other columns are not read. An empty table gives an empty result.
+    Null and empty texts, and those of white space alone, have an empty set and are linked with nothing. Very long texts give their
+    whole set. Rows that repeat a doc_id count as documents of their own with the same id; a null doc_id is larger than all
+    others, and a component of such rows alone has a null id. Other columns are not read. An empty table gives an empty result.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
-    known, found = links(rows, n, num, den, block, few)
-    label = components(found, "a", "b")
-    sets = known.where("n > 0").groupBy("h").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies"))
-    sets = saved(sets.join(label.withColumnRenamed("v", "h"), "h", "left").select("h", "least", "copies", F.coalesce("label", "h").alias("label"), F.col("label").isNotNull().alias("linked")), "classes")
-    least = sets.where("linked").groupBy("label").agg(F.min("least").alias("component"))
-    joined = sets.where("linked or copies > 1").join(least, "label", "left").select("h", F.coalesce("component", "least").alias("component"))
-    out = known.join(joined.withColumn("many", F.lit(True)), (known["h"] == joined["h"]) & (known["n"] > 0), "left")
+    known, classed = _classed(rows, n, num, den, block, few)
+    members = known.where("n > 0").groupBy("h").agg(F.min("doc_id").alias("least")).join(classed, "h")
+    least = members.groupBy("label").agg(F.min("least").alias("component"))
+    joined = classed.join(least, "label").select("h", "component").withColumn("many", F.lit(True))
+    out = known.join(joined, (known["h"] == joined["h"]) & (known["n"] > 0), "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("many"), F.col("component")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
-def one_of_each(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """The rows of `docs`, all columns, but for those in a component whose smallest doc_id is another one.
+def one_of_each(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, block: int = BLOCK, few: int = FEW) -> DataFrame:
+    """The rows of `docs`, all columns, with exactly one row of each component of linked documents: the smallest doc_id's.
 
-    Documents without words and rows with a null doc_id stay; rows that repeat a doc_id share their fate.
+    Rows are decided one by one: a repeated or null doc_id neither spares nor condemns its namesakes. A null doc_id comes after all
+    others; of rows with the same id, the smallest text hash stays; of rows that repeat id and text, any one. Documents without
+    words are linked with nothing and stay, repeated ones too. Very long texts give their whole set. Columns of any name are carried.
+    An empty table gives an empty result.
     """
-    found = jaccard_components(docs, n, num, den).where("component_id <> doc_id").select("doc_id").distinct()
-    return docs.join(saved(found, "dropped"), "doc_id", "left_anti").select(docs.columns)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
+    known, classed = _classed(rows, n, num, den, block, few)
+    mine = known.where("n > 0").join(classed, "h").groupBy("label", "doc_id", "th").agg(F.count(F.lit(1)).alias("rows"))
+    best = mine.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")).alias("best"))
+    kept = F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("th") == F.col("best.th"))
+    decided = saved(mine.join(best, "label").select(F.col("doc_id").alias("_d"), F.col("th").alias("_t"), "rows", kept.alias("kept")), "decided")
+    marked = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    marked = _with_text_hash(marked).drop("text")
+    same = (F.col("th") == F.col("_t")) & F.col("doc_id").eqNullSafe(F.col("_d"))
+    stay = marked.join(decided.where("not kept or rows > 1"), same, "left_anti").select("doc.*")
+    again = decided.where("kept and rows > 1")
+    if again.isEmpty():
+        return stay
+    one = marked.join(again.select("_d", "_t"), same, "left_semi").dropDuplicates(["doc_id", "th"])
+    return stay.unionByName(one.select("doc.*"))

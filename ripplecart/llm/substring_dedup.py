@@ -405,9 +405,10 @@ def repeated_spans(docs: DataFrame, length: int = 200, k: int = 100, collection:
     met = saved(scanned.repartitionById(parts, F.col("part")).mapInArrow(_meet(hot), "doc_id long, h long, n_bytes long, sha string, packed binary"), "met")
     known = met.where("packed is null").drop("packed")
     spots = met.where("packed is not null").groupBy("h").agg(F.collect_list("packed").alias("spots"))  # of one text
-    texts = known.groupBy("h").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies"))
-    wanted = spots.join(texts, "h").select("h", F.col("doc_id").alias("d"), "spots")
-    met_texts = rows.join(wanted, F.col("doc_id").eqNullSafe(F.col("d"))).select("h", "text", "spots")
+    texts = known.groupBy("h", "sha").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies"))
+    wanted = spots.join(texts, "h").select("h", F.col("doc_id").alias("d"), F.col("sha").alias("s"), "spots")
+    own = F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)  # a text is found by its bytes, whatever its id
+    met_texts = rows.withColumn("sha", own).join(wanted, (F.col("sha") == F.col("s")) & F.col("doc_id").eqNullSafe(F.col("d"))).select("h", "text", "spots")
     parted = saved(met_texts.mapInArrow(_contexts(length, k, parts), "part int, h long, body binary"), "contexts")
     ranges = parted.where("part is not null").select("part", "body").repartitionById(parts, F.col("part")).select("body").mapInArrow(_sorted(length, collection), "h long, start long, end long")
     ranges = saved(ranges, "ranges").groupBy("h").agg(F.collect_list("start").alias("starts"), F.collect_list("end").alias("ends"))  # of one text
@@ -415,7 +416,7 @@ def repeated_spans(docs: DataFrame, length: int = 200, k: int = 100, collection:
     done = saved(bodies.join(ranges, "h").mapInArrow(_cut_out, _DONE), "done")
     whole = (F.col("copies") > 1) & (F.col("n_bytes") >= length)
     none = F.array().cast("array<array<bigint>>")
-    joined = known.join(texts.select("h", "copies"), "h").join(done, "h", "left")
+    joined = known.join(texts.select("h", "sha", "copies"), ["h", "sha"]).join(done, "h", "left")
     return joined.select(
         "doc_id", "n_bytes",
         F.when(whole, F.col("n_bytes")).otherwise(F.coalesce("n_removed", F.lit(0))).cast("long").alias("n_removed"),

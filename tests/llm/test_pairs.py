@@ -9,9 +9,9 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from ripplecart.llm import ngram_join, substring_dedup
-from ripplecart.llm.common import utf8
-from ripplecart.llm.decontaminate import benchmark_matches, decontaminated
+from ripplecart.llm import decontaminate, ngram_join, substring_dedup
+from ripplecart.llm.common import mixed, utf8
+from ripplecart.llm.decontaminate import TestSet, Words, benchmark_matches, decontaminated, located_words
 from ripplecart.llm.exact_dedup import directory, exact_distinct, exact_groups
 from ripplecart.llm.ngram_join import PrefixTree, Signer, jaccard_components, one_of_each
 from ripplecart.llm.substring_dedup import repeated_spans
@@ -179,6 +179,80 @@ def test_one_of_each_keeps_all_columns(spark):
     assert {r.doc_id for r in left.collect()} == want
 
 
+def brute_survivors(rows, n, num, den):
+    """Per component of rows: the (doc_id, text) that may stay, by smallest id with null last; rows without words stay."""
+    sets = [shingles(t, n) for _, t in rows]
+    label = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if sets[i] and sets[j] and den * len(sets[i] & sets[j]) >= num * len(sets[i] | sets[j]) and label[i] != label[j]:
+                old, new = max(label[i], label[j]), min(label[i], label[j])
+                label = [new if x == old else x for x in label]
+    groups = defaultdict(list)
+    for i, row in enumerate(rows):
+        groups[label[i] if sets[i] else ("none", i)].append(row)
+    return list(groups.values())
+
+
+def test_one_of_each_decides_row_by_row(spark):
+    a, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "ac")
+    near = lambda t: t + " tail"
+    rows = [(1, a), (2, near(a)), (2, c), (3, near(c))]  # the second row's namesake is another text
+    assert sorted((r.doc_id, r.text) for r in one_of_each(table(spark, rows)).collect()) == [(1, a), (2, c)]
+    rows = [(None, a), (None, near(a)), (None, near(a)), (5, c), (5, c), (5, near(c)), (None, ""), (None, None), (4, " "), (4, " ")]
+    rows += [(9, t) for _, t in odd_texts(random.Random(10))[:25]] + [(None, t) for _, t in odd_texts(random.Random(11))[:25]]
+    left = [(r.doc_id, r.text) for r in one_of_each(table(spark, rows), 5, 80, 100, block=3, few=2).collect()]
+    groups = brute_survivors(rows, 5, 80, 100)
+    assert len(left) == len(groups)
+    rest = Counter(left)
+    for group in groups:
+        least = min((d for d, _ in group if d is not None), default=None)
+        stays = [row for row in group if row[0] == least and rest[row]]
+        assert stays, group
+        rest[stays[0]] -= 1
+    assert not +rest
+
+
+def thue_morse(n):
+    word = "a"
+    for _ in range(n):
+        word += word.translate(str.maketrans("ab", "ba"))
+    return word, word.translate(str.maketrans("ab", "ba"))
+
+
+def test_words_that_collide_under_any_base_are_told_apart(spark):
+    one, other = thue_morse(10)
+    rows = [(1, one), (2, other), (3, f"{one} {one} x"), (4, f"{other} {one} x")]
+    got = {r.doc_id: r.component_id for r in jaccard_components(table(spark, rows)).collect()}
+    assert got == {1: 1, 2: 2, 3: 3, 4: 4}
+    bench = spark.createDataFrame([(7, one)], "item_id long, text string")
+    found = {r.doc.doc_id: list(r["items"]) for r in benchmark_matches(table(spark, rows), bench).collect()}
+    assert found == {1: ["7"], 2: [], 3: ["7"], 4: ["7"]}
+
+
+def test_ids_that_collide_are_settled_by_bytes(spark, monkeypatch):
+    """A hash that knows a word by its length alone: only bytes tell words apart."""
+    monkeypatch.setattr(decontaminate, "prime_hash", lambda data, starts, ends, seed=0: mixed((ends - starts).astype(np.uint64) + np.uint64(1000 * seed)))
+    data, at = utf8(pa.array(["one two three four five six seven eight nine ten", "uno two three"]))
+    w, text, data, starts, ends = located_words(data, at)
+    assert not Words(w, data, starts, ends).sound
+    keep = np.array([2, 3])  # "three" and "four"
+    known = Words(w[keep], data, starts[keep], ends[keep])
+    assert known.sound
+    tests = TestSet([("i", w[keep])], 10, known)
+    (where, _), = decontaminate._verified(tests, w, text, data, starts, ends)
+    assert where.tolist() == [2]  # not "seven eight" or others of the same lengths
+
+
+def test_null_and_repeated_ids_lose_no_span(spark):
+    rng = random.Random(12)
+    passage = "".join(rng.choice("abcdef ") for _ in range(400))
+    texts = ["".join(rng.choice("ghijkl ") for _ in range(300)) for _ in range(6)]
+    rows = [(None, texts[0] + passage), (None, passage + texts[1]), (8, texts[2] + passage), (8, texts[3]), (None, texts[4]), (None, None), (8, texts[5]), (8, texts[5])]
+    got = Counter((r.doc_id, r.n_bytes, r.n_removed) for r in repeated_spans(table(spark, rows)).collect())
+    assert got == Counter([(None, 700, 400), (None, 700, 400), (8, 700, 400), (8, 300, 0), (None, 300, 0), (None, 0, 0), (8, 300, 300), (8, 300, 300)])
+
+
 def test_linked_sets_share_a_signature_and_meet_in_the_tree():
     rng = random.Random(8)
     texts = [t for _, t in odd_texts(rng)]
@@ -238,6 +312,33 @@ def test_matches_against_brute_force(spark, block_bytes):
     assert Counter(r.doc_id for r in left.collect()) == Counter(d for d, t in rows if not hits(t, items, 10)[1])
 
 
+def test_many_items_of_one_word_cost_a_pair_per_document(spark):
+    items = [(i, "x") for i in range(1000)] + [(5000 + i, f"x y{i}") for i in range(3)]
+    rows = [(1, "x " * 20_000), (2, "x y1"), (3, "z")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {r.doc.doc_id: r for r in benchmark_matches(table(spark, rows), bench).collect()}
+    assert sorted(got[1]["items"]) == sorted(str(i) for i in range(1000)) and got[1].longest == 1 and got[1].spans == [[0, 20_000]]
+    assert len(got[2]["items"]) == 1001 and got[2].longest == 2 and not got[3]["items"]
+
+
+def test_longest_match_goes_on_over_blocks_of_hits():
+    rng = random.Random(13)
+    passage = [f"w{rng.randrange(3)}" for _ in range(60)]
+    texts = [" ".join(["q", *passage, "r"]), " ".join(passage[10:40]), " ".join(passage[:12] + ["q"] + passage[12:31])]
+    items = [" ".join(passage), " ".join(passage[5:30]), " ".join(passage[5:30])]
+    w, text, data, starts, ends = located_words(*utf8(pa.array(items)))
+    cut = np.searchsorted(text, np.arange(4))
+    tests = TestSet([(str(i), w[cut[i] : cut[i + 1]]) for i in range(3)], 10, Words(w, data, starts, ends))
+    assert sorted(map(len, tests.ids)) == [1, 2]
+    w, text, data, starts, ends = located_words(*utf8(pa.array(texts)))
+    (where, window), = decontaminate._verified(tests, w, text, data, starts, ends)
+    for most in (1, 7, 1 << 20):
+        longest = np.zeros(3, np.int64)
+        for d, n in tests.longest(0, where, window, text, most):
+            np.maximum.at(longest, d, n)
+        assert longest.tolist() == [hits(t, list(enumerate(items)), 10)[3] for t in texts]
+
+
 # ------------------------------------------------------------------------------------------------- empty tables
 
 
