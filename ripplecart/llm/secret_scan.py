@@ -25,6 +25,7 @@ from ripplecart.llm.common import saved, scratch
 #: Copies of each finding row, so that the versions of one blob meet it in several tasks.
 SALTS = 16
 
+HITS = "array<struct<rule: string, hits: array<struct<gap: bigint, size: bigint, measured: bigint>>>>"
 LEDGER = "blob string, scanned array<string>, spans array<struct<rule: string, start: bigint, end: bigint>>"
 
 
@@ -67,7 +68,7 @@ def _hits(rules: list[Rule], seen: Column | None) -> Column:
         )
         wanted = F.col("text").rlike(rule.pattern)
         found.append(F.when(wanted if seen is None else ~F.array_contains(seen, rule.name) & wanted, hit))
-    return F.filter(F.array(*found), lambda h: h.isNotNull())
+    return F.filter(F.array(*found).cast(HITS), lambda h: h.isNotNull())
 
 
 def read_ledger(spark: SparkSession, path: str) -> DataFrame | None:
@@ -85,7 +86,7 @@ def scan_unseen(texts: DataFrame, rules: list[Rule], ledger: str) -> DataFrame:
     with the job's commit.
     """
     spark = texts.sparkSession
-    names = F.array(*[F.lit(r.name) for r in rules])
+    names = F.array(*[F.lit(r.name) for r in rules]).cast("array<string>")
     known, seen = read_ledger(spark, ledger), None
     if known is not None:
         per_blob = known.select("blob", F.explode("scanned").alias("s")).groupBy("blob").agg(F.collect_set("s").alias("seen"))
@@ -128,8 +129,8 @@ def scan_versions(versions: DataFrame, rules: list[Rule] | None = None, ledger:
     paths = versions.select(F.struct(*(carry if carry is not None else ["doc_id"])).alias("version"), blob.alias("blob"))
     known = scan_unseen(versions.select(blob.alias("blob"), content.alias("text")), rules, ledger)
 
-    order = F.create_map(*[x for i, r in enumerate(rules) for x in (F.lit(r.name), F.lit(i))])
-    kinds = F.create_map(*[x for r in rules for x in (F.lit(r.name), F.lit(r.kind))])
+    order = F.create_map(*[x for i, r in enumerate(rules) for x in (F.lit(r.name), F.lit(i))]).cast("map<string, int>")
+    kinds = F.create_map(*[x for r in rules for x in (F.lit(r.name), F.lit(r.kind))]).cast("map<string, string>")
     hits = known.select("blob", F.inline("spans")).where(F.col("rule").isin([r.name for r in rules]))
     ranked = F.array_sort(F.collect_list(F.struct("start", order[F.col("rule")].alias("rank"), "end", kinds[F.col("rule")].alias("kind"))))
     found = hits.groupBy("blob").agg(ranked.alias("found"))

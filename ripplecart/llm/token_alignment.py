@@ -160,7 +160,7 @@ def align(a_ids: list[np.ndarray], b_ids: list[np.ndarray], a_table: Vocabulary,
     cuts = np.intersect1d(left.indptr[1:], right.indptr[1:], assume_unique=True)
     in_a, in_b = token_groups(left.indptr[1:], cuts), token_groups(right.indptr[1:], cuts)
     rows_a, rows_b = in_a.transposed(), in_b.transposed()
-    size_a, size_b = np.diff(rows_a.indptr), np.diff(rows_b.indptr)
+    size_b = np.diff(rows_b.indptr)
     per_token = in_a @ Csr(np.arange(len(cuts) + 1), np.zeros(len(cuts), np.int64), size_b, 1)  # row sums of the product
     end_a, end_b = np.cumsum(n_a), np.cumsum(n_b)
     bounds = np.concatenate(([0], np.searchsorted(cuts, left.indptr[end_a], "right")))
@@ -181,9 +181,8 @@ def align(a_ids: list[np.ndarray], b_ids: list[np.ndarray], a_table: Vocabulary,
     ends = np.concatenate(([0], np.cumsum(used.sum(1))))
     flat = text[used].tobytes()
     stop = ends[end_a + end_b]
-    groups = [flat[s:e] for s, e in zip(np.concatenate(([0], stop[:-1])), stop, strict=True)]
+    groups = [flat[s:e] for s, e in zip(np.concatenate(([0], stop))[:-1], stop, strict=True)]
     row = np.repeat(np.arange(len(a)), np.diff(links.indptr))
-    del size_a
     return Aligned(
         n_a, n_b, np.diff(bounds), total[end_a] - total[end_a - n_a], groups, row, links.indices, links.values, np.searchsorted(end_a, row, "right")
     )
