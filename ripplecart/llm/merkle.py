@@ -84,7 +84,7 @@ def _placed(nodes: DataFrame, order: list[str]) -> DataFrame:
     shifts = counts.select(
         "tree", "_part", (F.coalesce(F.sum("c").over(before), F.lit(0)) - F.col("first")).alias("_shift"), F.sum("c").over(Window.partitionBy("tree")).alias("n")
     )
-    return ordered.withColumn("_part", part).join(shifts, ["tree", "_part"]).withColumn("pos", F.col("_at") + F.col("_shift")).drop("_at", "_part", "_shift")
+    return ordered.withColumn("_part", part).join(shifts.hint("merge"), ["tree", "_part"]).withColumn("pos", F.col("_at") + F.col("_shift")).drop("_at", "_part", "_shift")
 
 
 def _summits(fan: int, every: int):
@@ -157,9 +157,9 @@ def _paths(layers: list[DataFrame], tops: DataFrame, fan: int, every: int) -> Da
     """Rows (tree, node, path, roots) for the nodes of the lowest level; `tops` has tree, path and roots of each last node."""
     width, above = fan**every, None
     for depth, layer in reversed(list(enumerate(layers))):
-        under = layer.where(F.col("n") <= width).join(tops, "tree")
+        under = layer.where(F.col("n") <= width).join(tops.hint("merge"), "tree")
         if above is not None:
-            under = under.unionByName(layer.where(F.col("n") > width).join(above, ["tree", "block"]))
+            under = under.unionByName(layer.where(F.col("n") > width).join(above.hint("merge"), ["tree", "block"]))
         node = layer.schema["nodes"].dataType.elementType
         out = T.StructType(
             [T.StructField("tree", T.StringType()), T.StructField("node", node), T.StructField("path", PATH), T.StructField("roots", T.ArrayType(T.StringType()))]
