@@ -14,7 +14,7 @@ from ripplecart.config import CELL, EFFECTS, HIERARCHY, PRODUCT, STORE
 from ripplecart.functions.distributed import settled
 from ripplecart.operators.covariates import Covariates, covariates, with_group_folds
 from ripplecart.operators.exposure import add_exposures
-from ripplecart.operators.linear import LinearFit, clustered_ols, cross_products, solve_min_norm
+from ripplecart.operators.linear import LinearFit, clustered_ols, cross_products, solve_triangular, triangular_factors
 from ripplecart.operators.nuisance import Nuisance, residualise
 from ripplecart.operators.panel import demand_filter
 from ripplecart.sources.stores import RESULT_SCHEMA, stack_results
@@ -57,7 +57,7 @@ class LinearCate:
 
 
 def fit_linear_cate(res: DataFrame, y: str, treatments: list[str], inference: bool = False) -> LinearCate:
-    """Regress the outcome residual on treatment residuals x [1, w], by distributed cross products.
+    """Regress the outcome residual on treatment residuals x [1, w], by a distributed triangular factor.
 
     With ``inference`` a second pass sums the squared-residual-weighted products for HC1 errors.
     """
@@ -72,9 +72,9 @@ def fit_linear_cate(res: DataFrame, y: str, treatments: list[str], inference: bo
         base = np.column_stack([np.ones(len(c["w"])), (c["w"] - mean) / std])
         return np.column_stack([c[t][:, None] * base for t in treatments])
 
-    sums = cross_products(rows, lambda c: (z(c), c[y][:, None], None), k * p, 1)[0]
-    theta, inv = solve_min_norm(sums[: k * p, : k * p], sums[: k * p, k * p])
-    n = int(round(sums[-1, -1]))
+    factor, n = triangular_factors(rows, lambda c: (z(c), c[y][:, None], None), k * p, 1)[0]
+    coefs, inv = solve_triangular(factor, k * p)
+    theta = coefs[:, 0]
     cov_mean = None
     if inference:
         meat = cross_products(

@@ -1,6 +1,7 @@
-"""Linear stages as distributed sufficient statistics: Gram matrices, robust and clustered errors.
+"""Linear stages as distributed sufficient statistics: triangular factors, robust and clustered errors.
 
-Only sums of size (coefficients x coefficients) reach the driver, where they are solved.
+Only matrices of size (coefficients x coefficients) reach the driver, where they are solved. Coefficients come from
+triangular factors rather than Gram sums: a Gram matrix has the square of the design's condition number.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -55,36 +57,30 @@ class LinearFit:
 
 
 def ols_hc1(df: DataFrame, y: Column, regressors: list[Column]) -> LinearFit:
-    """OLS with HC1 errors in two passes: the Gram matrix, then the residual-weighted one.
+    """OLS with HC1 errors in two passes: the triangular factor, then the residual-weighted Gram matrix.
 
     ``regressors`` must contain the constant, if one is wanted, as its first entry.
     """
     k = len(regressors)
     xs = [f"_x{i}" for i in range(k)]
     rows = df.select(y.cast("double").alias("_y"), *[x.cast("double").alias(n) for x, n in zip(regressors, xs, strict=True)])
-    prod = {(i, j): F.sum(F.col(xs[i]) * F.col(xs[j])) for i, j in _upper(k)}
-    first = rows.agg(
-        F.count(F.lit(1)).alias("n"), F.sum("_y").alias("sy"), F.sum(F.col("_y") * F.col("_y")).alias("syy"),
-        *[F.sum(F.col(x) * F.col("_y")).alias(f"b{i}") for i, x in enumerate(xs)],
-        *[c.alias(f"g{i}_{j}") for (i, j), c in prod.items()],
-    ).first()
-    gram = _symmetric({(i, j): first[f"g{i}_{j}"] for i, j in prod}, k)
-    rhs = np.array([first[f"b{i}"] for i in range(k)])
-    beta, inv = solve_min_norm(gram, rhs)
+    factors = triangular_factors(rows, lambda c: (np.column_stack([c[x] for x in xs]), c["_y"][:, None], None), k, 1)
+    factor, n = factors.get(0, (np.zeros((k + 1, k + 1)), 0))
+    betas, inv = solve_triangular(factor, k)
+    beta = betas[:, 0]
     fitted = reduce(lambda a, b: a + b, [F.col(x) * float(b) for x, b in zip(xs, beta, strict=True)])
     e2 = (F.col("_y") - fitted) * (F.col("_y") - fitted)
     second = (
         rows.withColumn("_e2", e2)
         .agg(
-            F.sum("_e2").alias("sse"),
-            *[F.sum(F.col("_e2") * F.col(xs[i]) * F.col(xs[j])).alias(f"m{i}_{j}") for i, j in prod],
+            F.sum("_e2").alias("sse"), F.sum("_y").alias("sy"), F.sum(F.col("_y") * F.col("_y")).alias("syy"),
+            *[F.sum(F.col("_e2") * F.col(xs[i]) * F.col(xs[j])).alias(f"m{i}_{j}") for i, j in _upper(k)],
         )
         .first()
     )
-    n = int(first["n"])
-    meat = _symmetric({(i, j): second[f"m{i}_{j}"] for i, j in prod}, k)
+    meat = _symmetric({(i, j): second[f"m{i}_{j}"] for i, j in _upper(k)}, k)
     cov = inv @ meat @ inv * (n / (n - k))
-    tss = first["syy"] - first["sy"] ** 2 / n
+    tss = second["syy"] - second["sy"] ** 2 / n
     return LinearFit(beta, np.sqrt(np.diag(cov)), cov, n, 1 - second["sse"] / tss if tss > 0 else None)
 
 
@@ -203,3 +199,79 @@ def cross_products(df: DataFrame, design: Design, width: int, targets: int, grou
     for r in summed:
         out.setdefault(r["g"], np.zeros((size + 1, size + 1)))[r["i"], r["j"]] = r["v"]
     return out
+
+
+# ── tall-skinny QR: triangular factors merged in a tree ───────────────────────
+
+#: Factors that one merge stacks.
+FAN = 32
+_FACTOR = "g bigint, part bigint, n bigint, factor binary"
+
+
+def _reduced(stack: np.ndarray) -> np.ndarray:
+    """The triangular factor of a stack, square."""
+    size = stack.shape[1]
+    r = np.linalg.qr(stack, mode="r")
+    return np.vstack([r, np.zeros((size - len(r), size))]) if len(r) < size else r
+
+
+def _merged(size: int):
+    def merge(key: tuple, parts: pa.Table) -> pa.Table:
+        rows = sorted(zip(parts.column("part").to_pylist(), parts.column("factor").to_pylist(), strict=True))
+        stack = np.vstack([np.frombuffer(f, np.float64).reshape(size, size) for _, f in rows])
+        n = sum(parts.column("n").to_pylist())
+        return pa.table({"g": pa.array([key[0].as_py()], pa.int64()), "part": pa.array([key[1].as_py()], pa.int64()), "n": pa.array([n], pa.int64()), "factor": pa.array([_reduced(stack).tobytes()], pa.binary())})
+
+    return merge
+
+
+def triangular_factors(df: DataFrame, design: Design, width: int, targets: int, group: str | None = None, fan: int = FAN) -> dict[int, tuple[np.ndarray, int]]:
+    """R of the design's [X Y] and its rows, per value of ``group``.
+
+    A task folds its batches into one factor per group; factors are stacked and factored again ``fan`` at a time until
+    each group has one, so neither a task nor the driver holds more than ``fan`` of them at once.
+    """
+    size = width + targets
+
+    def factored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, tuple[np.ndarray, int]] = {}
+        for batch in batches:
+            if batch.num_rows == 0:
+                continue
+            cols = _columns(batch)
+            x, y, _ = design(cols)
+            z = np.column_stack([x, y]).astype(np.float64)
+            groups = cols[group] if group else np.zeros(len(z), dtype=np.int64)
+            for g in np.unique(groups).tolist():
+                at = groups == g
+                r, n = held.get(g, (np.zeros((0, size)), 0))
+                held[g] = _reduced(np.vstack([r, z[at]])), n + int(at.sum())
+        part = TaskContext.get().partitionId()
+        rows = sorted(held.items())
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array([g for g, _ in rows], pa.int64()), pa.array([part] * len(rows), pa.int64()),
+                pa.array([n for _, (_, n) in rows], pa.int64()), pa.array([r.tobytes() for _, (r, _) in rows], pa.binary()),
+            ],
+            names=["g", "part", "n", "factor"],
+        )
+
+    factors = settled(df.mapInArrow(factored, _FACTOR), "factors")
+    most = factors.agg(F.max("part")).first()[0]
+    while most:
+        at = F.floor(F.col("part") / fan)
+        factors, most = settled(factors.withColumn("to", at).groupBy("g", "to").applyInArrow(_merged(size), _FACTOR), "factors"), most // fan
+    return {r["g"]: (np.frombuffer(r["factor"], np.float64).reshape(size, size), r["n"]) for r in factors.collect()}
+
+
+def solve_triangular(factor: np.ndarray, width: int, rcond: float = 1e-12) -> tuple[np.ndarray, np.ndarray]:
+    """Minimum-norm coefficients, a column per target, and the pseudo-inverse of X'X; columns are scaled to length 1 before."""
+    r, rhs = factor[:, :width], factor[:, width:]
+    scale = np.sqrt((r * r).sum(0))
+    scale = np.where(scale > 0, 1 / np.where(scale > 0, scale, 1), 0.0)
+    inverse = np.linalg.pinv(r * scale, rcond=rcond) * scale[:, None]
+    return inverse @ rhs, inverse @ inverse.T
+
+
+def merged_factors(factors: list[np.ndarray], size: int) -> np.ndarray:
+    return _reduced(np.vstack([np.zeros((0, size)), *factors]))

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ripplecart.config import WEEK
 from ripplecart.functions.distributed import broadcast_if_small
 from ripplecart.operators.boosting import BoostSettings, boosted_predictions, residual_columns
-from ripplecart.operators.linear import cross_products, solve_min_norm
+from ripplecart.operators.linear import merged_factors, solve_triangular, triangular_factors
 
 
 @dataclass(frozen=True)
@@ -103,7 +103,7 @@ def _cell_mean_residuals(df: DataFrame, targets: list[str], cells: list[str]) ->
 def _linear_residuals(df: DataFrame, targets: list[str], n_folds: int) -> DataFrame:
     """Least squares on [1, w] for all folds and targets from one pass.
 
-    Cross products are summed per fold; leaving a fold out is a subtraction, so K fits cost one scan.
+    The rows give a triangular factor per fold; a fit stacks those of the other folds, so K fits cost one scan.
     """
     width = _vector_width(df) + 1
     rows = df.select("fold", "w", *[F.col(t).cast("double").alias(t) for t in targets])
@@ -111,12 +111,11 @@ def _linear_residuals(df: DataFrame, targets: list[str], n_folds: int) -> DataFr
     def design(c: dict[str, np.ndarray]):
         return np.column_stack([np.ones(len(c["w"])), c["w"]]), np.column_stack([c[t] for t in targets]), None
 
-    per_fold = cross_products(rows, design, width, len(targets), "fold")
-    total = sum(per_fold.values())
+    per_fold = triangular_factors(rows, design, width, len(targets), "fold")
     coefs = []
     for f in range(n_folds):
-        left = total - per_fold[f] if f in per_fold else total
-        coefs.append([solve_min_norm(left[:width, :width], left[:width, width + i])[0] for i in range(len(targets))])
+        others = merged_factors([r for g, (r, _) in sorted(per_fold.items()) if g != f], width + len(targets))
+        coefs.append(solve_triangular(others, width)[0].T)
 
     def predicted(i: int):
         by_fold = F.array(*[F.array(*[F.lit(float(b)) for b in coefs[f][i]]) for f in range(n_folds)])

@@ -115,7 +115,7 @@ CTES = {
           FROM panel JOIN edges ON dst = PRODUCT_ID GROUP BY 1, 2, 3) s USING (STORE_ID, PRODUCT_ID, WEEK_NO)""",
     "folds": """
         SELECT PRODUCT_ID, n_rows, fold FROM (
-          WITH RECURSIVE sized AS (
+          WITH RECURSIVE sized AS MATERIALIZED (
             SELECT PRODUCT_ID, n_rows, row_number() OVER (ORDER BY n_rows DESC, PRODUCT_ID) AS r
             FROM (SELECT PRODUCT_ID, count(*) AS n_rows FROM panel GROUP BY 1)
           ), dealt(r, PRODUCT_ID, n_rows, fold, loads) AS (
@@ -406,16 +406,30 @@ def _cate_tables() -> dict[str, str]:
 CTES |= _cate_tables()
 
 
-def with_ctes(body: str) -> str:
+#: The same steps on a catalog with a product per part: baskets are what a store ships in a day, two common ones make a pair.
+CATALOG = {
+    **CTES,
+    "product_map": "SELECT p_partkey, CAST(substr(p_brand, 7) AS BIGINT) AS b, p_type, p_partkey AS PRODUCT_ID, p_size % 5 AS s FROM part",
+    "product": """
+        SELECT DISTINCT PRODUCT_ID, p_type AS DEPARTMENT, p_type || '-C' || b AS COMMODITY_DESC, p_type || '-C' || b || '-S' || s AS SUB_COMMODITY_DESC,
+               CASE WHEN b <= 12 THEN 'National' ELSE 'Private' END AS BRAND
+        FROM product_map""",
+    "tx": CTES["tx"].replace("l_orderkey AS BASKET_ID", "(date_diff('day', TIMESTAMP '1995-01-01', l_shipdate) + 1) * 100 + n_regionkey AS BASKET_ID"),
+    "pairs": CTES["pairs"].replace("count(*) >= 10", "count(*) >= 2"),
+}
+
+
+def with_ctes(body: str, ctes: dict[str, str] | None = None) -> str:
     """Prefix ``body`` with every CTE it needs, dependencies first."""
     order: list[str] = []
+    ctes = CTES if ctes is None else ctes
 
     def need(text: str) -> None:
-        for name, select in CTES.items():
+        for name, select in ctes.items():
             if name not in order and select != text and re.search(rf"(?:FROM|JOIN|,)\s+{name}\b", text):
                 need(select)
                 order.append(name)
 
     need(body)
-    ctes = ",\n".join(f"{n} AS ({CTES[n].strip()})" for n in order)
-    return f"WITH {ctes}\n{body}" if ctes else body
+    text = ",\n".join(f"{n} AS ({ctes[n].strip()})" for n in order)
+    return f"WITH {text}\n{body}" if text else body

@@ -47,9 +47,10 @@ class Query:
     run: Callable[[Workbench], DataFrame]
     columns: tuple[tuple[str, str], ...]
     oracle: str | None
+    catalog: str = "folded"
 
     def __call__(self, spark: SparkSession, folder: str) -> DataFrame:
-        df = self.run(Workbench(spark, folder))
+        df = self.run(Workbench(spark, folder, catalog=self.catalog))
         out = []
         for name, kind in self.columns:
             c = F.col(name)
@@ -75,17 +76,17 @@ class Query:
                 out.append(f"round(CAST({name} AS DOUBLE), {kind}) + 0.0 AS {name}")
             else:
                 out.append(f'"{name}"')
-        return sql.with_ctes(f"SELECT {', '.join(out)} FROM ({self.oracle}) q")
+        return sql.with_ctes(f"SELECT {', '.join(out)} FROM ({self.oracle}) q", sql.CATALOG if self.catalog == "part" else None)
 
 
 QUERIES: dict[str, Query] = {}
 
 
-def query(name: str, columns: str, oracle: str | None = None):
+def query(name: str, columns: str, oracle: str | None = None, catalog: str = "folded"):
     spec = tuple((c.partition(":")[0], c.partition(":")[2]) for c in columns.split())
 
     def register(run: Callable[[Workbench], DataFrame]):
-        QUERIES[name] = Query(run, spec, oracle)
+        QUERIES[name] = Query(run, spec, oracle, catalog)
         return run
 
     return register
@@ -1229,6 +1230,71 @@ def price_percentiles_by_department(b):
     return percentiles(lines, "unit_price", [0.5, 0.99], ["DEPARTMENT"])
 
 
+# ── a catalog that grows with the tables: a product per part ─────────────────
+
+PER_PRODUCT = """SELECT PRODUCT_ID, count(*) AS n_rows, sum(sub_exposure_weighted) AS sub_sum, sum(comp_exposure_weighted) AS comp_sum,
+    count(*) FILTER (sub_exposure_weighted > 0) AS n_sub, count(*) FILTER (comp_exposure_weighted > 0) AS n_comp FROM exposed GROUP BY 1"""
+EXPOSED_COLS = "PRODUCT_ID:b n_rows:b sub_sum:4 comp_sum:4 n_sub:b n_comp:b"
+
+
+def _exposed_by_product(exposed: DataFrame) -> DataFrame:
+    sub, comp = F.col("sub_exposure_weighted"), F.col("comp_exposure_weighted")
+    return exposed.groupBy(PRODUCT).agg(
+        F.count(F.lit(1)).alias("n_rows"), F.sum(sub).alias("sub_sum"), F.sum(comp).alias("comp_sum"),
+        F.count_if(sub > 0).alias("n_sub"), F.count_if(comp > 0).alias("n_comp"),
+    )
+
+
+@query(
+    "catalog_panel", "PRODUCT_ID:b n_rows:b units:4 sales:2 n_promoted:b SUB_COMMODITY_DESC",
+    "SELECT PRODUCT_ID, count(*) AS n_rows, sum(units_sold) AS units, sum(sales_value) AS sales, sum(promo_any) AS n_promoted, SUB_COMMODITY_DESC FROM panel GROUP BY PRODUCT_ID, SUB_COMMODITY_DESC",
+    catalog="part",
+)
+def catalog_panel(b):
+    """The dense panel of a product per part, by product."""
+    return b.panel.groupBy(PRODUCT, "SUB_COMMODITY_DESC").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.sum("units_sold").alias("units"), F.sum("sales_value").alias("sales"), F.sum("promo_any").alias("n_promoted")
+    )
+
+
+@query("catalog_complements", "src:b dst:b w:6", "SELECT * FROM comp_edges", catalog="part")
+def catalog_complements(b):
+    return b.complements
+
+
+@query("catalog_substitutes", "src:b dst:b w:6", "SELECT * FROM sub_edges", catalog="part")
+def catalog_substitutes(b):
+    return b.substitutes
+
+
+@query("catalog_exposure", EXPOSED_COLS, PER_PRODUCT, catalog="part")
+def catalog_exposure(b):
+    return _exposed_by_product(exposure.add_exposures(b.panel, b.edges))
+
+
+@query("catalog_exposure_blocks", EXPOSED_COLS, PER_PRODUCT, catalog="part")
+def catalog_exposure_blocks(b):
+    """Through the shuffled grid of edge blocks."""
+    return _exposed_by_product(exposure.add_exposures(b.panel, b.edges, block_rows=2000))
+
+
+@query("catalog_walks", "walk_id:b walk", f"SELECT walk_id, walk FROM ({_long_walk_sql(2, 20)})", catalog="part")
+def catalog_walks(b):
+    out = walks.unbiased_walks(b.complements, b.nodes, num_walks=2, walk_length=20)
+    return out.select("walk_id", F.array_join("walk", ",").alias("walk"))
+
+
+@query("catalog_folds", "PRODUCT_ID:b n_rows:b fold:i", "SELECT * FROM folds", catalog="part")
+def catalog_folds(b):
+    return covariates.group_folds(b.panel, 5)
+
+
+@query("catalog_dml", EFFECT_COLS, sql.dml_three("res_promo", EDGE), catalog="part")
+def catalog_dml(b):
+    options = {"nuisance": CELL_MEAN, "min_demand_filter": None, "with_cate": False}
+    return dml.run_graph_dml(b.panel, b.edges, **options).effects
+
+
 def as_callables() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: partial(q.__call__) for name, q in QUERIES.items()}
 

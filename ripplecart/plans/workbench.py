@@ -20,11 +20,11 @@ _SAVED: dict[tuple, DataFrame] = {}
 class Workbench:
     """The panel and the graphs are built once per session and folder, as the study saves them once."""
 
-    def __init__(self, spark: SparkSession, folder: str, store: str = "region", period_days: int = 28):
+    def __init__(self, spark: SparkSession, folder: str, store: str = "region", period_days: int = 28, catalog: str = "folded"):
         self.spark = prepare_session(spark)
         self.folder = folder
-        self.views = RetailViews(spark, folder, store, period_days)
-        self._key = (spark.sparkContext.applicationId, folder, store, period_days)
+        self.views = RetailViews(spark, folder, store, period_days, catalog)
+        self._key = (spark.sparkContext.applicationId, folder, store, period_days, catalog)
 
     def _saved(self, name: str, build) -> DataFrame:
         key = (*self._key, name)
@@ -38,7 +38,7 @@ class Workbench:
 
     @property
     def complements(self) -> DataFrame:
-        return self._saved("complements", lambda: complement_edges(self.views.transactions()))
+        return self._saved("complements", lambda: complement_edges(self.views.transactions(), self.views.min_cooccurrence))
 
     @property
     def substitutes(self) -> DataFrame:

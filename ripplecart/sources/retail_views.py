@@ -22,12 +22,22 @@ def day_number(ts: Column) -> Column:
 
 @dataclass(frozen=True)
 class RetailViews:
-    """``store``: 'region' (5 stores) or 'nation' (25); ``period_days``: length of a WEEK_NO period."""
+    """``store``: 'region' (5 stores) or 'nation' (25); ``period_days``: length of a WEEK_NO period.
+
+    ``catalog``: 'folded' makes a product of all parts of a brand and type (150) and takes orders as baskets; 'part' has a
+    product per part, so the catalog grows with the tables, and takes what a store ships in a day as a basket: orders
+    of a few lines over tens of thousands of products hold hardly a pair twice.
+    """
 
     spark: SparkSession
     folder: str
     store: str = "region"
     period_days: int = 28
+    catalog: str = "folded"
+
+    @property
+    def min_cooccurrence(self) -> int:
+        return 2 if self.catalog == "part" else 10
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder.rstrip('/')}/{name}.parquet")
@@ -36,6 +46,8 @@ class RetailViews:
         part = self.table("part")
         types = part.agg(F.array_sort(F.collect_set("p_type"))).scalar()
         brand = F.substring("p_brand", 7, 10).cast("bigint")
+        if self.catalog == "part":
+            return part.select("p_partkey", F.col("p_partkey").alias(PRODUCT), brand.alias("b"), "p_type", (F.col("p_size") % 5).alias("s"))
         return part.select(
             "p_partkey",
             (brand * 10 + F.array_position(types, F.col("p_type"))).alias(PRODUCT),
@@ -45,6 +57,13 @@ class RetailViews:
 
     def products(self) -> DataFrame:
         b, kind = F.col("b"), F.col("p_type")
+        if self.catalog == "part":
+            commodity = F.concat(kind, F.lit("-C"), b.cast("string"))
+            return self.product_map().select(
+                PRODUCT, kind.alias("DEPARTMENT"), commodity.alias("COMMODITY_DESC"),
+                F.concat(commodity, F.lit("-S"), F.col("s").cast("string")).alias("SUB_COMMODITY_DESC"),
+                F.when(b <= 12, "National").otherwise("Private").alias("BRAND"),
+            ).distinct()
         return (
             self.product_map()
             .select(PRODUCT, "b", "p_type")
@@ -70,6 +89,7 @@ class RetailViews:
             stores = supplier.select("s_suppkey", F.col("s_nationkey").cast("bigint").alias(STORE))
         day = day_number(F.col("l_shipdate"))
         line, tax = F.col("l_extendedprice"), F.col("l_tax")
+        basket = day.cast("bigint") * 100 + F.col(STORE) if self.catalog == "part" else F.col("l_orderkey")
         return (
             self.table("lineitem")
             .join(self.table("orders").select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
@@ -77,7 +97,7 @@ class RetailViews:
             .join(stores, F.col("l_suppkey") == F.col("s_suppkey"))
             .select(
                 F.col("o_custkey").alias("household_key"),
-                F.col("l_orderkey").alias("BASKET_ID"),
+                basket.alias("BASKET_ID"),
                 day.alias("DAY"),
                 (F.floor((day - 1) / self.period_days) + 1).cast("int").alias(WEEK),
                 PRODUCT,

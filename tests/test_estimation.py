@@ -70,6 +70,42 @@ def test_wide_cross_products_by_group(spark):
         assert out[k] == pytest.approx(z.T @ z)
 
 
+@pytest.mark.parametrize("fan", [2, 32])
+def test_triangular_factors_solve_badly_conditioned_designs(spark, fan):
+    rng = np.random.default_rng(4)
+    n, k = 3000, 6
+    u, _ = np.linalg.qr(rng.normal(size=(n, k)))
+    v, _ = np.linalg.qr(rng.normal(size=(k, k)))
+    x = u @ np.diag(np.logspace(0, -8, k)) @ v.T
+    y = x @ rng.normal(size=k) + 1e-9 * rng.normal(size=n)
+    assert np.linalg.cond(x) > 9e7
+    df = spark.createDataFrame([(r.tolist(), float(t), int(i % 2)) for i, (r, t) in enumerate(zip(x, y))], "w array<double>, y double, g int").repartition(7)
+    design = lambda c: (c["w"], c["y"][:, None], None)
+    factors = linear.triangular_factors(df, design, k, 1, "g", fan=fan)
+    assert {g: m for g, (_, m) in factors.items()} == {0: 1500, 1: 1500}
+    both = linear.merged_factors([r for r, _ in factors.values()], k + 1)
+    want = np.linalg.lstsq(x, y, rcond=None)[0]
+    got = linear.solve_triangular(both, k)[0][:, 0]
+    assert np.linalg.norm(got - want) / np.linalg.norm(want) < 1e-6 and x @ got == pytest.approx(x @ want, abs=1e-12)
+    gram = linear.solve_min_norm(x.T @ x, x.T @ y)[0]
+    assert np.linalg.norm(x @ gram - y) > 10 * np.linalg.norm(x @ got - y)  # Gram sums lose it
+    for g in (0, 1):
+        half = np.linalg.lstsq(x[g::2], y[g::2], rcond=None)[0]
+        assert x @ linear.solve_triangular(factors[g][0], k)[0][:, 0] == pytest.approx(x @ half, abs=1e-8)
+
+
+def test_triangular_factors_take_collinear_and_empty_columns(spark):
+    rng = np.random.default_rng(5)
+    a = rng.normal(size=400)
+    x = np.column_stack([np.ones(400), a, 2 * a, np.zeros(400)])
+    y = 1 + 5 * a + 0.1 * rng.normal(size=400)
+    df = spark.createDataFrame([(r.tolist(), float(t)) for r, t in zip(x, y)], "w array<double>, y double").repartition(3)
+    (factor, n), = linear.triangular_factors(df, lambda c: (c["w"], c["y"][:, None], None), 4, 1).values()
+    beta, inv = linear.solve_triangular(factor, 4)
+    assert n == 400 and x @ beta[:, 0] == pytest.approx(x @ np.linalg.lstsq(x, y, rcond=None)[0]) and beta[3, 0] == 0
+    assert (inv[3] == 0).all()
+
+
 @pytest.fixture(scope="module")
 def keyed(spark):
     rng = np.random.default_rng(11)
