@@ -4,8 +4,11 @@ A text's vector is the mean embedding of its hashed byte n-grams, lower-cased, w
 letter as a word break. Embeddings and softmax are trained together by stochastic gradient descent in numpy on the driver,
 from n-gram counts that the executors make of a sample: about `per_language` documents of each language, less where the
 languages are so many that `budget` documents do not give as many, chosen by a hash of their id, and two short cuts of each from anywhere in
-the text, so that short texts are learned too. A fifth of the sample calibrates the temperature of the scores and the
-confidence below which a text is rejected.
+the text, so that short texts are learned too. A fifth of the sampled documents, with their cuts, trains nothing and calibrates the
+temperature of the scores and the two limits of rejection: the confidence between the learned languages, and how usual a text's
+n-grams are at all. The second is the mean log frequency of its n-grams in the sample, held against what the
+calibration texts show at that length; a text in a language or script that was not learned falls far below it, however sure
+the softmax is that it resembles one language more than the others.
 
 For prediction embedding and softmax fold into one table of logits per n-gram, so a text costs table look-ups alone.
 """
@@ -19,10 +22,11 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ripplecart.llm.common import column, hash_share, offsets, passes, remainder, utf8
+from ripplecart.llm.common import column, hash_share, mixed, offsets, passes, remainder, utf8
 
 BITS = 14
 SIZES = (2, 3, 4)
@@ -56,26 +60,36 @@ class Model:
     table: np.ndarray  # logits of each bucket, temperature included
     bias: np.ndarray
     least: float  # scores below are rejected
+    usual: np.ndarray  # log frequency of each bucket
+    spread: tuple[float, float, float]  # of its mean over a text: the mean, variance between texts, variance of one n-gram
+    limit: float  # texts further below the mean, in deviations, are rejected
 
-    def logits(self, col: pa.Array) -> np.ndarray:
+    def logits(self, col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Logits of each text, and how many deviations its n-grams are more usual than those of a calibration text of its length."""
         data, at = utf8(_lower(col))
-        total, n = np.zeros((len(at) - 1, len(self.languages))), np.zeros(len(at) - 1)
+        total, n = np.zeros((len(at) - 1, len(self.languages) + 1)), np.zeros(len(at) - 1)
+        tables = [*self.table, self.usual]
         for size, bucket in zip(SIZES, grams(data), strict=True):
             last = np.maximum(at[1:] - size + 1, at[:-1])  # grams that end within the text
             n += last - at[:-1]
-            for k in range(len(self.languages)):
-                run = np.concatenate(([0.0], np.cumsum(self.table[k][bucket], dtype=np.float64)))
+            for k, table in enumerate(tables):
+                run = np.concatenate(([0.0], np.cumsum(table[bucket], dtype=np.float64)))
                 run = np.append(run, np.full(max(0, int(at[-1]) + 1 - len(run)), run[-1]))
                 total[:, k] += run[last] - run[at[:-1]]
-        return total / np.maximum(n, 1)[:, None] + self.bias
+        total /= np.maximum(n, 1)[:, None]
+        mean, between, one = self.spread
+        return total[:, :-1] + self.bias, (total[:, -1] - mean) / np.sqrt(between + one / np.maximum(n, 1))
 
-    def predict(self, col: pa.Array) -> tuple[list[str], np.ndarray]:
+    def predict(self, col: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """Language, score, and whether the text is rejected."""
         known = pc.fill_null(pc.match_substring_regex(col, r"\p{L}"), False).to_numpy(zero_copy_only=False)
         if not self.languages:
-            return [UNKNOWN] * len(col), np.zeros(len(col))
-        p = softmax(self.logits(col))
-        best = p.argmax(1)
-        return [self.languages[b] if k else UNKNOWN for b, k in zip(best, known, strict=True)], np.where(known, p.max(1), 0.0)
+            return [UNKNOWN] * len(col), np.zeros(len(col)), np.ones(len(col), bool)
+        z, deviation = self.logits(col)
+        p = softmax(z)
+        best, score = p.argmax(1), np.where(known, p.max(1), 0.0)
+        rejected = ~known | (score < self.least) | (deviation < self.limit)
+        return [self.languages[b] if k else UNKNOWN for b, k in zip(best, known, strict=True)], score, rejected
 
 
 def softmax(z: np.ndarray) -> np.ndarray:
@@ -95,9 +109,10 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for part, cut in enumerate(cuts):
                 bucket, n = np.unique(np.concatenate(grams(cut)), return_counts=True)
                 if len(bucket):
-                    out.append((i, lang, part, bucket.astype(np.uint16).tobytes(), (n / n.sum()).astype(np.float32).tobytes()))
-        cols = list(zip(*out, strict=True)) if out else [()] * 5
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols[1:], (pa.string(), pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["lang", "part", "bucket", "share"])
+                    out.append((i, lang, part, xxhash.xxh3_64_intdigest(whole.tobytes()) >> 1, int(n.sum()), bucket.astype(np.uint16).tobytes(), (n / n.sum()).astype(np.float32).tobytes()))
+        cols = list(zip(*out, strict=True)) if out else [()] * 7
+        kinds = (pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols[1:], kinds, strict=True)], names=["lang", "part", "doc", "n", "bucket", "share"])
 
 
 def _views(cells: pa.ChunkedArray, kind: type) -> list[np.ndarray]:
@@ -139,22 +154,25 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE, budget: int = BUDGE
     """
     rows = docs.where("text is not null and lang is not null").select("doc_id", "text", "lang")
     sizes = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    nothing = Model([], np.zeros((0, 1 << BITS)), np.zeros(0), 0.0, np.zeros(1 << BITS), (0.0, 1.0, 1.0), 0.0)
     if not sizes:
-        return Model([], np.zeros((0, 1 << BITS)), np.zeros(0), 0.0)
+        return nothing
     languages = sorted(sizes)
     each = max(min(per_language, budget / len(languages)), LEAST)
     share = docs.sparkSession.createDataFrame([(x, each / sizes[x]) for x in languages], "lang string, share double")
-    sample = rows.join(F.broadcast(share), "lang").where(hash_share("doc_id") < F.col("share")).mapInArrow(_counts, "lang string, part int, bucket binary, share binary").toArrow()
+    sample = rows.join(F.broadcast(share), "lang").where(hash_share("doc_id") < F.col("share")).mapInArrow(_counts, "lang string, part int, doc long, n long, bucket binary, share binary").toArrow()
     parts = list(zip(_views(sample["bucket"], np.uint16), _views(sample["share"], np.float32), strict=True))
     lang = np.searchsorted(languages, sample["lang"].to_pylist())
     order = sorted(range(len(parts)), key=lambda i: (lang[i], hashlib.blake2b(parts[i][0].tobytes(), digest_size=16).digest()))  # whatever order they came in
     parts, part, target = [parts[i] for i in order], np.array(sample["part"])[order], lang[order]
     if not len(parts):
-        return Model([], np.zeros((0, 1 << BITS)), np.zeros(0), 0.0)
-    held = np.random.default_rng(seed).random(len(parts)) < 0.2
+        return nothing
+    doc, n = np.array(sample["doc"])[order], np.array(sample["n"])[order]
+    held = mixed(doc.view(np.uint64) + np.uint64(seed)) % np.uint64(5) == 0  # a document with its cuts, and its copies
     learned = np.flatnonzero(~held) if (~held).any() else np.arange(len(parts))
     vectors, weights, bias = _descend([parts[i] for i in learned], target[learned], len(languages), dim, epochs, rate, seed)
     table = (vectors @ weights).T
+    usual, spread, limit = _usual(parts, part, n, learned, np.flatnonzero(held))
     held = np.flatnonzero(held & (part == 0))
     scale, least = 1.0, 0.0
     if len(held):
@@ -164,15 +182,38 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE, budget: int = BUDGE
         p = softmax(z * scale)
         right = p.max(1)[p.argmax(1) == target[held]]
         least = float(min(0.5, np.quantile(right, 0.001))) if len(right) else 0.0
-    return Model(languages, (table * scale).astype(np.float32), bias * scale, least)
+    return Model(languages, (table * scale).astype(np.float32), bias * scale, least, usual, spread, limit)
+
+
+#: A text is rejected as unlike all that was learned beyond so many deviations, and beyond this multiple of the calibration texts' extreme.
+DEVIATIONS, EXTREME = 5.0, 1.25
+
+
+def _usual(parts, part: np.ndarray, n: np.ndarray, learned: np.ndarray, held: np.ndarray) -> tuple[np.ndarray, tuple[float, float, float], float]:
+    """Log frequencies of the buckets among the learned texts; spread and limit of their means from the calibration texts."""
+    total = np.ones(1 << BITS)
+    for i in learned[part[learned] == 0]:
+        total[parts[i][0]] += parts[i][1] * n[i]
+    usual = np.log(total / total.sum()).astype(np.float32)
+    if not len(held):
+        return usual, (0.0, 1.0, 1.0), -np.inf
+    means = np.array([usual[parts[i][0]] @ parts[i][1] for i in held], np.float64)
+    whole = part[held] == 0
+    mean = float(means[whole].mean()) if whole.any() else float(means.mean())
+    between = float(means[whole].var()) if whole.any() else 0.0
+    short = ~whole if (~whole).any() else whole
+    one = float(np.mean(np.maximum((means[short] - mean) ** 2 - between, 0) * n[held][short]))
+    deviation = (means - mean) / np.sqrt(max(between, 1e-6) + one / n[held])
+    return usual, (mean, max(between, 1e-6), one), float(min(-DEVIATIONS, EXTREME * np.quantile(deviation, 0.0005)))
 
 
 def predictions(docs: DataFrame, model: Model, carry: list[str]) -> DataFrame:
     """The `carry` columns of `docs` in struct doc, with lang_pred, score, rejected.
 
     A null text and one without a letter get `und` and score 0 and are rejected, other texts the likeliest language;
-    those whose calibrated score is below the model's limit are rejected. A model that learned nothing gives
-    `und` throughout.
+    those whose calibrated score is below the model's limit are rejected, and those whose n-grams are too unusual for every
+    learned language. Very long texts are read whole, in a pass of their own; repeated rows are predicted alike. A model
+    that learned nothing gives `und` throughout.
     """
     inside = "text" in carry  # then the text crosses to Python once, within doc
     out = docs.select(F.struct(*carry).alias("doc"), *([] if inside else ["text"]))
@@ -181,8 +222,7 @@ def predictions(docs: DataFrame, model: Model, carry: list[str]) -> DataFrame:
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = held.value
         for batch in passes(batches, "doc.text" if inside else "text"):
-            lang, score = model.predict(column(batch, "doc.text" if inside else "text"))
-            rejected = [x == UNKNOWN or s < model.least for x, s in zip(lang, score, strict=True)]
+            lang, score, rejected = model.predict(column(batch, "doc.text" if inside else "text"))
             yield pa.RecordBatch.from_arrays([batch.column("doc"), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(rejected, pa.bool_())], names=["doc", "lang_pred", "score", "rejected"])
 
     schema = out.select("doc", F.lit("").alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(False).alias("rejected")).schema

@@ -236,6 +236,38 @@ def test_language_of_held_out_rows(spark):
     assert kept.columns == docs.columns and kept.count() > 0.98 * docs.where(F.col("text").rlike(r"\p{L}")).count()
 
 
+FOREIGN = [
+    "Η γρήγορη καφέ αλεπού πηδάει πάνω από το τεμπέλικο σκυλί και τρέχει μακριά στο δάσος",
+    "Быстрая коричневая лиса прыгает через ленивую собаку и убегает в тёмный лес",
+    "敏捷的棕色狐狸跳过了懒狗然后跑进了森林里面",
+    "qzxv wkjh pqrx zzkq vvxw jjkq xqzv kwjx qqzz",
+]
+
+
+def test_unlearned_languages_and_noise_are_rejected_and_no_learned_text(spark):
+    docs = table(spark, FOLDER, "documents")
+    model = language_id.train(docs.where(language_id.in_training()))
+    _, _, rejected = model.predict(pa.array([*FOREIGN, "x " * 50_000 + FOREIGN[0] * 3000]))
+    assert rejected.all()
+    out = language_id.predictions(docs, model, ["doc_id", "text"]).select("doc.text", "rejected").collect()
+    assert sum(r.rejected for r in out if any(c.isalpha() for c in r.text or "")) <= 0.002 * len(out)
+
+
+def test_calibration_documents_train_nothing(spark, monkeypatch):
+    seen = {}
+    descend = language_id._descend
+    monkeypatch.setattr(language_id, "_descend", lambda rows, *args: seen.update(rows=[r[0].tobytes() for r in rows]) or descend(rows, *args))
+    texts = [f"{w} {i} alpha beta {w * 3}" for i, w in enumerate(["uno", "dos", "tres", "cat"] * 30)]
+    docs = spark.createDataFrame([(i, t, "l1" if i % 2 else "l2") for i, t in enumerate(texts)], "doc_id long, text string, lang string")
+    counts = docs.mapInArrow(language_id._counts, "lang string, part int, doc long, n long, bucket binary, share binary").toPandas()
+    language_id.train(docs, epochs=1)
+    learned = Counter(seen["rows"])
+    whole = counts[counts.part == 0]
+    trained = [doc for doc, bucket in zip(whole.doc, map(bytes, whole.bucket), strict=True) if learned[bucket]]
+    assert 0.6 * len(whole) < len(trained) < 0.95 * len(whole)
+    assert learned == Counter(map(bytes, counts[counts.doc.isin(trained)].bucket))  # whole texts and their cuts go together
+
+
 def test_language_of_odd_rows(spark):
     docs = docs_with(spark, ODD)
     got = language_id.identified(docs)
