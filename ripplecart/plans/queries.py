@@ -1246,14 +1246,14 @@ def _exposed_by_product(exposed: DataFrame) -> DataFrame:
 
 
 @query(
-    "catalog_panel", "PRODUCT_ID:b n_rows:b units:4 sales:2 n_promoted:b SUB_COMMODITY_DESC",
-    "SELECT PRODUCT_ID, count(*) AS n_rows, sum(units_sold) AS units, sum(sales_value) AS sales, sum(promo_any) AS n_promoted, SUB_COMMODITY_DESC FROM panel GROUP BY PRODUCT_ID, SUB_COMMODITY_DESC",
+    "catalog_panel", "PRODUCT_ID:b n_rows:b units:4 n_promoted:b SUB_COMMODITY_DESC",
+    "SELECT PRODUCT_ID, count(*) AS n_rows, sum(units_sold) AS units, sum(promo_any) AS n_promoted, SUB_COMMODITY_DESC FROM panel GROUP BY PRODUCT_ID, SUB_COMMODITY_DESC",
     catalog="part",
 )
 def catalog_panel(b):
     """The dense panel of a product per part, by product."""
     return b.panel.groupBy(PRODUCT, "SUB_COMMODITY_DESC").agg(
-        F.count(F.lit(1)).alias("n_rows"), F.sum("units_sold").alias("units"), F.sum("sales_value").alias("sales"), F.sum("promo_any").alias("n_promoted")
+        F.count(F.lit(1)).alias("n_rows"), F.sum("units_sold").alias("units"), F.sum("promo_any").alias("n_promoted")
     )
 
 
