@@ -257,7 +257,8 @@ def test_calibration_documents_train_nothing(spark, monkeypatch):
     seen = {}
     descend = language_id._descend
     monkeypatch.setattr(language_id, "_descend", lambda rows, *args: seen.update(rows=[r[0].tobytes() for r in rows]) or descend(rows, *args))
-    texts = [f"{w} {i} alpha beta {w * 3}" for i, w in enumerate(["uno", "dos", "tres", "cat"] * 30)]
+    rng = random.Random(3)
+    texts = [" ".join("".join(rng.choices("abcdefgh", k=6)) for _ in range(12)) for _ in range(120)]
     docs = spark.createDataFrame([(i, t, "l1" if i % 2 else "l2") for i, t in enumerate(texts)], "doc_id long, text string, lang string")
     counts = docs.mapInArrow(language_id._counts, "lang string, part int, doc long, n long, bucket binary, share binary").toPandas()
     language_id.train(docs, epochs=1)
