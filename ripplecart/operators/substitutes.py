@@ -89,6 +89,12 @@ def top_neighbours(scored: DataFrame, k: int) -> DataFrame:
     return scored.withColumn("_r", F.row_number().over(best)).filter(F.col("_r") <= k).drop("_r")
 
 
+def nearest_by_vector(vectors: DataFrame, k: int = 1, block: int = BLOCK) -> DataFrame:
+    """The k nearest nodes of every node by positive cosine, over the whole table of vectors: (src, dst, w)."""
+    nodes = vectors.select(PRODUCT, F.lit("all").alias(GROUP), l2_normalised(F.col("embedding")).alias("unit"))
+    return top_neighbours(_nearest_by_cosine(settled(nodes, "nodes"), k, block), k)
+
+
 def symmetrise_max(edges: DataFrame) -> DataFrame:
     """Elementwise maximum of the edge set and its reverse; a node may end above its top-k."""
     back = F.struct(F.col("dst").alias("src"), F.col("src").alias("dst"), "w")

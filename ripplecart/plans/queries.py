@@ -11,7 +11,7 @@ from collections.abc import Callable
 from dataclasses import dataclass
 from functools import partial
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ripplecart.config import CELL, EFFECTS, HIERARCHY, PRODUCT, STORE, WEEK, StudyConfig
@@ -454,7 +454,52 @@ def node_embeddings(b):
     )
 
 
-@query("embedding_pca", "PRODUCT_ID:b label pc1:6 pc2:6 explained_1:6 explained_2:6")
+@query("node_embedding_neighbours", "n_nodes:b dim:i near_in_graph", "SELECT count(*) AS n_nodes, 64 AS dim, true AS near_in_graph FROM nodes")
+def node_embedding_neighbours(b):
+    """Whether 95 of 100 nearest vectors belong to products at most two steps away; nodes without edges have no say."""
+    near = substitutes.nearest_by_vector(b.trained, 1).select("src", F.col("dst").alias("near"))
+    step = b.complements.select("src", "dst")
+    two = step.unionByName(step.join(step.select(F.col("src").alias("dst"), F.col("dst").alias("next")), "dst").select("src", F.col("next").alias("dst"))).distinct()
+    met = two.withColumnRenamed("dst", "near").withColumn("met", F.lit(True))
+    linked = step.select("src").distinct().withColumn("linked", F.lit(True))
+    out = b.trained.select(F.col(PRODUCT).alias("src"), F.size("embedding").alias("dim")).join(near, "src", "left").join(met, ["src", "near"], "left").join(linked, "src", "left")
+    holds = F.avg((F.col("linked").isNull() | F.coalesce("met", F.lit(False))).cast("double")) >= 0.95
+    return out.agg(F.count(F.lit(1)).alias("n_nodes"), F.min("dim").alias("dim"), holds.alias("near_in_graph"))
+
+
+def _pca_sql() -> str:
+    """Leading eigenvectors of the covariance by repeated squaring, the second after the first is taken out."""
+    squared = "list_transform(m, lambda r: list_transform(m, lambda c: list_dot_product(r, c) / (t * t)))"
+    trace = "list_sum(list_transform(range(1, len(m) + 1), lambda i: m[i][i]))"
+    grown = lambda name, source: f"""{name}_p(k, m) AS (  -- m to the power 2 ** 14, scaled
+          SELECT 0, m FROM {source} UNION ALL SELECT k + 1, {squared} FROM (SELECT k, m, {trace} AS t FROM {name}_p) WHERE k < 14
+        ), {name}_v AS (
+          SELECT list_transform(r, lambda a: a / sqrt(list_dot_product(r, r)) * CASE WHEN r[list_position(list_transform(r, lambda b: abs(b)), list_max(list_transform(r, lambda b: abs(b))))] < 0 THEN -1 ELSE 1 END) AS v
+          FROM (SELECT m[list_position(list_transform(range(1, len(m) + 1), lambda i: m[i][i]), list_max(list_transform(range(1, len(m) + 1), lambda i: m[i][i])))] AS r FROM {name}_p WHERE k = 14)
+        )"""
+    return f"""SELECT * FROM (
+        WITH RECURSIVE x AS (
+          SELECT PRODUCT_ID, list_transform(v, lambda a: a / sqrt(list_dot_product(v, v))) AS u FROM emb WHERE list_dot_product(v, v) > 0
+        ), cov AS (
+          SELECT i, j, covar_samp(u[i], u[j]) AS c FROM x, (SELECT unnest(range(1, (SELECT max(len(u)) FROM x) + 1)) AS i), (SELECT unnest(range(1, (SELECT max(len(u)) FROM x) + 1)) AS j) GROUP BY i, j
+        ), c1 AS (
+          SELECT list(r ORDER BY i) AS m FROM (SELECT i, list(c ORDER BY j) AS r FROM cov GROUP BY i)
+        ), {grown("one", "c1")}, top AS (
+          SELECT v, list_dot_product(v, list_transform(m, lambda r: list_dot_product(r, v))) AS l, m, {trace} AS total FROM one_v, c1
+        ), c2 AS (
+          SELECT list_transform(range(1, len(m) + 1), lambda i: list_transform(range(1, len(m) + 1), lambda j: m[i][j] - l * v[i] * v[j])) AS m FROM top
+        ), {grown("two", "c2")}, second AS (
+          SELECT v, list_dot_product(v, list_transform(m, lambda r: list_dot_product(r, v))) AS l FROM two_v, c2
+        ), named AS (
+          SELECT x.*, coalesce(DEPARTMENT, 'UNKNOWN') AS d FROM x LEFT JOIN product USING (PRODUCT_ID)
+        ), frequent AS (
+          SELECT d AS label FROM named GROUP BY d ORDER BY count(*) DESC, d LIMIT 10
+        )
+        SELECT PRODUCT_ID, label, list_dot_product(u, top.v) AS pc1, list_dot_product(u, second.v) AS pc2, top.l / total AS explained_1, second.l / total AS explained_2
+        FROM named LEFT JOIN frequent ON d = label CROSS JOIN top CROSS JOIN second)"""
+
+
+@query("embedding_pca", "PRODUCT_ID:b label pc1:6 pc2:6 explained_1:6 explained_2:6", _pca_sql())
 def embedding_pca(b):
     return embeddings.pca_projection(b.views.embeddings(), b.views.products(), 10)
 
@@ -634,6 +679,31 @@ def dml_graph_gbt(b):
     return dml.run_graph_dml(b.panel, b.edges, nuisance=GBT, n_folds=5, min_demand_filter=0.01).effects
 
 
+@query(
+    "nuisance_gain", "target n_obs:b beats_mean no_worse",
+    "SELECT target, count(*) AS n_obs, target <> 't_direct' AS beats_mean, true AS no_worse FROM frame_promo, (SELECT unnest(['y', 't_direct', 't_sub', 't_comp']) AS target) GROUP BY 1",
+)
+def nuisance_gain(b):
+    """Boosted predictions of products they never saw against the mean of the products they saw, by squared loss.
+
+    Promotions are drawn by hash here, so no model can beat their mean; it may lose a twentieth to it at most.
+    """
+    frame = dml.estimation_frame(b.panel, b.edges, min_demand_filter=None)
+    targets = ["y", *dml.TREATMENTS]
+    cov = covariates.covariates(frame)
+    res = residualise(cov.attach(frame), targets, 5, GBT)
+    per_fold = frame.groupBy("fold").agg(F.count(F.lit(1)).alias("n"), *[F.sum(t).alias(f"{t}_s") for t in targets])
+    whole = per_fold.agg(F.struct(F.sum("n").alias("n"), *[F.sum(f"{t}_s").alias(t) for t in targets]).alias("all")).scalar()
+    means = per_fold.select("fold", *[((whole[t] - F.col(f"{t}_s")) / (whole["n"] - F.col("n"))).alias(f"{t}_mean") for t in targets])
+    rows = res.join(F.broadcast(means), "fold")  # a row per fold
+    def against_mean(t: str) -> Column:
+        loss, mean_loss = F.avg(F.col(f"{t}_res") ** 2), F.avg((F.col(t) - F.col(f"{t}_mean")) ** 2)
+        return F.struct(F.lit(t).alias("target"), F.count(F.lit(1)).alias("n_obs"), (loss < mean_loss).alias("beats_mean"), (loss < 1.05 * mean_loss).alias("no_worse"))
+
+    sums = [against_mean(t) for t in targets]
+    return rows.agg(F.array(*sums).alias("s")).select(F.inline("s"))
+
+
 @query("dml_cate_by_department", "DEPARTMENT direct_mean:6 sub_spill_mean:6 comp_spill_mean:6 n_obs:b", "SELECT * FROM cate_groups")
 def dml_cate_by_department(b):
     est = dml.run_graph_dml(b.panel, b.edges, nuisance=CELL_MEAN, min_demand_filter=None)
