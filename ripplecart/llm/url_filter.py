@@ -9,6 +9,10 @@ refuses it and the number of levels is odd: exact membership from a few bit arra
 
 Only keys that pass level 1 are ever gathered, so building shuffles the listed keys' share of the universe and the
 false positives, about 0.2 % of the rest.
+
+Up to MOST_BYTES a level's bit array is a literal in the plan and urls are judged where they lie. A longer list is cut by
+key hash into segments of a few kilobytes, each with its own arrays of all levels; the corpus' keys meet their segment in a
+shuffled join, so no list is too long and nothing of its size is held in one place.
 """
 
 from __future__ import annotations
@@ -25,8 +29,10 @@ from ripplecart.llm.common import saved
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Bits a key in the first level and in the later ones, and hashes in each.
 FIRST, LATER = (13, 9), (6, 4)
-#: Largest bit array of a level in bytes; it travels as a literal with every task.
+#: Largest bit array of a level in bytes that travels as a literal with every task; longer lists are cut into segments.
 MOST_BYTES = 4 << 20
+#: 64-bit words of a segment's first level.
+SEGMENT_WORDS = 1024
 
 
 def host_of(url: Column) -> Column:
@@ -67,8 +73,6 @@ class Bloom:
     def of(cls, keys: DataFrame, n: int, per_key: int, hashes: int, seed: int) -> Bloom:
         """Over the distinct values of column `key`, n of them."""
         size = max(1, math.ceil(n * per_key / 64)) * 64
-        if size // 8 > MOST_BYTES:
-            raise ValueError(f"{n} keys need {size // 8} bytes, more than a task should carry; split the list by host")
         at = keys.select(F.explode(F.array(*cls.places(F.col("key"), size, hashes, seed))).alias("at"))
         words = at.groupBy(F.floor(F.col("at") / 64).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at % 64 as int))")).alias("bits"))
         array = [0] * (size // 64)
@@ -111,13 +115,79 @@ class Cascade:
         return out
 
 
-def url_verdicts(urls: DataFrame, rules: DataFrame, url: str = "url", default: str = "allow") -> DataFrame:
+class SegmentedCascade:
+    """The same cascade over segments of the keys: a row per segment with the words of every level."""
+
+    def __init__(self, table: DataFrame, levels: list[tuple[str, int, int, int]], segments: int):
+        self.table, self.levels, self.segments = table, levels, segments
+
+    @classmethod
+    def of(cls, listed: DataFrame, universe: DataFrame, words: int = SEGMENT_WORDS) -> SegmentedCascade:
+        """Both with a column `key`; repeated and null keys are allowed, null is never listed."""
+        inside = saved(listed.where("key is not null").select("key").distinct(), "listed")
+        n, outside = inside.count(), universe.where("key is not null").select("key").distinct()
+        segments = max(1, math.ceil(n * FIRST[0] / 64 / words))
+        spark, levels = listed.sparkSession, []
+        table = spark.range(segments).select(F.col("id").alias("segment"))
+        while n:
+            per_key, hashes = LATER if levels else FIRST
+            name, size = f"words{len(levels)}", max(1, math.ceil(n * per_key / segments / 64)) * 64
+            levels.append((name, size, hashes, len(levels)))
+            at = inside.select(cls._segment(segments).alias("segment"), F.explode(F.array(*Bloom.places(F.col("key"), size, hashes, len(levels) - 1))).alias("at"))
+            bits = at.groupBy("segment", F.floor(F.col("at") / 64).cast("int").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at % 64 as int))")).alias("bits"))
+            held = bits.groupBy("segment").agg(F.map_from_entries(F.collect_list(F.struct("w", "bits"))).alias("m"))  # at most a segment's words
+            dense = F.transform(F.sequence(F.lit(0), F.lit(size // 64 - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0).cast("bigint")))
+            made = held.select("segment", dense.alias(name))
+            table = saved(table.join(made, "segment", "left").withColumn(name, F.coalesce(name, F.array_repeat(F.lit(0).cast("bigint"), size // 64))), "segments")
+            passing = cls._met(outside, table, segments).where(cls._has(levels[-1])).select("key").distinct()
+            if len(levels) == 1:  # the universe holds listed keys too
+                passing = passing.join(inside, "key", "left_anti")
+            passing = saved(passing, "passing")
+            inside, outside, n = passing, inside, passing.count()
+        return cls(table, levels, segments)
+
+    @staticmethod
+    def _segment(segments: int) -> Column:
+        return F.pmod(F.xxhash64("key", F.lit("segment")), F.lit(segments))
+
+    @classmethod
+    def _met(cls, keys: DataFrame, table: DataFrame, segments: int) -> DataFrame:
+        return keys.withColumn("segment", cls._segment(segments)).join(table.hint("merge"), "segment")
+
+    @staticmethod
+    def _has(level: tuple[str, int, int, int]) -> Column:
+        name, size, hashes, seed = level
+        tests = (F.getbit(F.get(name, F.floor(at / 64).cast("int")), (at % 64).cast("int")) == 1 for at in Bloom.places(F.col("key"), size, hashes, seed))
+        return reduce(Column.__and__, tests)
+
+    def marked(self, keys: DataFrame, column: str) -> DataFrame:
+        """`keys` of the universe with a boolean column that says which are listed; a null key is not."""
+        out = F.lit(len(self.levels) % 2 == 1)
+        for i, level in reversed(list(enumerate(self.levels))):
+            out = F.when(self._has(level), out).otherwise(F.lit(i % 2 == 1))
+        return self._met(keys, self.table, self.segments).withColumn(column, F.col("key").isNotNull() & out).drop("segment", *[x[0] for x in self.levels])
+
+
+def _segmented_verdicts(keyed: DataFrame, keys: Column, rules: DataFrame) -> DataFrame:
+    """`keyed` with _best, a struct of the longest listed key and whether it blocks, by way of the segments."""
+    rows = saved(keyed.withColumn("_url", F.monotonically_increasing_id()), "keyed")
+    asked = rows.select("_url", F.explode(keys).alias("key"))
+    universe = asked.select("key").distinct()
+    listed = SegmentedCascade.of(rules, universe).marked(universe, "listed").where("listed").drop("listed")
+    judged = SegmentedCascade.of(rules.where("block"), rules).marked(saved(listed, "fitting"), "block")
+    longest = F.max(F.struct(F.length("key").alias("n"), F.instr("key", "#").alias("h"), "key", "block"))
+    best = asked.join(judged, "key").groupBy("_url").agg(longest.alias("_best"))
+    return rows.join(best, "_url", "left").drop("_url")
+
+
+def url_verdicts(urls: DataFrame, rules: DataFrame, url: str = "url", default: str = "allow", most_bytes: int = MOST_BYTES) -> DataFrame:
     """The rows of `urls` with _host, _path, _rule and _verdict.
 
     `rules` has columns host, path (both as they are written in `host` + `path`) and verdict. The longest fitting rule
     wins (characters of host and path together, then of the host); a rule given both ways blocks. A url that no rule
     fits, a null url and one without :// get a null rule and `default`. Rules with a null host or path count as
-    empty strings. Empty tables give an empty result, or `default` everywhere.
+    empty strings. Empty tables give an empty result, or `default` everywhere. Very long urls are read whole; repeated rows are
+    judged alike. Columns of `urls` with one of the four names are replaced, others carried whatever their names.
     """
     spark = urls.sparkSession
     rules = saved(
@@ -127,18 +197,21 @@ def url_verdicts(urls: DataFrame, rules: DataFrame, url: str = "url", default: s
         "rules",
     )
     lengths = sorted(r.n for r in rules.select("n").distinct().collect())
-    keyed = urls.withColumns({"_host": host_of(F.col(url)), "_path": path_of(F.col(url))})
+    kept = [c for c in urls.columns if c not in ("_host", "_path", "_rule", "_verdict")]
+    row = F.struct(*[F.col(f"`{c}`") for c in kept]) if kept else F.struct(F.lit(True).alias("none"))
+    keyed = urls.select(row.alias("row"), host_of(F.col(url)).alias("_host"), path_of(F.col(url)).alias("_path"))
+    out = [*[F.col(f"row.`{c}`") for c in kept], "_host", "_path", "_rule", "_verdict"]
     keys = candidates(F.col("_host"), F.col("_path"), lengths)
+    if math.ceil(rules.select("key").distinct().count() * FIRST[0] / 8) > most_bytes:
+        found = _segmented_verdicts(keyed, keys, rules)
+        verdict = F.when(F.col("_best").isNull(), default).when(F.col("_best.block"), "block").otherwise("allow")
+        return found.withColumn("_rule", F.translate("_best.key", "#", "")).withColumn("_verdict", verdict).select(*out)
     universe = keyed.select(F.explode(keys).alias("key"))
     listed = Cascade.of(rules, universe)
     blocked = Cascade.of(rules.where("block"), rules)
     longest = F.array_max(F.transform(F.filter(keys, listed.has), lambda k: F.struct(F.length(k).alias("n"), F.instr(k, "#").alias("h"), k.alias("key"))))
-    return (
-        keyed.withColumn("_best", longest["key"])
-        .withColumn("_rule", F.translate("_best", "#", ""))
-        .withColumn("_verdict", F.when(F.col("_best").isNull(), default).when(blocked.has(F.col("_best")), "block").otherwise("allow"))
-        .drop("_best")
-    )
+    verdict = F.when(F.col("_best").isNull(), default).when(blocked.has(F.col("_best")), "block").otherwise("allow")
+    return keyed.withColumn("_best", longest["key"]).withColumn("_rule", F.translate("_best", "#", "")).withColumn("_verdict", verdict).select(*out)
 
 
 def rules_of(spark: SparkSession, rules: list[tuple[str, str, str]]) -> DataFrame:

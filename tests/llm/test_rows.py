@@ -14,7 +14,7 @@ from ripplecart.llm import html_text, language_id, packing, quality, toxicity
 from ripplecart.llm.common import remainder, table
 from ripplecart.llm.html_text import main_text, main_texts
 from ripplecart.llm.packing import balanced_windows, byte_bpe, difference, full_windows, pack_documents, powers_of_two, vocabulary_path
-from ripplecart.llm.url_filter import Cascade, rules_of, url_verdicts
+from ripplecart.llm.url_filter import Cascade, SegmentedCascade, rules_of, url_verdicts
 
 FOLDER = "/root/testdata/sf0.01"
 CLASH = "score double, lang_pred int, doc string, row int, token array<int>"
@@ -114,15 +114,20 @@ def brute_verdict(url, rules, default="allow"):
     return host, path, best and best[3], best[4] if best else default
 
 
-def test_url_verdicts_match_brute_force(spark):
+@pytest.mark.parametrize("most_bytes", [1 << 22, 0])
+def test_url_verdicts_match_brute_force(spark, most_bytes):
     rules = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"), ("block", "a.b", ""), ("allow", "a.b", "/xy"), ("block", "", "/root")]
     hosts = ["x.net", "NET", "example.net", "www.Example.NET", "notnet", "example.com", "my.example.com", "badexample.com", "org", "q.org", "a.b", "c.a.b", "", "a..b", "ÄB.org", "net.", "example.net:80", "x\ty.net", "x\nnet"]
     paths = ["", "/", "/en/", "/en", "/de/x", "/fr/1?x=/en/", "?q=/en/", "#/", "/xyz", "/root/a", "/EN/", "//", "/de/#f?", "/\n/en/"]
     urls = [f"{s}{h}{p}" for s in ("http://", "HTTPS://") for h in hosts for p in paths] + [None, "", "no scheme.net/", "://net/", "mailto:a@net", "http://x.net/?u=http://example.com/de/"] * 2
-    pages = spark.createDataFrame([(i, u, "x", 1) for i, u in enumerate(urls)], "page_id long, url string, key string, rule int").repartition(3)
-    got = {r.page_id: (r._host, r._path, r._rule, r._verdict) for r in url_verdicts(pages, rules_of(spark, rules)).collect()}
-    assert got == {i: brute_verdict(u, rules) for i, u in enumerate(urls)}
-    assert url_verdicts(pages.limit(0), rules_of(spark, rules)).count() == 0
+    clash = "page_id long, url string, key string, rule int, _best string, _url long, row string, _host int, segment long"
+    pages = spark.createDataFrame([(i, u, "x", 1, "b", 2, "r", 3, 4) for i, u in enumerate(urls)], clash).repartition(3)
+    judged = url_verdicts(pages, rules_of(spark, rules), most_bytes=most_bytes)
+    assert judged.columns == ["page_id", "url", "key", "rule", "_best", "_url", "row", "segment", "_host", "_path", "_rule", "_verdict"]
+    rows = judged.collect()
+    assert {r.page_id: (r._host, r._path, r._rule, r._verdict) for r in rows} == {i: brute_verdict(u, rules) for i, u in enumerate(urls)}
+    assert len(rows) == len(urls) and all((r._best, r._url, r.row, r.segment) == ("b", 2, "r", 4) for r in rows)
+    assert url_verdicts(pages.limit(0), rules_of(spark, rules), most_bytes=most_bytes).count() == 0
     assert {r._verdict for r in url_verdicts(pages, spark.createDataFrame([], "verdict string, host string, path string"), default="block").collect()} == {"block"}
 
 
@@ -136,6 +141,20 @@ def test_cascade_is_exact_over_its_universe(spark):
     assert got.where("in").count() == len(range(0, 40_000, 7))
 
 
+def test_segments_are_exact_and_bounded(spark):
+    universe = spark.range(30_000).select(F.concat(F.lit("k"), F.col("id").cast("string")).alias("key"))
+    listed = spark.range(0, 30_000, 7).select(F.concat(F.lit("k"), F.col("id").cast("string")).alias("key")).unionByName(spark.createDataFrame([("never seen",), (None,)], "key string"))
+    cascade = SegmentedCascade.of(listed, universe, words=16)
+    assert cascade.segments > 40 and len(cascade.levels) >= 2 and cascade.table.count() == cascade.segments
+    assert cascade.table.select(F.max(F.size("words0"))).first()[0] <= 17
+    got = cascade.marked(universe.unionByName(spark.createDataFrame([(None,)], "key string")), "in")
+    assert got.columns == ["key", "in"]
+    assert got.where("key is not null").where(F.col("in") != (F.substring("key", 2, 9).cast("int") % 7 == 0)).count() == 0
+    assert got.where("in and key is not null").count() == len(range(0, 30_000, 7))
+    plan = got._jdf.queryExecution().toString()
+    assert "Python" not in plan and "MapInArrow" not in plan
+
+
 # ------------------------------------------------------------------------------------------------- main text
 
 LONG = "This paragraph has a good many words, and commas, and even a second sentence. Here it is; it ends now."
