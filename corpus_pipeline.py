@@ -1,6 +1,9 @@
 """A corpus from `documents`: stages applied in turn, each written to the shared folder and read back by the next.
 
-Every stage works on all that its predecessor kept; all but the last return rows of documents with all their columns.
+Every stage works on all that its predecessor kept; all but the last return rows of documents with all their columns,
+extra ones included. Odd rows: a null or letterless text leaves at the first stage, so no empty text reaches the others; a null or
+repeated doc_id is a row like any other and is decided by its text; of rows that repeat a text one stays, whatever
+their ids; very long texts are read whole. An empty table, or one that a stage empties, gives empty results from there on.
 """
 
 from __future__ import annotations
@@ -16,7 +19,7 @@ from ripplecart.llm.packing import pack_documents
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language the classifier does not reject."""
+    """Documents whose language the classifier does not reject; without labelled languages it knows none and rejects all."""
     return of_known_language(docs)
 
 
@@ -26,7 +29,7 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The smallest doc_id of each component of documents with a similarity of 0.8 or more on five-word shingles."""
+    """The smallest doc_id's row of each component of documents with a similarity of 0.8 or more on five-word shingles; of rows that tie, one."""
     return one_of_each(docs, n=5, num=80, den=100)
 
 
