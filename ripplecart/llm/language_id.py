@@ -181,10 +181,12 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE, budget: int = BUDGE
         scale = min(loss, key=loss.get)
         p = softmax(z * scale)
         right = p.max(1)[p.argmax(1) == target[held]]
-        least = float(min(0.5, np.quantile(right, 0.001))) if len(right) else 0.0
+        least = float(min(MIXED, np.quantile(right, 0.001))) if len(right) else 0.0
     return Model(languages, (table * scale).astype(np.float32), bias * scale, least, usual, spread, limit)
 
 
+#: The confidence limit is no higher: a text in two learned languages shows about a half for either and is kept.
+MIXED = 0.35
 #: A text is rejected as unlike all that was learned beyond so many deviations, and beyond this multiple of the calibration texts' extreme.
 DEVIATIONS, EXTREME = 5.0, 1.25
 
