@@ -130,3 +130,28 @@ def test_settled_tables_drop_their_lineage(spark):
     hinted, small = D.broadcast_if_small(df, max_rows=9)
     assert not small and "ResolvedHint" not in hinted._jdf.queryExecution().logical().toString()
     assert D.broadcast_if_small(df, max_rows=10)[1]
+
+
+def test_a_task_reads_a_bounded_part_of_a_large_table(spark, tmp_path):
+    """Before, a scan was cut by cores into up to 128 MB a task, and a shuffle kept its parts however large the lines were."""
+    from ripplecart.config import TASK_BYTES, prepare_session
+    from ripplecart.plans.workbench import Workbench
+
+    path = str(tmp_path / "lineitem.parquet")
+    spark.range(6_000_000).select(F.rand(1).alias("a")).coalesce(1).write.option("parquet.block.size", 4 << 20).parquet(path)
+    keys = ["spark.sql.files.maxPartitionBytes", "spark.sql.adaptive.advisoryPartitionSizeInBytes"]
+    keys.append("spark.sql.adaptive.coalescePartitions.initialPartitionNum")
+    before = {k: spark.conf.get(k, None) for k in keys}
+    try:
+        for k in keys[:2]:
+            spark.conf.set(k, "128m")
+        prepare_session(spark)
+        read = spark.read.parquet(path).select(F.input_file_block_length()).distinct().collect()
+        assert len(read) and max(r[0] for r in read) <= TASK_BYTES
+        spark.conf.set(keys[1], "1m")
+        assert prepare_session(spark).conf.get(keys[1]) == "1m"  # a smaller setting stays
+        Workbench(spark, str(tmp_path))
+        assert int(spark.conf.get(keys[2])) == spark.read.parquet(path).rdd.getNumPartitions() > 4
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
