@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 #: Bytes of text that one numpy pass works on; bounds a Python worker's memory whatever the Arrow batch holds.
 PASS_BYTES = 1 << 20
 
+#: Bytes of rows that Spark hands a Python worker at once; its default of 64 MB stands in the executor and in the worker, per task.
+BATCH_BYTES = 4 << 20
+
 U64 = np.uint64
 
 
@@ -43,6 +46,14 @@ def drop(df: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Hand Python workers at most BATCH_BYTES at once, for operators whose rows are texts or packed arrays."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(key).removesuffix("b")
+    if not now.isdigit() or not 0 < int(now) <= BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def tasks(df: DataFrame, least: int = 1) -> int:
     """Shuffle partitions of the session, for operators that deal rows out by a key of their own."""
     return max(least, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))

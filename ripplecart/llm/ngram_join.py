@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ripplecart.llm.common import U64, counted, mixed, passes, prime_hash, runs, saved, signed, tasks, utf8
+from ripplecart.llm.common import U64, counted, mixed, passes, prime_hash, runs, saved, signed, small_batches, tasks, utf8
 from ripplecart.llm.components import components
 
 #: Sets of a block.
@@ -229,6 +229,7 @@ def _meet(few: int = FEW, most: int = 1 << 21):
                     yield made
         if (made := compact()) is not None:
             yield made
+        pa.default_memory_pool().release_unused()  # workers live on and are reused
         cut = runs(kept[:, 0])
         found = []
         for m in range(2, few + 1):  # all pairs of the signatures with m sets
@@ -416,6 +417,7 @@ def _joined(num: int, den: int):
         close()
         if out:
             yield flush()
+        pa.default_memory_pool().release_unused()
 
     return join
 
@@ -457,7 +459,8 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
 
 def links(docs: DataFrame, n: int, num: int, den: int, block: int = BLOCK, few: int = FEW) -> tuple[DataFrame, DataFrame]:
     """All documents as (doc_id, th, n, h), and links (a, b) between set hashes whose components are those of all links."""
-    parts = tasks(docs, 2)
+    small_batches(docs.sparkSession)
+    parts = 2 * tasks(docs)  # a part's signatures are sorted in one worker
     docs = _with_text_hash(docs.select("doc_id", "text"))
     scanned = docs.mapInArrow(_scan(n, Signer(num, den), parts), _SCANNED)
     met = saved(scanned.repartitionById(parts, F.col("part")).mapInArrow(_meet(few), _MET), "met")
