@@ -103,8 +103,14 @@ def cooccurrence(items: DataFrame, min_cooccurrence: int = 10, wide_basket: int
     Products in fewer than the minimum of baskets cannot be in a kept pair and go first. Baskets up
     to ``wide_basket`` products emit their pairs. Wider ones never do: their common baskets are
     counted by AND-ing bit words, for the pairs the narrow baskets already found (when the missing
-    count is still within reach) and for pairs that could qualify on wide baskets alone.
+    count is still within reach) and for pairs that could qualify on wide baskets alone. The items are
+    read several times, so they are saved first.
     """
+    return _cooccurrence(settled(items, "items"), min_cooccurrence, wide_basket)
+
+
+def _cooccurrence(items: DataFrame, min_cooccurrence: int, wide_basket: int) -> DataFrame:
+    """The counts of `cooccurrence` from saved items."""
     k = max(int(min_cooccurrence), 1)
     frequent, _ = broadcast_if_small(product_baskets(items).filter(F.col("n_baskets") >= k).select(PRODUCT))
     items = items.join(frequent, PRODUCT, "left_semi")
@@ -171,7 +177,7 @@ def complement_edges(
 ) -> DataFrame:
     """The complement graph as an edge list (graph, src, dst, w), both directions, w in (0, 1]."""
     items = settled(basket_items(tx, products), "items")
-    pairs = ppmi_pairs(items, settled(cooccurrence(items, min_cooccurrence, wide_basket), "pairs"))
+    pairs = ppmi_pairs(items, settled(_cooccurrence(items, min_cooccurrence, wide_basket), "pairs"))
     return symmetric(pairs).select(F.lit(COMP).alias("graph"), "src", "dst", "w")
 
 

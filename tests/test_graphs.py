@@ -249,3 +249,19 @@ def test_bucket_training_lowers_its_loss():
     centre, context = np.array([0, 1, 2] * 200), np.array([1, 0, 2] * 200)
     losses = [train_bucket(inputs, outputs, np.ones(6), centre, context, 0.1, 3, rng) for _ in range(8)]
     assert losses[-1] < 0.7 * losses[0]
+
+
+@pytest.mark.parametrize("wide_basket", [1000, 2])
+def test_cooccurrence_reads_its_items_once(spark, wide_basket):
+    """Before, the items' plan ran three to five times."""
+    rows = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for pdf in batches:
+            rows.add(len(pdf))
+            yield pdf
+
+    items = spark.createDataFrame([(b, p) for b in range(6) for p in range(b % 3 + 2)], "BASKET_ID long, PRODUCT_ID long")
+    got = {(r.a, r.b): r.n_ab for r in C.cooccurrence(items.mapInPandas(seen, items.schema), 2, wide_basket).collect()}
+    assert got == {(0, 1): 6, (0, 2): 4, (1, 2): 4, (0, 3): 2, (1, 3): 2, (2, 3): 2}
+    assert rows.value == 18
