@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
 def stripped(c: Column) -> Column:
     """Remove all leading and trailing whitespace (``trim`` only removes blanks)."""
-    return F.regexp_replace(c.cast("string"), r"^\s+|\s+$", "")
+    return F.btrim(c.cast("string"), F.lit(" \t\n\x0b\f\r"))
 
 
 def flag_active(c: Column) -> Column:
@@ -33,9 +35,18 @@ def hash_uniform(*parts: str | int | Column) -> Column:
     Retries, partitioning and row order cannot change it, unlike ``rand(seed)``; the first 32 bits
     of an md5 digest give the same value in any SQL engine.
     """
+    return F.conv(hash_digits(*parts), 16, 10).cast("bigint") / F.lit(4294967296.0)
+
+
+def hash_digits(*parts: str | int | Column) -> Column:
+    """The 32 bits of ``hash_uniform`` as eight hexadecimal digits, which sort as the numbers do."""
     cols = [p if isinstance(p, Column) else F.lit(str(p)) for p in parts]
-    digest = F.md5(F.concat_ws("|", *[c.cast("string") for c in cols]))
-    return F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint") / F.lit(4294967296.0)
+    return F.substring(F.md5(F.concat_ws("|", *[c.cast("string") for c in cols])), 1, 8)
+
+
+def digits_below(digits: Column, bound: float) -> Column:
+    """Whether the uniform of these digits is below ``bound`` in (0, 1): the same rows as ``hash_uniform(...) < bound``, no number made."""
+    return digits < F.lit(f"{math.ceil(bound * 2**32):08x}")
 
 
 def normal_draw(*parts: str | int | Column) -> Column:

@@ -11,6 +11,8 @@ from ripplecart.functions.scalars import discount_rate, flag_active
 from ripplecart.sources.csv_tables import read_csv_table
 
 PAIR = [STORE, PRODUCT]
+#: Rows of the dense index that a task expands, and the fewest worth a task of their own.
+DENSE_ROWS, FEW_ROWS = 500_000, 50_000
 
 
 def aggregate_cells(tx: DataFrame) -> DataFrame:
@@ -41,17 +43,27 @@ def product_stores(cells: DataFrame) -> DataFrame:
     return cells.select(*PAIR).distinct()
 
 
-def dense_index(cells: DataFrame) -> DataFrame:
+def dense_parts(cells: DataFrame) -> int:
+    """Tasks for the dense index of saved cells, by its number of rows: a few bytes of a pair become a row per week."""
+    span = (F.max(WEEK) - F.min(WEEK) + 1).cast("bigint")
+    rows = cells.groupBy(PRODUCT).agg((F.count_distinct(STORE) * span).alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    tasks = int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(-(-rows // DENSE_ROWS), min(tasks, -(-rows // FEW_ROWS)), 1)
+
+
+def dense_index(cells: DataFrame, parts: int | None = None) -> DataFrame:
     """Every store that ever sold a product x every week of the product's range over all stores.
 
-    The range is widened over the pair table (one row per product and store). The rows are expanded
-    last, after the (store, product) exchange, and keep that layout: the dense index, the largest
-    table of the pipeline, is never shuffled itself.
+    Everything lies by product, in ``parts`` tasks (default: the session's shuffle partitions). The number is given,
+    since adaptive execution would go by the bytes of the pairs and expand millions of rows in one task. The range is widened
+    over the pair table (one row per product and store); the rows are expanded last and keep the layout: the dense
+    index, the largest table of the pipeline, is never shuffled itself.
     """
+    parts = parts or int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     across = Window.partitionBy(PRODUCT)
-    pairs = cells.groupBy(*PAIR).agg(F.min(WEEK).alias("lo"), F.max(WEEK).alias("hi"))
+    pairs = cells.select(*CELL).repartition(parts, PRODUCT).groupBy(*PAIR).agg(F.min(WEEK).alias("lo"), F.max(WEEK).alias("hi"))
     ranged = pairs.select(*PAIR, F.min("lo").over(across).alias("lo"), F.max("hi").over(across).alias("hi"))
-    return ranged.repartition(*PAIR).select(*PAIR, F.explode(F.sequence("lo", "hi")).alias(WEEK))
+    return ranged.select(*PAIR, F.explode(F.sequence("lo", "hi")).alias(WEEK))
 
 
 def promo_flags(causal: DataFrame) -> DataFrame:
@@ -62,23 +74,28 @@ def promo_flags(causal: DataFrame) -> DataFrame:
 
 
 def build_panel(tx: DataFrame, causal: DataFrame, product: DataFrame) -> DataFrame:
-    """Dense panel with measures, flags and product hierarchy.
+    """Dense panel with measures, flags and product hierarchy, from lines; see ``panel_of_cells``."""
+    return panel_of_cells(settled(aggregate_cells(tx), "cells"), causal, product)
+
+
+def panel_of_cells(cells: DataFrame, causal: DataFrame, product: DataFrame, parts: int | None = None) -> DataFrame:
+    """The panel from saved cells, which give the index and the measures, so the lines are read and aggregated once.
 
-    The lines are read and aggregated once: the saved cells give the index and the measures. Cells
-    and flags are brought to the (store, product) layout of the dense index, so both 3-key joins run
-    in place. Cells that sold nothing get measures 0, cells absent from the flag table flags 0.
+    Cells, flags and catalog are brought to the layout of the dense index, by product in ``parts`` tasks, so all joins run
+    in place, as merge joins: none of these tables is of a size to be broadcast. A flag table that lies so already is not
+    exchanged. Cells that sold nothing get measures 0, cells absent from the flag table flags 0.
     Duplicate flag or product keys multiply rows, as any left join does.
     """
-    cells = settled(aggregate_cells(tx), "cells")
+    parts = parts or dense_parts(cells)
     catalog, _ = broadcast_if_small(product.select(PRODUCT, *HIERARCHY))
     measures = ["units_sold", "sales_value", "retail_disc_total", "discount_rate"]
     flags = ["display", "mailer", "promo_any"]
     return (
-        dense_index(cells)
-        .join(cells.repartition(*PAIR), CELL, "left")
+        dense_index(cells, parts)
+        .join(cells.repartition(parts, PRODUCT).hint("merge"), CELL, "left")
         .na.fill(0.0, subset=measures)
         .withColumn("sold_any", (F.col("units_sold") > 0).cast("int"))
-        .join(promo_flags(causal).repartition(*PAIR), CELL, "left")
+        .join(promo_flags(causal).hint("merge"), CELL, "left")
         .na.fill(0, subset=flags)
         .join(catalog, PRODUCT, "left")
         .select(

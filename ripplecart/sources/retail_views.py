@@ -8,8 +8,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ripplecart.config import CELL, PRODUCT, STORE, WEEK
-from ripplecart.functions.scalars import hash_uniform
-from ripplecart.operators.panel import aggregate_cells, build_panel, dense_index
+from ripplecart.functions.distributed import settled
+from ripplecart.functions.scalars import digits_below, hash_digits
+from ripplecart.operators.panel import aggregate_cells, dense_index, dense_parts, panel_of_cells
 
 
 def cell_key() -> Column:
@@ -113,21 +114,26 @@ class RetailViews:
     def cells(self) -> DataFrame:
         return aggregate_cells(self.transactions())
 
-    def causal(self) -> DataFrame:
+    def causal(self, cells: DataFrame | None = None, parts: int | None = None) -> DataFrame:
+        """Flag codes of about half the dense index; ``cells`` are the saved cells, where there are any."""
         key = cell_key()
-        d, m = hash_uniform("d", key), hash_uniform("m", key)
-        return (
-            dense_index(self.cells())
-            .filter(hash_uniform("row", key) < 0.5)
-            .select(
-                *CELL,
-                F.when(d < 0.02, None).when(d < 0.12, " A ").when(d < 0.20, "9").otherwise("0").alias("display"),
-                F.when(m < 0.10, "D").otherwise(" 0").alias("mailer"),
-            )
+        drawn = (
+            dense_index(self.cells() if cells is None else cells, parts)
+            .filter(digits_below(hash_digits("row", key), 0.5))
+            .select(*CELL, hash_digits("d", key).alias("d"), hash_digits("m", key).alias("m"))
+        )
+        below = lambda name, bound: digits_below(F.col(name), bound)
+        return drawn.select(
+            *CELL,
+            F.when(below("d", 0.02), None).when(below("d", 0.12), " A ").when(below("d", 0.20), "9").otherwise("0").alias("display"),
+            F.when(below("m", 0.10), "D").otherwise(" 0").alias("mailer"),
         )
 
     def panel(self) -> DataFrame:
-        return build_panel(self.transactions(), self.causal(), self.products())
+        """The panel and its flag table read the same saved cells."""
+        cells = settled(self.cells(), "cells")
+        parts = dense_parts(cells)
+        return panel_of_cells(cells, self.causal(cells, parts), self.products(), parts)
 
     def embeddings(self) -> DataFrame:
         """Vectors by product, all that the catalog has."""

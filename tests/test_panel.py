@@ -2,7 +2,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from ripplecart.config import CELL, HIERARCHY
-from ripplecart.functions.scalars import discount_rate, edge_weight, flag_active
+from ripplecart.functions.distributed import settled
+from ripplecart.functions.scalars import digits_below, discount_rate, edge_weight, flag_active, hash_digits, hash_uniform
 from ripplecart.operators import panel as P
 from ripplecart.sources import csv_tables, stores
 
@@ -134,3 +135,29 @@ def test_panel_reads_its_lines_once(spark):
     out = P.build_panel(tx, spark.createDataFrame([], flag_cols), product)
     text = out._jdf.queryExecution().optimizedPlan().toString()
     assert "QUANTITY" not in text and out.count() == 3
+
+
+def test_a_panel_larger_than_its_lines_is_expanded_in_many_tasks_and_never_shuffled(spark):
+    ends = [(s, p, w, 1.0, 1.0, 0.0) for s in (1, 2) for p in range(1, 61) for w in (1, 1000)]
+    cells = settled(P.aggregate_cells(spark.createDataFrame(ends, TX)))
+    parts = P.dense_parts(cells)
+    assert parts == 3  # 120,000 rows out of 240 cells
+    flags = P.dense_index(cells, parts).select(*CELL, F.lit("0").alias("display"), F.lit("D").alias("mailer"))
+    product = spark.range(1, 61).select(F.col("id").alias("PRODUCT_ID"), *[F.lit("x").alias(c) for c in HIERARCHY])
+    out = P.panel_of_cells(cells, flags, product, parts)
+    text = out._jdf.queryExecution().executedPlan().toString()
+    assert out.rdd.getNumPartitions() == 3
+    assert out.count() == 120_000 and out.filter("mailer = 1 and display = 0 and promo_any = 1").count() == 120_000
+    assert text.count("SortMergeJoin") == 2
+    for line in text.split("\n"):
+        assert "Exchange hashpartitioning" not in line or "(PRODUCT_ID" in line  # cells alone, by product
+    assert text.count("Exchange hashpartitioning") == 3
+
+
+def test_digits_compare_as_their_uniforms_do(spark):
+    key = F.col("id").cast("string")
+    bounds = (0.02, 0.1, 0.12, 0.2, 0.5, 0.999)
+    rows = spark.range(5000)
+    for t in bounds:
+        assert rows.filter(digits_below(hash_digits("d", key), t) != (hash_uniform("d", key) < t)).count() == 0
+    assert 0 < rows.filter(digits_below(hash_digits("d", key), 0.02)).count() < 200
