@@ -10,12 +10,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ripplecart.config import PRODUCT, SUB
-from ripplecart.functions.distributed import block_pairs, settled
+from ripplecart.functions.distributed import block_pairs, broadcast_if_small, settled
 from ripplecart.functions.scalars import l2_normalised
 from ripplecart.operators.panel import in_universe
 
 GROUP = "SUB_COMMODITY_DESC"
 BLOCK = 1024
+#: Rows that a task makes out of a list of sources.
+MADE_ROWS = 500_000
 
 
 def catalog_nodes(product: DataFrame, products: DataFrame | None = None) -> DataFrame:
@@ -28,20 +30,24 @@ def _first_others(sources: DataFrame, candidates: DataFrame, k: int) -> DataFram
     """For each source the k candidates of its group with the smallest ids, itself excluded.
 
     Only the first k + 1 ids of a group can be among them, so a group of n products yields n * k
-    pairs at most and the window keeps k + 1 rows per group from the start.
+    pairs at most and the window keeps k + 1 rows per group from the start. A source becomes k rows, so the sources are
+    dealt out by the rows to be made, whatever their group; without a broadcast, by group.
     """
     by_id = Window.partitionBy(GROUP).orderBy(PRODUCT)
-    heads = (
+    first = (
         candidates.withColumn("_r", F.row_number().over(by_id))
         .filter(F.col("_r") <= k + 1)
         .select(GROUP, F.col(PRODUCT).alias("dst"), "_r")
     )
+    heads, small = broadcast_if_small(first)
     # the source itself takes a slot away from later ids only if it is a candidate too
     own = heads.select(F.col("dst").alias("src"), GROUP, F.col("_r").alias("_own"))
     src = sources.select(F.col(PRODUCT).alias("src"), GROUP).join(own, ["src", GROUP], "left")
+    parts = max(-(-sources.count() * k // MADE_ROWS), 1)
+    src = src.repartition(parts, "src" if small else GROUP)
     place = F.col("_r") - F.when(F.col("_own") < F.col("_r"), 1).otherwise(0)
     return (
-        src.join(heads, GROUP)
+        src.join(heads if small else heads.repartition(parts, GROUP), GROUP)
         .filter((F.col("src") != F.col("dst")) & (place <= k))
         .select("src", "dst", F.lit(1.0).alias("w"))
     )

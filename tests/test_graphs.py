@@ -265,3 +265,11 @@ def test_cooccurrence_reads_its_items_once(spark, wide_basket):
     got = {(r.a, r.b): r.n_ab for r in C.cooccurrence(items.mapInPandas(seen, items.schema), 2, wide_basket).collect()}
     assert got == {(0, 1): 6, (0, 2): 4, (1, 2): 4, (0, 3): 2, (1, 3): 2, (2, 3): 2}
     assert rows.value == 18
+
+
+def test_first_neighbours_are_made_in_tasks_by_their_number(spark):
+    product = settled(spark.range(30_000).select(F.col("id").alias("PRODUCT_ID"), F.lit("s").alias("SUB_COMMODITY_DESC")))
+    made = S._first_others(product, product, 50)
+    per_task = [r.n for r in made.groupBy(F.spark_partition_id()).agg(F.count(F.lit(1)).alias("n")).collect()]
+    assert sum(per_task) == 30_000 * 50 and max(per_task) <= 600_000
+    assert {r.dst for r in made.filter("src = 7").collect()} == set(range(51)) - {7}
