@@ -152,3 +152,23 @@ def test_a_product_with_more_edges_than_a_block_is_cut_by_receiver(spark):
     panel = spark.createDataFrame([(1, p, 1, int(p == 1), 1.0, 0.0) for p in range(1, 40)], PANEL)
     got = {r.PRODUCT_ID: r.sub_exposure_weighted for r in X.add_exposures(panel, hub, block_rows=10).collect()}
     assert got[1] == 0 and all(got[p] == 1 for p in range(2, 40))
+
+
+def test_long_lists_are_multiplied_block_by_block(frames, rows, edge_rows):
+    panel, edges = frames
+    w = {f"w_{g}": F.when(F.col("graph") == g, F.col("w")).otherwise(0.0) for g in X.CHANNELS}
+    layout = X.edge_layout(edges, 6).select("src", "dst", *[c.alias(n) for n, c in w.items()])
+    sent = panel.select(*X.CELL, F.col("discount_rate").alias("_t"))
+    sums = X._product_sums(sent, layout, X.BY_GRAPH, {"num": F.col("_t"), "den": F.lit(1.0)}, block_edges=9, group_rows=40)
+    text = sums._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in text and "Aggregate" not in text  # no row per row and edge
+    got = {(r.STORE_ID, r.src, r.WEEK_NO): r for r in sums.collect()}
+    for graph in X.CHANNELS:
+        for key, (num, den, _) in brute(rows, edge_rows, graph, lambda r: r[5]).items():
+            r = got.get(key)
+            assert (r[f"{graph}_num"] if r else 0) == pytest.approx(num) and (r[f"{graph}_den"] if r else 0) == pytest.approx(den)
+    direct = {tuple(r) for r in X.add_spillover_features(panel, edges).select(*X.CELL, "n_treated_substitutes", F.round("avg_units_complements", 9)).collect()}
+    assert direct == {tuple(r) for r in X.add_spillover_features(panel, edges, 6).select(*X.CELL, "n_treated_substitutes", F.round("avg_units_complements", 9)).collect()}
+    one = X.without_channel(edges, "sub")
+    assert X.weighted_exposure(panel, one, block_rows=6).agg(F.sum("exposure_weighted")).first()[0] == pytest.approx(
+        X.weighted_exposure(panel, one).agg(F.sum("exposure_weighted")).first()[0])
