@@ -273,3 +273,12 @@ def test_first_neighbours_are_made_in_tasks_by_their_number(spark):
     per_task = [r.n for r in made.groupBy(F.spark_partition_id()).agg(F.count(F.lit(1)).alias("n")).collect()]
     assert sum(per_task) == 30_000 * 50 and max(per_task) <= 600_000
     assert {r.dst for r in made.filter("src = 7").collect()} == set(range(51)) - {7}
+
+
+def test_walks_are_the_same_whichever_side_is_broadcast(spark):
+    rows = [(a, b, 1.0 + a % 3) for a in range(12) for b in range(12) if a != b and a % 4 != 3 and (a * b) % 3]
+    edges = settled(spark.createDataFrame(rows, "src bigint, dst bigint, w double"))  # some nodes end a walk
+    nodes = spark.range(12).select(F.col("id").alias("PRODUCT_ID"))
+    walks = [{r.walk_id: list(r.walk) for r in W.unbiased_walks(edges, nodes, 2, 8, max_rows=n).collect()} for n in (1_000_000, 50)]
+    assert walks[0] == walks[1] and len(walks[0]) == 24
+    assert len(set(map(len, walks[0].values()))) > 1
