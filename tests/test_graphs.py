@@ -282,3 +282,12 @@ def test_walks_are_the_same_whichever_side_is_broadcast(spark):
     walks = [{r.walk_id: list(r.walk) for r in W.unbiased_walks(edges, nodes, 2, 8, max_rows=n).collect()} for n in (1_000_000, 50)]
     assert walks[0] == walks[1] and len(walks[0]) == 24
     assert len(set(map(len, walks[0].values()))) > 1
+
+
+def test_pairs_are_made_in_tasks_by_their_number(spark, monkeypatch):
+    monkeypatch.setattr(C, "MADE_PAIRS", 5000)
+    items = settled(spark.range(20 * 60).select((F.col("id") % 20).alias("BASKET_ID"), F.floor(F.col("id") / 20).alias("PRODUCT_ID")))
+    pairs = C._cooccurrence(items, 10, 1000)
+    text = pairs._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning(BASKET_ID" in text and ", 8), REPARTITION_BY_NUM" in text  # 20 * 60 * 59 / 2 = 35,400 pairs
+    assert pairs.count() == 60 * 59 // 2 and pairs.filter("n_ab = 20").count() == 60 * 59 // 2
