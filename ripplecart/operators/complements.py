@@ -52,7 +52,8 @@ def _pairs_of_narrow_baskets(items: DataFrame, parts: int) -> DataFrame:
     The number of tasks is given: adaptive execution would go by the bytes of the items and make hundreds of pairs per item
     in a few tasks. The shuffle of the pairs starts with as many parts.
     """
-    spread_shuffles(items.sparkSession, parts)
+    now = items.sparkSession.conf.get("spark.sql.adaptive.coalescePartitions.initialPartitionNum", None)
+    spread_shuffles(items.sparkSession, max(parts, int(now or 0)))
     baskets = items.repartition(parts, BASKET).groupBy(BASKET).agg(F.array_sort(F.collect_list(PRODUCT)).alias("ps"))
     heads = baskets.filter(F.size("ps") > 1).select("ps", F.posexplode("ps").alias("i", "a"))
     rest = F.slice(F.col("ps"), F.col("i") + 2, F.size("ps"))
