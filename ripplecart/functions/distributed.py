@@ -76,6 +76,33 @@ def has_at_most(table: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
     return table.limit(max_rows + 1).count() <= max_rows
 
 
+def uneven_keys(rows: DataFrame, key: str, others: DataFrame, other_key: str) -> DataFrame:
+    """The keys of ``rows`` that ``others`` does not hold exactly once: (_key, _times), without null.
+
+    Only keys are exchanged, equal ones of a task as one; a hash table counts them, nothing is sorted.
+    """
+    ours = rows.select(F.col(key).alias("_key"), F.lit(0).alias("n"), F.lit(True).alias("ours"))
+    theirs = others.select(F.col(other_key).alias("_key"), F.lit(1).alias("n"), F.lit(False).alias("ours"))
+    both = ours.unionAll(theirs).filter(F.col("_key").isNotNull())
+    counts = both.groupBy("_key").agg(F.sum("n").alias("_times"), F.max("ours").alias("ours"))
+    return counts.filter(F.col("ours") & (F.col("_times") != 1)).select("_key", "_times")
+
+
+def joined_rows(rows: DataFrame, key: str, uneven: DataFrame) -> DataFrame:
+    """``rows`` as an inner join with the other table leaves them, none of whose columns are wanted.
+
+    ``uneven`` are the saved `uneven_keys`: their rows are dropped or repeated, all others pass where they lie. A table of
+    uneven keys of any size will do; beyond a broadcast it is an ordinary shuffled join.
+    """
+    rows = rows.filter(F.col(key).isNotNull())
+    if uneven.isEmpty():
+        return rows
+    times = F.coalesce(F.col("_times"), F.lit(1)).cast("int")
+    small = F.broadcast(uneven) if has_at_most(uneven) and row_bytes(uneven) <= BROADCAST_BYTES else uneven
+    met = rows.join(small, F.col(key) == F.col("_key"), "left")
+    return met.select(*[met[c] for c in rows.columns], F.explode(F.array_repeat(F.lit(0), times)).alias("_copy")).drop("_copy")
+
+
 def global_rank(
     df: DataFrame, bucket: Column, order: Sequence[Column | str], name: str, *, bounded: bool = False
 ) -> DataFrame:

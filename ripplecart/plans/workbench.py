@@ -51,7 +51,7 @@ class Workbench:
 
     @property
     def nodes(self) -> DataFrame:
-        return self._saved("nodes", lambda: complement_nodes(self.views.transactions()))
+        return self._saved("nodes", lambda: complement_nodes(self.views.transactions(households=False)))
 
     @property
     def trained(self) -> DataFrame:

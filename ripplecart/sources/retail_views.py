@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ripplecart.config import CELL, PRODUCT, STORE, WEEK
-from ripplecart.functions.distributed import settled
+from ripplecart.functions.distributed import BROADCAST_ROWS, joined_rows, settled, uneven_keys
 from ripplecart.functions.scalars import digits_below, hash_digits
 from ripplecart.operators.panel import aggregate_cells, dense_index, dense_parts, panel_of_cells
 
@@ -35,6 +36,7 @@ class RetailViews:
     store: str = "region"
     period_days: int = 28
     catalog: str = "folded"
+    many_orders: int = BROADCAST_ROWS
 
     @property
     def min_cooccurrence(self) -> int:
@@ -78,8 +80,23 @@ class RetailViews:
             )
         )
 
-    def transactions(self) -> DataFrame:
-        """Lines joined to the part, supplier and nation dimensions; Spark picks each join by size."""
+    @cached_property
+    def uneven_orders(self) -> DataFrame:
+        """Order keys of lines that no order or several have, saved."""
+        return settled(uneven_keys(self.table("lineitem"), "l_orderkey", self.table("orders"), "o_orderkey"), "uneven")
+
+    def _ordered_lines(self, households: bool) -> DataFrame:
+        """Lines joined to the orders; without households, lines of many orders are not exchanged for it, only their keys."""
+        lines, orders = self.table("lineitem"), self.table("orders").select("o_orderkey", "o_custkey")
+        if households or orders.count() <= self.many_orders:
+            return lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+        return joined_rows(lines, "l_orderkey", self.uneven_orders)
+
+    def transactions(self, households: bool = True) -> DataFrame:
+        """Lines joined to the order, part and supplier dimensions; Spark picks each join by size.
+
+        Without ``households`` the rows are the same, but have no household_key.
+        """
         supplier = self.table("supplier").select("s_suppkey", "s_nationkey")
         if self.store == "region":
             nation = self.table("nation").select("n_nationkey", "n_regionkey")
@@ -92,12 +109,11 @@ class RetailViews:
         line, tax = F.col("l_extendedprice"), F.col("l_tax")
         basket = day.cast("bigint") * 100 + F.col(STORE) if self.catalog == "part" else F.col("l_orderkey")
         return (
-            self.table("lineitem")
-            .join(self.table("orders").select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
+            self._ordered_lines(households)
             .join(self.product_map().select("p_partkey", PRODUCT), F.col("l_partkey") == F.col("p_partkey"))
             .join(stores, F.col("l_suppkey") == F.col("s_suppkey"))
             .select(
-                F.col("o_custkey").alias("household_key"),
+                *([F.col("o_custkey").alias("household_key")] if households else []),
                 basket.alias("BASKET_ID"),
                 day.alias("DAY"),
                 (F.floor((day - 1) / self.period_days) + 1).cast("int").alias(WEEK),
@@ -112,7 +128,7 @@ class RetailViews:
         )
 
     def cells(self) -> DataFrame:
-        return aggregate_cells(self.transactions())
+        return aggregate_cells(self.transactions(households=False))
 
     def causal(self, cells: DataFrame | None = None, parts: int | None = None) -> DataFrame:
         """Flag codes of about half the dense index; ``cells`` are the saved cells, where there are any."""

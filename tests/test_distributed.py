@@ -3,7 +3,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from ripplecart.functions import distributed as D
+from ripplecart.functions.distributed import settled
 from ripplecart.functions.scalars import hash_uniform, normal_draw, standardised
+from ripplecart.sources.retail_views import RetailViews
 
 PROBS = [0.0, 0.01, 0.25, 0.5, 0.9, 0.99, 1.0]
 
@@ -155,3 +157,34 @@ def test_a_task_reads_a_bounded_part_of_a_large_table(spark, tmp_path):
     finally:
         for k, v in before.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def test_rows_met_by_an_inner_join_are_known_from_the_keys_alone(spark):
+    rows = spark.createDataFrame([(k, i) for i, k in enumerate([1, 1, 2, 3, 3, None, 4, 5])], "k bigint, i int").repartition(3)
+    for others in ([1, 2, 2, 2, 3, None, 9, 9], [1, 2, 3, 4, 5], [], [None]):
+        orders = spark.createDataFrame([(o,) for o in others], "o bigint")
+        uneven = settled(D.uneven_keys(rows, "k", orders, "o"))
+        want = sorted(rows.join(orders, F.col("k") == F.col("o")).select("k", "i").collect())
+        assert sorted(D.joined_rows(rows, "k", uneven).collect()) == want, others
+        assert {r["_key"]: r["_times"] for r in uneven.collect()} == {k: others.count(k) for k in range(1, 6) if others.count(k) != 1}
+
+
+def test_lines_of_many_orders_are_not_exchanged_where_no_household_is_wanted(spark, tmp_path):
+    tables = "/root/testdata/sf0.001"
+    for name in ("part", "supplier", "nation"):
+        spark.read.parquet(f"{tables}/{name}.parquet").write.parquet(f"{tmp_path}/{name}.parquet")
+    lines, orders = (spark.read.parquet(f"{tables}/{name}.parquet") for name in ("lineitem", "orders"))
+    lines.withColumn("l_orderkey", F.when(F.col("l_orderkey") % 50 != 7, F.col("l_orderkey"))).write.parquet(f"{tmp_path}/lineitem.parquet")
+    kept = orders.filter(F.col("o_orderkey") % 11 != 3)  # lines without an order, and orders that are there twice
+    kept.unionAll(kept.filter(F.col("o_orderkey") % 13 == 5)).write.parquet(f"{tmp_path}/orders.parquet")
+    views = RetailViews(spark, str(tmp_path), many_orders=0)
+    whole, narrow = views.transactions().drop("household_key"), views.transactions(households=False)
+    assert whole.columns == narrow.columns and 0 < narrow.count() < lines.count()
+    assert whole.exceptAll(narrow).isEmpty() and narrow.exceptAll(whole).isEmpty()
+    exact = RetailViews(spark, tables, many_orders=0)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = exact.transactions(households=False).select("BASKET_ID")._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "orders" not in plan and "o_orderkey" not in plan and plan.count("Join") == 3  # part, supplier, nation
