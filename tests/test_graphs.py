@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ripplecart.functions.distributed import settled
 from ripplecart.operators import complements as C
 from ripplecart.operators import graphs as G
+from ripplecart.operators import pair_grid as P
 from ripplecart.operators import substitutes as S
 from ripplecart.operators import walks as W
 from ripplecart.operators.skipgram import SkipGramSettings, train_bucket, train_skip_gram, window_pairs
@@ -291,3 +292,44 @@ def test_pairs_are_made_in_tasks_by_their_number(spark, monkeypatch):
     text = pairs._jdf.queryExecution().executedPlan().toString()
     assert "Exchange hashpartitioning(BASKET_ID" in text and ", 8), REPARTITION_BY_NUM" in text  # 20 * 60 * 59 / 2 = 35,400 pairs
     assert pairs.count() == 60 * 59 // 2 and pairs.filter("n_ab = 20").count() == 60 * 59 // 2
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_many_pairs_are_counted_without_exchanging_them(spark):
+    """Before, 8 million pairs of a hundred baskets were exchanged by (a, b), and of many wide baskets nearly all candidates."""
+    rows = spark.range(100 * 400).select((F.col("id") % 100).alias("BASKET_ID"), F.pmod(F.xxhash64("id"), F.lit(2000)).alias("PRODUCT_ID"))
+    items = settled(rows.distinct())
+    got = C.cooccurrence(items, 10)
+    assert "hashpartitioning(a" not in _plan(got)
+    want = C._cooccurrence(items, 10, 1000)
+    assert "hashpartitioning(a" in _plan(want)
+    assert want.count() == got.count() > 3_000 and want.exceptAll(got).isEmpty()
+
+
+@pytest.mark.parametrize("k, side, sorted_pairs", [(1, 1, 5), (2, 3, 50), (3, 4, 1 << 21)])
+def test_grid_weights_are_those_of_exchanged_pairs(spark, lines, monkeypatch, k, side, sorted_pairs):
+    tx = spark.createDataFrame(lines + [(None, 3), (5, None)], "BASKET_ID bigint, PRODUCT_ID bigint")
+    want = sorted(C.complement_edges(tx, k).collect())
+    monkeypatch.setattr(C, "_grid", lambda items, wide: (side, items.select("BASKET_ID").distinct().count()))
+    monkeypatch.setattr(P, "SORTED_PAIRS", sorted_pairs)
+    edges = C.complement_edges(tx, k)
+    got = sorted(edges.collect())
+    assert [r[:3] for r in got] == [r[:3] for r in want] and max(r.w for r in got) == 1.0
+    assert [r.w for r in got] == pytest.approx([r.w for r in want])
+    assert "Exchange hashpartitioning" not in _plan(edges)
+
+
+def test_a_grid_without_pairs_is_empty(spark, monkeypatch):
+    monkeypatch.setattr(C, "_grid", lambda items, wide: (2, 2))
+    tx = spark.createDataFrame([(1, 1), (1, 2), (2, 1)], "BASKET_ID bigint, PRODUCT_ID bigint")
+    assert C.complement_edges(tx, 10).count() == 0 and C.complement_edges(tx, 2).count() == 0
+
+
+def test_few_products_or_few_very_wide_baskets_need_no_grid(spark, monkeypatch):
+    monkeypatch.setattr(C, "EXCHANGED_PAIRS", 1000)
+    few = settled(spark.range(400 * 6).select((F.col("id") % 400).alias("BASKET_ID"), F.floor(F.col("id") / 400).alias("PRODUCT_ID")))
+    wide = settled(spark.range(300).select((F.col("id") * 0).alias("BASKET_ID"), F.col("id").alias("PRODUCT_ID")))
+    assert C._grid(few, 1000)[0] == 0 and C._grid(wide, 100)[0] == 0 and C._grid(wide, 1000)[0] == 1
